@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, secrets
+from tessera.llm import decontaminate, mixing, secrets, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_top_k": topk.op2_top_k,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 SQL = {
+    "op3_decontaminate": decontaminate.OP3_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
