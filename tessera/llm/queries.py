@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, mixing, secrets, topk
+from tessera.llm import chat, decontaminate, mixing, secrets, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_top_k": topk.op2_top_k,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op7_chat_format": chat.op7_chat_format,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 SQL = {
+    "op7_chat_format": chat.OP7_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
