@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, mixing, secrets, topk
+from tessera.llm import chat, decontaminate, mixing, pii, secrets, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op7_chat_format": chat.op7_chat_format,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_personal_data": pii.op10_personal_data,
 }
 SQL = {
     "op7_chat_format": chat.OP7_SQL,
