@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, mixing, pii, secrets, topk
+from tessera.llm import chat, decontaminate, mixing, pii, secrets, topk, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_top_k": topk.op2_top_k,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_chat_format": chat.op7_chat_format,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_personal_data": pii.op10_personal_data,
