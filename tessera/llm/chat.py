@@ -63,9 +63,10 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = reached.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg") == F.col("p")), "left_anti") if levels else reached
     rank = Window.partitionBy("conv_id", "root").orderBy(F.desc(F.col("total") / (F.col("depth") + 1)), F.desc("depth"), "msg")
     path = leaves.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= branches).select("conv_id", F.col("msg").alias("leaf"), "msg")
+    path = cut(path)
     for level in reversed(levels):  # ancestors at every distance: the distance's binary digits, largest first
         up = level.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), "up")
-        path = path.union(path.join(up, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg") == F.col("m"))).select("conv_id", "leaf", "up"))
+        path = cut(path.union(path.join(up, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg") == F.col("m"))).select("conv_id", "leaf", "up")))
     depth = reached.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), "depth")
     path = path.join(depth, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg") == F.col("m"))).select("conv_id", "leaf", "msg", "depth")
     said = messages.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), "role", "text")
