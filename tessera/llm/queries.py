@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, lines, mixing, pii, secrets, topk, toxicity
+from tessera.llm import chat, decontaminate, lines, mixing, pii, secrets, substrings, topk, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_top_k": topk.op2_top_k,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_chat_format": chat.op7_chat_format,
     "op9_mix_sources": mixing.op9_mix_sources,
