@@ -45,9 +45,9 @@ def tree_levels(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             break
         levels.append(open_rows.select("conv_id", "msg", "up"))
         above = step.select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), F.col("up").alias("u2"), F.col("root").alias("r2"), F.col("hops").alias("h2"), F.col("total").alias("t2"))
-        both = step.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("m")), "left")
-        moves = F.col("m").isNotNull()
-        step = cut(both.where("up is null or m is not null").select("conv_id", "msg", F.when(moves, F.col("u2")).alias("up"), F.when(moves, F.col("r2")).otherwise(F.col("root")).alias("root"), (F.col("hops") + F.when(moves, F.col("h2")).otherwise(0)).alias("hops"), (F.col("total") + F.when(moves, F.col("t2")).otherwise(0.0)).alias("total")))
+        both = open_rows.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("m")))
+        moved = both.select("conv_id", "msg", F.col("u2").alias("up"), F.col("r2").alias("root"), (F.col("hops") + F.col("h2")).alias("hops"), (F.col("total") + F.col("t2")).alias("total"))
+        step = cut(step.where("up is null").union(moved.select(step.columns)))
         reach *= 2
     return levels, step.where("up is null and root is not null").select("conv_id", "msg", "root", F.col("hops").alias("depth"), "total")
 
