@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, lines, mixing, pii, secrets, substrings, topk, toxicity
+from tessera.llm import chat, decontaminate, lines, mixing, neardup, pii, secrets, substrings, topk, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_personal_data": pii.op10_personal_data,
 }
