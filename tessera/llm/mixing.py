@@ -40,16 +40,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return x.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each row of docs (doc_id, text, source).
-
-    size is the number of words (null text: 0), taken is size times copies. A target of r times its source's size takes
-    every document floor(r) times, and those below the hash threshold once more; the document at the threshold is taken
-    if that brings the sum nearer to the target. Rows with the same doc_id (null too) share a hash and are taken alike.
-    Documents of size 0 are taken 0 words. Other columns of docs are not read; an empty table gives an empty result.
-    """
+def sized(docs: DataFrame) -> DataFrame:
+    """docs with the columns mix_size (words; null text: 0) and mix_hash (hexadecimal digits of a hash of doc_id)."""
     h = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS)
-    slim = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h")))
+    return docs.withColumn("mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("mix_hash", h)
+
+
+def thresholds(slim: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """(s, source_size, target, whole, prefix, closes), a row a source: whole copies of everything and the hash up to which one more is taken."""
+    slim = slim.select("source", F.col("mix_size").alias("size"), F.col("mix_hash").alias("h"))
     targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     at = targets.withColumn("whole", whole.cast("long"))
@@ -65,15 +64,38 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
         step = hist.select("s", "bucket", F.col("left") - F.col("before"), "n").toDF("s", "next", "rest", "n")
         old = at.drop("n").withColumnRenamed("left", "old_left").withColumnRenamed("prefix", "old_prefix")
         at = cut(old.join(step, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", F.coalesce("next", "old_prefix").alias("prefix"), F.coalesce("rest", "old_left").alias("left"), F.coalesce("n", F.lit(0)).alias("n")))
-    at = at.withColumn("closes", F.col("n") - F.col("left") < F.col("left")).withColumnRenamed("source", "s").drop("left", "n")
-    kept = slim.join(at, F.col("source").eqNullSafe(F.col("s")))
-    more = (F.col("h") < F.col("prefix")) | ((F.col("h") == F.col("prefix")) & F.col("closes"))
+    return at.withColumn("closes", F.col("n") - F.col("left") < F.col("left")).withColumnRenamed("source", "s").drop("left", "n")
+
+
+def mixed(docs: DataFrame, at: DataFrame, most: float) -> DataFrame:
+    """sized() rows with source_size, target, copies and taken."""
+    more = (F.col("mix_hash") < F.col("prefix")) | ((F.col("mix_hash") == F.col("prefix")) & F.col("closes"))
     copies = F.col("whole") + F.when(more & (F.col("whole") < F.lit(int(most))), 1).otherwise(0)
-    return kept.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    out = docs.join(at, docs["source"].eqNullSafe(at["s"])).withColumn("copies", copies.cast("long"))
+    return out.withColumn("taken", F.col("mix_size") * F.col("copies")).drop("s", "whole", "prefix", "closes", "mix_hash")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(doc_id, source, mix_size, source_size, target, copies, taken): how often the mix takes each row of docs (doc_id, text, source).
+
+    mix_size is the number of words (null text: 0), taken is mix_size times copies. A target of r times its source's size
+    takes every document floor(r) times, and those below the hash threshold once more; the document at the threshold is
+    taken if that brings the sum nearer to the target. Rows with the same doc_id (null too) share a hash and are taken
+    alike. Documents of size 0 are taken 0 words. Other columns of docs are not read; an empty table gives an empty result.
+    """
+    slim = cut(sized(docs.select("doc_id", "source", "text")).drop("text"))
+    return mixed(slim, thresholds(slim, weights, share, most), most)
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of docs that mix_sources() takes, with all their columns and how often (copies); texts are not shuffled."""
+    slim = cut(sized(docs.select("doc_id", "source", "text")).drop("text"))
+    out = mixed(sized(docs), thresholds(slim, weights, share, most), most)
+    return out.where("copies > 0").select(*docs.columns, "mix_size", "source_size", "target", "copies", "taken")
 
 
 def op9_mix_sources(spark, sf_dir):
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
 
 
 OP9_SQL = r"""
