@@ -2,6 +2,389 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import functions as F
+
+from tessera.config import Request
+from tessera.functions import structured as J
+from tessera.functions import text as X
+from tessera.functions import vector as V
+from tessera.operators import assembly as A
+from tessera.operators import chunks as C
+from tessera.operators import evaluation as E
+from tessera.operators import filters as L
+from tessera.operators import lifecycle as Y
+from tessera.operators import retrieval as R
+from tessera.operators import workflow as W
+from tessera.plans import fixtures as P
+from tessera.plans import sql
+from tessera.sources import importers as I  # noqa: E741
+
 FLAGSHIP = "hybrid_retrieve"
+S, NOW, REQ = P.SETTINGS, P.AS_OF, P.REQUEST
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def chunks(spark, d):
+    return C.chunk_records(P.records(spark, d), S)
+
+
+@query
+def record_projection(spark, d):
+    return P.records(spark, d).select("id", "kind", "scope", "source_type", "content_class", X.blank_to_null(F.col("title")).alias("title"), "user_id", "session_id", "source_key", "source_status", "content_checksum", "token_count_estimate")
+
+
+@query
+def chunk_documents(spark, d):
+    return chunks(spark, d).select("chunk_id", "record_id", "chunk_index", "token_count_estimate", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query
+def lexical_tokens(spark, d):
+    t = X.lexical_tokens(F.col("text"))
+    return P.records(spark, d).select("id", t.alias("t")).select("id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
+
+
+@query
+def stem_tokens(spark, d):
+    x = P.records(spark, d).select(F.explode(X.lexical_tokens(F.col("text"))).alias("token")).distinct()
+    return x.select("token", X.stem(F.col("token")).alias("stem"))
+
+
+@query
+def char_ngrams(spark, d):
+    x = P.records(spark, d).select(F.explode(X.lexical_tokens(F.col("title"))).alias("token")).distinct()
+    return x.select("token", F.array_join(X.char_grams(F.col("token")), " ").alias("grams"))
+
+
+@query
+def semantic_terms(spark, d):
+    x = P.records(spark, d).select("id", X.semantic_terms(F.concat("title", F.lit(" status draft edit"))).alias("t"))
+    return x.select("id", F.size("t").alias("n_terms"), F.array_join("t", " ").alias("terms"))
+
+
+@query
+def hash_embedding(spark, d):
+    v = V.hash_embedding(X.semantic_terms(F.col("text")), S.embedding_dimensions)
+    x = P.records(spark, d).select("id", v.alias("v"))
+    norm = F.aggregate("v", F.lit(0).cast("long"), lambda s, e: s + e["weight"].cast("long") * e["weight"])
+    return x.select("id", F.size("v").alias("nonzero"), norm.alias("norm_sq"), F.md5(F.array_join(F.transform("v", lambda e: F.concat_ws(":", e["bucket"].cast("string"), e["weight"].cast("string"))), ",").cast("binary")).alias("vector_md5"))
+
+
+@query
+def cosine_topk(spark, d):
+    e = P.table(spark, d, "embeddings")
+    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    x = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))  # five queries
+    x = x.select("query_id", "vec_id", F.round(V.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
+    return x.withColumn("rank", F.row_number().over(R.Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where("rank <= 10")
+
+
+@query
+def lexical_overlap(spark, d):
+    q = R.strings(R.analyse(spark, P.QUERY, S).tokens)
+    x = chunks(spark, d).select("chunk_id", F.round(X.overlap(q, X.lexical_tokens(F.col("text"))), 6).alias("lexical_score"))
+    return x.where("lexical_score > 0")
+
+
+@query
+def token_jaccard_pairs(spark, d):
+    """Records beside up to ten newer ones of their kind, scope and owner, with the Jaccard similarity of their title tokens."""
+    per = R.Window.partitionBy("kind", "scope", "owner").orderBy(F.desc("created_at"), "id")
+    x = P.records(spark, d).withColumn("owner", Y.owner()).select("id", "kind", "scope", "owner", "created_at", X.lexical_tokens(F.col("title")).alias("t"))
+    x = x.withColumn("newer", F.collect_list(F.struct("id", "t")).over(per.rowsBetween(-10, -1))).select("id", "t", F.explode("newer").alias("n"))
+    return x.select("id", F.col("n.id").alias("other_id"), F.round(X.jaccard(F.col("t"), F.col("n.t")), 6).alias("jaccard"))
+
+
+@query
+def scope_visibility(spark, d):
+    r = Request("x", session_id="s3", user_id="u1", enforce_policy=False, max_age_days=100_000, source_statuses=("active", "superseded", "deleted"))
+    return L.visible(P.records(spark, d), r, S, NOW).select("id", "scope", "session_id", "user_id")
+
+
+@query
+def policy_filter(spark, d):
+    r = Request("x", session_id="s3", user_id="u3", model_target="hosted", max_age_days=100_000, source_statuses=("active", "superseded", "deleted"))
+    return L.with_reason(P.records(spark, d), r, S, NOW).where("excluded like 'policy%'").select("id", "excluded")
+
+
+@query
+def exclusion_counts(spark, d):
+    return L.excluded_counts(P.records(spark, d), REQ, S, NOW)
+
+
+@query
+def staleness_filter(spark, d):
+    r = P.records(spark, d)
+    return r.select("id", L.horizon_days(S).alias("horizon_days"), (F.col("created_at") < L.days_before(NOW, L.horizon_days(S))).alias("stale"))
+
+
+@query
+def metadata_filters(spark, d):
+    r = Request("x", session_id="s3", user_id="u1", enforce_policy=False, kinds=("research_report", "research_finding", "user_profile_note", "topic_pattern"), source_types=("direct_text",), content_classes=("normalized_memory",), tags=(" EN", "fr"), confidentialities=("shareable", "private"), source_statuses=("active", "superseded"), max_age_days=100)
+    return L.with_reason(P.records(spark, d), r, S, NOW).select("id", F.coalesce("excluded", F.lit("visible")).alias("reason"))
+
+
+@query
+def age_decay(spark, d):
+    return P.records(spark, d).select("id", F.round(R.age_decay(S, NOW), 6).alias("decay"))
+
+
+@query
+def keyword_bonus(spark, d):
+    tokens = R.strings(["the", "is", "src1", "en", "and"])
+    x = P.records(spark, d).withColumn("chunk_index", F.col("doc_id") % 2)
+    return x.select("id", F.round(R.keyword_bonus(tokens), 6).alias("bonus"))
+
+
+@query
+def metadata_bonus(spark, d):
+    r = Request("x", source_keys=("src1:0001", "src2:0002"), tags=("EN",))
+    return P.records(spark, d).select("id", F.round(R.metadata_bonus(r, S), 6).alias("bonus"))
+
+
+@query
+def rerank_scores(spark, d):
+    i = F.col("doc_id")
+    x = P.records(spark, d).withColumn("semantic_score", (i % 8) / 8).withColumn("lexical_score", (i % 5) / 4).withColumn("keyword_bonus", (i % 3) / 32).withColumn("metadata_bonus", F.lit(0.07))
+    return x.select("id", F.round(R.final_score(S, NOW), 6).alias("score"))
+
+
+@query
+def selection_reason(spark, d):
+    i = F.col("doc_id")
+    x = P.records(spark, d).withColumn("semantic_score", (i % 4) / 4).withColumn("lexical_score", (i % 5) / 4).withColumn("keyword_bonus", (i % 2) / 32)
+    return x.select("id", R.selection_reason().alias("reason"))
+
+
+def retrieved(spark, d, request=REQ):
+    r = P.records(spark, d)
+    return R.retrieve(r, C.chunk_records(r, S), request, S, NOW)
+
+
+ITEM = ("chunk_id", "record_id", "kind", "scope", "selection_reason")
+
+
+def rounded(df, *extra):
+    return df.select(*extra, "rank", *ITEM, *(F.round(c, 6).alias(c) for c in ("score", "semantic_score", "lexical_score")))
+
+
+@query
+def hybrid_retrieve(spark, d):
+    return rounded(retrieved(spark, d))
+
+
+@query
+def batch_retrieve(spark, d):
+    r = P.records(spark, d)
+    return rounded(R.retrieve_batch(r, C.chunk_records(r, S), P.cases(spark, d), P.BATCH_REQUEST, S, NOW), "query_id")
+
+
+@query
+def candidate_counts(spark, d):
+    r = P.records(spark, d)
+    return R.candidate_counts(r, C.chunk_records(r, S), REQ, S, NOW)
+
+
+@query
+def query_results(spark, d):
+    return retrieved(spark, d).select("rank", "record_id", "chunk_id", "kind", "scope", "source_type", "content_class", "title", "summary", "source_key", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.round("score", 6).alias("score"), "token_count_estimate")
+
+
+def arrivals(spark, d):
+    i = F.col("doc_id")
+    return P.records(spark, d).withColumn("version_key", F.concat(F.lit("k"), (i % 60).cast("string"))).withColumn("seq", i)
+
+
+@query
+def upsert_versions(spark, d):
+    x = Y.upsert_versions(arrivals(spark, d), "version_key")
+    return x.select("id", "version_key", "scope", "owner", "source_version", "source_status", "previous_id")
+
+
+@query
+def latest_source(spark, d):
+    x = Y.upsert_versions(arrivals(spark, d), "version_key")
+    return Y.latest(x, "version_key").select("id", "version_key", "scope", "owner", "source_version")
+
+
+@query
+def soft_delete(spark, d):
+    x = Y.upsert_versions(arrivals(spark, d), "version_key").withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    t = x.where(F.substring("version_key", -1, 1) == "7").select("version_key", "scope", "owner").distinct().withColumn("deleted_at", F.lit(NOW))
+    return Y.soft_delete(x, t, "version_key").select("id", "version_key", "source_version", "source_status", F.col("deleted_at").isNotNull().alias("has_deleted_at"))
+
+
+@query
+def prune_fifo(spark, d):
+    return Y.prune_marks(P.records(spark, d), S, NOW).select("id", "prune_reason")
+
+
+@query
+def retention_expiry(spark, d):
+    return P.records(spark, d).where(Y.expired(S, NOW)).select("id")
+
+
+@query
+def near_duplicates(spark, d):
+    x = P.records(spark, d).withColumn("seq", F.col("doc_id")).withColumn("lexical_tokens", X.lexical_tokens(F.col("text")))
+    return Y.near_duplicates(x, S)
+
+
+@query
+def stats_grouping_sets(spark, d):
+    return Y.stats(P.records(spark, d))
+
+
+@query
+def list_records(spark, d):
+    return Y.list_records(P.records(spark, d), scope="user", limit=50).select("id", "kind", "total")
+
+
+def assembled(spark, d, mode="research", budget=600):
+    request = Request(P.QUERY, session_id="s3", user_id="u1", limit=20, assembly_mode=mode, token_budget=budget)
+    return A.assemble(A.gather(retrieved(spark, d, request)), F.lit(P.QUERY), mode, F.lit(budget))
+
+
+@query
+def compress_items(spark, d):
+    return assembled(spark, d).select(F.size("items").alias("n_items"), F.size("compressed").alias("n_compressed"), F.transform("compressed", lambda x: x["chunk_id"]).alias("chunk_ids"))
+
+
+@query
+def pack_budget(spark, d):
+    return assembled(spark, d).select("used", "omitted_items", "truncation_reason", F.transform("selected", lambda x: x["chunk_id"]).alias("chunk_ids"))
+
+
+@query
+def assembly_sections(spark, d):
+    out = None
+    for mode in A.SECTIONS:
+        x = P.records(spark, d).select(A.section_of(mode, F.col("kind"), F.col("scope")).alias("section"), "token_count_estimate")
+        x = x.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.lit(1), "token_count_estimate")).alias("tokens")).select(F.lit(mode).alias("mode"), "section", "n", "tokens")
+        out = x if out is None else out.union(x)
+    return out
+
+
+@query
+def render_context(spark, d):
+    return assembled(spark, d).select("context_text", "token_count_estimate", "omitted_items")
+
+
+@query
+def prepare_context(spark, d):
+    x = assembled(spark, d).withColumn("blocks", A.blocks(F.col("sections")))
+    return x.select(F.explode("blocks").alias("b"), A.context_summary(F.col("blocks")).alias("summary")).select("b.name", "b.tokens", "b.text", "summary")
+
+
+@query
+def task_envelope(spark, d):
+    x = assembled(spark, d).withColumn("blocks", A.blocks(F.col("sections")))
+    of = lambda c: F.array_distinct(F.transform("selected", lambda s: s[c]))
+    x = W.intent(x, F.lit(P.QUERY), source_types=of("source_type"), kinds=of("kind"), source_refs=of("source_key"))
+    notes = L.visible(P.records(spark, d), REQ, S, NOW).where(F.col("kind").isin(*W.NOTE_KINDS))
+    x = W.output_contract(x.crossJoin(W.preferences(W.preference_signals(notes))))  # one row each
+    return x.select("workflow_type", "action", "target_type", "goal", "constraints", "output_type", "confidence", "source_refs", "must_include", "must_avoid", W.objective(F.col("workflow_type"), F.col("target_type"), F.col("action"), F.size("blocks") > 0).alias("objective"))
+
+
+@query
+def html_text(spark, d):
+    return P.table(spark, d, "pages").select("page_id", I.html_text(F.col("html")).alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
+
+
+@query
+def structured_fields(spark, d):
+    x = P.table(spark, d, "events").select("event_id", J.extract_fields(F.col("props")).alias("f"))
+    return x.select("event_id", F.explode("f").alias("f")).select("event_id", "f.path", "f.value_text", "f.value_type")
+
+
+@query
+def structured_text(spark, d):
+    f = J.extract_fields(F.col("payload"))
+    x = P.payloads(spark, d).withColumn("f", f)
+    return x.select("o_orderkey", J.structured_text(F.col("f"), J.primary_paths(F.col("f"))).alias("text"))
+
+
+@query
+def relational_records(spark, d):
+    x = P.payloads(spark, d).withColumn("f", J.extract_fields(F.col("payload")))
+    return x.select("o_orderkey", F.explode("f").alias("f")).select("o_orderkey", "f.path", "f.value_text")
+
+
+@query
+def workflow_intent(spark, d):
+    x = P.table(spark, d, "conversations").where("role = 'user'")
+    return W.intent(x, F.col("text")).select("conv_id", "turn", "workflow_type", "action", "target_type", "goal", "output_type", "confidence", F.array_join("constraints", "; ").alias("constraints"))
+
+
+@query
+def preference_signals(spark, d):
+    return W.preferences(W.preference_signals(P.records(spark, d).where(F.col("kind").isin(*W.NOTE_KINDS)), ("scope",))).select("scope", "n", *(f"{s}_hits" for s in W.SIGNALS), *W.PREFERENCES, F.array_join("style_notes", "; ").alias("style_notes"))
+
+
+@query
+def eval_hits(spark, d):
+    """Each benchmark item as a case: expected are documents of two sources and the item's first word."""
+    r = P.records(spark, d)
+    found = R.retrieve_batch(r, C.chunk_records(r, S), P.cases(spark, d), P.BATCH_REQUEST, S, NOW)
+    got = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source_key", "text"))).alias("g"))
+    x = P.cases(spark, d).join(got, "query_id", "left")
+    keys = F.coalesce(F.transform("g", lambda e: e["source_key"]), F.array().cast("array<string>"))
+    x = x.select("query_id", keys.alias("retrieved_keys"), F.array(F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"), F.lit(":x")), F.lit("src3:x")).alias("expected_keys"), F.array(F.element_at(F.split("query_text", " "), 1)).alias("expected_terms"), F.coalesce(F.array_join(F.transform("g", lambda e: e["text"]), "\n"), F.lit("")).alias("term_text"), F.coalesce(F.size("g"), F.lit(0)).alias("retrieval_count"))
+    return E.hits(x).select("query_id", F.greatest(F.col("retrieval_count"), F.lit(0)).alias("retrieval_count"), F.array_join("matched_keys", ",").alias("matched_keys"), F.size("matched_terms").alias("n_terms"), "retrieval_hit", "assembly_hit")
+
+
+@query
+def eval_compare(spark, d):
+    return E.compare(P.eval_run(spark, d, 0), P.eval_run(spark, d, 1))
+
+
+@query
+def eval_gate(spark, d):
+    a, b = P.eval_run(spark, d, 0), P.eval_run(spark, d, 1)
+    x = E.gate(b, E.compare(a, b))
+    return x.select("total_cases", F.round("retrieval_hit_rate", 6).alias("retrieval_hit_rate"), F.round("assembly_hit_rate", 6).alias("assembly_hit_rate"), "retrieval_regressions", "assembly_regressions", "passed", F.size("failures").alias("n_failures"))
+
+
+@query
+def tier_report(spark, d):
+    x = E.tier_report(P.runs(spark, d))
+    return x.select("series", "tier", "runs", *(F.round(c, 6).alias(c) for c in x.columns if "_" in c))
+
+
+@query
+def dataset_profile(spark, d):
+    x = E.dataset_profile(P.records(spark, d))
+    return x.withColumn("avg_chars", F.round("avg_chars", 6))
+
+
+@query
+def variant_split(spark, d):
+    i = F.col("doc_id")
+    x = P.records(spark, d).withColumn("structured_json", F.when(i % 4 == 0, F.to_json(F.struct(i.alias("n")))))
+    with_data = x.where("structured_json is not null").select("id", F.lit("structured").alias("variant"), "structured_json")
+    return with_data.union(x.select("id", F.lit("unstructured").alias("variant"), F.lit(None).cast("string")))
+
+
+@query
+def training_export(spark, d):
+    cols = [F.col(c) for c in ("id", "kind", "scope", "source_type", "content_class", "user_id", "session_id", "source_key", "source_status", "content_checksum", "title", "token_count_estimate")]
+    x = P.records(spark, d).select("id", *(c.cast("string").alias(f"_{i}") for i, c in enumerate(cols)), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), X.lexical_tokens(F.col("text")).alias("t"))
+    return x.select("id", F.concat_ws("|", *(F.coalesce(f"_{i}", F.lit("null")) for i in range(len(cols)))).alias("fields"), "created_at", F.size("t").alias("n_tokens"))
+
+
+@query
+def audit_rows(spark, d):
+    r = P.records(spark, d)
+    seen = L.visible(r, REQ, S, NOW)
+    one = seen.agg(F.count(F.lit(1)).alias("n_visible"), F.md5(F.array_join(F.array_sort(F.collect_list("id")), ",").cast("binary")).alias("visible_md5"))
+    chosen = retrieved(spark, d).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("c"))
+    text = lambda m: "; ".join(f"{k}={','.join(v)}" for k, v in sorted(m.items()))
+    return one.crossJoin(chosen).select(F.lit(P.QUERY).alias("query_text"), F.lit(text(REQ.filters())).alias("applied_filters"), "n_visible", "visible_md5", F.array_join(F.transform("c", lambda x: x["chunk_id"]), ",").alias("selected_chunk_ids"))  # one row each
+
+
+SQL = sql.SQL
