@@ -3,7 +3,8 @@
 Every line is hashed; a rolling hash over the last two line hashes marks a line, and a chunk ends behind a marked line
 that follows an unmarked one. Boundaries thus depend on a few lines of content only and survive shifts. Chunks of two
 lines or more whose hash occurs more than once are compared byte by byte, and all but the first occurrence are removed.
-Only DataFrame functions are used. What is shuffled before the comparison are hashes, not texts.
+Only DataFrame functions are used. What is shuffled before the comparison are hashes; texts are shuffled twice, by
+sort-merge joins at every size, since neither the marks nor the removals have a bound.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def removals(docs: DataFrame) -> DataFrame:
     repeated = occurs.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("owner")).where("times > 1").select(F.col("hash").alias("k"), "owner")
     marks = occurs.join(repeated, F.col("hash") == F.col("k")).withColumn("keeps", place == F.col("owner"))
     marks = cut(marks.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct("first", "n", "hash", "keeps")).alias("marks")))
-    held = rows.join(marks, same_row(rows, marks)).select("marks", split_lines(F.col("text")).alias("lines"))
+    held = rows.join(marks.hint("merge"), same_row(rows, marks)).select("marks", split_lines(F.col("text")).alias("lines"))
     texts = held.select(F.explode(let(F.col("lines"), lambda x: F.transform("marks", lambda m: F.struct(m["hash"].alias("hash"), chunk_text(x, m).alias("text"))))).alias("c")).select("c.*")
     equal = texts.groupBy("hash").agg((F.min("text") == F.max("text")).alias("equal")).where("equal").select(F.col("hash").alias("k"))
     gone = marks.select("d", "t", F.explode("marks").alias("m")).where("not m.keeps").join(equal, F.col("m.hash") == F.col("k"))
@@ -84,7 +85,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     gone, columns = removals(docs.select("doc_id", "text")), docs.columns
     th = F.xxhash64(docs["text"])
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(gone["d"]) & (th == gone["t"]), "left")
+    both = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["d"]) & (th == gone["t"]), "left")
 
     def kept(x: Column) -> Column:
         begins = F.concat(F.array(F.lit(1)), F.transform(gone["drop"], lambda c: c["first"] + c["n"]))
