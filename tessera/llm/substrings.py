@@ -12,6 +12,8 @@ window, and the shards remove what a smaller doc_id holds.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter, defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ LENGTH, ANCHOR = 50, 24
 REACH = LENGTH - ANCHOR  # bytes of context on either side of an anchor
 WIDTH = REACH + 1  # anchors in a window, and windows through an anchor
 NONE = np.iinfo(np.int64).max
+#: Shards for each shuffle partition: what a task holds at once is one of them.
+SHARDS = 3
 
 
 # --- suffix arrays -------------------------------------------------------------------------------------------------
@@ -140,24 +144,29 @@ class Shard:
                 yield i, *anchors(np.frombuffer(text, np.uint8))
 
     def contexts(self, common: np.ndarray, buckets: int):
-        """Different contexts around common anchors: their bytes and merge shards, and for each occurrence context, document, place."""
-        known: dict[tuple[bytes, int], int] = {}
-        buckets_of, context, document, place = [], [], [], []
+        """Different contexts around common anchors: bytes, places of the anchor in them, merge shards; and for each
+        occurrence the context's number, the document and the place."""
+        known: dict = defaultdict(count().__next__)
+        context, bucket, document, place = [], [], [], []
         for i, at, h in self.anchors():
             where = located(h, buckets)
             spot = np.minimum(np.searchsorted(common, where), max(0, len(common) - 1))
-            chosen = np.flatnonzero(common[spot] == where) if len(common) else ()
-            text = self.texts[i]
-            for a, b in zip(at[chosen].tolist(), (where[chosen] >> np.uint64(32)).tolist(), strict=True) if len(chosen) else ():
-                begin = max(0, a - REACH)
-                key = text[begin : a + LENGTH], a - begin
-                c = known.setdefault(key, len(known))
-                if c == len(buckets_of):
-                    buckets_of.append(b)
-                context.append(c)
-                document.append(i)
+            chosen = common[spot] == where if len(common) else np.zeros(len(at), bool)
+            at, where = at[chosen], where[chosen]
+            if len(at):
+                text, begin = self.texts[i], np.maximum(0, at - REACH)
+                cuts = [text[b:e] for b, e in zip(begin.tolist(), (at + LENGTH).tolist(), strict=True)]
+                for k in range(int(np.searchsorted(at, REACH))):
+                    cuts[k] = cuts[k], int(at[k])  # the anchor stands elsewhere than in other contexts
+                context.append(np.fromiter(map(known.__getitem__, cuts), np.int64, len(cuts)))
+                bucket.append((where >> np.uint64(32)).astype(np.int64))
+                document.append(np.full(len(at), i))
                 place.append(begin)
-        return [k[0] for k in known], np.array(buckets_of, np.int64), np.array(context, np.int64), np.array(document, np.int64), np.array(place, np.int64)
+        context, bucket, document, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (context, bucket, document, place))
+        _, first = np.unique(context, return_index=True)
+        texts = [k[0] if isinstance(k, tuple) else k for k in known]
+        inside = np.array([k[1] if isinstance(k, tuple) else REACH for k in known], np.uint8)
+        return texts, inside, bucket[first], context, document, place
 
 
 PACKED = "shard int, blob binary"
@@ -242,59 +251,52 @@ def send_contexts(buckets: int):
         if not len(group) or not len(replies):
             return as_table([], MERGE)
         shard = Shard(group)
-        texts, bucket, context, document, _ = shard.contexts(common_of(replies.to_pylist()), buckets)
+        texts, inside, bucket, context, document, _ = shard.contexts(common_of(replies.to_pylist()), buckets)
         ids = np.array([i if i is not None else NONE for i in shard.ids], np.int64)
         low, high = np.full(len(texts), NONE), np.full(len(texts), np.iinfo(np.int64).min)
         np.minimum.at(low, context, ids[document])
         np.maximum.at(high, context, ids[document])
-        by, out = np.argsort(bucket, kind="stable"), []
+        by, out, press = np.argsort(bucket, kind="stable"), [], zstandard.ZstdCompressor(level=1)
         for b, s, e in slices(bucket[by]):
             mine = by[s:e]
-            # number, smallest doc_id, whether another document here holds it too, bytes
-            out.append((b, group.column("shard")[0].as_py(), blob(mine, np.uint32), blob(low[mine], np.int64), blob(low[mine] < high[mine], np.uint8), pack_bytes([texts[i] for i in mine.tolist()])))
+            # number, smallest doc_id, whether another document here holds it too, anchors' places and bytes
+            out.append((b, group.column("shard")[0].as_py(), blob(mine, np.uint32), blob(low[mine], np.int64), blob(low[mine] < high[mine], np.uint8), press.compress(pack_bytes([texts[i] for i in mine.tolist()], inside[mine]))))
         return as_table(out, MERGE)
 
     return send
 
 
-def pack_bytes(texts: list[bytes]) -> bytes:
-    return blob([len(t) for t in texts], np.uint8) + b"".join(texts)
+def pack_bytes(texts: list[bytes], inside: np.ndarray) -> bytes:
+    return blob(inside, np.uint8) + blob([len(t) for t in texts], np.uint8) + b"".join(texts)
 
 
 def merge_contexts(group: pa.Table) -> pa.Table:
-    """For every window of every context the smallest doc_id that holds it, sent to the shards as runs of windows."""
-    rows = group.to_pylist()
+    """For every window of every context the smallest doc_id that holds it, sent to the shards as runs of windows.
+
+    Equal windows stand in contexts with the same anchor. Where all contexts of an anchor are one and the same, their
+    windows are too; the others go into the suffix array."""
+    rows, opened = group.to_pylist(), zstandard.ZstdDecompressor()
     number, low, more = (np.concatenate([np.frombuffer(r[c], k) for r in rows]) for c, k in zip("abc", (np.uint32, np.int64, np.uint8), strict=True))
     counts = np.array([len(r["a"]) // 4 for r in rows])
     origin = np.repeat([r["shard"] for r in rows], counts)
-    known: dict[bytes, int] = {}
-    which = []
+    known: dict[tuple[bytes, int], int] = defaultdict(count().__next__)
+    which: list[int] = []
     for r, n in zip(rows, counts.tolist(), strict=True):
-        at = n
-        for size in r["d"][:n]:
-            which.append(known.setdefault(r["d"][at : at + size], len(known)))
+        data, at = opened.decompress(r["d"]), 2 * n
+        for place, size in zip(data[:n], data[n : 2 * n], strict=True):
+            which.append(known[data[at : at + size], place])
             at += size
-    context, texts = np.array(which, np.int64), list(known)
+    context, texts, anchor = np.array(which, np.int64), [t for t, _ in known], [t[p : p + ANCHOR] for t, p in known]
     sizes = np.array([len(t) for t in texts], np.int64)
     smallest, holders = np.full(len(texts), NONE), np.bincount(context, 1 + more, len(texts))
     np.minimum.at(smallest, context, low)
-    text = np.frombuffer(b"".join(texts), np.uint8)
-    begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    order = suffix_array(text)
-    shared = common_prefixes(text, order, begins, begins + sizes, LENGTH)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    offset = np.arange(len(text)) - begins[owner]
-    whole = offset + LENGTH <= sizes[owner]  # windows that end inside their context
-    valid = np.flatnonzero(whole[order])
-    least = np.minimum.reduceat(shared, np.concatenate(([0], valid[:-1] + 1)))[: len(valid)]  # over what stands between
-    first = np.ones(len(valid), bool)
-    first[1:] = least[1:] < LENGTH
-    heads, of = np.flatnonzero(first), np.cumsum(first) - 1
-    place = order[valid]
-    best = np.minimum.reduceat(smallest[owner[place]], heads)
-    held = np.add.reduceat(holders[owner[place]], heads)
-    grid, shown = np.full((len(texts), WIDTH), NONE), np.zeros((len(texts), WIDTH), bool)
-    grid[owner[place], offset[place]], shown[owner[place], offset[place]] = best[of], (held > 1)[of]
+    grid = np.where(np.arange(WIDTH) + LENGTH <= sizes[:, None], smallest[:, None], NONE)
+    shown = (grid < NONE) & (holders > 1)[:, None]
+    times = Counter(anchor)
+    several = np.flatnonzero(np.array([times[a] > 1 for a in anchor]))
+    if len(several):
+        best, held = merged_windows([texts[c] for c in several.tolist()], smallest[several], holders[several])
+        grid[several], shown[several] = best, held > 1
     flat, on = grid.ravel(), shown.ravel()
     edge = np.ones(len(flat), bool)
     edge[1:] = (flat[1:] != flat[:-1]) | (on[1:] != on[:-1])
@@ -315,6 +317,29 @@ def merge_contexts(group: pa.Table) -> pa.Table:
     return as_table(out, REPLY)
 
 
+def merged_windows(texts: list[bytes], smallest: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows of each text the smallest doc_id of the texts that hold them, and their holders; by a suffix array."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    text = np.frombuffer(b"".join(texts), np.uint8)
+    begins = np.cumsum(sizes) - sizes
+    order = suffix_array(text)
+    shared = common_prefixes(text, order, begins, begins + sizes, LENGTH)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    offset = np.arange(len(text)) - begins[owner]
+    whole = offset + LENGTH <= sizes[owner]  # windows that end inside their context
+    valid = np.flatnonzero(whole[order])
+    least = np.minimum.reduceat(shared[: valid[-1] + 1], np.concatenate(([0], valid[:-1] + 1)))  # over what stands between
+    first = np.ones(len(valid), bool)
+    first[1:] = least[1:] < LENGTH
+    heads, of = np.flatnonzero(first), np.cumsum(first) - 1
+    place = order[valid]
+    best = np.minimum.reduceat(smallest[owner[place]], heads)
+    held = np.add.reduceat(holders[owner[place]], heads)
+    grid, seen = np.full((len(texts), WIDTH), NONE), np.zeros((len(texts), WIDTH), np.int64)
+    grid[owner[place], offset[place]], seen[owner[place], offset[place]] = best[of], held[of]
+    return grid, seen
+
+
 def remove_windows(buckets: int, with_text: bool):
     def remove(group: pa.Table, replies: pa.Table) -> pa.Table:
         schema = REMOVED + ", kept binary" * with_text
@@ -325,7 +350,7 @@ def remove_windows(buckets: int, with_text: bool):
         base = np.concatenate(([0], np.cumsum(sizes)))
         edge = np.zeros(base[-1] + 1, np.int32)
         if any(r["kind"] == 1 for r in answers):
-            texts, _, context, document, place = shard.contexts(common_of(answers), buckets)
+            texts, _, _, context, document, place = shard.contexts(common_of(answers), buckets)
             ids = np.array([i if i is not None else -NONE for i in shard.ids], np.int64)
             by = np.argsort(context, kind="stable")
             per = np.searchsorted(context[by], np.arange(len(texts) + 1))
@@ -362,7 +387,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     without a doc_id keep all their bytes and take none from others. Other columns are not read; an empty table gives an
     empty result. Shards hold a part of the data each, in number as the session's shuffle partitions.
     """
-    parts = shards(docs.sparkSession)
+    parts = SHARDS * shards(docs.sparkSession)
     packed = lambda: pack_shards(docs, parts).groupBy("shard")
     common = cut(packed().applyInArrow(send_anchors(parts), MERGE).groupBy("bucket").applyInArrow(merge_anchors, REPLY))
     sent = packed().cogroup(common.groupBy("shard")).applyInArrow(send_contexts(parts), MERGE)

@@ -66,3 +66,9 @@ def test_removed_bytes_equal_brute_force(spark, seed):
 
 def test_empty_table(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_last_window_of_a_suffix_array_joins_its_group():
+    texts = [b"q" * 3 + bytes(range(65, 115)), bytes(range(65, 115)) + b"r", b"zzzz" * 15]
+    best, held = substrings.merged_windows(texts, np.array([5, 7, 1]), np.array([1, 1, 1]))
+    assert best[0, 3] == best[1, 0] == 5 and held[0, 3] == 2 and held[0, 0] == 1
