@@ -28,7 +28,7 @@ REACH = LENGTH - ANCHOR  # bytes of context on either side of an anchor
 WIDTH = REACH + 1  # anchors in a window, and windows through an anchor
 NONE = np.iinfo(np.int64).max
 #: Shards for each shuffle partition: what a task holds at once is one of them.
-SHARDS = 3
+SHARDS = 2
 
 
 # --- suffix arrays -------------------------------------------------------------------------------------------------
