@@ -65,34 +65,36 @@ def prune(records: DataFrame, chunks: DataFrame, settings: Settings, as_of: date
     return marked.where("prune_reason is null").drop("prune_reason"), chunks.join(gone, "record_id", "left_anti"), chunks.join(gone, "record_id", "left_semi").select("chunk_id")
 
 
-#: Kinds that are stored even if they repeat an earlier record.
+#: Kinds that are stored even if they repeat an earlier record, and the columns that the fold over arrivals needs.
 KEPT_KINDS = ("training_example", "decision_outcome")
+FOLD = ("id", "seq", "kind", "scope", "session_id", "user_id", "lexical_tokens")
 
 
 def near_duplicates(arrivals: DataFrame, settings: Settings) -> DataFrame:
     """(id, rejected) for arrivals (id, seq, kind, scope, session_id, user_id, lexical_tokens), in the order of seq.
 
-    An arrival is rejected if its tokens are as similar as the threshold to one of the last accepted of its kind, scope
+    Rows with a true column stored are history, never rejected. An arrival is rejected if its tokens are as similar as the threshold to one of the last accepted of its kind, scope
     and owner. What is accepted depends on what was before, so a group is a fold; it holds a fixed number of token sets."""
     threshold, lookback = settings.dedup_threshold, max(1, settings.dedup_lookback)
 
-    def fold(key, pdfs):
-        recent: list[set[str]] = []
-        for pdf in pdfs:
+    def fold(batches):
+        group, recent = None, []
+        for pdf in batches:
             out = []
-            for kind, tokens in zip(pdf["kind"], pdf["lexical_tokens"], strict=True):
+            for kind, scope, whose, tokens, stored in zip(pdf["kind"], pdf["scope"], pdf["owner"], pdf["lexical_tokens"], pdf["stored"], strict=True):
+                if group != (kind, scope, whose):
+                    group, recent = (kind, scope, whose), []
                 mine = set(tokens)
-                near = kind not in KEPT_KINDS and any(mine and r and len(mine & r) / len(mine | r) >= threshold for r in recent)
+                near = not stored and kind not in KEPT_KINDS and any(mine and r and len(mine & r) / len(mine | r) >= threshold for r in recent)
                 out.append(near)
                 if not near:
                     recent = [*recent[-(lookback - 1) :], mine] if lookback > 1 else [mine]
             yield pd.DataFrame({"id": pdf["id"], "rejected": out})
 
-    def whole(key, pdf):
-        return pd.concat(list(fold(key, [pdf.sort_values("seq")])))
-
-    x = arrivals.withColumn("owner", owner()).select("id", "seq", "kind", "scope", "owner", "lexical_tokens")
-    return x.groupBy("kind", "scope", "owner").applyInPandas(whole, "id string, rejected boolean")
+    stored = F.col("stored") if "stored" in arrivals.columns else F.lit(False)
+    x = arrivals.withColumn("owner", owner()).select("id", "seq", "kind", "scope", "owner", "lexical_tokens", stored.alias("stored"))
+    dealt = x.repartition("kind", "scope", "owner").sortWithinPartitions("kind", "scope", "owner", "seq")
+    return dealt.mapInPandas(fold, "id string, rejected boolean")
 
 
 def stats(records: DataFrame) -> DataFrame:
