@@ -134,6 +134,19 @@ def match_shard(texts: list[bytes], windows: Windows, before: list[tuple]) -> li
     return out
 
 
+def blocks_of(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """Items with a text, and in how many blocks of about BLOCK_BYTES they are read."""
+    item = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
+    items = benchmark.select(item.alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    return items, max(1, -(-total // BLOCK_BYTES))
+
+
+def windows_of(items: DataFrame, blocks: int, block: int) -> Windows:
+    rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # BLOCK_BYTES at most, about
+    return Windows([(r["item_id"], bytes(r["text"])) for r in rows])
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text, n_words, runs, items, longest) for each row of docs (doc_id, text): what of benchmark (item_id, text) it holds.
 
@@ -143,15 +156,11 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words; an item without words has no window; items with equal ids count as one, and a null id reads as ''. Repeated
     rows give a row each; other columns aren't read. With an empty benchmark nothing is hit.
     """
-    item = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
-    items = benchmark.select(item.alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
+    items, blocks = blocks_of(benchmark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.selectExpr("doc_id", "cast(text as binary) as text")
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        windows = Windows([(r["item_id"], bytes(r["text"])) for r in rows])
+        windows = windows_of(items, blocks, block)
 
         def search(batches, windows=windows, first=not block):
             def shard(ids, texts, before):
@@ -180,11 +189,29 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of the benchmark; rows without a doc_id are kept or go by their text alone.
+    """The rows of docs, with all their columns, whose text holds no window of the benchmark. Each row is judged by its own
+    text, in the pass that reads it: nothing is shuffled. Null and empty texts are kept."""
+    items, blocks = blocks_of(benchmark)
+    at = docs.columns.index("text")
+    for block in range(blocks):
+        windows = windows_of(items, blocks, block)
 
-    Rows that share a doc_id go together if one of them is affected."""
-    bad = find_passages(docs.select("doc_id", "text"), benchmark).where("size(runs) > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+        def keep(batches, windows=windows):
+            for batch in batches:
+                texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
+                clean, start = [], 0
+                while start < len(texts):
+                    stop, size = start, 0
+                    while stop < len(texts) and (stop == start or size < SHARD_WORDS):
+                        size += len(texts[stop]) // 4 + 1
+                        stop += 1
+                    part = texts[start:stop]
+                    clean += [not hit for _, hit, _, _ in match_shard(part, windows, [([], [], 0)] * len(part))]
+                    start = stop
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
 
 
 def op3_decontaminate(spark, sf_dir):

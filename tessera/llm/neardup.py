@@ -296,7 +296,7 @@ def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int
     members, and each pair of blocks is one group, so that no task holds more than two blocks."""
     blocks = clusters.groupBy("component").count().select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     member = clusters.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    with_text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).join(member, F.col("doc_id") == F.col("id"))
+    with_text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).join(member.hint("merge"), F.col("doc_id") == F.col("id"))
 
     def sets(batches):
         for batch in batches:
@@ -344,7 +344,7 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     rows without a doc_id."""
     found = near_duplicates(docs.select("doc_id", "text"), size, percent)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def op8_near_duplicates(spark, sf_dir):
