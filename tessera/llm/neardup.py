@@ -22,7 +22,9 @@ GROUPS = 16
 #: Buckets of shingle hashes whose counts order shingles by rarity: a fixed size, whatever the number of documents.
 RARITY_BITS, CHUNKS = 18, 16
 #: Members of a block that is verified at once, points in a node of an R-tree.
-BLOCK, NODE = 2048, 32
+BLOCK, NODE = 8192, 32
+#: Shingles up to which a pair of blocks is indexed; beyond, its sets are intersected pair by pair, without copies.
+INDEXED = 1 << 21
 FULL = 255  # a coordinate that stands for any count from here on
 
 _SPACE = np.zeros(256, bool)
@@ -260,19 +262,29 @@ def candidates(percent: int):
 # --- verification --------------------------------------------------------------------------------------------------
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    a, b = (a, b) if len(a) < len(b) else (b, a)
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
 def verify(percent: int):
     def check(group: pa.Table) -> pa.Table:
         """Links between members of one pair of blocks, as many as connect what links; each pair once, on whole sets."""
-        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("doc_id", "found", "side")), strict=True))
-        docs, side = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows])
-        sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-        sizes, points = np.array([len(s) for s in sets], np.int64), np.stack([group_counts(s) for s in sets])
-        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        by = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[by], owner[by]
-        forest, out, both = Forest(len(rows)), [], side.max() > 0
-        for i in range(len(rows)):
-            other = np.flatnonzero(side != side[i]) if both else np.arange(i + 1, len(rows))
+        docs, side = group.column("doc_id").to_numpy(), group.column("side").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in group.column("found").chunks for x in chunk]  # views
+        order = sorted(range(len(sets)), key=lambda i: (docs[i], len(sets[i])))
+        docs, side, sets = docs[order], side[order], [sets[i] for i in order]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        points = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets])
+        indexed = sizes.sum() <= INDEXED
+        if indexed:
+            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+            by = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[by], owner[by]
+        forest, out, both = Forest(len(sets)), [], side.max() > 0
+        for i in range(len(sets)):
+            other = np.flatnonzero(side != side[i]) if both else np.arange(i + 1, len(sets))
             if both and side[i] or not len(other):
                 continue
             other = other[forest.roots(other) != forest.roots(np.array([i]))[0]]
@@ -280,9 +292,12 @@ def verify(percent: int):
             other = other[may_link(np.broadcast_to(points[i], (len(other), GROUPS)), points[other], (s, s), (o, o), percent)]
             if not len(other):
                 continue
-            lo, hi = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
-            n = hi - lo
-            overlap = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(rows))[other]
+            if indexed:
+                lo, hi = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
+                n = hi - lo
+                overlap = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))[other]
+            else:
+                overlap = np.array([common(sets[i], sets[j]) for j in other.tolist()])
             linked = other[enough(overlap, sizes[i] + sizes[other], percent)]
             here = np.full(len(linked), i)
             out += [(int(docs[i]), int(docs[linked[k]])) for k in forest.join(here, linked) if docs[i] != docs[linked[k]]]

@@ -58,9 +58,10 @@ def corpus(seed, n=60):
     return docs + [(5001, None), (5002, ""), (5003, " \n"), (5004, "one"), (5005, "ONE "), (5006, "one two"), (None, docs[0][1]), (0, docs[0][1]), (5007, "x y z w v " * 9000), (5008, "x y z w v " * 8000)]
 
 
-@pytest.mark.parametrize(("seed", "size", "percent", "block"), [(1, 4, 85, 2048), (2, 5, 80, 7), (3, 4, 85, 16)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, size, percent, block):
+@pytest.mark.parametrize(("seed", "size", "percent", "block", "indexed"), [(1, 4, 85, 2048, 1 << 21), (2, 5, 80, 7, 1 << 21), (3, 4, 85, 16, 100)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, size, percent, block, indexed):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "INDEXED", indexed)
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, b"") for i, t in docs], "doc_id long, text string, n int, prefix binary")
     got = neardup.near_duplicates(df, size, percent).collect()
