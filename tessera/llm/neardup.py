@@ -1,7 +1,8 @@
 """Near-duplicate join: documents whose sets of word shingles overlap, by count vectors in R-trees.
 
-The shingles of a set are hashed into GROUPS groups; the counts by group are a point, and the sum of the smaller
-coordinates of two points bounds the overlap of their sets. Points meet by their rarest shingles (two sets that link
+The shingles of a set are hashed into groups, the more the larger the set; the counts by group are a point, and the sum
+of the smaller coordinates of two points bounds the overlap of their sets (the finer point is folded to the groups of
+the coarser). Points meet by their rarest shingles (two sets that link
 share one of those), an R-tree over the points of a shingle finds the pairs whose bound suffices, and what survives is
 verified on whole sets. Documents with equal sets are one class and travel as one; of the pairs that survive only
 enough to connect them are kept, so that a group of copies never becomes all its pairs.
@@ -18,13 +19,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import components, cut, mix, runs, shards, span_hashes, table
 
-GROUPS = 16
+#: Groups of a set at least, shingles a group at most (on average), and how often groups are doubled to stay below.
+#: With more shingles a group, unlike sets have such even counts that the bound no longer parts them.
+GROUPS, PER, LEVELS = 16, 32, 6
+LIMITS = np.array([PER * GROUPS << k for k in range(LEVELS - 1)], np.int64)
 #: Buckets of shingle hashes whose counts order shingles by rarity: a fixed size, whatever the number of documents.
 RARITY_BITS, CHUNKS = 18, 16
-#: Members of a block that is verified at once, points in a node of an R-tree.
-BLOCK, NODE = 8192, 32
-#: Shingles up to which a pair of blocks is indexed; beyond, its sets are intersected pair by pair, without copies.
-INDEXED = 1 << 21
+#: Members and shingles of a block that is verified at once, points in a node of an R-tree, coordinates compared at once.
+BLOCK, BLOCK_SHINGLES, NODE, AT_ONCE = 8192, 1 << 20, 32, 1 << 22
 FULL = 255  # a coordinate that stands for any count from here on
 
 _SPACE = np.zeros(256, bool)
@@ -47,8 +49,19 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     return np.unique(h)
 
 
+def levels(sizes: np.ndarray) -> np.ndarray:
+    """How often the groups of sets of these sizes are doubled."""
+    return np.searchsorted(LIMITS, sizes)
+
+
 def group_counts(found: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8)
+    groups = GROUPS << int(levels(np.array([len(found)]))[0])
+    return np.minimum(np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups), FULL).astype(np.uint8)
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points of more groups as points of fewer: groups that share their low bits are added up."""
+    return np.minimum(points.reshape(len(points), -1, groups).sum(1, dtype=np.int64), FULL).astype(np.uint8)
 
 
 def rarity(found: np.ndarray) -> np.ndarray:
@@ -151,13 +164,11 @@ class Forest:
         return kept
 
 
-def widened(points: np.ndarray) -> np.ndarray:
-    return np.where(points == FULL, 1 << 30, points.astype(np.int64))
-
-
 def may_link(a_hi: np.ndarray, b_hi: np.ndarray, a_n: tuple, b_n: tuple, percent: int) -> np.ndarray:
     """Whether anything in boxes with these upper corners and ranges (low, high) of sizes could link."""
-    overlap = np.minimum(np.minimum(widened(a_hi), widened(b_hi)).sum(1), np.minimum(a_n[1], b_n[1]))
+    least = np.minimum(a_hi, b_hi)
+    overlap = least.sum(1, dtype=np.int64) + (least == FULL).any(1) * (1 << 40)
+    overlap = np.minimum(overlap, np.minimum(a_n[1], b_n[1]))
     sizes = (a_n[1] * 100 >= percent * b_n[0]) & (b_n[1] * 100 >= percent * a_n[0])
     return sizes & enough(overlap, a_n[0] + b_n[0], percent)
 
@@ -168,7 +179,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, percent: int, forest: Fore
     The tree is packed bottom up from points in the order of size and coordinates. Neighbours in that order are tried
     first; node pairs whose members are connected already are not opened.
     """
-    order = np.lexsort((*points.T[::-1], sizes))
+    order = np.lexsort((*points[:, :GROUPS].T[::-1], sizes))
     points, sizes, ids = points[order], sizes[order], ids[order]
     near = np.flatnonzero(may_link(points[:-1], points[1:], (sizes[:-1],) * 2, (sizes[1:],) * 2, percent))
     for i in forest.join(ids[near], ids[near + 1]):
@@ -186,8 +197,9 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, percent: int, forest: Fore
         at = np.arange(0, len(ids), span)
         low_root, high_root = np.minimum.reduceat(root, at), np.maximum.reduceat(root, at)
         keep_a, keep_b = [], []
-        for part in range(0, len(a), 4096):  # node pairs are opened in bounded portions
-            x, y = (np.repeat(v[part : part + 4096], NODE * NODE) * NODE for v in (a, b))
+        portion = max(1, AT_ONCE // (NODE * NODE * points.shape[1]))
+        for part in range(0, len(a), portion):  # node pairs are opened in bounded portions
+            x, y = (np.repeat(v[part : part + portion], NODE * NODE) * NODE for v in (a, b))
             x, y = x + np.tile(np.repeat(np.arange(NODE), NODE), len(x) // NODE**2), y + np.tile(np.arange(NODE), len(y) // NODE)
             ok = (x <= y if level else x < y) & (x < len(hi)) & (y < len(hi))
             x, y = x[ok], y[ok]
@@ -207,7 +219,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, percent: int, forest: Fore
 
 # --- candidates ----------------------------------------------------------------------------------------------------
 
-SENT = "bucket int, docs binary, sizes binary, points binary, tokens binary"
+SENT = "bucket int, docs binary, sizes binary, points binary, owners binary, tokens binary"
 LINKS = "a long, b long"
 
 
@@ -220,12 +232,15 @@ def send_prefixes(buckets: int):
             of = np.repeat(np.arange(len(docs)), counts)
             bucket = (every % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            bucket, of, every = bucket[by], of[by], every[by]
-            docs, sizes, points = np.array(docs, np.int64), np.array(sizes, np.int32), np.frombuffer(b"".join(points), np.uint8).reshape(-1, GROUPS)
+            bucket, of, low = bucket[by], of[by], (every[by] >> np.uint64(32)).astype(np.uint32)
+            docs, sizes, rows = np.array(docs, np.int64), np.array(sizes, np.int32), []
             edge = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
-            rows = [(int(bucket[s]), *(x.tobytes() for x in (docs[of[s:e]], sizes[of[s:e]], points[of[s:e]], (every[s:e] >> np.uint64(32)).astype(np.uint32)))) for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            kinds = (pa.int32(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["bucket", "docs", "sizes", "points", "tokens"])
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                new = np.concatenate(([True], of[s + 1 : e] != of[s : e - 1]))  # a document's point goes once to a bucket
+                sent = of[s:e][new]
+                rows.append((int(bucket[s]), docs[sent].tobytes(), sizes[sent].tobytes(), b"".join(points[d] for d in sent.tolist()), blob(np.cumsum(new) - 1, np.uint32), low[s:e].tobytes()))
+            kinds = (pa.int32(), *[pa.binary()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], ["bucket", "docs", "sizes", "points", "owners", "tokens"])
 
     return send
 
@@ -234,26 +249,64 @@ def link_table(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+class Points:
+    """Points of several levels, by level: of each level its own and those of larger sets, folded, that may link with them."""
+
+    def __init__(self, sizes: np.ndarray, flat: np.ndarray, percent: int):
+        self.level, self.row, self.matrix = levels(sizes), {}, {}
+        begins = np.cumsum(GROUPS << self.level) - (GROUPS << self.level)
+        for level in np.unique(self.level).tolist():
+            groups, parts, row = GROUPS << level, [], np.full(len(sizes), -1)
+            near = self.level == level
+            if level < LEVELS - 1:
+                near |= (self.level > level) & (sizes * percent <= 100 * LIMITS[level])
+            for other in np.unique(self.level[near]).tolist():
+                at = np.flatnonzero(near & (self.level == other))
+                row[at] = sum(map(len, parts)) + np.arange(len(at))
+                parts.append(folded(flat[begins[at][:, None] + np.arange(GROUPS << other)], groups))
+            self.row[level], self.matrix[level] = row, np.concatenate(parts)
+
+    def by_level(self, lowest: np.ndarray, *sides: np.ndarray):
+        """(level, places) of those whose lowest level is the same and that have a point of it on all sides."""
+        for level in np.unique(lowest).tolist():
+            at = np.flatnonzero((lowest == level) & np.all([self.row[level][x] >= 0 for x in sides], 0))
+            if len(at):
+                yield level, at
+
+    def at(self, level: int, x: np.ndarray) -> np.ndarray:
+        return self.matrix[level][self.row[level][x]]
+
+
 def candidates(percent: int):
     def find(group: pa.Table) -> pa.Table:
-        docs, sizes, points, tokens = (np.concatenate([np.frombuffer(x, k) for x in group.column(c).to_pylist()]) for c, k in (("docs", np.int64), ("sizes", np.int32), ("points", np.uint8), ("tokens", np.uint32)))
-        points, order = points.reshape(-1, GROUPS), np.argsort(tokens, kind="stable")
-        tokens = tokens[order]
+        docs, sizes, flat, owners, tokens = (np.concatenate([np.frombuffer(x, k) for x in group.column(c).to_pylist()]) for c, k in (("docs", np.int64), ("sizes", np.int32), ("points", np.uint8), ("owners", np.uint32), ("tokens", np.uint32)))
+        sent, held = ([len(x) // n for x in group.column(c).to_pylist()] for c, n in (("docs", 8), ("owners", 4)))
+        owners = owners.astype(np.int64) + np.repeat(np.cumsum(sent) - sent, held)
+        order, sizes = np.argsort(tokens, kind="stable"), sizes.astype(np.int64)
+        tokens, owners = tokens[order], owners[order]
         edge = np.concatenate(([0], np.flatnonzero(np.diff(tokens)) + 1, [len(tokens)]))
         names, ids = np.unique(docs, return_inverse=True)
-        forest, out = Forest(len(names)), []
+        forest, out, points = Forest(len(names)), [], Points(sizes, flat, percent)
         size = np.diff(edge)
         for many in range(2, 9):  # small groups: all their pairs at once, group size by group size
             at = edge[:-1][size == many]
             for i in range(many):
                 for j in range(i + 1, many):
-                    a, b = order[at + i], order[at + j]
-                    sa, sb = sizes[a].astype(np.int64), sizes[b].astype(np.int64)
-                    ok = np.flatnonzero((ids[a] != ids[b]) & may_link(points[a], points[b], (sa, sa), (sb, sb), percent))
-                    out += [(int(docs[a[k]]), int(docs[b[k]])) for k in ok[forest.join(ids[a[ok]], ids[b[ok]])]]
+                    a, b = owners[at + i], owners[at + j]
+                    new = forest.roots(ids[a]) != forest.roots(ids[b])
+                    a, b = a[new], b[new]
+                    for level, k in points.by_level(np.minimum(points.level[a], points.level[b]), a, b):
+                        for k in np.array_split(k, 1 + len(k) * (GROUPS << level) // AT_ONCE):
+                            x, y = a[k], b[k]
+                            ok = may_link(points.at(level, x), points.at(level, y), (sizes[x],) * 2, (sizes[y],) * 2, percent)
+                            x, y = x[ok], y[ok]
+                            out += [(int(docs[x[n]]), int(docs[y[n]])) for n in forest.join(ids[x], ids[y])]
         for s, e in zip(edge[:-1][size > 8].tolist(), edge[1:][size > 8].tolist(), strict=True):
-            rows = order[s:e]
-            out += [(int(docs[rows[x]]), int(docs[rows[y]])) for x, y in tree_pairs(points[rows], sizes[rows].astype(np.int64), percent, forest, ids[rows])]
+            every = owners[s:e]
+            for level in np.unique(points.level[every]).tolist():
+                rows = every[points.row[level][every] >= 0]
+                if len(rows) > 1:
+                    out += [(int(docs[rows[x]]), int(docs[rows[y]])) for x, y in tree_pairs(points.at(level, rows), sizes[rows], percent, forest, ids[rows])]
         return link_table(out)
 
     return find
@@ -262,42 +315,44 @@ def candidates(percent: int):
 # --- verification --------------------------------------------------------------------------------------------------
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many elements two sorted sets share."""
-    a, b = (a, b) if len(a) < len(b) else (b, a)
-    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-
-
 def verify(percent: int):
     def check(group: pa.Table) -> pa.Table:
-        """Links between members of one pair of blocks, as many as connect what links; each pair once, on whole sets."""
+        """Links between members of one pair of blocks, as many as connect what links; each pair once, on whole sets.
+
+        Overlaps are counted a member at a time: shingles that a quarter of the members hold as a product of matrices,
+        the others along their lists of holders."""
         docs, side = group.column("doc_id").to_numpy(), group.column("side").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in group.column("found").chunks for x in chunk]  # views
         order = sorted(range(len(sets)), key=lambda i: (docs[i], len(sets[i])))
         docs, side, sets = docs[order], side[order], [sets[i] for i in order]
         sizes = np.array([len(s) for s in sets], np.int64)
-        points = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets])
-        indexed = sizes.sum() <= INDEXED
-        if indexed:
-            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-            by = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[by], owner[by]
-        forest, out, both = Forest(len(sets)), [], side.max() > 0
+        begins = np.cumsum(sizes) - sizes
+        _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+        often = np.flatnonzero(times * 4 > len(sets))
+        column = np.full(len(times), -1)
+        column[often] = np.arange(len(often))
+        usual = column[token] >= 0
+        holds = np.zeros((len(sets), len(often)), np.float32)
+        holds[owner[usual], column[token[usual]]] = 1
+        holders, ends = owner[np.argsort(token, kind="stable")], np.cumsum(times)
+        forest, out, both, tile, product = Forest(len(sets)), [], side.max() > 0, -1, None
         for i in range(len(sets)):
             other = np.flatnonzero(side != side[i]) if both else np.arange(i + 1, len(sets))
             if both and side[i] or not len(other):
                 continue
+            other = other[(sizes[i] * 100 >= percent * sizes[other]) & (sizes[other] * 100 >= percent * sizes[i])]
             other = other[forest.roots(other) != forest.roots(np.array([i]))[0]]
-            s, o = np.full(len(other), sizes[i]), sizes[other]
-            other = other[may_link(np.broadcast_to(points[i], (len(other), GROUPS)), points[other], (s, s), (o, o), percent)]
             if not len(other):
                 continue
-            if indexed:
-                lo, hi = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
-                n = hi - lo
-                overlap = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))[other]
-            else:
-                overlap = np.array([common(sets[i], sets[j]) for j in other.tolist()])
+            if i // 64 != tile:
+                tile = i // 64
+                product = holds[tile * 64 : tile * 64 + 64] @ holds.T
+            rare = token[begins[i] : begins[i] + sizes[i]]
+            rare = rare[(column[rare] < 0) & (times[rare] > 1)]
+            n = times[rare]
+            listed = holders[np.repeat(ends[rare] - np.cumsum(n), n) + np.arange(n.sum())]
+            overlap = product[i - tile * 64][other].astype(np.int64) + np.bincount(listed, minlength=len(sets))[other]
             linked = other[enough(overlap, sizes[i] + sizes[other], percent)]
             here = np.full(len(linked), i)
             out += [(int(docs[i]), int(docs[linked[k]])) for k in forest.join(here, linked) if docs[i] != docs[linked[k]]]
@@ -307,9 +362,10 @@ def verify(percent: int):
 
 
 def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between the documents of each cluster (id, component): clusters are cut into blocks of about BLOCK
-    members, and each pair of blocks is one group, so that no task holds more than two blocks."""
-    blocks = clusters.groupBy("component").count().select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    """Links (a, b) between the documents of each cluster (id, component, tokens): clusters are cut into blocks of about
+    BLOCK members or BLOCK_SHINGLES shingles, and each pair of blocks is one group, so that no task holds more than two."""
+    most = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("tokens") / BLOCK_SHINGLES)
+    blocks = clusters.groupBy("component").agg(F.ceil(most).cast("int").alias("blocks"))
     member = clusters.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     with_text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).join(member.hint("merge"), F.col("doc_id") == F.col("id"))
 
@@ -342,6 +398,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("prefix").alias("prefix"))
     sent = classes.select("rep", "n", "point", "prefix").mapInArrow(send_prefixes(parts), SENT)
     maybe = components(sent.groupBy("bucket").applyInArrow(candidates(percent), LINKS))
+    maybe = maybe.join(real.groupBy("doc_id").agg(F.sum("n").alias("tokens")), F.col("id") == F.col("doc_id")).drop("doc_id")
     links = cut(verified_links(docs.where("doc_id is not null"), maybe, size, percent))
     same_id = real.groupBy("set_hash").agg(F.min("doc_id").alias("rep")).join(real.select("set_hash", "doc_id"), "set_hash").where("rep < doc_id")
     repeated = real.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo <> hi").select("doc_id")

@@ -58,16 +58,42 @@ def corpus(seed, n=60):
     return docs + [(5001, None), (5002, ""), (5003, " \n"), (5004, "one"), (5005, "ONE "), (5006, "one two"), (None, docs[0][1]), (0, docs[0][1]), (5007, "x y z w v " * 9000), (5008, "x y z w v " * 8000)]
 
 
-@pytest.mark.parametrize(("seed", "size", "percent", "block", "indexed"), [(1, 4, 85, 2048, 1 << 21), (2, 5, 80, 7, 1 << 21), (3, 4, 85, 16, 100)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, size, percent, block, indexed):
+@pytest.mark.parametrize(("seed", "size", "percent", "block", "block_shingles"), [(1, 4, 85, 2048, 1 << 20), (2, 5, 80, 7, 1 << 20), (3, 4, 85, 16, 100)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, size, percent, block, block_shingles):
     monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup, "INDEXED", indexed)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block_shingles)
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, b"") for i, t in docs], "doc_id long, text string, n int, prefix binary")
     got = neardup.near_duplicates(df, size, percent).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(docs, size, percent)
 
 
+def test_long_documents_whose_points_have_unlike_numbers_of_groups(spark):
+    rng, docs = random.Random(8), []
+    vocabulary = [f"w{i}" for i in range(12)]  # few words, so that unlike documents share many shingles
+    for n in (480, 530, 990, 1100, 2000, 2200, 4000, 4300, 18000):
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        for edits in (0, n // 130, n // 45, n // 20):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = rng.choice(["x", "y"])
+            docs += [(len(docs), " ".join(w)), (len(docs) + 1, " ".join(w + [rng.choice(vocabulary) for _ in range(n // 12)]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = neardup.near_duplicates(df, 4, 85).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(docs, 4, 85)
+
+
+def test_points_bound_the_overlap():
+    rng = random.Random(9)
+    for n in (300, 520, 1500, 9000):
+        a = neardup.shingles(" ".join(str(rng.randrange(400)) for _ in range(n)).encode(), 2)
+        b = neardup.np.unique(neardup.np.concatenate([a[: len(a) * 9 // 10], neardup.shingles(" ".join(str(rng.randrange(400)) for _ in range(n // 8)).encode(), 2)]))
+        x, y = neardup.group_counts(a), neardup.group_counts(b)
+        groups = min(len(x), len(y))
+        least = neardup.np.minimum(neardup.folded(x[None], groups), neardup.folded(y[None], groups)).astype(int)
+        assert least.sum() >= len(neardup.np.intersect1d(a, b)) and least.max() < neardup.FULL
+
+
 def test_one_of_each_group_stays(spark):
     docs = corpus(4)
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n int")
