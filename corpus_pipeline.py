@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without chunks of lines that an earlier document holds; n_chars follows the text."""
-    return lines.dedup_lines(docs).select(*docs.columns)
+    """All documents, without passages of two lines or more that an earlier document holds; n_chars follows the text."""
+    return lines.dedup_passages(docs).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

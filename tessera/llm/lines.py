@@ -1,8 +1,10 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by overlapping chunks of lines.
 
-Every line is hashed; a rolling hash over the last two line hashes marks a line, and a chunk ends behind a marked line
-that follows an unmarked one. Boundaries thus depend on a few lines of content only and survive shifts. Chunks of two
-lines or more whose hash occurs more than once are compared byte by byte, and all but the first occurrence are removed.
+A chunk of two lines begins at every line but the last, so that a passage of two lines or more is found wherever it
+stands and however short it is; chunks that follow each other make up longer passages. Chunks whose hash occurs more
+than once are compared byte by byte, and all but the first occurrence are removed. dedup_lines() does the same with
+content-defined chunks that don't overlap: a rolling hash over the last two line hashes marks a line, and a chunk ends
+behind a marked line that follows an unmarked one. It is cheaper and misses passages that hold no whole chunk.
 Only DataFrame functions are used. What is shuffled before the comparison are hashes; texts are shuffled twice, by
 sort-merge joins at every size, since neither the marks nor the removals have a bound.
 """
@@ -47,6 +49,12 @@ def chunk_bounds(lines: Column) -> Column:
     return let(F.transform(lines, line_hash), lambda h: let(marked(h), lambda f: let(ends(f), chunks)))
 
 
+def every_chunk(lines: Column) -> Column:
+    """array<struct<first, n>>: the LEAST_LINES lines that begin at each line, as far as there are as many."""
+    first = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: i <= F.size(lines) - LEAST_LINES + 1)
+    return F.transform(first, lambda i: F.struct(i.alias("first"), F.lit(LEAST_LINES).alias("n")))
+
+
 def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -59,11 +67,11 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["d"]) & (a["th"] == b["t"])
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, chunks) -> DataFrame:
     """(d, t, drop): for rows of docs (doc_id, text) that lose chunks, their doc_id, text hash, and the chunks by place."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
 
-    found = let(split_lines(F.col("text")), lambda x: F.transform(F.filter(chunk_bounds(x), lambda c: c["n"] >= LEAST_LINES), lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), F.xxhash64(chunk_text(x, c)).alias("hash"))))
+    found = let(split_lines(F.col("text")), lambda x: F.transform(F.filter(chunks(x), lambda c: c["n"] >= LEAST_LINES), lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), F.xxhash64(chunk_text(x, c)).alias("hash"))))
     occurs = cut(rows.where("text is not null").select("doc_id", "th", F.explode(found).alias("c")).select("doc_id", "th", "c.*"))
     place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "first", "th")
     repeated = occurs.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("owner")).where("times > 1").select(F.col("hash").alias("k"), "owner")
@@ -76,31 +84,42 @@ def removals(docs: DataFrame) -> DataFrame:
     return cut(gone.groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct("m.first", "m.n"))).alias("drop")))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """dedup_lines() with every chunk of LEAST_LINES lines: all passages that long go that an earlier place holds.
+
+    A line goes if any chunk that it is in is not the first of its kind, so passages may overlap; of every line that
+    goes, an equal one at an earlier place stays. A run of one line that repeats thus keeps its first line.
+    """
+    return dedup_lines(docs, every_chunk)
+
+
+def dedup_lines(docs: DataFrame, chunks=chunk_bounds) -> DataFrame:
     """docs with repeated chunks removed from text, all other columns, and the counts line_count and line_removed.
 
     The first occurrence by doc_id (null last) and place stays, also when a chunk repeats inside one document; rows
     equal in doc_id and text count as one and stay alike. Null texts stay null and have no lines; an empty text has one
     line. Chunks whose hashes agree but whose bytes differ stay. n_chars, where docs has it, follows the new text.
+    chunks gives the array<struct<first, n>> of an array of lines; chunks that overlap are of one length.
     """
-    gone, columns = removals(docs.select("doc_id", "text")), docs.columns
+    gone, columns = removals(docs.select("doc_id", "text"), chunks), docs.columns
     th = F.xxhash64(docs["text"])
     both = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["d"]) & (th == gone["t"]), "left")
 
     def kept(x: Column) -> Column:
         begins = F.concat(F.array(F.lit(1)), F.transform(gone["drop"], lambda c: c["first"] + c["n"]))
         stops = F.concat(F.transform(gone["drop"], lambda c: c["first"]), F.array(F.size(x) + 1))
-        return F.array_join(F.flatten(F.zip_with(begins, stops, lambda a, b: F.slice(x, a, b - a))), "\n")
+        return F.array_join(F.flatten(F.zip_with(begins, stops, lambda a, b: F.slice(x, a, F.greatest(b - a, F.lit(0))))), "\n")
 
     text = F.when(gone["d"].isNull() & gone["t"].isNull(), docs["text"]).otherwise(let(split_lines(docs["text"]), kept))
-    lost = F.coalesce(F.aggregate(gone["drop"], F.lit(0), lambda s, c: s + c["n"]), F.lit(0)).cast("long")
+    fold = lambda s, c: F.struct((c["first"] + c["n"]).alias("end"), (s["n"] + c["first"] + c["n"] - F.greatest(c["first"], s["end"])).alias("n"))
+    lost = F.coalesce(F.aggregate(gone["drop"], F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), fold, lambda s: s["n"]), F.lit(0)).cast("long")
     count = F.when(docs["text"].isNull(), 0).otherwise(F.length(docs["text"]) - F.length(F.replace(docs["text"], F.lit("\n"), F.lit(""))) + 1).cast("long")
     out = both.select(*(text.alias(c) if c == "text" else docs[c] for c in columns), count.alias("line_count"), lost.alias("line_removed"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
 def op6_line_dedup(spark, sf_dir):
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("line_count").alias("n_lines"), F.col("line_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
