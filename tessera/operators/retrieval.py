@@ -256,3 +256,52 @@ def retrieve_batch(records: DataFrame, chunks: DataFrame, texts: DataFrame, requ
     found = pooled(found, request, settings, ("query_id",))
     kept = found.drop("record_id", "chunk_index", "created_at").join(fields, "chunk_id").withColumn("metadata_bonus", metadata_bonus(request, settings))
     return ranked(reranked(kept, settings, as_of), top, ("query_id",))
+
+
+#: Rows in a block of vectors and in a block of queries; a task holds one of each and the product of both numbers.
+VECTORS, ASKING = 4096, 1024
+
+
+def cosine_top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """(query_id, vec_id, cosine, rank): for each row of vectors (vec_id, embedding) with is_query its k best other rows.
+
+    Vectors of unit length are asked for: a cosine is their inner product, not below 0, ranked as rounded to six digits,
+    ties to the smaller vec_id. It is 0 between vectors of different lengths, empty or null ones, and where it is no
+    number. Blocks of queries meet blocks of all rows; each pair of blocks sends on its k best a query."""
+    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
+    asking = rows.where("asks")
+    n_all, n_asking = max(1, -(-rows.count() // VECTORS)), max(1, -(-asking.count() // ASKING))
+
+    def blocks(df: DataFrame, name: str, n: int, other: str, n_other: int) -> DataFrame:
+        dealt = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "v")).alias(name))
+        return dealt.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    def opened(cell) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, lists = cell.values.flatten()
+        n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return ids.to_numpy(), n, np.cumsum(n) - n, lists.flatten().to_numpy(zero_copy_only=False)
+
+    def score(batches):
+        for batch in batches:
+            for q, c in zip(batch.column(0), batch.column(1), strict=True):
+                (qi, qn, qb, qv), (ci, cn, cb, cv) = opened(q), opened(c)
+                cosine = np.zeros((len(qi), len(ci)))
+                for dims in np.intersect1d(qn, cn):
+                    a, b = np.flatnonzero(qn == dims), np.flatnonzero(cn == dims)
+                    if dims:
+                        at = np.arange(dims)
+                        cosine[np.ix_(a, b)] = qv[qb[a][:, None] + at] @ cv[cb[b][:, None] + at].T
+                cosine = np.round(np.maximum(0, np.nan_to_num(cosine, nan=0.0)), 6)
+                cosine[qi[:, None] == ci[None, :]] = -np.inf
+                out = []
+                for i in range(len(qi)):
+                    can = np.flatnonzero(cosine[i] > -np.inf)
+                    if len(can) > k:
+                        can = can[cosine[i, can] >= np.partition(cosine[i, can], -k)[-k]]
+                    can = can[np.lexsort((ci[can], -cosine[i, can]))[:k]]
+                    out.append((np.full(len(can), qi[i]), ci[can], cosine[i, can]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "cosine"])
+
+    pairs = blocks(asking, "q", n_asking, "c", n_all).join(blocks(rows, "c", n_all, "q", n_asking), ["q_block", "c_block"])
+    best = pairs.select("q", "c").mapInArrow(score, "query_id long, vec_id long, cosine double")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= k)
