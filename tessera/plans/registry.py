@@ -57,13 +57,13 @@ def stem_tokens(spark, d):
 
 @query
 def char_ngrams(spark, d):
-    x = P.records(spark, d).select(F.explode(X.lexical_tokens(F.col("title"))).alias("token")).distinct()
+    x = P.records(spark, d).select(F.explode(X.lexical_tokens(F.col("text"))).alias("token")).distinct()
     return x.select("token", F.array_join(X.char_grams(F.col("token")), " ").alias("grams"))
 
 
 @query
 def semantic_terms(spark, d):
-    x = P.records(spark, d).select("id", X.semantic_terms(F.concat("title", F.lit(" status draft edit"))).alias("t"))
+    x = P.records(spark, d).select("id", X.semantic_terms(F.concat("text", F.lit(" status draft edit"))).alias("t"))
     return x.select("id", F.size("t").alias("n_terms"), F.array_join("t", " ").alias("terms"))
 
 
@@ -89,9 +89,9 @@ def lexical_overlap(spark, d):
 
 @query
 def token_jaccard_pairs(spark, d):
-    """Records beside up to ten newer ones of their kind, scope and owner, with the Jaccard similarity of their title tokens."""
+    """Records beside up to ten newer ones of their kind, scope and owner, with the Jaccard similarity of their text tokens."""
     per = R.Window.partitionBy("kind", "scope", "owner").orderBy(F.desc("created_at"), "id")
-    x = P.records(spark, d).withColumn("owner", Y.owner()).select("id", "kind", "scope", "owner", "created_at", X.lexical_tokens(F.col("title")).alias("t"))
+    x = P.records(spark, d).withColumn("owner", Y.owner()).select("id", "kind", "scope", "owner", "created_at", X.lexical_tokens(F.col("text")).alias("t"))
     x = x.withColumn("newer", F.collect_list(F.struct("id", "t")).over(per.rowsBetween(-10, -1))).select("id", "t", F.explode("newer").alias("n"))
     return x.select("id", F.col("n.id").alias("other_id"), F.round(X.jaccard(F.col("t"), F.col("n.t")), 6).alias("jaccard"))
 

@@ -22,3 +22,18 @@ def test_cosine_topk_asks_every_hundredth_vector(spark, tmp_path):
         best = sorted((-cosine(x, y), j) for j, y in rows if j is not None and j != i)[:10]
         want |= {(i, n): (j, -s + 0.0) for n, (s, j) in enumerate(best, 1)}
     assert got == want and {i for i, _ in got} == {0, 100, 200, 300, 400}
+
+
+def documents(spark, path, texts):
+    spark.createDataFrame([(i, t, "en", "src0") for i, t in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_text_queries_read_behind_word_five(spark, tmp_path):
+    """Documents 2 and 44 share kind, scope and owner, and differ behind word five only."""
+    d = documents(spark, tmp_path, [(2, "one two three four five alpha beta gamma"), (44, "one two three four five delta")])
+    run = lambda q: registry.QUERIES[q](spark, d).collect()
+    assert [r["jaccard"] for r in run("token_jaccard_pairs")] == [round(5 / 9, 6)]
+    assert {r["token"]: r["grams"] for r in run("char_ngrams")}["gamma"] == "^gam gamm amma mma$"
+    terms = {r["id"]: set(r["terms"].split(" ")) for r in run("semantic_terms")}
+    assert {"alpha", "beta", "summary"} <= terms["rec_000000002"] and {"delta", "^del"} <= terms["rec_000000044"]
