@@ -37,3 +37,13 @@ def test_text_queries_read_behind_word_five(spark, tmp_path):
     assert {r["token"]: r["grams"] for r in run("char_ngrams")}["gamma"] == "^gam gamm amma mma$"
     terms = {r["id"]: set(r["terms"].split(" ")) for r in run("semantic_terms")}
     assert {"alpha", "beta", "summary"} <= terms["rec_000000002"] and {"delta", "^del"} <= terms["rec_000000044"]
+
+
+def test_requests_are_whole_benchmark_texts(spark, tmp_path):
+    """A word behind the twelfth is the only one that an item has in common with a document."""
+    words = [f"ask{i}" for i in range(20)]
+    d = documents(spark, tmp_path, [(2, "zulu yankee xray"), (5, "whiskey victor " + words[15])])
+    spark.createDataFrame([(1, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["record_id"]: r["lexical_score"] for r in registry.QUERIES["batch_retrieve"](spark, d).collect()}
+    assert got["rec_000000005"] == round(1 / (20 * 3) ** 0.5, 6)
+    assert [r["retrieval_count"] for r in registry.QUERIES["eval_hits"](spark, d).collect()] == [len(got)]
