@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from tessera.operators import evaluation
 from tessera.plans import registry
 
 
@@ -47,3 +48,17 @@ def test_requests_are_whole_benchmark_texts(spark, tmp_path):
     got = {r["record_id"]: r["lexical_score"] for r in registry.QUERIES["batch_retrieve"](spark, d).collect()}
     assert got["rec_000000005"] == round(1 / (20 * 3) ** 0.5, 6)
     assert [r["retrieval_count"] for r in registry.QUERIES["eval_hits"](spark, d).collect()] == [len(got)]
+
+
+def test_both_runs_hold_every_item(spark, tmp_path):
+    spark.createDataFrame([(i, "x") for i in range(60)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda q: registry.QUERIES[q](spark, str(tmp_path)).collect()
+    got = {r["name"]: r["baseline_retrieval_hit"] for r in run("eval_compare")}
+    assert got == {f"case_{i}": i * 3 % 4 != 0 for i in range(60)} and run("eval_gate")[0]["total_cases"] == 60
+
+
+def test_a_case_missing_on_a_side_is_no_hit_there(spark):
+    side = lambda *rows: spark.createDataFrame(rows, "name string, retrieval_hit boolean, assembly_hit boolean, seq long")
+    got = evaluation.compare(side(("a", True, False, 1), ("b", True, True, 2)), side(("b", True, True, 1), ("c", False, True, 2)))
+    want = [("a", True, False, False, False, True, False), ("b", True, True, True, True, False, False), ("c", False, False, False, True, False, True)]
+    assert sorted(map(tuple, got.collect())) == want
