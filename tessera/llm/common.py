@@ -20,22 +20,28 @@ def shards(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Without it, and without a checkpoint folder of
+    the session, a temporary folder stands in on a local master (tests); a cluster has to name one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = found.get() if found.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, so that a lost executor costs no recomputation before this point."""
+    """Writes df as a table in the shared folder and reads it back, so that a lost executor costs no recomputation before
+    this point. The table goes with drop_cut(), or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +53,29 @@ def drop_cut(*cuts: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(taken: list[str], name: str, prefix: str) -> str:
+    """name, or with as many prefixes as it takes not to clash with a column in taken (upper and lower case are one)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"{prefix}_{name}"
+    return name
+
+
+#: A key that holds more than this share (one in so many) of all rows is heavy; there are at most so many heavy keys.
+HEAVY = 1024
+
+
+def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined by key with keyed, which has one row a key and in times how many of rows, total in all, hold it.
+
+    Heavy keys (at most HEAVY rows of keyed, so a broadcast of bounded size) never gather in one task: their rows stay
+    where they are. All others are joined by sort-merge, and no key there has more than one in HEAVY of all rows."""
+    heavy = F.col("times") * HEAVY > total
+    hot = keyed.where(heavy).drop("times")
+    usual = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(usual.join(keyed.where(~heavy).drop("times").hint("merge"), key))
+
+
 # --- hashing of bytes in numpy -------------------------------------------------------------------------------------
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -100,29 +129,29 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- connected components of links ---------------------------------------------------------------------------------
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in links (a, b): component is the smallest id that links reach.
 
     Every round joins each id's neighbours to their smallest neighbour (large star, then small star), which at least
-    halves the depth of the trees that it builds; ids and links stay distributed, and a round's table cuts the lineage.
+    halves the depth of the trees that it builds, until a round changes nothing; ids and links stay distributed, the
+    centre of a large component is a heavy key of join_keyed(), and a round's table cuts the lineage.
     """
     edge = links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct()
     edge, before = cut(edge), None
-    for _ in range(rounds):
+    n = edge.count()
+    while n:
         both = edge.union(edge.select("hi", "lo")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi")
-        small_low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(small_low, "hi")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("times"))
+        large = join_keyed(both, low, "u", 2 * n).where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi")
+        small_low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("times"))
+        joined = join_keyed(large, small_low, "hi", n)
         small = joined.select(F.col("m").alias("lo"), "hi").union(joined.select(F.col("m").alias("lo"), F.col("lo").alias("hi"))).where("lo < hi").distinct()
         new = cut(small)
         state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         drop_cut(edge)
-        edge = new
+        edge, n = new, state[0]
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     lows = edge.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()
     return edge.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(lows)

@@ -2,33 +2,37 @@
 
 Features: densities of insult lexicons, closeness of lexicon words to second-person words, and rates of capitals,
 punctuation and obfuscation. One lexicon is fixed; the others (words, word beginnings) are those whose presence speaks
-for the label among the labelled rows that the fit may use. Trees, lexicons and calibration are fitted on the driver on
-a sample of labelled rows whose size is a parameter; scoring is one pass over all documents without a shuffle.
+for the label among the labelled rows that the fit may use. Words are counted and features computed where the rows are;
+what reaches the driver are the counts of words that speak for the label and one row of numbers a labelled row, from
+which it grows the trees and calibrates them. Scoring is one pass over all documents without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import cut, drop_cut, table
 
 # A general lexicon, second-person words and the characters that stand for letters.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers pathetic worthless disgusting trash scum clown clowns imbecile fool jerk creep garbage filth hate kill ugly shut".split()
 SECOND_PERSON = set("you your yours yourself you're ur u du dich dir dein deine ihr euch tu toi te ton ta vous votre tú ti usted tus vosotros".split())
-UNMASKED = str.maketrans("013457@$!|", "oieasTasil".lower())
+UNMASKED = str.maketrans("013457@$!|", "oieastasil")
 NAMES = ("fixed", "fixed_any", "words", "words_any", "word_weight", "starts", "starts_any", "start_weight", "near_you", "capitals", "capital_words", "punctuation", "marks", "masked", "masked_hits", "digits_inside", "length")
 TOKEN = re.compile(r"[^\W_]+(?:[*@$!|'’][^\W_]+)*")
 MASKED = re.compile(r"[^\W\d_][0-9*@$!|]+[^\W\d_]")
 NEAR = 5
-#: Labelled rows that a fit reads at most, and lexicon entries that it keeps at most.
-FIT_ROWS, LEXICON = 6_000, 400
+#: Labelled rows, and bytes of their texts, that a fit reads at most (in expectation: rows are drawn by a hash of the id).
+FIT_ROWS, FIT_BYTES = 6_000, 64 << 20
+#: Toxic rows that a lexicon entry is in at least; below that its weight says nothing.
+LEAST_ROWS = 5
+#: Cells of labelled rows: two folds for calibration by two halves for lexicons. Distinct words a task counts at once.
+CELLS, AT_ONCE = 4, 100_000
 #: Tokens that a worker remembers the lexicon entries of.
 KNOWN = 200_000
 START = (5, 7)
@@ -38,51 +42,20 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text)
 
 
-class Presence:
-    """In how many rows of either label each word and each word beginning is present; parts add up."""
-
-    def __init__(self, texts: list[str] = (), labels: list[int] = ()):
-        self.rows, self.words, self.starts = [0, 0], {}, {}
-        for text, y in zip(texts, labels, strict=True):
-            low = set(tokens(text.lower()))
-            self.rows[y] += 1
-            for found, counts in ((low, self.words), ({w[:n] for w in low for n in START if len(w) > n}, self.starts)):
-                for w in found:
-                    counts.setdefault(w, [0, 0])[y] += 1
-
-    def plus(self, other: Presence) -> Presence:
-        out = Presence()
-        for part in (self, other):
-            out.rows = [a + b for a, b in zip(out.rows, part.rows, strict=True)]
-            for mine, counts in ((out.words, part.words), (out.starts, part.starts)):
-                for w, (a, b) in counts.items():
-                    c = mine.setdefault(w, [0, 0])
-                    c[0], c[1] = c[0] + a, c[1] + b
-        return out
-
-
-def sum_of(parts: list[Presence]) -> Presence:
-    out = Presence()
-    for p in parts:
-        out = out.plus(p)
-    return out
-
-
 class Lexicons:
-    """Words and word beginnings with the weight (log-odds of presence) that the labelled rows give them."""
-
-    def __init__(self, seen: Presence):
-        n = [max(1, x) for x in seen.rows]
-        self.words, self.starts = (self.chosen(c, n) for c in (seen.words, seen.starts))
+    """Words and word beginnings with the weight (log-odds of presence) that the labelled rows of some cells give them."""
+
+    def __init__(self, seen: list[tuple], rows: list[list[int]], cells: tuple[int, ...]):
+        """seen: (list, entry, rows with it by cell and label), rows: all rows by cell and label."""
+        n = [sum(rows[c][y] for c in cells) for y in (0, 1)]
+        self.words, self.starts = {}, {}
+        for which, entry, counts in seen:
+            k = [sum(counts[2 * c + y] for c in cells) for y in (0, 1)]
+            weight, least = odds(k, n)
+            if k[1] >= LEAST_ROWS and least > math.log(2):
+                (self.starts if which else self.words)[entry] = weight
         self.known: dict[str, tuple] = {}
 
-    @staticmethod
-    def chosen(counts: dict[str, list[int]], n: list[int]) -> dict[str, float]:
-        """Entries in at least five toxic rows whose share there is clearly above their share elsewhere, strongest first."""
-        odds = {w: math.log((c[1] + 0.5) / (n[1] + 1)) - math.log((c[0] + 0.5) / (n[0] + 1)) for w, c in counts.items() if c[1] >= 5}
-        sure = {w: o for w, o in odds.items() if o - 2 * math.sqrt(1 / (counts[w][1] + 0.5) + 1 / (counts[w][0] + 0.5)) > math.log(2)}
-        return dict(sorted(sure.items(), key=lambda x: (-x[1] * math.sqrt(counts[x[0]][1]), x[0]))[:LEXICON])
-
     def about(self, token: str) -> tuple[bool, bool, float, float]:
         """Whether a lower-case token hides letters, whether it is in the fixed lexicon, and its weights as word and by its beginning."""
         plain = token if token.isalpha() else token.translate(UNMASKED).replace("*", "").replace("'", "")
@@ -119,6 +92,12 @@ class Lexicons:
         ]
 
 
+def odds(k: list[int], n: list[int]) -> tuple[float, float]:
+    """How much more an entry in k[1] of n[1] toxic and k[0] of n[0] other rows speaks for toxicity, and what it surely does."""
+    weight = math.log((k[1] + 0.5) / (max(1, n[1]) + 1)) - math.log((k[0] + 0.5) / (max(1, n[0]) + 1))
+    return weight, weight - 2 * math.sqrt(1 / (k[1] + 0.5) + 1 / (k[0] + 0.5))
+
+
 FIXED = {*INSULTS, *(w + "s" for w in INSULTS)}
 CAPITALS = bytes(range(65, 91))
 INSIDE = re.compile(r"[^\W\d_]\d+|\d+[^\W\d_]")
@@ -196,34 +175,10 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Lexicons, trees and calibration. Calibration is fitted on scores of folds that lexicons and trees have not seen."""
-
-    def __init__(self, ids: list[str], texts: list[str], labels: np.ndarray, folds: int = 2):
-        self.lexicons, self.trees, self.knots = None, None, (np.zeros(1), np.full(1, float(labels.mean()) if len(labels) else 0.0))
-        if len(set(labels.tolist())) < 2:
-            return  # nothing to tell apart: the share of toxic rows, or 0 without any
-        y = labels.tolist()
-        cell = [zlib.crc32(f"fold {i}".encode()) % (2 * folds) for i in ids]
-        seen = [Presence([t for t, c in zip(texts, cell, strict=True) if c == k], [v for v, c in zip(y, cell, strict=True) if c == k]) for k in range(2 * folds)]
-        score = np.zeros(len(ids))
-        for k in range(folds):
-            unseen = [i for i, c in enumerate(cell) if c // 2 == k]
-            if unseen:
-                lexicons, trees = self.fitted(texts, labels, cell, seen, {c for c in range(2 * folds) if c // 2 != k})
-                score[unseen] = trees.raw(np.array([lexicons.features(texts[i]) for i in unseen]))
-        self.lexicons, self.trees = self.fitted(texts, labels, cell, seen, set(range(2 * folds)))
-        x, p = isotonic(score, labels)
-        self.knots = x, np.clip(p, 0.001, 0.999)
-
-    @staticmethod
-    def fitted(texts: list[str], labels: np.ndarray, cell: list[int], seen: list[Presence], cells: set[int]) -> tuple[Lexicons, Trees]:
-        """Lexicons and trees of the rows in cells. The trees learn from rows whose own words did not choose the lexicon:
-        rows in even cells are described by the lexicons of odd ones, and the other way round."""
-        half = [sum_of([seen[c] for c in cells if c % 2 == k]) for k in (0, 1)]
-        other = [Lexicons(half[1]), Lexicons(half[0])]
-        rows = [i for i, c in enumerate(cell) if c in cells]
-        x = np.array([other[cell[i] % 2].features(texts[i]) for i in rows]).reshape(-1, len(NAMES))
-        return Lexicons(half[0].plus(half[1])), Trees(x, labels[rows])
+    """Lexicons, trees and calibration (knots)."""
+
+    def __init__(self, lexicons: Lexicons | None, trees: Trees | None, knots: tuple[np.ndarray, np.ndarray]):
+        self.lexicons, self.trees, self.knots = lexicons, trees, knots
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.trees is None:
@@ -233,24 +188,112 @@ class Model:
         return np.clip(np.interp(raw, *self.knots) + spread, 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """A model of labels (doc_id, toxic) on docs (doc_id, text), from rows whose crc32(doc_id as text) mod 5 is not 0.
-
-    At most about rows labelled rows are read, chosen by a hash of the id, so that memory on the driver is bounded; a
-    doc_id with several rows or labels counts with the largest label. Null texts are empty; null labels are left out."""
+def labelled(docs: DataFrame, labels: DataFrame, rows: int, size: int) -> DataFrame:
+    """(doc_id string, text, toxic, cell) of the labelled rows that a fit reads."""
     usable = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    usable = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     n = usable.count()
-    if n > rows:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(usable, "doc_id").collect()
-    got.sort(key=lambda r: (str(r["doc_id"]), r["text"]))
-    return Model([str(r["doc_id"]) for r in got], [r["text"] for r in got], np.array([min(1, max(0, r["toxic"])) for r in got], np.int64))
+    share = min(1.0, rows / max(1, n))
+    drawn = lambda part: F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * part)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = cut(texts.join(usable.where(drawn(share)), "doc_id"))
+    total = got.agg(F.sum(F.length(F.col("text").cast("binary")))).first()[0] or 0
+    got = got.where(drawn(share * size / total)) if total > size else got
+    cell = F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string")).cast("binary")) % CELLS
+    return got.select(F.col("doc_id").cast("string"), "text", "toxic", cell.cast("int").alias("cell"))
+
+
+def presence(rows: DataFrame, all_rows: list[list[int]], subsets: set[tuple[int, ...]]) -> list[tuple]:
+    """(list, entry, rows with it by cell and label) of the words (list 0) and word beginnings (1) that the lexicon of one
+    of subsets (of cells) holds; the others stay on the executors."""
+
+    def count(batches):
+        def out(seen):
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.string()), pa.array([k[2] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["which", "entry", "place", "n"])
+
+        seen: dict[tuple, int] = {}
+        for batch in batches:
+            for text, y, cell in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                low, place = set(tokens(text.lower())), 2 * cell + y
+                for which, found in ((0, low), (1, {w[:n] for w in low for n in START if len(w) > n})):
+                    for w in found:
+                        seen[which, w, place] = seen.get((which, w, place), 0) + 1
+                if len(seen) > AT_ONCE:
+                    yield out(seen)
+                    seen = {}
+        yield out(seen)
+
+    parts = rows.select("text", "toxic", "cell").mapInArrow(count, "which int, entry string, place int, n long")
+    sums = [F.sum(F.when(F.col("place") == p, F.col("n")).otherwise(0)).alias(f"n{p}") for p in range(2 * CELLS)]
+    holds = F.lit(False)
+    for cells in subsets:
+        n = [max(1, sum(all_rows[c][y] for c in cells)) for y in (0, 1)]
+        k = [sum((F.col(f"n{2 * c + y}") for c in cells), F.lit(0)) for y in (0, 1)]
+        weight = F.log((k[1] + 0.5) / (n[1] + 1)) - F.log((k[0] + 0.5) / (n[0] + 1))
+        # a hair looser than odds(), which decides on the driver
+        holds = holds | ((k[1] >= LEAST_ROWS) & (weight - 2 * F.sqrt(1 / (k[1] + 0.5) + 1 / (k[0] + 0.5)) > math.log(2) - 1e-6))
+    kept = parts.groupBy("which", "entry").agg(*sums).where(holds)
+    return sorted((r[0], r[1], tuple(r[2:])) for r in kept.collect())
+
+
+def described(rows: DataFrame, lexicons: dict[tuple[int, ...], Lexicons], views: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Cells, labels and features of rows, one block of features for each view: the cells whose lexicon describes a cell's rows."""
+
+    def describe(batches):
+        for batch in batches:
+            texts, y, cells = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            x = [np.array([lexicons[view[c]].features(t) for view in views]).tobytes() for t, c in zip(texts, cells, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(x, pa.binary())], ["doc_id", "toxic", "cell", "x"])
+
+    got = rows.mapInArrow(describe, "doc_id string, toxic int, cell int, x binary").collect()  # a few hundred bytes a row of the sample
+    got.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
+    x = np.array([np.frombuffer(r["x"]) for r in got]).reshape(len(got), len(views), len(NAMES))
+    return np.array([r["cell"] for r in got], np.int64), np.array([r["toxic"] for r in got], np.int64), x
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Model:
+    """A model of labels (doc_id, toxic) on docs (doc_id, text), from rows whose crc32(doc_id as text) mod 5 is not 0.
+
+    About rows labelled rows with texts of size bytes at most are read, chosen by a hash of the id; no text reaches the
+    driver. A doc_id with several rows or labels counts with the largest label. Null texts are empty, null labels are
+    left out. Without labels, or with labels of one kind, every text gets their mean (0 without any).
+
+    Trees learn from rows whose own words did not choose the lexicon that describes them: rows in even cells are described
+    by the lexicon of odd ones, and the other way round. Calibration is fitted on scores of a fold whose rows neither
+    lexicon nor trees have seen.
+    """
+    sample = labelled(docs, labels, rows, size)
+    all_rows = [[0, 0] for _ in range(CELLS)]
+    for r in sample.groupBy("cell", "toxic").count().collect():
+        all_rows[r["cell"]][r["toxic"]] = r["count"]
+    n = [sum(r[y] for r in all_rows) for y in (0, 1)]
+    if not all(n):
+        return Model(None, None, (np.zeros(1), np.full(1, float(bool(n[1])))))
+    every = tuple(range(CELLS))
+    folds = [tuple(c for c in every if c // 2 == k) for k in range(CELLS // 2)]
+    rest = [tuple(c for c in every if c not in f) for f in folds]
+    halves = lambda cells: [tuple(c for c in cells if c % 2 != h) for h in (0, 1)]  # the lexicon's cells for even and odd rows
+    subsets = {every, *halves(every)}.union(*({r, *halves(r)} for r in rest))
+    seen = presence(sample, all_rows, subsets)
+    lexicons = {cells: Lexicons(seen, all_rows, cells) for cells in subsets}
+    views = [{c: halves(every)[c % 2] for c in every}]
+    for f, r in zip(folds, rest, strict=True):  # the fold itself by what the rest says, the rest by its other half
+        views.append({c: r if c in f else halves(r)[c % 2] for c in every})
+    cell, y, x = described(sample, lexicons, views)
+    drop_cut(sample)
+    score = np.zeros(len(y))
+    for k, f in enumerate(folds):
+        unseen = np.isin(cell, f)
+        if unseen.any() and not unseen.all():
+            score[unseen] = Trees(x[~unseen, k + 1], y[~unseen]).raw(x[unseen, k + 1])
+    knots, p = isotonic(score, y)
+    return Model(lexicons[every], Trees(x[:, 0], y), (knots, np.clip(p, 0.001, 0.999)))
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for each row of docs (doc_id, text), in one pass. Null texts are scored as empty ones, repeated
-    rows alike; other columns are not read, and an empty table gives an empty result."""
+    rows alike, and a very long text as a whole, its tokens held at once; other columns are not read, and an empty table
+    gives an empty result."""
 
     def scored(batches):
         for batch in batches:
@@ -260,7 +303,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below least; a pass without a shuffle."""
+    """The rows of docs, with all their columns whatever their names, whose score is below least; a pass without a shuffle."""
     at = docs.columns.index("text")
 
     def kept(batches):
@@ -272,6 +315,7 @@ def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def op4_toxicity(spark, sf_dir):
+    """Scores of all documents by a model of their labels; rows whose crc32(doc_id) mod 5 is 0 are held out of it."""
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -58,3 +58,76 @@ def test_without_labels(spark, tables):
 def test_isotonic_is_the_least_squares_step_fit():
     x, p = toxicity.isotonic(np.array([1.0, 2, 3, 4, 5, 6]), np.array([0, 1, 0, 1, 0, 1]))
     assert np.interp([1, 2, 3, 4, 5, 6], x, p).tolist() == [0, 0.5, 0.5, 0.5, 0.5, 1]
+
+
+def plain_features(text, lexicons):
+    """The features by their definitions, a word at a time."""
+    import math
+    import re
+
+    words = re.findall(r"[^\W_]+(?:[*@$!|'’][^\W_]+)*", text)
+    low = re.findall(r"[^\W_]+(?:[*@$!|'’][^\W_]+)*", text.lower())
+    n, chars = max(1, len(low)), max(1, len(text))
+    plain = [w if w.isalpha() else "".join({"*": "", "'": ""}.get(c, dict(zip("013457@$!|", "oieastasil", strict=True)).get(c, c)) for c in w) for w in low]
+    fixed = [p in toxicity.FIXED for p in plain]
+    word = [lexicons.words.get(p, 0.0) for p in plain]
+    start = [max([lexicons.starts.get(p[:k], 0.0) for k in (5, 7) if len(p) > k], default=0.0) for p in plain]
+    hit = [bool(a or b or c) for a, b, c in zip(fixed, word, start, strict=True)]
+    near = sum(h and any(low[j] in toxicity.SECOND_PERSON for j in range(max(0, i - 5), min(len(low), i + 6))) for i, h in enumerate(hit))
+    marks = text.count("!") + text.count("?")
+    return [
+        100 * sum(fixed) / n, sum(fixed), 100 * sum(w > 0 for w in word) / n, sum(w > 0 for w in word), max(word, default=0), 100 * sum(s > 0 for s in start) / n, sum(s > 0 for s in start),
+        max(start, default=0), 100 * near / n, sum("A" <= c <= "Z" for c in text) / chars, sum(len(w) > 1 and w.isupper() for w in words) / n, (marks + sum(map(text.count, ".,;:"))) / chars,
+        100 * marks / n, 100 * len(re.findall(r"[^\W\d_][0-9*@$!|]+[^\W\d_]", text)) / n, sum(p != w and (f or v > 0) for p, w, f, v in zip(plain, low, fixed, word, strict=True)),
+        len(re.findall(r"[^\W\d_]\d+|\d+[^\W\d_]", text)) / n, math.log1p(len(low)),
+    ]
+
+
+def test_features_equal_their_definitions():
+    lexicons = toxicity.Lexicons([(0, "zorbling", (0, 9, 0, 9, 1, 0, 0, 9)), (1, "quark", (0, 9, 0, 9, 0, 0, 9, 9)), (0, "rare", (0, 2, 0, 2, 0, 0, 0, 0))], [[50, 20]] * 4, (0, 1, 2, 3))
+    assert set(lexicons.words) == {"zorbling"} and set(lexicons.starts) == {"quark"}
+    rng = random.Random(8)
+    bits = ["you", "your", "idiot", "M0RON!", "m*ron", "zorbling", "quarkish", "quark", "it's", "ÉTÉ", "a1b2", "!!", "?", "x_y", "STOP", "tu", "n00b", "."]
+    for text in ["", " ", *(" ".join(rng.choice(bits + PLAIN) for _ in range(rng.randint(1, 60))) for _ in range(60))]:
+        assert lexicons.features(text) == pytest.approx(plain_features(text, lexicons))
+
+
+def test_the_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (120, 4)).astype(float)
+    y = ((x[:, 2] > 4) ^ (rng.random(120) < 0.1)).astype(float)
+    tree = toxicity.Trees(x, y, rounds=1, depth=1, least=10)
+    g = y - y.mean()
+    h = np.full(len(y), y.mean() * (1 - y.mean()))
+    best = {}
+    for f in range(4):
+        for v in np.unique(x[:, f])[1:]:
+            left = x[:, f] < v
+            if 10 <= left.sum() <= 110:
+                best[f, v] = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, ~left))
+    f, v = max(best, key=best.get)
+    t = tree.trees[0]
+    assert (int(t[0, 0]), tree.edges[f][int(t[0, 1])]) == (f, v)
+    left = x[:, f] < v
+    assert tree.raw(x) == pytest.approx(tree.base + 0.15 * np.where(left, g[left].sum() / (h[left].sum() + 1), g[~left].sum() / (h[~left].sum() + 1)))
+
+
+def test_features_of_rows_come_from_the_other_cells(spark, tables):
+    """The counts that lexicons are chosen by, against a count on the driver."""
+    sample = toxicity.labelled(*tables, 10_000, 1 << 30)
+    rows = sample.collect()
+    all_rows = [[sum(r["cell"] == c and r["toxic"] == y for r in rows) for y in (0, 1)] for c in range(4)]
+    every = (0, 1, 2, 3)
+    seen = {(w, e): n for w, e, n in toxicity.presence(sample, all_rows, {every})}
+    for (which, entry), n in seen.items():
+        found = lambda t: {w[:k] for w in set(toxicity.tokens(t.lower())) for k in (5, 7) if len(w) > k} if which else set(toxicity.tokens(t.lower()))  # noqa: B023, E731
+        assert n == tuple(sum(r["cell"] == c and r["toxic"] == y and entry in found(r["text"]) for r in rows) for c in every for y in (0, 1))
+    assert {(0, "zorbling"), (1, "zorbl")} <= set(seen)
+
+
+def test_repeated_rows_and_a_bound_on_bytes(spark, tables):
+    docs, labels = tables
+    twice = docs.union(docs)
+    model = toxicity.fit(twice, labels, size=4_000)
+    got = toxicity.score_toxicity(twice, model).groupBy("doc_id").agg({"score": "min", "*": "count"}).collect()
+    assert len(got) == 603 and {r["count(1)"] for r in got} == {2}
