@@ -8,10 +8,10 @@ that holds most rows is summed before it is shuffled. Thresholds nest: a larger
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, free_name, table
 
 #: Hash digits (four bits each) that one histogram resolves, and how many histograms follow each other.
 DIGITS, LEVELS = 3, 5
@@ -40,10 +40,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return x.select("source", "source_size", target.alias("target"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with the columns mix_size (words; null text: 0) and mix_hash (hexadecimal digits of a hash of doc_id)."""
-    h = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS)
-    return docs.withColumn("mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("mix_hash", h)
+def sized(docs: DataFrame) -> list[Column]:
+    """The columns mix_size (words; null text: 0) and mix_hash (hexadecimal digits of a hash of doc_id) of docs."""
+    h = F.substring(F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS)
+    return [F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("mix_size"), h.alias("mix_hash")]
 
 
 def thresholds(slim: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -68,7 +68,7 @@ def thresholds(slim: DataFrame, weights: tuple[int, ...], share: float, most: fl
 
 
 def mixed(docs: DataFrame, at: DataFrame, most: float) -> DataFrame:
-    """sized() rows with source_size, target, copies and taken."""
+    """Rows with source, mix_size and mix_hash, and source_size, target, copies and taken."""
     more = (F.col("mix_hash") < F.col("prefix")) | ((F.col("mix_hash") == F.col("prefix")) & F.col("closes"))
     copies = F.col("whole") + F.when(more & (F.col("whole") < F.lit(int(most))), 1).otherwise(0)
     out = docs.join(at, docs["source"].eqNullSafe(at["s"])).withColumn("copies", copies.cast("long"))
@@ -81,20 +81,26 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     mix_size is the number of words (null text: 0), taken is mix_size times copies. A target of r times its source's size
     takes every document floor(r) times, and those below the hash threshold once more; the document at the threshold is
     taken if that brings the sum nearer to the target. Rows with the same doc_id (null too) share a hash and are taken
-    alike. Documents of size 0 are taken 0 words. Other columns of docs are not read; an empty table gives an empty result.
+    alike. Documents of size 0 are taken 0 words. A very long text is counted as a whole, where it is read. Other columns of docs are not read; an empty table gives an empty result.
     """
-    slim = cut(sized(docs.select("doc_id", "source", "text")).drop("text"))
+    slim = cut(docs.select("doc_id", "source", *sized(docs)))
     return mixed(slim, thresholds(slim, weights, share, most), most)
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of docs that mix_sources() takes, with all their columns and how often (copies); texts are not shuffled."""
-    slim = cut(sized(docs.select("doc_id", "source", "text")).drop("text"))
-    out = mixed(sized(docs), thresholds(slim, weights, share, most), most)
-    return out.where("copies > 0").select(*docs.columns, "mix_size", "source_size", "target", "copies", "taken")
+    """The rows of docs that mix_sources() takes, with all their columns and how often (copies); texts are not shuffled.
+
+    mix_size, source_size, target, copies and taken come behind the columns of docs, with mix_ before a name that docs
+    has already. Nulls, repeated rows and very long texts are treated as in mix_sources(); an empty table stays empty."""
+    slim = cut(docs.select("source", *sized(docs)))
+    packed = docs.select(F.struct("*").alias("row"), "source", *sized(docs))
+    out = mixed(packed, thresholds(slim, weights, share, most), most).where("copies > 0")
+    new = [(c, free_name(docs.columns, c, "mix")) for c in ("mix_size", "source_size", "target", "copies", "taken")]
+    return out.select("row.*", *(F.col(c).alias(name) for c, name in new))
 
 
 def op9_mix_sources(spark, sf_dir):
+    """Size, target of its source and words taken of each document, with the weights 3, 1, 2 and a share of 150 %."""
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
 
 

@@ -5,7 +5,9 @@ of the smaller coordinates of two points bounds the overlap of their sets (the f
 the coarser). Points meet by their rarest shingles (two sets that link
 share one of those), an R-tree over the points of a shingle finds the pairs whose bound suffices, and what survives is
 verified on whole sets. Documents with equal sets are one class and travel as one; of the pairs that survive only
-enough to connect them are kept, so that a group of copies never becomes all its pairs.
+enough to connect them are kept, so that a group of copies never becomes all its pairs. What they connect is a cluster;
+sets of one cluster are verified in blocks, of which each is looked at alone first, then one set of each group that came
+out of that, and only groups that are still apart are compared block by block.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, mix, runs, shards, span_hashes, table
+from tessera.llm.common import components, cut, join_keyed, mix, runs, shards, span_hashes, table
 
 #: Groups of a set at least, shingles a group at most (on average), and how often groups are doubled to stay below.
 #: With more shingles a group, unlike sets have such even counts that the bound no longer parts them.
@@ -318,13 +320,14 @@ def candidates(percent: int):
 def verify(percent: int):
     def check(group: pa.Table) -> pa.Table:
         """Links between members of one pair of blocks, as many as connect what links; each pair once, on whole sets.
+        Members of one group (known) are connected already.
 
         Overlaps are counted a member at a time: shingles that a quarter of the members hold as a product of matrices,
         the others along their lists of holders."""
-        docs, side = group.column("doc_id").to_numpy(), group.column("side").to_numpy()
+        docs, side, known = (group.column(c).to_numpy() for c in ("doc_id", "side", "known"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in group.column("found").chunks for x in chunk]  # views
         order = sorted(range(len(sets)), key=lambda i: (docs[i], len(sets[i])))
-        docs, side, sets = docs[order], side[order], [sets[i] for i in order]
+        docs, side, known, sets = docs[order], side[order], known[order], [sets[i] for i in order]
         sizes = np.array([len(s) for s in sets], np.int64)
         begins = np.cumsum(sizes) - sizes
         _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -337,6 +340,9 @@ def verify(percent: int):
         holds[owner[usual], column[token[usual]]] = 1
         holders, ends = owner[np.argsort(token, kind="stable")], np.cumsum(times)
         forest, out, both, tile, product = Forest(len(sets)), [], side.max() > 0, -1, None
+        by = np.argsort(known, kind="stable")
+        same = np.flatnonzero(known[by[1:]] == known[by[:-1]])
+        forest.join(by[same], by[same + 1])
         for i in range(len(sets)):
             other = np.flatnonzero(side != side[i]) if both else np.arange(i + 1, len(sets))
             if both and side[i] or not len(other):
@@ -361,24 +367,55 @@ def verify(percent: int):
     return check
 
 
-def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between the documents of each cluster (id, component, tokens): clusters are cut into blocks of about
-    BLOCK members or BLOCK_SHINGLES shingles, and each pair of blocks is one group, so that no task holds more than two."""
+def in_blocks(clusters: DataFrame) -> DataFrame:
+    """clusters (id, component, tokens, ...) with blocks and block: about BLOCK members or BLOCK_SHINGLES shingles each."""
     most = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("tokens") / BLOCK_SHINGLES)
-    blocks = clusters.groupBy("component").agg(F.ceil(most).cast("int").alias("blocks"))
-    member = clusters.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    with_text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).join(member.hint("merge"), F.col("doc_id") == F.col("id"))
+    size = clusters.groupBy("component").agg(F.ceil(most).cast("int").alias("blocks"), F.count(F.lit(1)).alias("times"))
+    return join_keyed(clusters, size, "component", clusters.count()).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def linked(sets: DataFrame, members: DataFrame, across: bool, percent: int) -> DataFrame:
+    """Links (a, b) inside the blocks of members (id, component, block, blocks, known), or across each pair of blocks."""
+    at = sets.join(members.select(F.col("id").alias("doc_id"), "component", "block", "blocks", "known").hint("merge"), "doc_id")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))) if across else F.col("block")
+    at = at.select("doc_id", "found", "component", "block", "known", other.alias("beside"))
+    side = F.when(F.col("block") > F.col("beside"), 1).otherwise(0).alias("side")
+    at = at.select("doc_id", "found", "component", "known", F.least("block", "beside").alias("x"), F.greatest("block", "beside").alias("y"), side)
+    return at.groupBy("component", "x", "y").applyInArrow(verify(percent), LINKS)
+
+
+def apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members of several blocks whose cluster is not yet one group by links, with the group in known."""
+    found = components(links).select(F.col("id").alias("i"), F.col("component").alias("group"))
+    now = members.join(found, F.col("id") == F.col("i"), "left").withColumn("known", F.coalesce("group", "id")).drop("i", "group")
+    open_ = now.groupBy("component").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.count(F.lit(1)).alias("times")).where("lo <> hi").select("component", "times")
+    return cut(join_keyed(now, open_, "component", members.count()))
+
+
+def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what links among the documents of each cluster (id, component, tokens).
+
+    No task holds more than two blocks. Clusters of one block are done after it; of larger ones, one member of each group
+    that the blocks gave is compared next, so that a large group of copies needs no pair of blocks; groups of one cluster
+    that are still apart are compared in all pairs of its blocks."""
+    members = cut(in_blocks(clusters).withColumn("known", F.col("id")))
+    with_text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).join(members.select("id").hint("merge"), F.col("doc_id") == F.col("id"))
 
-    def sets(batches):
+    def sets_of(batches):
         for batch in batches:
             found = [shingles(t or b"", size).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *(batch.column(i) for i in (2, 3, 4))], ["doc_id", "found", "component", "blocks", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "found"])
 
-    found = with_text.select("doc_id", "text", "component", "blocks", "block").mapInArrow(sets, "doc_id long, found binary, component long, blocks int, block int").where("length(found) > 0")
-    beside = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = found.select("doc_id", "found", "component", "block", beside.alias("beside"))
-    paired = paired.select("doc_id", "found", "component", F.least("block", "beside").alias("x"), F.greatest("block", "beside").alias("y"), F.when(F.col("block") > F.col("beside"), 1).otherwise(0).alias("side"))
-    return paired.groupBy("component", "x", "y").applyInArrow(verify(percent), LINKS)
+    sets = with_text.select("doc_id", "text").mapInArrow(sets_of, "doc_id long, found binary").where("length(found) > 0")
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return cut(linked(sets, members, False, percent))
+    sets = cut(sets)
+    links = cut(linked(sets, members, False, percent))
+    rest = apart(large, links)
+    of_group = rest.groupBy("component", "known").agg(F.min("id").alias("id")).join(rest.select("id", "tokens"), "id")
+    links = cut(links.union(linked(sets, in_blocks(of_group.select("id", "component", "tokens", "known")), False, percent)))
+    return cut(links.union(linked(sets, apart(rest, links), True, percent)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -387,37 +424,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Words are runs of other than ASCII white space with A to Z lower-cased; a set has the distinct shingles of size
     words, or the whole sequence if there are fewer, and is empty without words or text. Two documents link when their
     sets are not empty and 100 * intersection >= percent * union; component_id is the smallest doc_id that links reach.
-    Documents without shingles link with nothing. Rows that share a doc_id count as one document with several sets; rows
+    Documents without shingles link with nothing. A very long text is one set, held at once. Rows that share a doc_id count as one document with several sets; rows
     without a doc_id link with nothing and have a null component_id. Other columns are not read; an empty table gives an
     empty result.
     """
-    spark = docs.sparkSession
-    parts = shards(spark)
     known = cut(sketches(docs, size, percent, count_rarity(docs, size)))
     real = known.where("doc_id is not null and n > 0")
-    classes = real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("prefix").alias("prefix"))
-    sent = classes.select("rep", "n", "point", "prefix").mapInArrow(send_prefixes(parts), SENT)
+    classes = known.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("prefix").alias("prefix"))
+    classes = cut(classes)
+    total = known.where("n > 0").count()
+    sent = classes.where("rep is not null").select("rep", "n", "point", "prefix").mapInArrow(send_prefixes(shards(docs.sparkSession)), SENT)
     maybe = components(sent.groupBy("bucket").applyInArrow(candidates(percent), LINKS))
-    maybe = maybe.join(real.groupBy("doc_id").agg(F.sum("n").alias("tokens")), F.col("id") == F.col("doc_id")).drop("doc_id")
-    links = cut(verified_links(docs.where("doc_id is not null"), maybe, size, percent))
-    same_id = real.groupBy("set_hash").agg(F.min("doc_id").alias("rep")).join(real.select("set_hash", "doc_id"), "set_hash").where("rep < doc_id")
+    maybe = cut(maybe.join(real.groupBy("doc_id").agg(F.sum("n").alias("tokens")), F.col("id") == F.col("doc_id")).drop("doc_id"))
+    links = verified_links(docs.where("doc_id is not null"), maybe, size, percent)
     repeated = real.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo <> hi").select("doc_id")
-    bridges = same_id.join(repeated, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.union(bridges))
-    rep = real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    by_set = rep.join(found, F.col("rep") == F.col("id"), "left").select(F.col("set_hash").alias("s"), F.coalesce("component", "rep").alias("component_id"))
-    out = known.join(by_set, F.col("set_hash") == F.col("s"), "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    bridges = real.join(repeated, "doc_id").select("set_hash", "doc_id").join(classes.select("set_hash", "rep"), "set_hash")
+    found = components(links.union(bridges.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
+    by_set = classes.select("set_hash", "rep", "times").join(found, F.col("rep") == F.col("id"), "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"), "times")
+    out = join_keyed(known.where("n > 0").select("doc_id", "n", "set_hash"), by_set, "set_hash", total)
+    own = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return own.union(known.where("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id"))
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component: those whose doc_id is its smallest, and
-    rows without a doc_id."""
+    """The rows of docs, with all their columns whatever their names, that stand for their component: those whose doc_id is
+    its smallest, and rows without a doc_id. Of rows that share the doc_id all stay."""
     found = near_duplicates(docs.select("doc_id", "text"), size, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    return packed.join(gone.hint("merge"), F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op8_near_duplicates(spark, sf_dir):
+    """Size of its set and component of each document, with four words and a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)

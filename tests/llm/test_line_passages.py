@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tessera.llm import lines
 
 
@@ -44,3 +46,21 @@ def test_passages_equal_brute_force(spark):
     rows = lines.dedup_passages(df).collect()
     assert sorted(((r["doc_id"], r["text"], r["line_removed"]) for r in rows), key=str) == brute_passages(docs)
     assert lines.dedup_passages(df.limit(0)).count() == 0
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(lines, "chunk_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(3)))
+    rng = random.Random(6)
+    docs = [(i, "\n".join(f"line {rng.randrange(25)}" for _ in range(9))) for i in range(40)]
+    rows = lines.dedup_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"], r["line_removed"]) for r in rows), key=str) == brute_passages(docs)
+
+
+def test_a_heavy_chunk_and_clashing_names(spark):
+    """One passage stands in every document; columns with the names that the operator uses itself stay as they are."""
+    docs = [(i, f"own {i}\nhead\nfoot\nend {i}", i, i, i, i) for i in range(3000)]
+    got = lines.dedup_passages(spark.createDataFrame(docs, "doc_id long, text string, row long, drop long, line_count long, hash long"))
+    assert got.columns == ["doc_id", "text", "row", "drop", "line_count", "hash", "dedup_line_count", "line_removed"]
+    rows = got.collect()
+    assert all(r["row"] == r["drop"] == r["line_count"] == r["hash"] == r["doc_id"] and r["dedup_line_count"] == 4 for r in rows)
+    assert [r["doc_id"] for r in rows if "head" in r["text"]] == [0] and sum(r["line_removed"] for r in rows) == 2 * 2999

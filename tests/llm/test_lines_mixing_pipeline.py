@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
+from test_line_passages import brute_passages
 
 import corpus_pipeline
 from tessera.llm import decontaminate, lines, mixing, neardup, queries
@@ -132,7 +134,7 @@ def test_pipeline_stage_by_stage(spark, small):
             toxic = {i for i in texts if i is not None and i < 300 and i % 6 == 0}
             assert len(gone & toxic) >= 0.95 * len(toxic) and not gone - toxic
         if name == "line_dedup":
-            assert not gone and {(r["doc_id"], r["text"]) for r in kept[name].values()} == set(brute_lines([(r["doc_id"], r["text"]) for r in before]))
+            assert not gone and {(r["doc_id"], r["text"]) for r in kept[name].values()} == {x[:2] for x in brute_passages([(r["doc_id"], r["text"]) for r in before])}
         if name == "near_duplicates":
             found = neardup.near_duplicates(spark.createDataFrame([(r["doc_id"], r["text"]) for r in before], "doc_id long, text string")).collect()
             assert gone == {r["doc_id"] for r in found if r["doc_id"] is not None and r["doc_id"] != r["component_id"]}
@@ -141,3 +143,34 @@ def test_pipeline_stage_by_stage(spark, small):
             hit = decontaminate.find_passages(spark.createDataFrame([(r["doc_id"], r["text"]) for r in before], "doc_id long, text string"), bench)
             assert gone == {r["doc_id"] for r in hit.where("size(runs) > 0").collect()} and 7 in gone
     assert {r["copies"] for r in kept["mixing"].values()} <= {1, 2} and 1002 in kept["decontamination"]
+
+
+CLASHING = "s whole prefix closes target source_size mix_hash mix_size copies taken row drop d t id th count lost marks hash line_count line_removed _gone component_id n_shingles score toxic items runs n_words".split()
+
+
+def test_clashing_names_pass_the_pipeline_unchanged(spark, small, tmp_path):
+    root, _ = small
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    docs.select("*", *(F.concat(F.lit(f"{c} "), F.coalesce("doc_id", F.lit(-1))).alias(c) for c in CLASHING)).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{root}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    plain = corpus_pipeline.run(spark, root)
+    assert out.columns == [*docs.columns, *CLASHING, "mix_mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken"]
+    got = out.collect()
+    assert all(r[c] == f"{c} {-1 if r['doc_id'] is None else r['doc_id']}" for r in got for c in CLASHING)
+    key = lambda r, *names: tuple(str(r[n]) for n in ("doc_id", "text", "n_chars", *names))
+    assert sorted(key(r, "mix_copies", "mix_taken") for r in got) == sorted(key(r, "copies", "taken") for r in plain.collect()) != []
+
+
+def test_pipeline_on_empty_tables(spark, small, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{small[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "text", "lang", "source", "n_chars", "mix_size", "source_size", "target", "copies", "taken"]
+
+
+def test_very_long_text_and_repeated_rows_in_the_mix(spark):
+    docs = [(1, "w " * 400_000, "a"), (2, "w " * 10, "a"), (2, "w " * 10, "a"), (3, None, "b")]
+    got = mixing.mix_documents(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert {(r["doc_id"], r["mix_size"], r["copies"]) for r in got if r["doc_id"] != 3} <= {(1, 400_000, 1), (1, 400_000, 2), (2, 10, 1), (2, 10, 2)} and sum(r["doc_id"] == 2 for r in got) in (0, 2)
