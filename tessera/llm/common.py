@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,11 @@ def drop_cut(*cuts: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it inside another lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def free_name(taken: list[str], name: str, prefix: str) -> str:
     """name, or with as many prefixes as it takes not to clash with a column in taken (upper and lower case are one)."""
     low = {c.lower() for c in taken}
@@ -61,19 +66,22 @@ def free_name(taken: list[str], name: str, prefix: str) -> str:
     return name
 
 
-#: A key that holds more than this share (one in so many) of all rows is heavy; there are at most so many heavy keys.
-HEAVY = 1024
+#: A key is heavy if it holds more than one in HEAVY of all rows, and more than LIGHT rows; at most HEAVY keys can be.
+HEAVY, LIGHT = 1024, 1000
 
 
 def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
     """rows joined by key with keyed, which has one row a key and in times how many of rows, total in all, hold it.
 
     Heavy keys (at most HEAVY rows of keyed, so a broadcast of bounded size) never gather in one task: their rows stay
-    where they are. All others are joined by sort-merge, and no key there has more than one in HEAVY of all rows."""
-    heavy = F.col("times") * HEAVY > total
-    hot = keyed.where(heavy).drop("times")
+    where they are. All others are joined as the optimizer likes; no key there has more than one in HEAVY of all rows."""
+    keyed = cut(keyed)
+    heavy = (F.col("times") * HEAVY > total) & (F.col("times") > LIGHT)
+    hot, rest = keyed.where(heavy).drop("times"), keyed.where(~heavy).drop("times")
+    if hot.isEmpty():
+        return rows.join(rest, key)
     usual = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(usual.join(keyed.where(~heavy).drop("times").hint("merge"), key))
+    return rows.join(F.broadcast(hot), key).unionByName(usual.join(rest, key))
 
 
 # --- hashing of bytes in numpy -------------------------------------------------------------------------------------
@@ -142,13 +150,13 @@ def components(links: DataFrame) -> DataFrame:
     while n:
         both = edge.union(edge.select("hi", "lo")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("times"))
-        large = join_keyed(both, low, "u", 2 * n).where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi")
+        large = cut(join_keyed(both, low, "u", 2 * n).where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi"))
         small_low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("times"))
         joined = join_keyed(large, small_low, "hi", n)
         small = joined.select(F.col("m").alias("lo"), "hi").union(joined.select(F.col("m").alias("lo"), F.col("lo").alias("hi"))).where("lo < hi").distinct()
         new = cut(small)
         state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        drop_cut(edge)
+        drop_cut(edge, large)
         edge, n = new, state[0]
         if state == before:
             break
