@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, free_name, join_keyed, table
+from tessera.llm.common import cut, free_name, join_keyed, let, table
 
 #: Lines in the shortest chunk that is removed.
 LEAST_LINES = 2
@@ -24,11 +24,6 @@ LAST = 2**63 - 1
 THIS, PREVIOUS, MODULUS = 31, 17, 1_000_003
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once, also where body uses it inside another lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 

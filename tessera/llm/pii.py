@@ -1,19 +1,24 @@
 """Personal data by weak supervision: regex, gazetteer and context labelers vote on candidate spans.
 
-Expectation-maximisation over the counts of vote patterns (Dawid and Skene) estimates how reliable each labeler is and
-how likely each pattern is personal data; a logistic span classifier is trained on those likelihoods and decides. The
-counts cover all documents; they are few (kinds times vote patterns), so the driver fits both models on them. Spans of
-the four base kinds are kept whatever the classifier says. Only DataFrame functions run on the executors.
+Candidates are the matches of the base kinds, base matches that fail their check by a little (kinds ending in _like), and
+those of some more kinds. Expectation-maximisation over the counts of vote patterns (Dawid and Skene) estimates how
+reliable each labeler is and how likely each pattern is personal data. A logistic span classifier, which sees not the
+votes but the span (kind, length, digits, separators, check, characters and cue words on both sides), is trained on those
+likelihoods and decides: it settles what the votes leave open and overrules them where spans of the same make speak
+against them. Counts cover all documents; their number is bounded by the number of patterns, so the driver fits both
+models on them. Spans of the four base kinds are kept whatever the classifier says. Only DataFrame functions run on the
+executors.
 """
 
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, let, table
 
 # Kinds in the order in which they are listed and their patterns. Quantifiers are possessive and starts
 # are anchored only where that cannot change a match; both keep the scan linear on long runs of one character class.
@@ -29,7 +34,12 @@ MORE = {
     "local_phone": r"(?<![0-9+)(.\x20-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?",
 }
-KINDS = {**BASE, **MORE}
+PATTERNS = {**BASE, **MORE}
+#: Kinds in the order of their ranks; those in LIKE are matches of a base kind that fail its check.
+LIKE = {"ip_like": "ip", "card_like": "card", "phone_like": "phone"}
+KINDS = [*BASE, *MORE, *LIKE]
+#: What stands around each match while a text is taken apart, and what it is replaced by before; no pattern matches either.
+MARK, STAND_IN = "\uffff", "\ufffe"
 #: What a text must hold for a kind's pattern to be tried; cheap and never stricter than the pattern.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "national_id": r"[0-9]-[0-9]{2}-[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "local_phone": r"[0-9]{3}[.-][0-9]{4}", "person": r"Mr|Ms|Dr|Prof"}
 IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
@@ -86,7 +96,7 @@ def mod97(x: Column) -> Column:
 
 
 def strict(kind: str, found: Column) -> Column | None:
-    """The condition that a match must meet beside its pattern: base kinds drop what fails, other kinds vote by it."""
+    """The check that a match must meet beside its pattern: base kinds drop what fails, other kinds vote by it."""
     digits = digits_of(found)
     return {
         "ip": lambda: found.rlike(IP_PARTS),
@@ -97,43 +107,119 @@ def strict(kind: str, found: Column) -> Column | None:
     }.get(kind, lambda: None)()
 
 
+def fails_by_little(kind: str, found: Column) -> Column:
+    """Whether a match of a base kind that fails its check is a candidate of the kind that is like it."""
+    n = F.length(digits_of(found))
+    return {"ip": found.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "card": n.between(13, 19), "phone": n.between(7, 17)}[kind]
+
+
+def begins(lengths: Column) -> Column:
+    """The sum of what is before each of lengths, array<long>: sums of blocks of about sqrt(n), then of places in a block,
+    since a fold that appends to an array copies it each time."""
+    none = F.expr("cast(array() as array<long>)")
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(lengths)))).cast("int")
+
+    def scan(a: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("list"))
+        return F.aggregate(a, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["list"], F.array(acc["at"])).alias("list")), lambda acc: acc["list"])
+
+    def of(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / n).cast("int")), lambda i: F.slice(lengths, i * n + 1, n))
+
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    placed = lambda b: F.flatten(F.zip_with(b, scan(F.transform(b, total)), lambda a, at: F.transform(scan(a), lambda x: x + at)))
+    return let(let(step, of), placed)
+
+
 def candidates(text: Column, kind: str) -> Column:
-    """All matches of a kind's pattern, leftmost and not overlapping: array of (found, start, end, before) in code points.
+    """All matches of a kind's pattern, leftmost and not overlapping: array of (found, start, end, before, after) in code points.
 
-    Splitting at the pattern gives what lies between the matches, so the lengths of both give the places.
-    """
-    none = F.expr("cast(array() as array<struct<found:string,start:long,end:long,before:string>>)")
-    between, found = F.split(text, KINDS[kind], -1), F.regexp_extract_all(text, F.lit(KINDS[kind]), F.lit(0))
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("list"))
+    One pass of the pattern puts a mark around each match; what lies between the marks is by turns text and match, and
+    the lengths of all give the places. A character in the text that is the mark counts as another that matches nothing."""
+    none = F.expr("cast(array() as array<struct<found:string,start:long,end:long,before:string,after:string>>)")
+    marked = F.regexp_replace(F.translate(text, MARK, STAND_IN), PATTERNS[kind], f"{MARK}$0{MARK}")
+
+    def items(p: Column) -> Column:
+        def at(starts: Column, i: Column) -> Column:
+            found, start = F.element_at(p, 2 * i), F.element_at(starts, 2 * i)
+            return F.struct(found.alias("found"), start.alias("start"), (start + F.length(found)).alias("end"), F.right(F.element_at(p, 2 * i - 1), F.lit(AROUND)).alias("before"), F.left(F.element_at(p, 2 * i + 1), F.lit(AROUND)).alias("after"))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["found"])
-        item = F.struct(x["found"].alias("found"), begin.alias("start"), end.alias("end"), F.right(x["gap"], F.lit(AROUND)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["list"], F.array(item)).alias("list"))
+        number = ((F.size(p) - 1) / 2).cast("int")
+        lengths = F.transform(p, lambda x: F.length(x).cast("long"))
+        return F.when(number > 0, let(let(lengths, begins), lambda starts: F.transform(F.sequence(F.lit(1), number), lambda i: at(starts, i)))).otherwise(none)
 
-    zipped = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, f: F.struct(gap.alias("gap"), f.alias("found")))
-    return F.when(text.rlike(NEEDS[kind]), F.aggregate(zipped, start, add, lambda acc: acc["list"])).otherwise(none)
+    return F.when(text.rlike(NEEDS[kind]), let(F.split(marked, MARK, -1), items)).otherwise(none)
 
 
 def vote(yes: Column, no: Column) -> Column:
     return F.when(yes & ~no, "1").when(no, "0").otherwise("-")
 
 
-def labeled(kind: str, spans: Column) -> Column:
-    """(kind, rank, start, end, votes) for candidates that pass; votes has a character a labeler: 1, 0 or - for none."""
-    passes = strict(kind, F.lit("")) is not None
-    if kind in BASE and passes:
-        spans = F.filter(spans, lambda s: strict(kind, s["found"]))
+# --- features of a span -------------------------------------------------------------------------------------------
+
+#: Features of a span by name: how many values each has. A span has one value of each.
+VALUES = {"kind": len(KINDS), "length": 4, "digits": 3, "separators": 2, "run": 2, "check": 3, "left": 5, "right": 5, "before": 3, "after": 3}
+FIRST = {name: 1 + sum(list(VALUES.values())[:i]) for i, name in enumerate(VALUES)}  # place of a feature's first weight; 0 is the constant
+
+
+def side(x: Column) -> Column:
+    """What stands beside a span: nothing, white space, a letter, a digit, or another sign."""
+    return F.when(x == "", 0).when(x.rlike(r"^\s$"), 1).when(x.rlike(r"^\p{L}$"), 2).when(x.rlike(r"^[0-9]$"), 3).otherwise(4)
+
+
+def span_features(kind: str, like: str, s: Column, check: Column) -> Column:
+    """array<int>: the places of a span's features among the weights."""
+    n, digits = F.length(s["found"]), F.length(digits_of(s["found"]))
+    of_vote = lambda v: F.when(v == "-", 0).when(v == "1", 1).otherwise(2)
+    cues = lambda where: of_vote(vote(s[where].rlike(CUES[like][0]), s[where].rlike(CUES[like][1])))
+    value = {
+        "kind": F.lit(KINDS.index(kind)),
+        "length": F.when(n <= 10, 0).when(n <= 15, 1).when(n <= 20, 2).otherwise(3),
+        "digits": F.when(digits * 10 < n * 3, 0).when(digits * 10 < n * 8, 1).otherwise(2),
+        "separators": s["found"].rlike(r"[\x20().-]").cast("int"),
+        "run": s["found"].rlike(r"([0-9])\1{4}").cast("int"),
+        "check": of_vote(check),
+        "left": side(F.right(s["before"], F.lit(1))),
+        "right": side(F.left(s["after"], F.lit(1))),
+        "before": cues("before"),
+        "after": cues("after"),
+    }
+    return F.array(*((value[name] + FIRST[name]).cast("int") for name in VALUES))
+
+
+def labeled(kind: str, found: Column) -> Column:
+    """(start, rank, end, kind, votes, features) for matches of a kind; votes has a character a labeler: 1, 0 or - for none.
+
+    A base kind has the matches that meet its check, the kind like it those that fail it by a little."""
+    like = LIKE.get(kind, kind)
+    has_check = strict(like, F.lit("")) is not None
+    if kind in LIKE:
+        found = F.filter(found, lambda s: ~strict(like, s["found"]) & fails_by_little(like, s["found"]))
+    elif kind in BASE and has_check:
+        found = F.filter(found, lambda s: strict(kind, s["found"]))
 
     def label(s: Column) -> Column:
-        good = F.lit(True) if kind in BASE else strict(kind, s["found"]) if passes else F.lit(False)
-        regex = F.when(good, "1").otherwise("0" if passes else "-")
-        lists = vote(s["found"].rlike(GAZETTEER[kind][0]), s["found"].rlike(GAZETTEER[kind][1]))
-        cues = vote(s["before"].rlike(CUES[kind][0]), s["before"].rlike(CUES[kind][1]))
-        return F.struct(F.lit(list(KINDS).index(kind)).alias("rank"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.concat(regex, lists, cues).alias("votes"))
+        check = F.lit("0") if kind in LIKE else F.lit("1") if kind in BASE else F.when(strict(kind, s["found"]), "1").otherwise("0") if has_check else F.lit("-")
+        lists = vote(s["found"].rlike(GAZETTEER[like][0]), s["found"].rlike(GAZETTEER[like][1]))
+        cues = vote(s["before"].rlike(CUES[like][0]), s["before"].rlike(CUES[like][1]))
+        return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.concat(check, lists, cues).alias("votes"), span_features(kind, like, s, check).alias("features"))
+
+    return F.transform(found, label)
+
+
+def all_labeled(kinds: list[str], found: Column) -> Column:
+    return F.concat(*(labeled(k, found) for k in kinds))
+
 
-    return F.transform(spans, label)
+def spans_of(text: Column) -> Column:
+    """All candidates of a text by start and rank; a base kind's pattern runs once for the kind and the one like it."""
+    parts = []
+    for kind in PATTERNS:
+        parts.append(let(candidates(text, kind), partial(all_labeled, [kind, *(k for k, of in LIKE.items() if of == kind)])))
+    return F.array_sort(F.concat(*parts))
+
+
+# --- models -------------------------------------------------------------------------------------------------------
 
 
 def reliabilities(counts: dict[tuple[str, str], int], rounds: int = 60) -> tuple[dict, dict]:
@@ -160,52 +246,68 @@ def reliabilities(counts: dict[tuple[str, str], int], rounds: int = 60) -> tuple
     return belief, rates
 
 
-def features(kind: str, votes: str) -> list[float]:
-    return [1.0, *(float(kind == k) for k in KINDS), *(float(v == w) for v in votes for w in "10")]
+#: Beliefs are summed as whole numbers of this fraction, so that sums do not depend on the order of rows.
+UNIT = 1_000_000
 
 
-def span_classifier(counts: dict[tuple[str, str], int], belief: dict, steps: int = 400, rate: float = 1.0, shrink: float = 1e-3) -> dict[str, float]:
-    """The probability, by kind and votes, of a logistic classifier trained on beliefs, for every pattern that can occur."""
-    rows = [(features(*key), belief[key], n) for key, n in sorted(counts.items())]
-    total, w = sum(n for *_, n in rows) or 1, [0.0] * len(features("email", "---"))
-    score = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x, strict=True))))))
+def span_classifier(patterns: list[tuple[tuple[int, ...], int, int]], steps: int = 300, shrink: float = 1.0) -> list[float]:
+    """Weights of a logistic classifier from (features, spans that have them, sum of their beliefs in UNIT): Newton steps
+    weight by weight, damped by the number of features, towards the maximum of the likelihood less shrink * |w|^2 / 2."""
+    w = [0.0] * (1 + sum(VALUES.values()))
+    rows = [((0, *f), n, total / UNIT) for f, n, total in sorted(patterns)]
     for _ in range(steps if rows else 0):
-        g = [shrink * a for a in w]
-        for x, y, n in rows:
-            e = (score(x) - y) * n / total
-            g = [a + e * b for a, b in zip(g, x, strict=True)]
-        w = [a - rate * b for a, b in zip(w, g, strict=True)]
-    return {f"{k}:{a}{b}{c}": score(features(k, a + b + c)) for k in KINDS for a in "10-" for b in "10-" for c in "10-"}
+        g, h = [-shrink * a for a in w], [shrink] * len(w)
+        for f, n, total in rows:
+            p = chance(w, f)
+            for i in f:
+                g[i] += total - n * p
+                h[i] += n * p * (1 - p)
+        w = [a + x / (y * len(VALUES)) for a, x, y in zip(w, g, h, strict=True)]
+    return w
+
+
+def chance(w: list[float], features: tuple[int, ...]) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[i] for i in features)))))
 
 
 def find_personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores) for each row of docs (doc_id, text).
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores, n_added, n_rejected, n_overruled) for each row of
+    docs (doc_id, text).
 
     spans lists kind:start:end in code points, by start and then kind: base spans, and those of other kinds to which the
-    classifier gives at least the probability least; scores has the probabilities. Null and empty texts have none. A
-    repeated row or doc_id gives a row each time; other columns are not read; an empty table gives an empty result.
+    classifier gives at least the probability least; scores has the probabilities. n_added counts spans of other kinds,
+    n_rejected candidates that the classifier did not take, n_overruled decisions of it that go against the majority of
+    the votes or settle a tie. Null and empty texts have none. A very long text is one value, scanned once a pattern; its
+    matches are held at once. A repeated row or doc_id gives a row each time; other columns are not read; an empty table
+    gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
     x = docs.select("doc_id", F.when(text.rlike("[0-9@]|Mr|Ms|Dr|Prof"), text).alias("text"))  # no candidate without one of these
-    none = F.expr("cast(array() as array<struct<rank:int,kind:string,start:long,end:long,votes:string>>)")
-    spans = F.array_sort(F.concat(*(labeled(k, candidates(F.col("text"), k)) for k in KINDS)), by_start)
-    x = cut(x.select("doc_id", F.coalesce(F.when(F.col("text").isNotNull(), spans), none).alias("spans")))
-    counted = x.where("size(spans) > 0").select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").count().collect()
-    counts = {(r["kind"], r["votes"]): r["count"] for r in counted}  # kinds times vote patterns rows at most
-    chance = span_classifier(counts, reliabilities(counts)[0])
-    known = F.create_map(*(F.lit(v) for kv in chance.items() for v in kv))
-    score = lambda s: F.element_at(known, F.concat(s["kind"], F.lit(":"), s["votes"]))
-    kept = F.filter("spans", lambda s: (s["rank"] < len(BASE)) | (score(s) >= least))
-    x = x.withColumn("spans", F.when(F.size("spans") > 0, kept).otherwise(F.col("spans")))
+    none = F.expr("cast(array() as array<struct<start:long,rank:int,end:long,kind:string,votes:string,features:array<int>>>)")
+    x = cut(x.select("doc_id", F.coalesce(F.when(F.col("text").isNotNull(), spans_of(F.col("text"))), none).alias("spans")))
+    every = x.where("size(spans) > 0").select(F.explode("spans").alias("s"))
+    counts = {(r["kind"], r["votes"]): r["count"] for r in every.groupBy("s.kind", "s.votes").count().collect()}  # kinds times 27 rows at most
+    belief = reliabilities(counts)[0]
+    known = F.create_map(*(F.lit(v) for (kind, votes), b in sorted(belief.items()) for v in (f"{kind}:{votes}", round(b * UNIT)))) if belief else None
+    made = every.groupBy("s.features").agg(F.count(F.lit(1)).alias("n"), F.sum(F.element_at(known, F.concat("s.kind", F.lit(":"), "s.votes"))).alias("b")).collect() if belief else []
+    w = span_classifier([(tuple(r["features"]), r["n"], r["b"]) for r in made])  # one row for each combination of features that occurs
+    weights = F.array(*map(F.lit, w))
+    logit = lambda s: F.aggregate(s["features"], F.lit(w[0]), lambda a, i: a + F.element_at(weights, i + 1))
+    scored = F.transform("spans", lambda s: s.withField("score", 1 / (1 + F.exp(-logit(s)))))
+    x = x.withColumn("spans", F.when(F.size("spans") > 0, scored).otherwise(F.expr("cast(array() as array<struct<start:long,rank:int,end:long,kind:string,votes:string,features:array<int>,score:double>>)")))
+    kept = F.filter("spans", lambda s: (s["rank"] < len(BASE)) | (s["score"] >= least))
+    ayes = lambda s, v: F.length(s["votes"]) - F.length(F.replace(s["votes"], F.lit(v), F.lit("")))
+    sign = lambda s: F.signum(ayes(s, "1") - ayes(s, "0"))
+    settled = F.filter("spans", lambda s: (s["rank"] >= len(BASE)) & (sign(s) != F.when(s["score"] >= least, 1).otherwise(-1)))
     text_of = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return x.select("doc_id", *map(count, BASE), F.sha2(text_of(base).cast("binary"), 256).alias("base_sha256"), text_of(F.col("spans")).alias("spans"), F.transform("spans", score).alias("scores"))
-
-
-def by_start(a: Column, b: Column) -> Column:
-    return F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0))
+    x = x.select("doc_id", "spans", kept.alias("kept"), settled.alias("settled"))
+    base = F.filter("kept", lambda s: s["rank"] < len(BASE))
+    count = lambda k: F.size(F.filter("kept", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    others = (F.size("kept") - F.size(base)).cast("long").alias("n_added")
+    rest = ((F.size("spans") - F.size("kept")).cast("long").alias("n_rejected"), F.size("settled").cast("long").alias("n_overruled"))
+    return x.select("doc_id", *map(count, BASE), F.sha2(text_of(base).cast("binary"), 256).alias("base_sha256"), text_of(F.col("kept")).alias("spans"), F.transform("kept", lambda s: s["score"]).alias("scores"), others, *rest)
 
 
 def op10_personal_data(spark, sf_dir):
+    """Personal data in all documents: counts and digest of base spans, all spans, and what the classifier decided."""
     return find_personal_data(table(spark, sf_dir, "documents")).drop("scores")
