@@ -1,142 +1,218 @@
-"""Exact top-k search by inner product in three phases with one threshold a query.
-
-Components become integers floor(scale * x). Candidates are packed into blocks, each of which scores a block of queries.
-Phase 1: every block gathers the exact scores of the k candidates that look best on the leading components.
-Phase 2: the k-th best of all gathered scores is a query's cutoff, sent back to every block; a block keeps what could
-still reach it: the partial score plus the largest possible rest (Cauchy-Schwarz) is at least the cutoff.
-Phase 3: the rest of the score is resolved for those alone, and the k best of all blocks are the result.
+"""Exact top-k search by inner product in three phases with one uniform threshold a query.
+
+Components become integers floor(scale * x). A score is the sum of LISTS local scores, one for each slice of the
+components. Candidates are packed into blocks; blocks of queries and of candidates meet in cells of a grid.
+Phase 1 gathers, from every block, the k best entries of each local score list of a query, with their whole scores; the
+k-th best of what all blocks gathered is a cutoff that no result can be below.
+Phase 2 sends every block the cutoffs of its queries: whoever reaches a cutoff has at least one local score of cutoff /
+LISTS or more, so the entries of the local lists that reach this uniform threshold are sufficient, and are collected.
+Phase 3 resolves the scores that the collected entries lack, unless the norms of the slices rule them out, and the k best
+of all blocks are the result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, shards, table
-
-#: Rows in a block of candidates and of queries; with the number of components they bound what a task holds.
-CANDIDATES, QUERIES = 8192, 1024
-
-
-def pack(vectors: DataFrame, rows: int, parts: int) -> DataFrame:
-    """(block, dims, n, ids, data) with at most rows vectors each, of equal length, from (id, v array<double> of integers)."""
-
-    def blocks(batches):
-        held: dict[int, list] = {}
-
-        def out(dims, part):
-            ids, values = (np.concatenate(x) for x in zip(*part, strict=True))
-            for at in range(0, len(ids), rows):
-                i, v = ids[at : at + rows], values[at : at + rows]
-                yield pa.RecordBatch.from_pylist([{"dims": dims, "ids": i.tolist(), "data": v.astype(np.float64).tobytes()}], schema)
-
-        schema = pa.schema([("dims", pa.int32()), ("ids", pa.list_(pa.int64())), ("data", pa.binary())])
-        for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(1)
-            lengths = np.diff(lists.offsets.to_numpy())
-            flat, begin = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for dims in np.unique(lengths).tolist():
-                which = np.flatnonzero(lengths == dims)
-                held.setdefault(dims, []).append((ids[which], flat[begin[which][:, None] + np.arange(dims)] if dims else np.zeros((len(which), 0))))
-                if sum(len(x[0]) for x in held[dims]) >= rows:
-                    yield from out(dims, held.pop(dims))
-        for dims, part in held.items():
-            yield from out(dims, part)
-
-    dealt = vectors.repartition(parts, "id").mapInArrow(blocks, "dims int, ids array<long>, data binary")
-    return dealt.withColumn("block", F.element_at("ids", 1))  # every id is in one block only
-
+from tessera.llm.common import cut, table
 
-def opened(row: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.array(row[f"{name}_ids"], np.int64)
-    return ids, np.frombuffer(row[f"{name}_data"], np.float64).reshape(len(ids), row["dims"])
+#: Rows in a block of candidates and of queries, and blocks of either in a cell; with the number of components they bound
+#: what a task holds.
+CANDIDATES, QUERIES, IN_CELL = 8192, 256, 4
+#: Local score lists of a query.
+LISTS = 4
+#: Sums below this are exact as doubles.
+EXACT = float(2**53)
+LONG = 2**63 - 1
 
+BLOCK = "dims int, block string, uids binary, ids binary, asks binary, data binary"
 
-def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids; score may hold -inf for what takes no part."""
-    real = np.flatnonzero(score > -np.inf)
-    if len(real) > k:
-        least = np.partition(score[real], len(real) - k)[len(real) - k]
-        real = real[score[real] >= least]
-    return real[np.lexsort((ids[real], -score[real]))[:k]]
 
+def blocks_of(rows: int, asking: bool, scale: int):
+    """Packs vectors (id, embedding, asks), or the asking vectors of packed blocks, into blocks of at most rows each."""
 
-def pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Each block of queries beside each block of candidates with as many components: the stated query set against all rows."""
-    q = queries.select("dims", *(F.col(c).alias(f"q_{c}") for c in ("block", "ids", "data")))
-    c = candidates.select("dims", *(F.col(c).alias(f"c_{c}") for c in ("ids", "data")))
-    asked = q.groupBy("dims").agg(F.collect_list("q_block").alias("q_block"))
-    return c.join(asked, "dims").withColumn("q_block", F.explode("q_block")).join(q, ["dims", "q_block"])
+    def whole(x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.floor(np.clip(x * scale, -np.finfo(float).max, np.finfo(float).max))
 
+    def out(part: list[tuple], dims: int, name: str):
+        uids, ids, asks, values = (np.concatenate(x) for x in zip(*part, strict=True))
+        cells = [pa.array([x], k) for x, k in ((dims, pa.int32()), (name, pa.string()), *((np.ascontiguousarray(v).tobytes(), pa.binary()) for v in (uids, ids, asks, values)))]
+        return pa.RecordBatch.from_arrays(cells, [f.split()[0] for f in BLOCK.split(", ")])
 
-OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    def vectors(batch, first: int):
+        ids, lists, asks = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+        begin, flat, uids = lists.offsets.to_numpy(), lists.values.to_numpy(), first + np.arange(len(ids))
+        lengths = np.diff(begin)
+        for dims in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == dims)
+            yield dims, (uids[at], ids[at], asks[at].astype(bool), whole(flat[begin[at][:, None] + np.arange(dims)].reshape(len(at), dims)))
 
+    def opened_asking(batch, first: int):
+        for row in batch.to_pylist():
+            uids, ids, asks, values = opened(row)
+            yield row["dims"], (uids[asks], ids[asks], asks[asks], values[asks])
 
-def phase_one(k: int):
-    def gather(batches):
+    def pack(batches):
+        held: dict[int, list] = {}
+        here, number, first = TaskContext.get().partitionId(), 0, TaskContext.get().partitionId() << 36
         for batch in batches:
-            for row in batch.to_pylist():
-                (qi, qv), (ci, cv) = opened(row, "q"), opened(row, "c")
-                head = max(1, row["dims"] // 2)
-                part = qv[:, :head] @ cv[:, :head].T
-                part[qi[:, None] == ci[None, :]] = -np.inf
-                found = [(i, best(part[i], ci, k)) for i in range(len(qi))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, [len(j) for _, j in found])), *(pa.array(np.concatenate([x(i, j) for i, j in found]).astype(np.int64)) for x in (lambda i, j: ci[j], lambda i, j: cv[j] @ qv[i]))], schema=OUT)
+            for dims, part in (opened_asking if asking else vectors)(batch, first):
+                for at in range(0, len(part[0]), rows):
+                    piece = tuple(x[at : at + rows] for x in part)
+                    if sum(len(p[0]) for p in held.get(dims, ())) + len(piece[0]) > rows:
+                        yield out(held.pop(dims), dims, f"{here}.{(number := number + 1)}")
+                    held.setdefault(dims, []).append(piece)
+            first += len(batch)
+        for dims, parts in held.items():
+            yield out(parts, dims, f"{here}.{(number := number + 1)}")
+
+    return pack
+
+
+def opened(row: dict) -> tuple[np.ndarray, ...]:
+    uids, ids = (np.frombuffer(row[c], np.int64) for c in ("uids", "ids"))
+    return uids, ids, np.frombuffer(row["asks"], bool), np.frombuffer(row["data"], np.float64).reshape(len(ids), row["dims"])
+
+
+def slices(dims: int) -> list[slice]:
+    """The components of each local score list."""
+    edge = np.linspace(0, dims, min(LISTS, max(1, dims)) + 1).astype(int).tolist()
+    return [slice(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def local_scores(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """The local score lists of each row of q for the rows of c: exact, as doubles where no whole score can pass EXACT,
+    else as whole numbers of any size, which cost time for the large rows alone."""
+    dims = q.shape[1]
+    if dims * np.abs(q).max(initial=0.0) * np.abs(c).max(initial=0.0) < EXACT:
+        return [q[:, s] @ c[:, s].T for s in slices(dims)]
+    whole = lambda v: np.array([[int(x) for x in row] for row in v.tolist()], object).reshape(v.shape)
+    q_big, c_big = (np.abs(v).max(1, initial=0.0) >= (EXACT / dims) ** 0.5 for v in (q, c))
+    every, out = np.ones(len(c), bool), []
+    for s in slices(dims):
+        score = np.zeros((len(q), len(c)), object)
+        score[np.ix_(~q_big, ~c_big)] = (q[~q_big, s] @ c[~c_big, s].T).astype(np.int64).astype(object)
+        for rows, columns in ((q_big, every), (~q_big, c_big)):
+            if rows.any() and columns.any():
+                score[np.ix_(rows, columns)] = whole(q[rows, s]) @ whole(c[columns, s]).T
+        out.append(score)
+    return out
 
-    return gather
 
-
-def phase_two(k: int):
-    def resolve(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                (qi, qv), (ci, cv) = opened(row, "q"), opened(row, "c")
-                head = max(1, row["dims"] // 2)
-                limit = {x["query_id"]: x["cutoff"] for x in row["cutoffs"] or ()}
-                part = qv[:, :head] @ cv[:, :head].T
-                rest = np.sqrt((qv[:, head:] ** 2).sum(1))[:, None] * np.sqrt((cv[:, head:] ** 2).sum(1))[None, :]
-                cutoff = np.array([limit.get(i, -np.inf) for i in qi.tolist()], np.float64)
-                may = part + rest * (1 + 1e-9) + 1 >= cutoff[:, None]  # the slack covers rounding of the roots
-                may &= qi[:, None] != ci[None, :]
-                out = []
-                for i in range(len(qi)):
-                    j = np.flatnonzero(may[i])
-                    score = part[i, j] + cv[j, head:] @ qv[i, head:]
-                    top = best(score, ci[j], k)
-                    out.append((np.full(len(top), qi[i]), ci[j[top]], score[top].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=OUT)
-
-    return resolve
+def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to smaller ids."""
+    if score.dtype == object:
+        return np.array(sorted(range(len(score)), key=lambda i: (-score[i], ids[i]))[:k], np.int64)
+    at = np.arange(len(score))
+    if len(at) > k:
+        at = at[score >= np.partition(score, len(score) - k)[len(score) - k]]
+    return at[np.lexsort((ids[at], -score[at]))[:k]]
+
+
+FOUND = "uid long, query_id long, vec_id long, score decimal(38,0), bound long"
+
+
+def found(rows: list[tuple]) -> pa.Table:
+    """Rows (uid, query_id, vec_id, score): decimals order scores of any size, bound is the score as far as a long goes."""
+    clipped = [(u, q, v, max(-(10**38) + 1, min(10**38 - 1, s)), max(-LONG, min(LONG, s))) for u, q, v, s in rows]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.decimal128(38, 0), pa.int64())
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*clipped, strict=True) if clipped else [[]] * 5, kinds, strict=True)], names=[f.split()[0] for f in FOUND.split(", ")])
+
+
+def gather(q: tuple, c: tuple, k: int) -> list[tuple]:
+    """Phase 1: of each local score list of a query its k best entries, with their whole scores; the k best of those."""
+    (qu, qi, _, qv), (cu, ci, _, cv), out = q, c, []
+    local = local_scores(qv, cv)
+    for i in range(len(qu)):
+        others = np.flatnonzero(cu != qu[i])
+        at = np.unique(np.concatenate([others[best(x[i, others], ci[others], k)] for x in local]))
+        score = sum(x[i, at] for x in local)
+        out += [(int(qu[i]), int(qi[i]), int(ci[at[j]]), int(score[j])) for j in best(score, ci[at], k)]
+    return out
+
+
+def resolve(q: tuple, c: tuple, k: int, cutoffs: dict[int, int]) -> list[tuple]:
+    """Phases 2 and 3: entries of the local lists that reach the uniform threshold, then their whole scores."""
+    (qu, qi, _, qv), (cu, ci, _, cv), out = q, c, []
+    parts = slices(qv.shape[1])
+    local = local_scores(qv, cv)
+    norms = [[np.sqrt((v[:, s].astype(np.float64) ** 2).sum(1)) for s in parts] for v in (qv, cv)]
+    for i in range(len(qu)):
+        others, cutoff = cu != qu[i], cutoffs.get(int(qu[i]))
+        if cutoff is None:  # fewer than k entries in all
+            at = np.flatnonzero(others)
+            score = sum(x[i, at] for x in local)
+        else:
+            sufficient = [x[i] * len(parts) >= cutoff for x in local]  # the local score is at least cutoff / LISTS
+            at = np.flatnonzero(others & np.any(sufficient, 0))
+            known = sum(np.where(f[at], x[i, at], 0) for f, x in zip(sufficient, local, strict=True))
+            # what is missing is below the threshold, and below the product of the norms (with slack for rounding)
+            most = sum(np.where(f[at], 0.0, np.minimum(cutoff / len(parts), a[i] * b[at])) for f, a, b in zip(sufficient, *norms, strict=True))
+            able = known.astype(np.float64) + most + 1 + 1e-9 * (abs(float(cutoff)) + np.abs(known.astype(np.float64))) >= float(cutoff)
+            at, known = at[able], known[able]
+            score = known + sum(np.where(f[at], 0, x[i, at]) for f, x in zip(sufficient, local, strict=True))
+        out += [(int(qu[i]), int(qi[i]), int(ci[at[j]]), int(score[j])) for j in best(score, ci[at], k)]
+    return out
+
+
+def in_cells(queries: DataFrame, candidates: DataFrame, phase) -> DataFrame:
+    """phase(block of queries, block of candidates, cutoffs) for each pair of blocks with as many components.
+
+    The grid has as many rows and columns as keep IN_CELL blocks of either side in a cell: the stated query set against
+    all rows. A block of one side is sent once for each row or column of the grid."""
+    across, down = (max(1, -(-df.count() // IN_CELL)) for df in (candidates, queries))
+    place = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("y", place(down)).withColumn("x", every(across))
+    c = candidates.withColumn("x", place(across)).withColumn("y", every(down))
+
+    def cell(asking: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        asked = [(opened(row), {x["uid"]: int(x["cutoff"]) for x in row.get("cutoffs") or ()}) for row in asking.to_pylist()]
+        for batch in rows.to_batches(max_chunksize=1):  # one block of candidates at a time
+            for block in map(opened, batch.to_pylist()):
+                out += [r for queries, cutoffs in asked for r in phase(queries, block, cutoffs)]
+        return found(out)
+
+    return q.groupBy("dims", "x", "y").cogroup(c.groupBy("dims", "x", "y")).applyInArrow(cell, FOUND)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding) with is_query its k best other rows.
 
-    Scores are inner products of floor(scale * x), exact as long as they stay below 2**53; ties go to the smaller
-    vec_id. Of rows that share a vec_id, the one with the largest vector counts. Vectors that are null or hold null or non-finite components take no part; vectors of different lengths are
-    not compared; a query with fewer than k others gets all of them, and none without others. Other columns are not read; an empty table gives an empty result.
+    Scores are inner products of floor(scale * x) and exact; one that no long holds is given as the largest (smallest)
+    long, and ranked as it is up to 38 digits. A component that no double holds when scaled counts as the largest double.
+    Ties go to the smaller vec_id. Rows that share a vec_id are rows of their own, as queries and as candidates. Vectors that are null or hold null or non-finite components, and rows without a vec_id, take no part;
+    vectors of different lengths are not compared; a query with fewer than k others gets all of them, and none without
+    others. Very long vectors make larger blocks, which are held one pair at a time. Other columns are not read; an
+    empty table gives an empty result.
     """
     sound = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    spark = vectors.sparkSession
-    sound_rows = vectors.where("vec_id is not null").where(sound).select(F.col("vec_id").cast("long").alias("id"), ints.alias("v"), is_query.alias("asks"))
-    sound_rows = sound_rows.groupBy("id").agg(F.max("v").alias("v"), F.bool_or("asks").alias("asks"))
-    parts = shards(spark)
-    candidates = cut(pack(sound_rows.select("id", "v"), CANDIDATES, parts))
-    queries = cut(pack(sound_rows.where("asks").select("id", "v"), QUERIES, max(1, parts // 8)))
-    both = pairs(queries, candidates)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = vectors.where("vec_id is not null").where(sound).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    candidates = cut(rows.mapInArrow(blocks_of(CANDIDATES, False, scale), BLOCK))
+    queries = cut(candidates.mapInArrow(blocks_of(QUERIES, True, scale), BLOCK).where("length(uids) > 0"))
+    order = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    fields = ["dims", "q_ids", "q_data", "c_ids", "c_data"]
-    gathered = ranked(both.select(*fields).mapInArrow(phase_one(k), "query_id long, vec_id long, score long"))
-    cutoff = gathered.groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).drop("n")
-    asked = queries.select("block", F.explode("ids").alias("query_id"))
-    per_block = cutoff.join(asked, "query_id").groupBy("block").agg(F.collect_list(F.struct("query_id", "cutoff")).alias("cutoffs"))
-    with_cutoffs = pairs(queries, candidates).join(per_block, F.col("q_block") == F.col("block"), "left").select(*fields, "cutoffs")
-    return ranked(with_cutoffs.mapInArrow(phase_two(k), "query_id long, vec_id long, score long")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    gathered = ranked(in_cells(queries, candidates, lambda q, c, _: gather(q, c, k)))
+    cutoff = gathered.where(F.col("rank") == k).select("uid", F.col("score").alias("cutoff"))
+
+    def named(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                uids = np.frombuffer(row["uids"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array([row["block"]] * len(uids), pa.string())], ["uid", "block"])
+
+    asked = queries.select("uids", "block").mapInArrow(named, "uid long, block string")
+    per_block = cutoff.join(asked, "uid").groupBy("block").agg(F.collect_list(F.struct("uid", "cutoff")).alias("cutoffs"))  # QUERIES at most
+    found_ = in_cells(queries.join(per_block, "block", "left"), candidates, lambda q, c, cutoffs: resolve(q, c, k, cutoffs))
+    return ranked(found_).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("bound").alias("score"))
 
 
 def op2_top_k(spark, sf_dir):
+    """The five best other vectors of each vector whose id is divisible by 50."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -1,8 +1,10 @@
 """Secret scans, top-k search and decontamination against brute force on small and odd inputs."""
 
 import hashlib
+import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -71,22 +73,24 @@ def test_empty_tables(spark):
 
 
 def brute_top(vectors, k=5):
-    ok = {i: np.floor(256 * np.array(v, np.float64)) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    ok = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in ok:
+    for n, (q, v) in enumerate(ok):
         if q % 2 == 0:
-            found = sorted(((-int(ok[q] @ ok[i]), i) for i in ok if i != q and len(ok[i]) == len(ok[q])))[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+            found = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(ok) if m != n and len(w) == len(v))[:k]
+            out += [(q, r + 1, i, max(-(2**63) + 1, min(2**63 - 1, -s))) for r, (s, i) in enumerate(found)]
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("blocks", [(7, 3), (8192, 1024)])
+@pytest.mark.parametrize("blocks", [(7, 3, 1), (16, 4, 2), (8192, 256, 4)])
 def test_top_k_is_exact(spark, monkeypatch, blocks):
-    monkeypatch.setattr(topk, "CANDIDATES", blocks[0])
-    monkeypatch.setattr(topk, "QUERIES", blocks[1])
+    """Also rows that share a vec_id, empty vectors, and scores that no double and no long holds."""
+    for name, n in zip(("CANDIDATES", "QUERIES", "IN_CELL"), blocks, strict=True):
+        monkeypatch.setattr(topk, name, n)
     rng = np.random.default_rng(5)
     data = [(i, [float(x) for x in np.float32(rng.normal(size=6))]) for i in range(60)]
-    data += [(60, data[0][1]), (62, data[0][1]), (64, None), (66, [1.0, None] * 3), (68, [float("nan")] * 6), (70, [float("inf")] * 6), (72, [0.5, 0.5]), (74, []), (73, [0.25, -0.5])]
+    data += [(60, data[0][1]), (62, data[0][1]), (64, None), (66, [1.0, None] * 3), (68, [float("nan")] * 6), (70, [float("inf")] * 6), (72, [0.5, 0.5]), (74, []), (73, [0.25, -0.5]), (76, [])]
+    data += [(62, data[0][1]), (62, data[1][1]), (80, [float(np.float32(1e20)), 1.0]), (81, [float(np.float32(1e8)), -2.0]), (82, [float(np.float32(-1e7)), 5.5]), (83, [float(np.float32(1e8)), -2.5])]
     df = spark.createDataFrame([(i, v, "x") for i, v in data], "vec_id long, embedding array<float>, score string")
     got = topk.top_k(df, F.col("vec_id") % 2 == 0)
     assert rows(got, "query_id", "rank", "vec_id", "score") == brute_top(data)
@@ -97,6 +101,37 @@ def test_top_k_of_few(spark):
     assert rows(topk.top_k(df, F.col("vec_id") == 0), "query_id", "rank", "vec_id", "score") == [(0, 1, 1, 131072), (0, 2, 2, 131072)]
 
 
+def test_phases_of_the_search():
+    """Phase 1 keeps a safe cutoff; what the uniform threshold collects holds the k best; fewer whole scores are resolved."""
+    rng = np.random.default_rng(2)
+    v = np.floor(256 * rng.normal(size=(500, 16)) / 4)
+    block = (np.arange(500), np.arange(500), np.ones(500, bool), v)
+    asked = tuple(x[:20] for x in block)
+    exact = v[:20] @ v.T
+    np.fill_diagonal(exact, -np.inf)
+    first = topk.gather(asked, block, 5)
+    cutoffs = {u: min(s for x, _, _, s in first if x == u) for u in range(20)}
+    assert all(cutoffs[u] <= np.sort(exact[u])[-5] for u in range(20))
+    second = topk.resolve(asked, block, 5, cutoffs)
+    assert sorted(s for *_, s in second) == sorted(int(x) for u in range(20) for x in np.sort(exact[u])[-5:])
+    local = topk.local_scores(v[:20], v)
+    share = np.mean([np.any([x[u] * 4 >= cutoffs[u] for x in local], 0).mean() for u in range(20)])
+    assert len(local) == 4 and share < 0.6
+
+
+def test_top_k_does_not_depend_on_broadcasts(spark):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, [float(x) for x in np.float32(rng.normal(size=4))]) for i in range(90)], "vec_id long, embedding array<float>")
+    want = rows(topk.top_k(df, F.col("vec_id") % 2 == 0), "query_id", "rank", "vec_id", "score")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = topk.top_k(df, F.col("vec_id") % 2 == 0)
+        assert "Broadcast" not in got._jdf.queryExecution().toString() and rows(got, "query_id", "rank", "vec_id", "score") == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
