@@ -48,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
 
 def plain(x):
     if isinstance(x, DataFrame):
-        return [json.loads(r) for r in x.toJSON().take(1000)]
+        return [json.loads(r) for r in x.toJSON().collect()]
     return {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else x
 
 
@@ -56,8 +56,8 @@ def run(args: argparse.Namespace, service: Service):
     a = {k: v for k, v in vars(args).items() if k not in ("root", "command")}
     name = args.command
     if "query_text" in a:
-        schema = json_option(a.pop("intent_schema"))
-        request = Request(a.pop("query_text"), intent_json=json.dumps(d) if (d := json_option(a.pop("intent_data"))) is not None else None, intent_schema=json.dumps(schema) if schema else None, **a)
+        data = json_option(a.pop("intent_data"))
+        request = Request(a.pop("query_text"), intent_json=json.dumps(data) if data is not None else None, intent_schema=json_option(a.pop("intent_schema")) or None, **a)
         return {"retrieve-context": service.retrieve, "assemble-context": service.assemble_context, "prepare-context": service.prepare_context, "prepare-task-envelope": service.prepare_task_envelope}[name](request)
     if name == "store":
         return {"id": service.store_record(**a)}
@@ -68,8 +68,7 @@ def run(args: argparse.Namespace, service: Service):
     if name == "delete-source":
         return {"deleted": service.delete_source(**a)}
     if name == "import-path":
-        a.pop("data_schema")
-        return service.import_path(**a)
+        return service.import_path(**{**a, "data_schema": json_option(a["data_schema"])})
     if name == "update-workflow-preference":
         return service.update_workflow_preference(**{**a, "preference_data": json_option(a["preference_data"])})
     if name == "get":

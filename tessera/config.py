@@ -20,6 +20,9 @@ IMPORT_EXTENSIONS = (".txt", ".md", ".rst", ".csv", ".json", ".yaml", ".yml", ".
 PREFIX = "TESSERA_"
 
 
+# The defaults of Settings, and the defaults and limits of Request.
+
+
 @dataclass(frozen=True)
 class Settings:
     """Defaults of all operators; from_env() reads TESSERA_<FIELD> for each field, blank meaning the default."""
@@ -41,6 +44,8 @@ class Settings:
     training_export_enabled: bool = True
     embedding_backend: str = "hashing"
     embedding_dimensions: int = 384
+    onnx_model_path: str = ""
+    onnx_tokenizer_path: str = ""
     semantic_candidate_multiplier: int = 4
     lexical_candidate_multiplier: int = 4
     semantic_score_weight: float = 0.6
@@ -93,7 +98,7 @@ class Request:
     token_budget: int = 1200
     assembly_mode: str = "assistant"
     intent_json: str | None = None
-    intent_schema: str | None = None
+    intent_schema: dict | None = None
 
     def __post_init__(self):
         checks = (

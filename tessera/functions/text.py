@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,3 +79,23 @@ def overlap(a: Column, b: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
+
+
+# --- the same for one text in Python, where a task or the driver has it at hand ---------------------------------------
+
+_TOKEN, _TO_Y, _SUFFIXES = re.compile(r"[a-z0-9]{2,}", re.I), re.compile(TO_Y), re.compile(SUFFIXES)
+
+
+def tokens_of(text: str) -> list[str]:
+    """lexical_tokens() of a text."""
+    return sorted({t.lower() for t in _TOKEN.findall(text)})
+
+
+def stem_of(token: str) -> str:
+    return token[:-3] + "y" if _TO_Y.match(token) else _SUFFIXES.sub(r"\1", token)
+
+
+def terms_of_token(token: str) -> set[str]:
+    """What a token adds to the terms of a text."""
+    framed, others = f"^{token}$", RELATED.get(token, [])
+    return {token, stem_of(token), *others, *map(stem_of, others), *(framed[i : i + GRAM] for i in range(max(1, len(framed) - GRAM + 1)))}

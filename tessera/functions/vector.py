@@ -1,128 +1,144 @@
-"""Vectors: the hashing embedder in whole numbers, similarities, and a registry of embedders.
+"""Vectors: a registry of embedders, the hashing embedder in whole numbers, and similarities.
 
-The hashing embedder adds, for each term, a signed weight to one of the dimensions. Weights are kept as the integers
-sign * (50 + byte mod 11), fiftieths of the weight, so that sums are exact in any order; the factor cancels in cosines.
+An embedder turns lists of tokens into sparse vectors (buckets, weights). It runs where the rows are, a batch at a time,
+and its vectors are stored beside the tokens, so that a request never embeds what is stored. The hashing embedder adds,
+for each term, a signed weight to one of the dimensions. Weights are kept as the integers sign * (50 + byte mod 11),
+fiftieths of the weight, so that sums are exact in any order; the factor cancels in cosines.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_embedders: dict[str, Callable[[Column], Column]] = {}
+from tessera.config import Settings
+from tessera.functions import text as X
 
+Embed = Callable[[list[list[str]]], list[tuple[np.ndarray, np.ndarray]]]
+_embedders: dict[str, Callable[[Settings], Embed]] = {}
+#: Tokens whose terms a worker remembers; beyond that it starts again.
+KNOWN = 200_000
 
-def bucket_and_weight(term: Column, dims: int) -> Column:
-    """struct<bucket, weight> of a term."""
-    h = F.sha2(term.cast("binary"), 256)
-    number = lambda a, n: F.conv(F.substring(h, a, n), 16, 10).cast("long")
-    sign = F.when(number(9, 2) % 2 == 0, 1).otherwise(-1)
-    return F.struct((number(1, 8) % dims).cast("int").alias("bucket"), (sign * (50 + number(11, 2) % 11)).cast("int").alias("weight"))
 
+class Hashed:
+    """The hashing embedder of one number of dimensions, with the terms of tokens that it has met."""
 
-def hashed_terms(terms: list[str], dims: int) -> list[int]:
-    """The integer vector of a query's terms."""
-    out = [0] * dims
-    for t in terms:
-        d = hashlib.sha256(t.encode()).digest()
-        out[int.from_bytes(d[:4], "big") % dims] += (1 if d[4] % 2 == 0 else -1) * (50 + d[5] % 11)
-    return out
+    def __init__(self, dims: int):
+        self.dims, self.numbers, self.coded, self.of_token = dims, {}, [], {}
 
+    def number(self, term: str) -> int:
+        n = self.numbers.get(term)
+        if n is None:
+            n = self.numbers[term] = len(self.coded)
+            d = hashlib.sha256(term.encode()).digest()
+            self.coded.append((int.from_bytes(d[:4], "big") % self.dims, (1 if d[4] % 2 == 0 else -1) * (50 + d[5] % 11)))
+        return n
 
-def folded(terms: Column, dims: int, query: Column | None = None) -> Column:
-    """struct<norm, dot>: squared length of the integer vector of terms and its product with a query's dense vector.
+    def embed(self, lists: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if len(self.of_token) > KNOWN:
+            self.numbers, self.coded, self.of_token = {}, [], {}
+        for token in set().union(*lists) - self.of_token.keys():
+            self.of_token[token] = np.array([self.number(t) for t in X.terms_of_token(token)], np.int64)
+        bucket, weight = (np.array(c, np.int64) for c in zip(*self.coded, strict=True)) if self.coded else (np.zeros(0, np.int64),) * 2
+        out = []
+        for tokens in lists:
+            terms = np.unique(np.concatenate([self.of_token[t] for t in tokens])) if tokens else np.zeros(0, np.int64)
+            dense = np.bincount(bucket[terms], weight[terms], self.dims)
+            at = np.flatnonzero(dense)
+            out.append((at, dense[at]))
+        return out
 
-    Sorted by bucket, the weights of one bucket stand together, so one pass with four numbers suffices."""
-    span = 1 << 20
-    coded = F.array_sort(F.transform(terms, lambda t: F.transform(F.array(bucket_and_weight(t, dims)), lambda x: x["bucket"].cast("long") * span + x["weight"] + span // 2)[0]))
-    zero = F.lit(0).cast("long")
-    of = lambda b: (F.element_at(query, b.cast("int") + 1).cast("long") if query is not None else zero)
 
-    def add(acc: Column, code: Column) -> Column:
-        b, w = F.floor(code / span), F.pmod(code, F.lit(span)) - span // 2
-        same = b == acc["b"]
-        done = lambda name, more: F.when(same, acc[name]).otherwise(acc[name] + more).alias(name)
-        closed = acc["s"] * F.when(acc["b"] >= 0, of(acc["b"])).otherwise(zero)
-        return F.struct(b.alias("b"), F.when(same, acc["s"] + w).otherwise(w).alias("s"), done("norm", acc["s"] * acc["s"]), done("dot", closed))
+_hashed: dict[int, Hashed] = {}
 
-    start = F.struct(F.lit(-1).cast("long").alias("b"), zero.alias("s"), zero.alias("norm"), zero.alias("dot"))
-    last = lambda acc: F.struct((acc["norm"] + acc["s"] * acc["s"]).alias("norm"), (acc["dot"] + acc["s"] * F.when(acc["b"] >= 0, of(acc["b"])).otherwise(zero)).alias("dot"))
-    return F.aggregate(coded, start, add, last)
 
+def hashing(settings: Settings) -> Embed:
+    dims = max(8, settings.embedding_dimensions)
+    return lambda lists: _hashed.setdefault(dims, Hashed(dims)).embed(lists)
 
-def hash_embedding(terms: Column, dims: int) -> Column:
-    """The sparse integer vector of terms, array<struct<bucket, weight>> by bucket, without zeros."""
-    span = 1 << 20
-    coded = F.array_sort(F.transform(terms, lambda t: F.transform(F.array(bucket_and_weight(t, dims)), lambda x: x["bucket"].cast("long") * span + x["weight"] + span // 2)[0]))
-    empty = F.expr("cast(array() as array<struct<bucket:int,weight:int>>)")
-    entry = lambda acc: F.when((acc["b"] >= 0) & (acc["s"] != 0), F.concat(acc["list"], F.array(F.struct(acc["b"].cast("int").alias("bucket"), acc["s"].cast("int").alias("weight"))))).otherwise(acc["list"])
 
-    def add(acc: Column, code: Column) -> Column:
-        b, w = F.floor(code / span), F.pmod(code, F.lit(span)) - span // 2
-        same = b == acc["b"]
-        return F.struct(b.alias("b"), F.when(same, acc["s"] + w).otherwise(w).alias("s"), F.when(same, acc["list"]).otherwise(entry(acc)).alias("list"))
+def onnx(settings: Settings, most: int = 128) -> Embed:
+    """A sentence model: mean of the token vectors under the mask, cut to the dimensions, of unit length.
 
-    start = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("s"), empty.alias("list"))
-    return F.aggregate(coded, start, add, entry)
+    Both files are named by the settings; each worker opens them once, and only when the first batch comes."""
+    model_path, tokenizer_path, dims = settings.onnx_model_path, settings.onnx_tokenizer_path, max(8, settings.embedding_dimensions)
+    if not (model_path and tokenizer_path):
+        raise ValueError("the onnx embedder needs onnx_model_path and onnx_tokenizer_path")
+    opened: list = []
 
+    def embed(lists: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not opened:
+            import onnxruntime
+            from tokenizers import Tokenizer
 
-def cosine(a: Column, b: Column) -> Column:
-    """Inner product of two vectors of equal length, not below 0; 0 for empty vectors and unequal lengths."""
-    product = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)), F.greatest(F.lit(0.0), product)).otherwise(F.lit(0.0))
+            tokenizer = Tokenizer.from_file(tokenizer_path)
+            tokenizer.enable_truncation(most)
+            tokenizer.enable_padding()
+            opened.extend((onnxruntime.InferenceSession(model_path, providers=["CPUExecutionProvider"]), tokenizer))
+        session, tokenizer = opened
+        names = {i.name for i in session.get_inputs()}
+        coded = tokenizer.encode_batch([" ".join(sorted(set().union(*map(X.terms_of_token, tokens)))) for tokens in lists])
+        given = {"input_ids": [c.ids for c in coded], "attention_mask": [c.attention_mask for c in coded], "token_type_ids": [c.type_ids for c in coded]}
+        given = {k: np.array(v, np.int64) for k, v in given.items()}
+        mask = given["attention_mask"][..., None].astype(np.float32)
+        hidden = session.run(None, {k: v for k, v in given.items() if k in names})[0]
+        mean = ((hidden * mask).sum(1) / np.maximum(mask.sum(1), 1e-9))[:, :dims]
+        unit = (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)).astype(np.float64)
+        return [(np.arange(len(u)), u) if tokens else (np.zeros(0, np.int64), np.zeros(0)) for u, tokens in zip(unit, lists, strict=True)]
 
+    return embed
 
-def register_embedder(name: str, embed: Callable[[Column], Column]) -> None:
-    """Adds an embedder: a function from a column array<string> of terms to a column array<double> of unit length."""
-    _embedders[name] = embed
 
+def register_embedder(name: str, make: Callable[[Settings], Embed]) -> None:
+    """Adds an embedder: make(settings) gives a function from lists of tokens to (buckets, weights), one each."""
+    _embedders[name] = make
 
-def embedder(name: str) -> Callable[[Column], Column]:
-    if name not in _embedders:
-        raise ValueError(f"unknown embedder {name!r}; known: {sorted(_embedders)}")
-    return _embedders[name]
 
+def embedder(settings: Settings) -> Embed:
+    """The embedder that the settings name."""
+    if settings.embedding_backend not in _embedders:
+        raise ValueError(f"unknown embedder {settings.embedding_backend!r}; known: {sorted(_embedders)}")
+    return _embedders[settings.embedding_backend](settings)
 
-def dense(terms: Column, dims: int = 384) -> Column:
-    """The hashing embedder as a dense unit vector; all zeros without terms."""
-    found = hash_embedding(terms, dims)
-    norm = F.sqrt(F.aggregate(found, F.lit(0.0), lambda s, x: s + x["weight"].cast("double") * x["weight"]))
-    by = F.map_from_entries(found)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(norm > 0, F.coalesce(F.try_element_at(by, i), F.lit(0)) / norm).otherwise(F.lit(0.0)))
 
+register_embedder("hashing", hashing)
+register_embedder("onnx", onnx)
 
-def onnx_embedder(model_path: str, tokenizer_path: str, dims: int = 384, most: int = 128):
-    """An embedder from a sentence model: mean of the token vectors under the mask, cut to dims, of unit length.
+#: Rows that are embedded at once.
+ROWS = 512
 
-    Both files are given by the caller; each worker opens them once, and only when the first batch comes."""
 
-    def embed(terms: Column) -> Column:
-        @F.pandas_udf("array<double>")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            import numpy as np
-            import onnxruntime
-            from tokenizers import Tokenizer
+def embedded(rows: DataFrame, settings: Settings, tokens: str = "lexical_tokens") -> DataFrame:
+    """rows with the vectors of a column of tokens: buckets array<int> and weights array<double>."""
+    embed, at = embedder(settings), rows.columns.index(tokens)
+    out = T.StructType([*rows.schema.fields, T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
 
-            session, tokenizer = onnxruntime.InferenceSession(model_path, providers=["CPUExecutionProvider"]), Tokenizer.from_file(tokenizer_path)
-            tokenizer.enable_truncation(most)
-            tokenizer.enable_padding()
-            names = {i.name for i in session.get_inputs()}
-            for batch in batches:
-                coded = tokenizer.encode_batch([" ".join(x) for x in batch])
-                given = {"input_ids": [c.ids for c in coded], "attention_mask": [c.attention_mask for c in coded], "token_type_ids": [c.type_ids for c in coded]}
-                given = {k: np.array(v, np.int64) for k, v in given.items() if k in names}
-                mask = given["attention_mask"][..., None].astype(np.float32)
-                mean = ((session.run(None, given)[0] * mask).sum(1) / np.maximum(mask.sum(1), 1e-9))[:, :dims]
-                unit = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
-                yield pd.Series([u.tolist() if len(x) else [0.0] * dims for u, x in zip(unit, batch, strict=True)])
-
-        return run(terms)
+    def run(batches):
+        for whole in batches:
+            for start in range(0, len(whole), ROWS):
+                batch = whole.slice(start, ROWS)
+                made = embed([x or [] for x in batch.column(at).to_pylist()])
+                edge = pa.array(np.concatenate(([0], np.cumsum([len(b) for b, _ in made]))), pa.int32())
+                lists = [pa.ListArray.from_arrays(edge, pa.array(np.concatenate(c).astype(k))) for c, k in zip(zip(*made, strict=True), (np.int32, np.float64), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *lists], out.names)
+
+    return rows.mapInArrow(run, out)
 
-    return embed
 
+def dense(buckets: Column, weights: Column, dims: int) -> Column:
+    """A sparse vector as array<double> of unit length; all zeros for an empty one."""
+    norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda s, w: s + w * w))
+    by = F.map_from_arrays(buckets, weights)
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(norm > 0, F.coalesce(F.try_element_at(by, i), F.lit(0.0)) / norm).otherwise(F.lit(0.0)))
 
-register_embedder("hashing", dense)
+
+def cosine(a: Column, b: Column) -> Column:
+    """Inner product of two vectors of equal length, not below 0; 0 for empty vectors and unequal lengths."""
+    product = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)), F.greatest(F.lit(0.0), product)).otherwise(F.lit(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Settings
 from tessera.functions import text as X
+from tessera.functions import vector as V
 
 
 def windows(text: Column, settings: Settings) -> Column:
@@ -23,7 +24,6 @@ def chunk_records(records: DataFrame, settings: Settings) -> DataFrame:
     return x.select(F.concat("record_id", F.lit(":"), F.col("chunk_index").cast("string")).alias("chunk_id"), "record_id", "chunk_index", "text", X.token_estimate(F.col("text")).alias("token_count_estimate"))
 
 
-def analysed(chunks: DataFrame) -> DataFrame:
-    """chunks with lexical_tokens and semantic_terms."""
-    x = chunks.withColumn("lexical_tokens", X.lexical_tokens(F.col("text")))
-    return x.withColumn("semantic_terms", X.terms_of(F.col("lexical_tokens")))
+def analysed(chunks: DataFrame, settings: Settings) -> DataFrame:
+    """chunks with lexical_tokens and their vectors (buckets, weights)."""
+    return V.embedded(chunks.withColumn("lexical_tokens", X.lexical_tokens(F.col("text"))), settings)

@@ -1,8 +1,8 @@
 """Hybrid retrieval: visible chunks scored by meaning, words and keywords, two candidate pools, one ranking.
 
-A single request is literals in one pass over the chunks: filter, score, two top-n pools. A batch of requests scores
-each task's chunks against all requests with one matrix product, so no pair of request and chunk is ever shuffled; only
-each task's best of both pools are.
+Chunks are stored with their tokens and vectors. A request, or a block of requests, is one pass over the visible chunks:
+each task scores its chunks against all requests of the block with matrix products and keeps what may be in their pools,
+so no pair of request and chunk is ever shuffled, and nothing stored is embedded again.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera import schema
 from tessera.config import Request, Settings
 from tessera.functions import text as X
 from tessera.functions import vector as V
 from tessera.operators import chunks as C
-from tessera.operators import filters
+from tessera.operators import filters, ingest
 
 # Bonuses by scope and kind, and those of the keyword score.
 SCOPE_BONUS = {"session": 0.12, "user": 0.08, "global": 0.03}
@@ -30,17 +32,31 @@ DIGITS = 9  # scores are ranked as rounded to so many digits, so that ties do no
 
 @dataclass(frozen=True)
 class Query:
-    """A request's tokens, terms and integer vector."""
+    """A request's tokens and vector."""
 
     tokens: list[str]
-    terms: list[str]
-    vector: list[int]
+    buckets: np.ndarray
+    weights: np.ndarray
 
 
-def analyse(spark, text: str, settings: Settings) -> Query:
-    """Runs the expressions that analyse records on a request's text (one row)."""
-    row = spark.range(1).select(F.lit(text).alias("t")).select(X.lexical_tokens(F.col("t")).alias("a"), X.semantic_terms(F.col("t")).alias("b")).first()
-    return Query(list(row["a"]), list(row["b"]), V.hashed_terms(row["b"], max(8, settings.embedding_dimensions)))
+def analyse(texts: list[str], settings: Settings) -> list[Query]:
+    """Requests are analysed as records are."""
+    tokens = [X.tokens_of(t) for t in texts]
+    return [Query(t, b, w) for t, (b, w) in zip(tokens, V.embedder(settings)(tokens), strict=True)]
+
+
+def query_text(spark, request: Request) -> str:
+    """What of a request is looked for: its text and, with intent data, what a record of that data would say beside it."""
+    text = request.query_text.strip()
+    if not text or (request.intent_json is None and request.intent_schema is None):
+        return text
+    declared = {"field_paths": [], "primary_text_paths": [], **request.intent_schema} if request.intent_schema else None
+    if declared and "schema_mode" not in declared:
+        declared["schema_mode"] = "declared"
+    names = [c.split(":")[0] for c in schema.DATA_SCHEMA.removeprefix("struct<").removesuffix(">").replace("array<string>", "array").split(",")]
+    row = (text, request.intent_json, tuple(declared.get(n) for n in names) if declared else None)
+    one = spark.createDataFrame([row], f"text string, structured_json string, declared_schema {schema.DATA_SCHEMA}")
+    return ingest.content(one).first()["analysis"]
 
 
 def strings(values) -> Column:
@@ -96,38 +112,18 @@ def selection_reason() -> Column:
 def joined(records: DataFrame, chunks: DataFrame, request: Request, settings: Settings, as_of: datetime) -> DataFrame:
     """Chunks of visible records with the fields of their record."""
     seen = filters.visible(records, request, settings, as_of).withColumnRenamed("text", "record_text").withColumnRenamed("token_count_estimate", "record_tokens")
-    return chunks.join(seen.drop("lexical_tokens", "semantic_terms"), chunks["record_id"] == seen["id"]).drop("id")
-
+    return chunks.join(seen.drop("lexical_tokens", "semantic_terms", "buckets", "weights"), chunks["record_id"] == seen["id"]).drop("id")
 
-def scored(records: DataFrame, chunks: DataFrame, query: Query, request: Request, settings: Settings, as_of: datetime) -> DataFrame:
-    """Eligible chunks with their four scores. Chunks carry lexical_tokens and semantic_terms, or get them here."""
-    if "semantic_terms" not in chunks.columns:
-        chunks = C.analysed(chunks)
-    dims, tokens = len(query.vector), strings(query.tokens)
-    norm = sum(x * x for x in query.vector)
-    x = joined(records, chunks, request, settings, as_of)
-    x = x.withColumn("v", V.folded(F.col("semantic_terms"), dims, F.array(*map(F.lit, query.vector))))
-    cosine = F.when((F.col("v.norm") > 0) & F.lit(norm > 0), F.greatest(F.lit(0.0), F.col("v.dot") / F.sqrt(F.col("v.norm").cast("double") * float(norm)))).otherwise(0.0)
-    x = x.withColumn("semantic_score", F.round(cosine, DIGITS)).withColumn("lexical_score", F.round(X.overlap(tokens, F.col("lexical_tokens")), DIGITS))
-    x = x.withColumn("keyword_bonus", F.round(keyword_bonus(tokens), DIGITS)).withColumn("metadata_bonus", metadata_bonus(request, settings))
-    return x.where("semantic_score > 0 or lexical_score > 0 or keyword_bonus > 0").drop("v")
 
-
-def pooled(rows: DataFrame, request: Request, settings: Settings, keys: tuple[str, ...] = ()) -> DataFrame:
+def pooled(rows: DataFrame, request: Request, settings: Settings, keys: tuple[str, ...]) -> DataFrame:
     """The best rows by meaning and by words, each with its ranks (semantic_rank, lexical_rank); the union counts a row once."""
     top = request.top(settings)
     limits = {"semantic": max(top, top * settings.semantic_candidate_multiplier), "lexical": max(top, top * settings.lexical_candidate_multiplier)}
-    order = lambda name: [F.desc(f"{name}_score"), F.desc("keyword_bonus"), F.desc("created_at"), "record_id", "chunk_index"]
-    if keys:
-        for name in limits:
-            rows = rows.withColumn(f"{name}_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order(name))))
-        near = [F.col(f"{name}_rank") <= n for name, n in limits.items()]
-        return rows.where(near[0] | near[1])
-    pools = [rows.orderBy(*order(name)).limit(n) for name, n in limits.items()]
-    both = pools[0].union(pools[1]).dropDuplicates(["chunk_id"])
-    for name in limits:  # at most two pools of rows, so one task ranks them
-        both = both.withColumn(f"{name}_rank", F.row_number().over(Window.orderBy(*order(name))))
-    return both
+    for name in limits:
+        order = [F.desc(f"{name}_score"), F.desc("keyword_bonus"), F.desc("created_at"), "record_id", "chunk_index"]
+        rows = rows.withColumn(f"{name}_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    near = [F.col(f"{name}_rank") <= n for name, n in limits.items()]
+    return rows.where(near[0] | near[1])
 
 
 def reranked(pool: DataFrame, settings: Settings, as_of: datetime) -> DataFrame:
@@ -141,121 +137,165 @@ def ranked(items: DataFrame, limit: int, keys: tuple[str, ...] = ()) -> DataFram
     return items.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order))).where(F.col("rank") <= limit)
 
 
+#: What a pass over the chunks gives: candidates, and for each request and batch of chunks how many were eligible.
+FOUND = "query_id long, chunk_id string, record_id string, chunk_index int, created_at timestamp, semantic_score double, lexical_score double, keyword_bonus double, eligible long"
+#: Chunks that a task scores at once, requests that one pass scores, and source keys whose words a worker remembers.
+ROWS, BATCH, KEYS = 2048, 512, 100_000
+
+
+class Requests:
+    """Requests of a pass: their vectors as a matrix, and which of them ask for a word."""
+
+    def __init__(self, queries: list[tuple[int, Query]], dims: int):
+        self.ids = [i for i, _ in queries]
+        self.vectors = np.zeros((len(queries), dims))
+        for row, (_, q) in zip(self.vectors, queries, strict=True):
+            row[q.buckets] = q.weights
+        self.lengths = np.sqrt((self.vectors**2).sum(1))
+        self.sizes = np.array([len(q.tokens) for _, q in queries], np.float64)
+        asked = sorted((t, i) for i, (_, q) in enumerate(queries) for t in q.tokens)
+        self.words = sorted({t for t, _ in asked})
+        number = {t: n for n, t in enumerate(self.words)}
+        self.askers = np.array([i for _, i in asked], np.int64)
+        self.edge = np.searchsorted([number[t] for t, _ in asked], np.arange(len(self.words) + 1))
+        self.value_set = pa.array(self.words, pa.string())
+
+    def common(self, lists: pa.ListArray) -> np.ndarray:
+        """How many of the words of each list (column) each request (row) asks for."""
+        out = np.zeros((len(self.ids), len(lists)))
+        flat = lists.flatten()
+        if len(flat) and len(self.words):
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            word = pc.index_in(flat, self.value_set)
+            here = np.flatnonzero(word.is_valid().to_numpy(zero_copy_only=False))
+            word, row = word.drop_null().to_numpy(), row[here]
+            times = (self.edge[word + 1] - self.edge[word]).astype(np.int64)
+            of = np.repeat(self.edge[word] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            np.add.at(out, (self.askers[of], np.repeat(row, times)), 1)
+        return out
+
+
+def score_chunks(rows: DataFrame, queries: list[tuple[int, Query]], dims: int, pool: int) -> DataFrame:
+    """FOUND for rows (chunk_id, record_id, chunk_index, created_at, tokens, buckets, weights, title_tokens, tags,
+    path_tokens, source_key): of each portion of chunks what may be in a request's pools over all rows."""
+    asked = Requests(queries, dims)
+    names = [f.split()[0] for f in FOUND.split(", ")]
+
+    def key_hits(keys: list[str], inside: dict[str, list[int]]) -> np.ndarray:
+        out = np.zeros((len(asked.ids), len(keys)))
+        if len(inside) > KEYS:
+            inside.clear()
+        for j, k in enumerate(keys):
+            if k not in inside:
+                inside[k] = sorted({int(i) for n, t in enumerate(asked.words) if t in k for i in asked.askers[asked.edge[n] : asked.edge[n + 1]]})
+            out[inside[k], j] = KEY
+        return out
+
+    def score(batches):
+        inside: dict[str, list[int]] = {}
+        for whole in batches:
+            for start in range(0, len(whole), ROWS):
+                yield from portion(whole.slice(start, ROWS), inside)
+
+    def portion(batch, inside):
+        n, column = len(batch), {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        dense = np.zeros((n, dims))
+        sizes = column["buckets"].value_lengths().to_numpy()
+        dense[np.repeat(np.arange(n), sizes), column["buckets"].flatten().to_numpy()] = column["weights"].flatten().to_numpy()
+        both = asked.lengths[:, None] * np.sqrt((dense**2).sum(1))[None, :]
+        cosine = np.round(np.maximum(0, np.divide(asked.vectors @ dense.T, both, out=np.zeros_like(both), where=both > 0)), DIGITS)
+        common, held = asked.common(column["tokens"]), column["tokens"].value_lengths().to_numpy().astype(np.float64)
+        lexical = np.round(np.divide(common, np.sqrt(asked.sizes[:, None] * held[None, :]), out=np.zeros_like(common), where=common > 0), DIGITS)
+        key = sum((asked.common(column[c]) > 0) * value for c, value in (("title_tokens", TITLE), ("tags", TAG), ("path_tokens", PATH))) + key_hits(column["source_key"].to_pylist(), inside)
+        index = column["chunk_index"].to_numpy()
+        key = np.round(np.where(asked.sizes[:, None] > 0, key + np.where(index == 0, OPENING, 0.0)[None, :], 0.0), DIGITS)
+        eligible = (cosine > 0) | (lexical > 0) | (key > 0)
+        newest = -column["created_at"].cast(pa.timestamp("us", tz="UTC")).cast(pa.int64()).to_numpy()
+        place = np.empty(n, np.int64)
+        place[np.lexsort((index, np.array(column["record_id"].to_pylist())))] = np.arange(n)
+        which, at = [], []
+        for i in range(len(asked.ids)):
+            can, mine = np.flatnonzero(eligible[i]), []
+            for s in (cosine[i], lexical[i]):
+                near = can[s[can] >= np.partition(s[can], len(can) - pool)[len(can) - pool]] if len(can) > pool else can
+                mine.append(near[np.lexsort((place[near], newest[near], -key[i, near], -s[near]))[:pool]])
+            found = np.union1d(*mine)
+            which.append(np.full(len(found), i))
+            at.append(found)
+        i, j = np.concatenate(which).astype(np.int64), np.concatenate(at).astype(np.int64)
+        ids = np.array(asked.ids, np.int64)
+        taken = [column[c].take(pa.array(j)) for c in ("chunk_id", "record_id", "chunk_index", "created_at")]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), *taken, *(pa.array(x[i, j]) for x in (cosine, lexical, key)), pa.nulls(len(i), pa.int64())], names)
+        nothing = [pa.nulls(len(ids), t) for t in (pa.string(), pa.string(), pa.int32(), column["created_at"].type, pa.float64(), pa.float64(), pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), *nothing, pa.array(eligible.sum(1).astype(np.int64))], names)
+
+    return rows.mapInArrow(score, FOUND)
+
+
+def scan(records: DataFrame, chunks: DataFrame, queries: list[tuple[int, Query]], request: Request, settings: Settings, as_of: datetime) -> DataFrame:
+    """FOUND for queries, which share the filters of request: one pass. Chunks that are not analysed yet are, if visible."""
+    top = request.top(settings)
+    pool = max(top * settings.semantic_candidate_multiplier, top * settings.lexical_candidate_multiplier, top)
+    seen = filters.visible(records, request, settings, as_of)
+    words = {"title_tokens": X.lexical_tokens(F.col("title")), "tags": F.transform("tags", F.lower), "path_tokens": X.lexical_tokens(F.array_join("schema_field_paths", " ")), "source_key": F.lower(F.coalesce("source_key", F.lit("")))}
+    seen = seen.select(F.col("id").alias("seen_id"), "created_at", *(F.coalesce(c, F.array().cast("array<string>")).alias(n) if n != "source_key" else c.alias(n) for n, c in words.items()))
+    own = [c for c in ("lexical_tokens", "buckets", "weights") if c in chunks.columns] if "buckets" in chunks.columns else ["text"]
+    x = chunks.select("chunk_id", "record_id", "chunk_index", *own).join(seen, F.col("record_id") == F.col("seen_id")).drop("seen_id")
+    x = x if "buckets" in chunks.columns else C.analysed(x, settings)
+    sent = x.select("chunk_id", "record_id", "chunk_index", "created_at", F.col("lexical_tokens").alias("tokens"), "buckets", "weights", *words)
+    return score_chunks(sent, queries, max(8, settings.embedding_dimensions), pool)
+
+
+def finished(found: DataFrame, records: DataFrame, chunks: DataFrame, request: Request, settings: Settings, as_of: datetime, few: bool = False) -> DataFrame:
+    """The ranked items of each request (query_id) of a pass. few: there is one request, so that its pools are a few rows."""
+    near = pooled(found.where("chunk_id is not null").drop("eligible"), request, settings, ("query_id",)).drop("record_id", "chunk_index", "created_at")
+    fields = joined(records, chunks.drop("lexical_tokens", "buckets", "weights"), request, settings, as_of)
+    kept = fields.join(F.broadcast(near) if few else near, "chunk_id").withColumn("metadata_bonus", metadata_bonus(request, settings))
+    return ranked(reranked(kept, settings, as_of), request.top(settings), ("query_id",))
+
+
+def of_request(records: DataFrame, chunks: DataFrame, request: Request, settings: Settings, as_of: datetime) -> DataFrame:
+    """The pass of one request, whose query_id is 0; over nothing if there is nothing to look for."""
+    query = analyse([query_text(records.sparkSession, request)], settings)[0]
+    empty = not query.tokens and not len(query.buckets)
+    return scan(records.limit(0) if empty else records, chunks.limit(0) if empty else chunks, [(0, query)], request, settings, as_of)
+
+
 def retrieve(records: DataFrame, chunks: DataFrame, request: Request, settings: Settings, as_of: datetime) -> DataFrame:
     """The best chunks for a request, by rank from 1; none for a blank request. Ties fall to the newer record, then to ranks in the pools."""
-    text = request.query_text.strip()
-    query = analyse(records.sparkSession, text, settings) if text else Query([], [], [])
-    if not query.tokens and not query.terms:
-        return ranked(reranked(pooled(scored(records.limit(0), chunks.limit(0), Query([], [], [0] * 8), request, settings, as_of), request, settings), settings, as_of), 1)
-    pool = pooled(scored(records, chunks, query, request, settings, as_of), request, settings)
-    return ranked(reranked(pool, settings, as_of), request.top(settings))
+    return finished(of_request(records, chunks, request, settings, as_of), records, chunks, request, settings, as_of, few=True).drop("query_id")
 
 
-def candidate_counts(records: DataFrame, chunks: DataFrame, request: Request, settings: Settings, as_of: datetime) -> DataFrame:
-    """One row: visible_records, eligible_chunks, semantic_candidates, lexical_candidates, reranked_candidates."""
-    query = analyse(records.sparkSession, request.query_text.strip(), settings)
-    rows = scored(records, chunks, query, request, settings, as_of)
+def counts_of(found: DataFrame, records: DataFrame, request: Request, settings: Settings, as_of: datetime) -> DataFrame:
+    """One row about a request's pass: visible_records, eligible_chunks, semantic_candidates, lexical_candidates, reranked_candidates."""
     top = request.top(settings)
     size = lambda n: F.least(F.col("eligible_chunks"), F.lit(max(top, top * n)))
-    seen = filters.visible(records, request, settings, as_of).agg(F.count(F.lit(1)).alias("visible_records"))
-    eligible = rows.agg(F.count(F.lit(1)).alias("eligible_chunks"))
-    final = reranked(pooled(rows, request, settings), settings, as_of).agg(F.count(F.lit(1)).alias("reranked_candidates"))
+    visible = filters.visible(records, request, settings, as_of)
+    seen = visible.agg(F.count(F.lit(1)).alias("visible_records"))
+    eligible = found.agg(F.coalesce(F.sum("eligible"), F.lit(0)).alias("eligible_chunks"))
+    near = pooled(found.where("chunk_id is not null").drop("eligible"), request, settings, ("query_id",))
+    fields = visible.drop("created_at").withColumn("metadata_bonus", metadata_bonus(request, settings)).withColumnRenamed("id", "record_id")
+    final = reranked(fields.join(F.broadcast(near), "record_id"), settings, as_of).agg(F.count(F.lit(1)).alias("reranked_candidates"))  # two pools of one request
     one = seen.crossJoin(eligible).crossJoin(final)  # three rows of one
     return one.select("visible_records", "eligible_chunks", size(settings.semantic_candidate_multiplier).cast("long").alias("semantic_candidates"), size(settings.lexical_candidate_multiplier).cast("long").alias("lexical_candidates"), "reranked_candidates")
 
 
-FIELDS = "query_id long, chunk_id string, semantic_score double, lexical_score double, keyword_bonus double"
-
-
-def score_batch(rows: DataFrame, queries: list[tuple[int, Query]], pool: int) -> DataFrame:
-    """(query_id, chunk_id, scores) from rows (chunk_id, record_id, chunk_index, created_at, tokens, buckets, weights,
-    title_tokens, tags, path_tokens, source_key): of each Arrow batch, what may be in a query's pools over all rows."""
-    ids = [i for i, _ in queries]
-    vectors = np.array([q.vector for _, q in queries], np.float64)
-    lengths = np.sqrt((vectors**2).sum(1))
-    sizes = np.array([len(q.tokens) for _, q in queries], np.float64)
-    words: dict[str, list[int]] = {}
-    for i, (_, q) in enumerate(queries):
-        for t in q.tokens:
-            words.setdefault(t, []).append(i)
-
-    def marks(lists: list[list[str]], value: float) -> np.ndarray:
-        out = np.zeros((len(queries), len(lists)))
-        for j, tokens in enumerate(lists):
-            for t in tokens or ():
-                for i in words.get(t, ()):
-                    out[i, j] = value
-        return out
-
-    def score(batches):
-        for batch in batches:
-            c = batch.to_pydict()
-            n = len(c["chunk_id"])
-            dense = np.zeros((n, vectors.shape[1]))
-            for j, (b, w) in enumerate(zip(c["buckets"], c["weights"], strict=True)):
-                dense[j, b] = w
-            norm = np.sqrt((dense**2).sum(1))
-            cosine = np.round(np.maximum(0, np.divide(vectors @ dense.T, lengths[:, None] * norm[None, :], out=np.zeros((len(queries), n)), where=(lengths[:, None] * norm[None, :]) > 0)), DIGITS)
-            common = np.zeros((len(queries), n))
-            for j, tokens in enumerate(c["tokens"]):
-                for t in tokens:
-                    for i in words.get(t, ()):
-                        common[i, j] += 1
-            held = np.array([len(t) for t in c["tokens"]], np.float64)
-            lexical = np.round(np.divide(common, np.sqrt(sizes[:, None] * held[None, :]), out=np.zeros_like(common), where=common > 0), DIGITS)
-            key = marks(c["title_tokens"], TITLE) + marks(c["tags"], TAG) + marks(c["path_tokens"], PATH)
-            inside: dict[str, set[int]] = {}
-            for j, k in enumerate(c["source_key"]):
-                if k not in inside:
-                    inside[k] = {i for t, of in words.items() if t in k for i in of}
-                for i in inside[k]:
-                    key[i, j] += KEY
-            key += np.array([OPENING if x == 0 else 0.0 for x in c["chunk_index"]])[None, :]
-            key = np.round(np.where(sizes[:, None] > 0, key, 0.0), DIGITS)
-            eligible = (cosine > 0) | (lexical > 0) | (key > 0)
-            newest = -np.array([x.timestamp() for x in c["created_at"]])
-            last = np.lexsort((np.array(c["chunk_index"]), np.array(c["record_id"])))
-            place = np.empty(n, np.int64)
-            place[last] = np.arange(n)
-            out = []
-            for i in range(len(queries)):
-                can = np.flatnonzero(eligible[i])
-                best = [can[np.lexsort((place[can], newest[can], -key[i, can], -s[i, can]))[:pool]] for s in (cosine, lexical)]
-                out += [(ids[i], c["chunk_id"][j], cosine[i, j], lexical[i, j], key[i, j]) for j in sorted({*best[0].tolist(), *best[1].tolist()})]
-            kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], [f.split()[0] for f in FIELDS.split(", ")])
-
-    return rows.mapInArrow(score, FIELDS)
-
-
-#: Requests of a batch that one pass over the chunks scores.
-BATCH = 512
+def candidate_counts(records: DataFrame, chunks: DataFrame, request: Request, settings: Settings, as_of: datetime) -> DataFrame:
+    return counts_of(of_request(records, chunks, request, settings, as_of), records, request, settings, as_of)
 
 
 def retrieve_batch(records: DataFrame, chunks: DataFrame, texts: DataFrame, request: Request, settings: Settings, as_of: datetime) -> DataFrame:
     """The best chunks for each row of texts (query_id, query_text), which share the filters of request.
 
     Requests are read in blocks of BATCH; each block is one pass over the chunks."""
-    if "semantic_terms" not in chunks.columns:
-        chunks = C.analysed(chunks)
-    dims, top = max(8, settings.embedding_dimensions), request.top(settings)
-    pool = max(top * settings.semantic_candidate_multiplier, top * settings.lexical_candidate_multiplier, top)
-    rows = joined(records, chunks, request, settings, as_of)
-    v = V.hash_embedding(F.col("semantic_terms"), dims)
-    sent = rows.withColumn("v", v).select("chunk_id", "record_id", "chunk_index", "created_at", F.col("lexical_tokens").alias("tokens"), F.col("v.bucket").alias("buckets"), F.col("v.weight").alias("weights"), X.lexical_tokens(F.col("title")).alias("title_tokens"), F.transform("tags", F.lower).alias("tags"), X.lexical_tokens(F.array_join("schema_field_paths", " ")).alias("path_tokens"), F.lower(F.coalesce("source_key", F.lit(""))).alias("source_key"))
-    terms = texts.where("trim(query_text) <> ''").select("query_id", X.lexical_tokens(F.trim("query_text")).alias("a"), X.semantic_terms(F.trim("query_text")).alias("b")).where("size(a) > 0")
-    count, out = terms.count(), None
-    blocks = max(1, -(-count // BATCH))
+    asking = texts.select("query_id", F.trim("query_text").alias("t")).where("t <> ''")
+    blocks, out = max(1, -(-asking.count() // BATCH)), None
     for block in range(blocks):
-        mine = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect()
-        queries = [(r["query_id"], Query(list(r["a"]), list(r["b"]), V.hashed_terms(r["b"], dims))) for r in mine]
-        part = score_batch(sent, queries, pool) if queries else rows.sparkSession.createDataFrame([], FIELDS)
+        mine = asking.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect()  # BATCH, about
+        queries = [(r["query_id"], q) for r, q in zip(mine, analyse([r["t"] for r in mine], settings), strict=True) if q.tokens]
+        part = scan(records, chunks, queries, request, settings, as_of) if queries else records.sparkSession.createDataFrame([], FOUND)
         out = part if out is None else out.union(part)
-    fields = rows.drop("lexical_tokens", "semantic_terms", "metadata_bonus")
-    found = out.join(fields.select("chunk_id", "record_id", "chunk_index", "created_at").withColumnRenamed("chunk_id", "c"), F.col("chunk_id") == F.col("c")).drop("c")
-    found = pooled(found, request, settings, ("query_id",))
-    kept = found.drop("record_id", "chunk_index", "created_at").join(fields, "chunk_id").withColumn("metadata_bonus", metadata_bonus(request, settings))
-    return ranked(reranked(kept, settings, as_of), top, ("query_id",))
+    return finished(out, records, chunks, request, settings, as_of)
 
 
 #: Rows in a block of vectors and in a block of queries; a task holds one of each and the product of both numbers.

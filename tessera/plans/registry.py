@@ -69,10 +69,10 @@ def semantic_terms(spark, d):
 
 @query
 def hash_embedding(spark, d):
-    v = V.hash_embedding(X.semantic_terms(F.col("text")), S.embedding_dimensions)
-    x = P.records(spark, d).select("id", v.alias("v"))
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda s, e: s + e["weight"].cast("long") * e["weight"])
-    return x.select("id", F.size("v").alias("nonzero"), norm.alias("norm_sq"), F.md5(F.array_join(F.transform("v", lambda e: F.concat_ws(":", e["bucket"].cast("string"), e["weight"].cast("string"))), ",").cast("binary")).alias("vector_md5"))
+    x = V.embedded(P.records(spark, d).select("id", X.lexical_tokens(F.col("text")).alias("lexical_tokens")), S)
+    norm = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w * w).cast("long")
+    entries = F.zip_with("buckets", "weights", lambda b, w: F.concat_ws(":", b.cast("string"), w.cast("long").cast("string")))
+    return x.select("id", F.size("buckets").alias("nonzero"), norm.alias("norm_sq"), F.md5(F.array_join(entries, ",").cast("binary")).alias("vector_md5"))
 
 
 @query
@@ -82,7 +82,7 @@ def cosine_topk(spark, d):
 
 @query
 def lexical_overlap(spark, d):
-    q = R.strings(R.analyse(spark, P.QUERY, S).tokens)
+    q = R.strings(X.tokens_of(P.QUERY))
     x = chunks(spark, d).select("chunk_id", F.round(X.overlap(q, X.lexical_tokens(F.col("text"))), 6).alias("lexical_score"))
     return x.where("lexical_score > 0")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import schema
-from tessera.config import KINDS, SCOPES, Request, Settings
+from tessera.config import KINDS, SCOPES, STATUSES, Request, Settings
 from tessera.operators import assembly as A
 from tessera.operators import evaluation as E
 from tessera.operators import filters as L
@@ -20,9 +20,11 @@ from tessera.operators import retrieval as R
 from tessera.operators import workflow as W
 from tessera.sources import importers as I  # noqa: E741
 from tessera.sources import sinks
-from tessera.sources.store import Store
+from tessera.sources.store import Conflict, Store
 
 PREFERENCE = "user_workflow_preference"
+#: How often a change starts again because another writer was first.
+RETRIES = 5
 BASE_PREFERENCE = {"autonomy_level": "medium", "clarification_preference": "medium", "brevity_preference": "medium", "structure_preference": "medium", "initiative_preference": "medium", "risk_tolerance": "moderate", "evidence_preference": "medium", "style_preferences": {}, "workflow_defaults": {}, "style_notes": [], "evidence_count": 0}
 
 
@@ -40,7 +42,7 @@ class Service:
 
     def frame(self, payloads: list[dict]) -> DataFrame:
         """Payload dictionaries as rows, in their order; structured_data is JSON-encoded."""
-        names = [c.split()[0] for c in N.columns(schema.PAYLOAD)]
+        names = [c.split()[0] for c in schema.columns(schema.PAYLOAD)]
         rows = []
         for i, p in enumerate(payloads):
             if p.get("kind", KINDS[0]) not in KINDS or p.get("scope", SCOPES[0]) not in SCOPES:
@@ -51,25 +53,47 @@ class Service:
             rows.append({n: p.get(n) for n in names})
         return self.spark.createDataFrame(rows, schema.PAYLOAD)
 
-    def _commit(self, records: DataFrame) -> None:
-        records = Y.prune_marks(records, self.settings, self.now)
-        kept = records.where("prune_reason is null").drop("prune_reason").persist()
-        pruned = records.where("prune_reason is not null").count()
-        self.store.commit(kept, N.chunked(kept, self.settings))
+    def _again(self, write):
+        """write(manifest), again from the next generation as long as another writer was first."""
+        for _ in range(RETRIES):
+            try:
+                return write(self.store.manifest())
+            except Conflict:
+                continue
+        raise Conflict(f"{RETRIES} writers in a row were first")
+
+    def _commit(self, at: dict, changed: DataFrame) -> None:
+        """Commits changed rows (records and whether they are new) and prunes what is over the limits afterwards.
+
+        What is stored and not changed is read for the columns that pruning needs, and is not written again."""
+        stored = self.store.records(at)
+        slim = ("id", "scope", "kind", "created_at", "policy")
+        untouched = stored.select(*slim).join(changed.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti")
+        gone = Y.prune_marks(untouched.unionByName(changed.select(*slim)), self.settings, self.now).where("prune_reason is not null").select("id").persist()
+        pruned = gone.count()
+        kept = changed.join(gone.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left_anti")
+        self.store.commit(at, kept.drop("new"), gone, N.chunked(kept.where("new"), self.settings))
         if pruned:
             self.store.add(pruned_records_total=pruned)
-        kept.unpersist()
+        gone.unpersist()
+
+    def _add(self, payloads: DataFrame) -> list[dict]:
+        """Stores payloads but near duplicates; id and source_key of each stored one, in their order."""
+
+        def write(at: dict) -> list[dict]:
+            new = N.drop_near_duplicates(N.prepare(payloads, self.settings, self.now), self.store.records(at), self.settings).persist()
+            rows = [r.asDict() for r in new.select("id", "source_key", "seq").orderBy("seq").collect()]  # of the given payloads
+            if rows:
+                self._commit(at, new.drop("seq").withColumn("new", F.lit(True)))
+                if self.settings.training_export_enabled:
+                    self.store.append_json("training", sinks.training_lines(new, self.settings).withColumn("created_date", F.to_date("created_at")), "created_date")
+            new.unpersist()
+            return rows
+
+        return self._again(write)
 
     def _create(self, payloads: list[dict]) -> list[str]:
-        stored = self.store.records()
-        new = N.drop_near_duplicates(N.prepare(self.frame(payloads), self.now), stored, self.settings).persist()
-        ids = [r["id"] for r in new.select("id", "seq").orderBy("seq").collect()]  # of the given payloads
-        if ids:
-            if self.settings.training_export_enabled:
-                self.store.append_json("training", sinks.training_lines(new).withColumn("created_date", F.to_date("created_at")), "created_date")
-            self._commit(stored.unionByName(new.drop("seq")))
-        new.unpersist()
-        return ids
+        return [r["id"] for r in self._add(self.frame(payloads))]
 
     def store_record(self, kind: str, text: str, scope: str = "session", **more) -> str | None:
         if not text.strip():
@@ -88,44 +112,84 @@ class Service:
 
     def upsert_frame(self, payloads: DataFrame) -> DataFrame:
         """upsert_source() for rows of schema.PAYLOAD of any number."""
-        new = N.prepare(payloads, self.now).where("source_key is not null")
-        after, shown = N.upsert(self.store.records(), new, self.now)
-        shown = shown.select("id", "source_key", "scope", "owner_scope", "source_version", "source_status", "content_checksum").persist()
-        shown.count()
-        self._commit(after)
-        return shown
+        new = N.prepare(payloads, self.settings, self.now).where("source_key is not null").persist()
+
+        def write(at: dict) -> DataFrame:
+            changed, shown = N.upsert(self.store.records(at), new, self.now)
+            changed = changed.persist()
+            shown = shown.select("id", "source_key", "scope", "owner_scope", "source_version", "source_status", "content_checksum").persist()
+            shown.count()
+            self._commit(at, changed)
+            changed.unpersist()
+            return shown
+
+        try:
+            return self._again(write)
+        finally:
+            new.unpersist()
 
     def delete_source(self, source_key: str, scope: str = "session", user_id: str | None = None, session_id: str | None = None) -> int:
         """Marks the latest version deleted; how many rows that changed (0 if it is missing or deleted already)."""
         owner = {"session": session_id, "user": user_id}.get(scope)
         t = self.spark.createDataFrame([(source_key.strip(), scope, owner.strip() if owner else None, self.now)], "source_key string, scope string, owner string, deleted_at timestamp")
-        old = self.store.records()
-        after = Y.soft_delete(old, t).persist()
-        changed = after.join(old.select(F.col("id").alias("i"), F.col("source_status").alias("s")), F.col("id") == F.col("i")).where("source_status <> s").count()
-        if changed:
-            self._commit(after.select(*old.columns))
-        after.unpersist()
-        return changed
-
-    def import_path(self, path: str, recursive: bool = False, mode: str = "upsert", **more) -> list[dict]:
-        """A row for each file: path, status (imported, skipped) and the reason for skipping."""
+
+        def write(at: dict) -> int:
+            mine = self.store.records(at).where((F.col("source_key") == source_key.strip()) & (F.col("scope") == scope))
+            after = Y.soft_delete(mine, t).where((F.col("source_status") == "deleted") & (F.col("deleted_at") == F.lit(self.now)))
+            before = mine.where("source_status <> 'deleted'").select(F.col("id").alias("_id"))
+            changed = after.join(before, F.col("id") == F.col("_id"), "left_semi").select(*mine.columns).withColumn("new", F.lit(False)).persist()
+            n = changed.count()
+            if n:
+                self._commit(at, changed)
+            changed.unpersist()
+            return n
+
+        return self._again(write)
+
+    def update_record(self, record_id: str, source_status: str | None = None, source_last_synced_at: datetime | None = None, source_updated_at: datetime | None = None) -> dict | None:
+        """The record after a change of its status or of the times of its source; None if there is no such record."""
+        if source_status is not None and source_status not in STATUSES:
+            raise ValueError(f"source_status is out of range: {source_status!r}")
+        given = {k: v for k, v in (("source_status", source_status), ("source_last_synced_at", source_last_synced_at), ("source_updated_at", source_updated_at)) if v is not None}
+
+        def write(at: dict) -> None:
+            row = self.store.records(at).where(F.col("id") == record_id)
+            for name, value in given.items():
+                row = row.withColumn(name, F.lit(value).cast(row.schema[name].dataType))
+            if source_status is not None:
+                row = row.withColumn("deleted_at", F.lit(self.now) if source_status == "deleted" else F.lit(None).cast("timestamp"))
+            if given and not row.isEmpty():
+                self._commit(at, row.withColumn("new", F.lit(False)))
+
+        self._again(write)
+        return self.get_record(record_id)
+
+    def import_path(self, path: str, recursive: bool = False, mode: str = "upsert", data_schema: dict | None = None, **more) -> list[dict]:
+        """A row for each file: path, status (imported, skipped) and the reason for skipping; also for a path that is not there.
+
+        data_schema is the declared schema of every file with structured data."""
+        if not I.path_exists(self.spark, path):
+            return [{"path": path, "status": "skipped", "reason": "path_not_found_or_unsupported", "source_key": None}]
         found = I.import_files(I.read_files(self.spark, path, recursive)).persist()
         good = found.where("status = 'imported'")
-        names = [c.split()[0] for c in N.columns(schema.PAYLOAD)]
+        names = [c.split()[0] for c in schema.columns(schema.PAYLOAD)]
         meta = F.create_map(F.lit("import_path"), "path", F.lit("import_name"), "name", F.lit("import_suffix"), "suffix")
         given = {"source_type": F.lit("imported_document"), "metadata": meta, "source_updated_at": F.col("modified"), "source_id": F.col("source_key"), **{k: F.lit(v) for k, v in more.items()}}
         for name in ("path", "name", "suffix", "modified"):
             given.pop(name, None)
+        if data_schema:
+            declared = {"schema_mode": "declared", **data_schema}
+            kinds = {c.split(":", 1)[0]: c.split(":", 1)[1] for c in schema.DATA_SCHEMA.removeprefix("struct<").removesuffix(">").split(",")}
+            value = lambda n, k: F.array(*map(F.lit, declared.get(n) or [])).cast(k) if k.startswith("array") else F.lit(declared.get(n)).cast(k)
+            given["declared_schema"] = F.when(F.col("structured_json").isNotNull(), F.struct(*(value(n, k).alias(n) for n, k in kinds.items())))
         rows = good.withColumn("seq", F.row_number().over(Window.orderBy("path")).cast("long"))
-        typed = {c.split()[0]: c.split(maxsplit=1)[1] for c in N.columns(schema.PAYLOAD)}
+        typed = {c.split()[0]: c.split(maxsplit=1)[1] for c in schema.columns(schema.PAYLOAD)}
         rows = rows.select(*((given[n] if n in given else F.col(n) if n in rows.columns else F.lit(None)).cast(typed[n]).alias(n) for n in names))
         kept = {}
         if mode == "upsert":
             self.upsert_frame(rows)
         else:
-            new = N.drop_near_duplicates(N.prepare(rows, self.now), self.store.records(), self.settings)
-            kept = {r["source_key"] for r in new.select("source_key").collect()}  # of the files of one import
-            self._commit(self.store.records().unionByName(new.drop("seq")))
+            kept = {r["source_key"] for r in self._add(rows)}  # of the files of one import
         out = [r.asDict() for r in found.select("path", "status", "reason", "source_key").orderBy("path").collect()]
         for r in out if mode != "upsert" else ():
             if r["status"] == "imported" and r["source_key"] not in kept:
@@ -142,13 +206,19 @@ class Service:
         return Y.list_records(self.store.records(), kind, scope, limit)
 
     def retrieve(self, request: Request, audit: bool = True) -> DataFrame:
-        records, chunks = self.store.records(), self.store.chunks()
-        items = R.retrieve(records, chunks, request, self.settings, self.now)
-        if audit:
-            now, s = self.now, self.settings
-            counts = R.candidate_counts(records, chunks, request, s, now)
-            row = sinks.audit_row(counts, items, L.visible(records, request, s, now), L.excluded_counts(records, request, s, now), request, now)
-            self.store.append_json("audit", row)
+        """The best chunks for a request. With audit the chunks are scored once, for the items and for the log alike."""
+        at = self.store.manifest()
+        records, chunks, s, now = self.store.records(at), self.store.chunks(at), self.settings, self.now
+        if not audit:
+            return sinks.with_provenance(R.retrieve(records, chunks, request, s, now))
+        found = R.of_request(records, chunks, request, s, now).persist()
+        items = R.finished(found, records, chunks, request, s, now, few=True).drop("query_id")
+        items = sinks.with_provenance(items)
+        items = self.spark.createDataFrame(items.orderBy("rank").collect(), items.schema)  # as many as the request's limit, a hundred at most
+        counts = R.counts_of(found, records, request, s, now)
+        row = sinks.audit_row(counts, items, L.visible(records, request, s, now), L.excluded_counts(records, request, s, now), request, now)
+        self.store.append_json("audit", row)
+        found.unpersist()
         return items
 
     retrieve_context = explain_context_selection = retrieve
@@ -198,21 +268,25 @@ class Service:
     # --- upkeep ----------------------------------------------------------------------------------------------------
 
     def prune(self) -> dict:
-        records, chunks = self.store.records(), self.store.chunks()
-        kept, kept_chunks, gone = Y.prune(records, chunks, self.settings, self.now)
-        n, ids = records.count() - kept.count(), gone
-        ids = ids.persist()
-        ids.count()
-        if n:
-            self.store.commit(kept, kept_chunks)
-            self.store.add(pruned_records_total=n)
-        return {"pruned_records": n, "pruned_chunk_ids": ids, "pruned_records_total": self.store.count("operations", "pruned_records_total") if n or self.store.exists("operations") else 0}
+        def write(at: dict) -> tuple[int, DataFrame]:
+            _, _, chunks = Y.prune(self.store.records(at), self.store.chunks(at), self.settings, self.now)
+            gone = Y.prune_marks(self.store.records(at), self.settings, self.now).where("prune_reason is not null").select("id").persist()
+            n, chunks = gone.count(), chunks.persist()
+            chunks.count()
+            if n:
+                self.store.commit(at, self.store.records(at).limit(0), gone)
+                self.store.add(pruned_records_total=n)
+            gone.unpersist()
+            return n, chunks
+
+        n, chunk_ids = self._again(write)
+        return {"pruned_records": n, "pruned_chunk_ids": chunk_ids, "pruned_records_total": self.store.count("operations", "pruned_records_total")}
 
     def stats(self) -> DataFrame:
         return Y.stats(self.store.records())
 
     def export_training(self) -> tuple[int, str]:
-        lines, path = sinks.training_lines(self.store.records()), f"{self.store.root}/training_export"
+        lines, path = sinks.training_lines(self.store.records(), self.settings), f"{self.store.root}/training_export"
         lines.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
         return lines.count(), path
 
@@ -237,7 +311,7 @@ class Service:
             rows.append((i, c["name"], c["query_text"], [x["source_key"] for x in row["items"] if x["source_key"]], list(c.get("expected_source_keys") or []), list(c.get("expected_terms") or []), text, len(row["items"]), row["token_count_estimate"]))
         x = self.spark.createDataFrame(rows, "seq int, name string, query_text string, retrieved_keys array<string>, expected_keys array<string>, expected_terms array<string>, term_text string, retrieval_count int, token_count_estimate int")
         x = E.hits(x).withColumn("run_id", F.lit(run_id)).withColumn("suite_name", F.lit(suite_name)).withColumn("created_at", F.lit(self.now))
-        self.store.append("eval_runs", x.select(*(F.col(c.split()[0]).cast(c.split(maxsplit=1)[1]) for c in N.columns(schema.EVAL_RESULT))))
+        self.store.append("eval_runs", x.select(*(F.col(c.split()[0]).cast(c.split(maxsplit=1)[1]) for c in schema.columns(schema.EVAL_RESULT))))
         return run_id
 
     def save_evaluation_suite(self, name: str, cases: list[dict]) -> None:

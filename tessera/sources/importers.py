@@ -64,6 +64,12 @@ def html_text(raw: Column) -> Column:
     return collapse(unescape_html(F.regexp_replace(F.regexp_replace(raw, SCRIPTS, " "), TAGS, " ")))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
 def read_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(path, name, suffix, modified, content) of the files under a path."""
     x = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
@@ -86,11 +92,6 @@ def import_files(files: DataFrame) -> DataFrame:
     return x.withColumn("source_key", F.concat(F.lit("file:"), F.col("path"))).drop("raw", "json", "content")
 
 
-def read_records_json(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Stored records, one JSON object a file; what doesn't parse is skipped."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-
-
 def load_dataset(spark: SparkSession, path: str) -> DataFrame:
     """(line, row) of a JSON-lines dataset; the first line that is no object, or lacks a source_key or a text or
     structured_data, raises ValueError with its number."""

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.config import Settings
+from tessera.functions import vector as V
+
 TRAINING = ("id kind scope source_type content_class user_id session_id source_id source_key source_version source_status external_id content_checksum source_updated_at source_last_synced_at deleted_at title summary text token_count_estimate lexical_tokens semantic_terms embedding urls tags metadata structured_data data_schema structured_fields policy created_at").split()
 PROVENANCE = ("source_key source_version source_status external_id content_checksum source_type content_class source_updated_at source_last_synced_at deleted_at user_id session_id urls tags metadata structured_json data_schema structured_fields policy").split()
 TIMES = ("source_updated_at", "source_last_synced_at", "deleted_at", "created_at")
@@ -20,9 +23,10 @@ def shown(df: DataFrame, name: str) -> Column:
     return (iso(name) if name in TIMES else F.col(name)).alias(name)
 
 
-def training_lines(records: DataFrame) -> DataFrame:
-    """The 31 fields of a training line for each record."""
+def training_lines(records: DataFrame, settings: Settings) -> DataFrame:
+    """The 31 fields of a training line for each record, with its stored vector as a dense one."""
     x = records.withColumnRenamed("structured_json", "structured_data")
+    x = x.withColumn("embedding", V.dense(F.col("buckets"), F.col("weights"), max(8, settings.embedding_dimensions)))
     return x.select(*(shown(x, c) for c in TRAINING))
 
 
@@ -31,6 +35,10 @@ def provenance(items: DataFrame) -> Column:
     return F.struct(F.col("record_id"), *(shown(items, c) for c in PROVENANCE))
 
 
+def with_provenance(items: DataFrame) -> DataFrame:
+    return items.withColumn("provenance", provenance(items))
+
+
 def audit_row(counts: DataFrame, items: DataFrame, visible: DataFrame, excluded: DataFrame, request, created_at) -> DataFrame:
     """One row about a retrieval, also of an empty one. counts has one row; the others are gathered into arrays."""
     ids = lambda df, c, order: df.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("c")))), lambda x: x["c"]).alias("v"))
