@@ -2,9 +2,9 @@
 
 The shingles of a set are hashed into groups, the more the larger the set; the counts by group are a point, and the sum
 of the smaller coordinates of two points bounds the overlap of their sets (the finer point is folded to the groups of
-the coarser). Points meet by their rarest shingles (two sets that link
-share one of those), an R-tree over the points of a shingle finds the pairs whose bound suffices, and what survives is
-verified on whole sets. Documents with equal sets are one class and travel as one; of the pairs that survive only
+the coarser). Points meet by their rarest shingles (two sets that link share one of those; only shingles that two sets
+share at all move points), an R-tree over the points of a shingle finds the pairs whose bound suffices, and what survives
+is verified on whole sets. Documents with equal sets are one class and travel as one; of the pairs that survive only
 enough to connect them are kept, so that a group of copies never becomes all its pairs. What they connect is a cluster;
 sets of one cluster are verified in blocks, of which each is looked at alone first, then one set of each group that came
 out of that, and only groups that are still apart are compared block by block.
@@ -28,7 +28,7 @@ LIMITS = np.array([PER * GROUPS << k for k in range(LEVELS - 1)], np.int64)
 #: Buckets of shingle hashes whose counts order shingles by rarity: a fixed size, whatever the number of documents.
 RARITY_BITS, CHUNKS = 18, 16
 #: Members and shingles of a block that is verified at once, points in a node of an R-tree, coordinates compared at once.
-BLOCK, BLOCK_SHINGLES, NODE, AT_ONCE = 8192, 1 << 20, 32, 1 << 22
+BLOCK, BLOCK_SHINGLES, NODE, AT_ONCE = 1024, 1 << 20, 32, 1 << 22
 FULL = 255  # a coordinate that stands for any count from here on
 
 _SPACE = np.zeros(256, bool)
@@ -221,32 +221,48 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, percent: int, forest: Fore
 
 # --- candidates ----------------------------------------------------------------------------------------------------
 
-SENT = "bucket int, docs binary, sizes binary, points binary, owners binary, tokens binary"
+SENT = "bucket int, docs binary, owners binary, tokens binary"
+SHARED = "bucket int, doc long, tokens binary"
 LINKS = "a long, b long"
 
 
 def send_prefixes(buckets: int):
+    """Rarest shingles to the bucket of each: of a batch of sets one row a bucket."""
+
     def send(batches):
         for batch in batches:
-            docs, sizes, points, prefixes = (batch.column(i).to_pylist() for i in range(4))
-            tokens = [np.frombuffer(p, np.uint64) for p in prefixes]
-            counts, every = [len(t) for t in tokens], np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            of = np.repeat(np.arange(len(docs)), counts)
+            docs, tokens = batch.column(0).to_numpy(), [np.frombuffer(p, np.uint64) for p in batch.column(1).to_pylist()]
+            every = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+            of = np.repeat(np.arange(len(docs)), [len(t) for t in tokens])
             bucket = (every % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            bucket, of, low = bucket[by], of[by], (every[by] >> np.uint64(32)).astype(np.uint32)
-            docs, sizes, rows = np.array(docs, np.int64), np.array(sizes, np.int32), []
+            bucket, of, low, rows = bucket[by], of[by], (every[by] >> np.uint64(32)).astype(np.uint32), []
             edge = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
             for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                new = np.concatenate(([True], of[s + 1 : e] != of[s : e - 1]))  # a document's point goes once to a bucket
-                sent = of[s:e][new]
-                rows.append((int(bucket[s]), docs[sent].tobytes(), sizes[sent].tobytes(), b"".join(points[d] for d in sent.tolist()), blob(np.cumsum(new) - 1, np.uint32), low[s:e].tobytes()))
-            kinds = (pa.int32(), *[pa.binary()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], ["bucket", "docs", "sizes", "points", "owners", "tokens"])
+                sent, owner = np.unique(of[s:e], return_inverse=True)
+                rows.append((int(bucket[s]), blob(docs[sent], np.int64), blob(owner, np.uint32), low[s:e].tobytes()))
+            kinds = (pa.int32(), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], ["bucket", "docs", "owners", "tokens"])
 
     return send
 
 
+def shared_tokens(group: pa.Table) -> pa.Table:
+    """For each set of a bucket its shingles that another set of the bucket holds too; sets without any have no row."""
+    docs, owners, tokens = (np.concatenate([np.frombuffer(x, k) for x in group.column(c).to_pylist()]) for c, k in (("docs", np.int64), ("owners", np.uint32), ("tokens", np.uint32)))
+    sent, held = ([len(x) // n for x in group.column(c).to_pylist()] for c, n in (("docs", 8), ("owners", 4)))
+    owners = owners.astype(np.int64) + np.repeat(np.cumsum(sent) - sent, held)
+    order = np.argsort(tokens, kind="stable")
+    low = tokens[order]
+    alone = np.concatenate(([True], low[1:] != low[:-1])) & np.concatenate((low[1:] != low[:-1], [True]))
+    kept = order[~alone]
+    kept = kept[np.argsort(owners[kept], kind="stable")]
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(owners[kept])) + 1, [len(kept)])) if len(kept) else np.zeros(1, np.int64)
+    parts = [tokens[kept[s:e]].tobytes() for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    bucket = group.column("bucket")[0].as_py()
+    return pa.table([pa.array([bucket] * len(parts), pa.int32()), pa.array(docs[owners[kept[edge[:-1]]]]), pa.array(parts, pa.binary())], names=["bucket", "doc", "tokens"])
+
+
 def link_table(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -281,9 +297,9 @@ class Points:
 
 def candidates(percent: int):
     def find(group: pa.Table) -> pa.Table:
-        docs, sizes, flat, owners, tokens = (np.concatenate([np.frombuffer(x, k) for x in group.column(c).to_pylist()]) for c, k in (("docs", np.int64), ("sizes", np.int32), ("points", np.uint8), ("owners", np.uint32), ("tokens", np.uint32)))
-        sent, held = ([len(x) // n for x in group.column(c).to_pylist()] for c, n in (("docs", 8), ("owners", 4)))
-        owners = owners.astype(np.int64) + np.repeat(np.cumsum(sent) - sent, held)
+        docs, sizes, held = group.column("doc").to_numpy(), group.column("n").to_numpy(), group.column("tokens").to_pylist()
+        flat = np.frombuffer(b"".join(group.column("point").to_pylist()), np.uint8)
+        tokens, owners = np.frombuffer(b"".join(held), np.uint32), np.repeat(np.arange(len(docs)), [len(t) // 4 for t in held])
         order, sizes = np.argsort(tokens, kind="stable"), sizes.astype(np.int64)
         tokens, owners = tokens[order], owners[order]
         edge = np.concatenate(([0], np.flatnonzero(np.diff(tokens)) + 1, [len(tokens)]))
@@ -433,8 +449,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = known.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("prefix").alias("prefix"))
     classes = cut(classes)
     total = known.where("n > 0").count()
-    sent = classes.where("rep is not null").select("rep", "n", "point", "prefix").mapInArrow(send_prefixes(shards(docs.sparkSession)), SENT)
-    maybe = components(sent.groupBy("bucket").applyInArrow(candidates(percent), LINKS))
+    sent = classes.where("rep is not null").select("rep", "prefix").mapInArrow(send_prefixes(shards(docs.sparkSession)), SENT)
+    met = sent.groupBy("bucket").applyInArrow(shared_tokens, SHARED)
+    met = met.join(classes.select(F.col("rep").alias("doc"), "n", "point"), "doc")
+    maybe = components(met.groupBy("bucket").applyInArrow(candidates(percent), LINKS))
     maybe = cut(maybe.join(real.groupBy("doc_id").agg(F.sum("n").alias("tokens")), F.col("id") == F.col("doc_id")).drop("doc_id"))
     links = verified_links(docs.where("doc_id is not null"), maybe, size, percent)
     repeated = real.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo <> hi").select("doc_id")
