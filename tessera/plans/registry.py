@@ -248,12 +248,12 @@ def assembled(spark, d, mode="research", budget=600):
 
 @query
 def compress_items(spark, d):
-    return assembled(spark, d).select(F.size("items").alias("n_items"), F.size("compressed").alias("n_compressed"), F.transform("compressed", lambda x: x["chunk_id"]).alias("chunk_ids"))
+    return assembled(spark, d).select(F.size("items").alias("n_items"), F.size("compressed").alias("n_compressed"), F.array_join(F.transform("compressed", lambda x: x["chunk_id"]), ",").alias("chunk_ids"))
 
 
 @query
 def pack_budget(spark, d):
-    return assembled(spark, d).select("used", "omitted_items", "truncation_reason", F.transform("selected", lambda x: x["chunk_id"]).alias("chunk_ids"))
+    return assembled(spark, d).select("used", "omitted_items", "truncation_reason", F.array_join(F.transform("selected", lambda x: x["chunk_id"]), ",").alias("chunk_ids"))
 
 
 @query
@@ -284,7 +284,8 @@ def task_envelope(spark, d):
     x = W.intent(x, F.lit(P.QUERY), source_types=of("source_type"), kinds=of("kind"), source_refs=of("source_key"))
     notes = L.visible(P.records(spark, d), REQ, S, NOW).where(F.col("kind").isin(*W.NOTE_KINDS))
     x = W.output_contract(x.crossJoin(W.preferences(W.preference_signals(notes))))  # one row each
-    return x.select("workflow_type", "action", "target_type", "goal", "constraints", "output_type", "confidence", "source_refs", "must_include", "must_avoid", W.objective(F.col("workflow_type"), F.col("target_type"), F.col("action"), F.size("blocks") > 0).alias("objective"))
+    lists = (F.array_join(c, "; ").alias(c) for c in ("constraints", "source_refs", "must_include", "must_avoid"))
+    return x.select("workflow_type", "action", "target_type", "goal", "output_type", "confidence", *lists, W.objective(F.col("workflow_type"), F.col("target_type"), F.col("action"), F.size("blocks") > 0).alias("objective"))
 
 
 @query

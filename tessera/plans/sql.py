@@ -95,6 +95,66 @@ RUN = "SELECT 'case_' || CAST(item_id AS VARCHAR) AS name, (item_id * {a}) % 4 <
 RUNS = f"x AS ({RUN.format(a=3, b=5)}), y AS ({RUN.format(a=4, b=6)})"
 COMPARED = f"{RUNS}, c AS (SELECT name, coalesce(x.r, false) AS br, coalesce(x.a, false) AS ba, coalesce(y.r, false) AS cr, coalesce(y.a, false) AS ca FROM x FULL JOIN y USING (name))"
 
+# Folds over ranked items, as recursions: near repeats go, then what fits the budget stays.
+JACCARD = "len(list_intersect(a, {b})) / CAST(len(list_distinct(list_concat(a, {b}))) AS DOUBLE)"
+BUDGET = 600
+ASSEMBLED = f"""{hybrid(ONE, 20, 80).replace('WITH', 'WITH RECURSIVE', 1)},
+it AS (SELECT *, {T('chunk_text')} AS tk, greatest(1, chunk_tokens) AS size FROM items),
+fold AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[][]) AS kept, CAST([] AS VARCHAR[]) AS ids
+  UNION ALL SELECT n + 1, CASE WHEN dup THEN kept ELSE list_append(kept, tk) END, CASE WHEN dup THEN ids ELSE list_append(ids, chunk_id) END
+  FROM (SELECT fold.*, it.tk, it.chunk_id, len(list_filter(kept, lambda a: len(a) > 0 AND len(it.tk) > 0 AND {JACCARD.format(b='it.tk')} >= 0.82)) > 0 AS dup FROM fold JOIN it ON it.rank = fold.n + 1)),
+compressed AS (SELECT ids FROM fold ORDER BY n DESC LIMIT 1),
+fits AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS chosen
+  UNION ALL SELECT n + 1, CASE WHEN len(chosen) = 0 OR used + size <= {BUDGET} THEN used + size ELSE used END, CASE WHEN len(chosen) = 0 OR used + size <= {BUDGET} THEN list_append(chosen, chunk_id) ELSE chosen END
+  FROM (SELECT fits.*, it.size, it.chunk_id FROM fits, compressed, it WHERE n < len(ids) AND it.chunk_id = ids[n + 1])),
+packed AS (SELECT used, chosen, (SELECT count(*) FROM it) - len(chosen) AS omitted FROM fits ORDER BY n DESC LIMIT 1),
+selected AS (SELECT it.*, CASE WHEN kind IN ('research_report', 'research_finding', 'evidence_summary') THEN 1 WHEN scope = 'session' THEN 2 ELSE 3 END AS s FROM it, packed WHERE list_contains(chosen, chunk_id)),
+numbered AS (SELECT *, (['key_evidence', 'supporting_context', 'background_memory'])[s] AS section, row_number() OVER (ORDER BY s, rank) AS i FROM selected)"""
+ITEM_TEXT = """'[' || CAST(i AS VARCHAR) || '] ' || CASE WHEN coalesce(title, '') <> '' THEN title ELSE kind END || ' (' || scope || ', ' || source_type || ', score=' || printf('%.3f', score) || ', reason=' || selection_reason || ')'
+  || chr(10) || chunk_text || CASE WHEN coalesce(source_key, '') <> '' THEN chr(10) || 'source_key=' || source_key ELSE '' END || chr(10)"""
+RENDERED = f"""{ASSEMBLED},
+part AS (SELECT s, chr(10) || '## ' || section || chr(10) || string_agg({ITEM_TEXT}, chr(10) ORDER BY i) AS t FROM numbered GROUP BY s, section),
+body AS (SELECT CASE WHEN count(*) > 0 THEN regexp_replace('Request: {QUERY}' || chr(10) || 'Mode: research' || chr(10) || chr(10) || 'Use the following context sections when answering:' || chr(10) || string_agg(t, chr(10) ORDER BY s), '^\\s+|\\s+$', '', 'g')
+  ELSE 'Request: {QUERY}' || chr(10) || 'Mode: research' || chr(10) || chr(10) || 'No stored context matched the request.' END AS t FROM part)"""
+BLOCKS = f"""{ASSEMBLED},
+block AS (SELECT s, section AS name, CAST(sum(size) AS BIGINT) AS tokens, coalesce(string_agg(chunk_text, chr(10) || chr(10) ORDER BY i) FILTER (WHERE trim(chunk_text) <> ''), '') AS text FROM numbered GROUP BY s, section),
+told AS (SELECT trim(coalesce(string_agg(name || ': ' || trim(substr(trim(text), 1, 180)), ' ' ORDER BY s) FILTER (WHERE trim(text) <> ''), '')) AS summary FROM block)"""
+
+
+def envelope() -> str:
+    """The task envelope of QUERY: its intent beside the selected context, and what the visible notes prefer."""
+    low = QUERY.lower().strip()
+    rule = next((r for r in W.RULES if any(w in low for w in r[1])), None)
+    workflow, action, output, goal = (rule[0], rule[2], rule[3], rule[4]) if rule else ("analyze", "respond", "text", "produce_helpful_result")
+    has = lambda words: any(w in low for w in words)
+    wants = ["use user workflow preferences", *(["keep output concise"] if has(W.SIGNALS["brevity"]) else []), *(["ground response in evidence"] if has(("source", "citation", "cite", "evidence")) else []), *(["produce a sendable response"] if workflow == "reply" else [])]
+    said = action.replace("_", " ").capitalize()
+    target = f"""CASE WHEN '{workflow}' = 'code' THEN 'codebase' WHEN {has(('email',))} THEN 'email' WHEN {has(W.NOTE_WORDS)} THEN 'note' WHEN files > 0 OR {has(W.DOCUMENT_WORDS)} THEN 'document'
+      WHEN '{workflow}' = 'research' AND evidence > 0 THEN 'research_material' ELSE 'context' END"""
+    return f"""{ASSEMBLED},
+known AS (SELECT count(*) AS n, count(*) FILTER (WHERE source_type = 'imported_document') AS files, count(*) FILTER (WHERE kind IN {W.EVIDENCE_KINDS}) AS evidence,
+  (SELECT string_agg(source_key, '; ' ORDER BY r) FROM (SELECT source_key, min(rank) AS r FROM selected WHERE source_key <> '' GROUP BY source_key ORDER BY r LIMIT 6)) AS source_refs FROM selected),
+t AS (SELECT *, {target} AS target_type FROM known),
+h AS (SELECT {', '.join(f'{v} AS {k}' for k, v in HITS.items())} FROM vis WHERE kind IN {W.NOTE_KINDS})
+SELECT '{workflow}' AS workflow_type, '{action}' AS action, target_type, '{goal}' AS goal, CASE WHEN target_type = 'email' AND '{workflow}' = 'reply' THEN 'email_reply' ELSE '{output}' END AS output_type,
+  CAST(CASE WHEN target_type = 'email' THEN 0.88 WHEN target_type <> 'context' THEN 0.84 ELSE {0.82 if rule else 0.55} END AS DOUBLE) AS confidence, '{"; ".join(wants)}' AS constraints, source_refs,
+  concat_ws('; ', 'match user workflow preferences', CASE WHEN clarify_low_hits > 0 THEN 'make a best-effort attempt before asking questions' END, CASE WHEN initiative_hits > 0 THEN 'include a clear next step when appropriate' END) AS must_include,
+  concat_ws('; ', 'irrelevant context', CASE WHEN brevity_hits > 0 THEN 'unnecessary verbosity' END) AS must_avoid,
+  CASE WHEN '{workflow}' = 'reply' AND target_type = 'email' THEN 'Draft a reply to the active email using the user''s workflow preferences.' WHEN target_type IN ('note', 'document') THEN '{said} for the active ' || target_type || ' using the retrieved context.'
+    WHEN target_type = 'research_material' THEN '{said} using the active research material.' WHEN n > 0 THEN '{said} for the active ' || target_type || ' using the retrieved context.' ELSE 'Produce a useful result for the current user request.' END AS objective
+FROM t, h"""
+
+
+# The fold over arrivals: what is accepted depends on the last ten accepted of the group.
+NEAR_DUPLICATES = f"""{REC_Q.replace('WITH', 'WITH RECURSIVE', 1)},
+x AS (SELECT id, kind, scope, CASE scope WHEN 'session' THEN session_id WHEN 'user' THEN user_id END AS owner, {T('text')} AS t, doc_id FROM rec),
+y AS (SELECT *, row_number() OVER (PARTITION BY kind, scope, owner ORDER BY doc_id) AS n FROM x),
+f AS (SELECT id, kind, scope, owner, n, [t] AS recent, false AS rejected FROM y WHERE n = 1
+  UNION ALL SELECT id, kind, scope, owner, n, CASE WHEN dup THEN recent ELSE list_append(recent, t)[-10:] END, dup FROM (
+    SELECT y.*, f.recent, y.kind NOT IN ('training_example', 'decision_outcome') AND len(list_filter(f.recent, lambda a: len(a) > 0 AND len(y.t) > 0 AND {JACCARD.format(b='y.t')} >= 0.85)) > 0 AS dup
+    FROM f JOIN y ON y.kind = f.kind AND y.scope = f.scope AND y.owner IS NOT DISTINCT FROM f.owner AND y.n = f.n + 1))
+SELECT id, rejected FROM f"""
+
 SQL = {
     "record_projection": f"{REC_Q} SELECT id, kind, scope, source_type, content_class, nullif(trim(title), '') AS title, user_id, session_id, source_key, source_status, content_checksum, token_count_estimate FROM rec",
     "chunk_documents": f"{CHUNK_Q} SELECT chunk_id, record_id, chunk_index, token_count_estimate, md5(text) AS text_md5 FROM chk",
@@ -162,4 +222,10 @@ SQL = {
     "variant_split": f"{REC_Q} SELECT id, 'structured' AS variant, '{{\"n\":' || CAST(doc_id AS VARCHAR) || '}}' AS structured_json FROM rec WHERE doc_id % 4 = 0 UNION ALL SELECT id, 'unstructured', NULL FROM rec",
     "training_export": f"{REC_Q} SELECT id, concat_ws('|', {', '.join(f'''coalesce(CAST({c} AS VARCHAR), 'null')''' for c in ('id', 'kind', 'scope', 'source_type', 'content_class', 'user_id', 'session_id', 'source_key', 'source_status', 'content_checksum', 'title', 'token_count_estimate'))}) AS fields, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, CAST(len({T('text')}) AS INTEGER) AS n_tokens FROM rec",
     "audit_rows": f"{HYBRID_ONE} SELECT '{QUERY}' AS query_text, 'enforce_policy=true; model_target=local' AS applied_filters, (SELECT count(*) FROM vis) AS n_visible, (SELECT md5(string_agg(id, ',' ORDER BY id)) FROM vis) AS visible_md5, (SELECT string_agg(chunk_id, ',' ORDER BY rank) FROM items) AS selected_chunk_ids",
+    "near_duplicates": NEAR_DUPLICATES,
+    "compress_items": f"{ASSEMBLED} SELECT CAST((SELECT count(*) FROM it) AS INTEGER) AS n_items, CAST(len(ids) AS INTEGER) AS n_compressed, array_to_string(ids, ',') AS chunk_ids FROM compressed",
+    "pack_budget": f"{ASSEMBLED} SELECT used, CAST(omitted AS INTEGER) AS omitted_items, CASE WHEN omitted > 0 THEN 'token_budget_reached' END AS truncation_reason, array_to_string(chosen, ',') AS chunk_ids FROM packed",
+    "render_context": f"{RENDERED} SELECT t AS context_text, CAST(greatest(1, ceil(length(t) / 4.0)) AS INTEGER) AS token_count_estimate, CAST(omitted AS INTEGER) AS omitted_items FROM body, packed",
+    "prepare_context": f"{BLOCKS} SELECT name, tokens, text, summary FROM block, told",
+    "task_envelope": envelope(),
 }
