@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,9 +134,16 @@ def embedded(rows: DataFrame, settings: Settings, tokens: str = "lexical_tokens"
 
 def dense(buckets: Column, weights: Column, dims: int) -> Column:
     """A sparse vector as array<double> of unit length; all zeros for an empty one."""
-    norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda s, w: s + w * w))
-    by = F.map_from_arrays(buckets, weights)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(norm > 0, F.coalesce(F.try_element_at(by, i), F.lit(0.0)) / norm).otherwise(F.lit(0.0)))
+
+    @F.pandas_udf("array<double>")
+    def run(bucket: pd.Series, weight: pd.Series) -> pd.Series:
+        out = np.zeros((len(bucket), dims))
+        for row, b, w in zip(out, bucket, weight, strict=True):
+            row[b] = w
+        norm = np.sqrt((out**2).sum(1, keepdims=True))
+        return pd.Series(list(np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)))
+
+    return run(buckets, weights)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +85,22 @@ def tier_report(runs: DataFrame) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("runs"), *measures).withColumn("series", F.coalesce("series", F.lit("all"))).withColumn("tier", F.coalesce("tier", F.lit("all")))
 
 
+def run_table(runs: DataFrame, results: DataFrame, cases: DataFrame) -> DataFrame:
+    """Runs (series, run, ...) with their tier and what their results (series, run, name, retrieval_hit, assembly_hit,
+    retrieval_count, token_count_estimate) and case definitions (series, run, name) say; zeros where these are missing."""
+    n, tokens = F.col("retrieval_count"), F.col("token_count_estimate")
+    measured = results.groupBy("series", "run").agg(
+        F.count(F.lit(1)).alias("total_cases"), F.count_if("retrieval_hit").alias("retrieval_hits"), F.count_if("assembly_hit").alias("assembly_hits"), F.round(F.avg(n), 1).alias("mean_retrieval_count"),
+        F.min(n).alias("min_retrieval_count"), F.max(n).alias("max_retrieval_count"), F.round(F.avg(tokens), 0).alias("mean_assembly_tokens"), F.sum(tokens).alias("total_assembly_tokens"),
+    )
+    defined = cases.groupBy("series", "run").agg(F.count(F.lit(1)).alias("case_definitions"))
+    x = runs.join(measured, ["series", "run"], "left").join(defined, ["series", "run"], "left")
+    x = x.na.fill(0, [c for c in (*measured.columns, "case_definitions") if c not in ("series", "run")])
+    tiers = F.broadcast(tier_of(runs.sparkSession))  # ten rows
+    x = x.join(tiers, F.col("run").between(F.col("lo"), F.col("hi")), "left").drop("lo", "hi")
+    return x.withColumn("tier", F.coalesce("tier", F.lit("maximum")))
+
+
 def pruning_report(runs: DataFrame) -> DataFrame:
     """Mean active, pruned and imported records and the share pruned, by variant and dataset."""
     x = runs.groupBy("variant", "dataset").agg(F.avg("active").alias("avg_active"), F.avg("pruned").alias("avg_pruned"), F.avg("imported").alias("avg_imported"))
@@ -91,6 +108,29 @@ def pruning_report(runs: DataFrame) -> DataFrame:
 
 
 def dataset_profile(records: DataFrame) -> DataFrame:
-    """(kind, scope, n, prefixes, structured, text lengths) by kind and scope."""
+    """(kind, scope, n, prefixes, structured, text lengths, fields) by kind and scope; fields are the names of columns that
+    any of the records fills."""
     n = F.length("text")
-    return records.groupBy("kind", "scope").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(before_colon(F.col("source_key"))).alias("prefixes"), F.count_if(F.col("structured_json").isNotNull()).alias("structured"), F.avg(n).alias("avg_chars"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.median(n).alias("median_chars"))
+    fields = F.array_sort(F.array_compact(F.array(*(F.when(F.count(c) > 0, c) for c in records.columns))))
+    return records.groupBy("kind", "scope").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(before_colon(F.col("source_key"))).alias("prefixes"), F.count_if(F.col("structured_json").isNotNull()).alias("structured"), F.avg(n).alias("avg_chars"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.median(n).alias("median_chars"), fields.alias("fields"))
+
+
+def valid_terms(cases: DataFrame, records: DataFrame) -> DataFrame:
+    """cases (name, expected_terms) with valid_terms, those that any text of records (text) holds.
+
+    Each distinct term is looked for in one pass over the texts; what comes back is one row a term."""
+    terms = [r["t"] for r in cases.select(F.explode("expected_terms").alias("t")).distinct().orderBy("t").collect()]  # of the cases of a suite
+    if not terms:
+        return cases.withColumn("valid_terms", F.array().cast("array<string>"))
+
+    def held(batches):
+        open_ = list(terms)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                here = [t for t in open_ if t in text]
+                if here:
+                    yield pa.RecordBatch.from_arrays([pa.array(here)], ["t"])
+                    open_ = [t for t in open_ if t not in set(here)]
+
+    found = records.where("text is not null").select("text").mapInArrow(held, "t string").distinct().agg(F.collect_set("t").alias("known"))  # the terms at most
+    return cases.crossJoin(found).withColumn("valid_terms", F.filter("expected_terms", lambda t: F.array_contains("known", t))).drop("known")  # one row

@@ -17,16 +17,6 @@ def owner() -> Column:
     return F.when(F.col("scope") == "session", F.trim("session_id")).when(F.col("scope") == "user", F.trim("user_id"))
 
 
-def upsert_versions(arrivals: DataFrame, key: str = "source_key", order: str = "seq") -> DataFrame:
-    """arrivals with source_version and source_status, one row a version: an arrival whose checksum is that of the version
-    before it changes nothing and goes; the last version of a key (by scope and owner) is active, others are superseded."""
-    per = Window.partitionBy(key, "scope", "owner").orderBy(order)
-    x = arrivals.withColumn("owner", owner()).withColumn("before", F.lag("content_checksum").over(per))
-    x = x.where(F.col("before").isNull() | (F.col("before") != F.col("content_checksum"))).drop("before")
-    x = x.withColumn("source_version", F.row_number().over(per)).withColumn("next", F.lead(order).over(per)).withColumn("previous_id", F.lag("id").over(per))
-    return x.withColumn("source_status", F.when(F.col("next").isNull(), "active").otherwise("superseded")).drop("next")
-
-
 def latest(records: DataFrame, key: str = "source_key") -> DataFrame:
     """The newest version of each key by scope and owner: version, then creation, then id."""
     newest = Window.partitionBy(key, "scope", owner()).orderBy(F.desc("source_version"), F.desc("created_at"), F.desc("id"))

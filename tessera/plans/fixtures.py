@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import schema
 from tessera.config import KINDS, Request, Settings
 from tessera.functions import text as X
 
@@ -146,3 +147,38 @@ def eval_run(spark: SparkSession, sf_dir: str, which: int) -> DataFrame:
     return x.select(F.concat(F.lit("case_"), i.cast("string")).alias("name"), ((i * (3 + which)) % 4 != 0).alias("retrieval_hit"), ((i * (5 + which)) % 3 != 0).alias("assembly_hit"), i.alias("seq"))
 
 
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """records with every column of schema.RECORD and seq: sixty keys, versions in the order of doc_id."""
+    i = F.col("doc_id")
+    x = records(spark, sf_dir).withColumn("source_key", F.concat(F.lit("k"), (i % 60).cast("string"))).withColumn("seq", i)
+    x = x.withColumn("owner_scope", F.coalesce("session_id", "user_id")).withColumn("metadata", F.expr("cast(map() as map<string,string>)"))
+    x = x.withColumn("source_version", F.lit(1)).withColumn("source_status", F.lit("active")).withColumn("lexical_tokens", X.lexical_tokens(F.col("text")))
+    kinds = [c.split(maxsplit=1) for c in schema.columns(schema.RECORD)]
+    return x.select(*((F.col(n) if n in x.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds), "seq", "doc_id")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, pages and orders as the files of an import, some of which can't be read."""
+    at = lambda kind, i: F.concat(F.lit(f"/in/{kind}"), i.cast("string"))
+    d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    i = F.col("doc_id")
+    suffix = F.element_at(F.array(*map(F.lit, (".txt", ".md", ".csv", ".xml", ".bin", ".ndjson"))), (i % 6 + 1).cast("int"))
+    xml = F.concat(F.lit("<r><a>"), F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</a><b>end</b></r>"))
+    lines = F.concat(F.lit('{"id": '), i.cast("string"), F.lit("}\nnot json\n"))
+    content = F.when(i % 6 == 3, xml.cast("binary")).when(i % 6 == 5, lines.cast("binary")).when(i % 30 == 0, F.lit(bytes([255, 254]))).otherwise(F.col("text").cast("binary"))
+    docs = d.select(F.concat(at("d", i), suffix).alias("path"), suffix.alias("suffix"), content.alias("content"))
+    pages = p.select(F.concat(at("p", F.col("page_id")), F.lit(".html")).alias("path"), F.lit(".html").alias("suffix"), F.col("html").cast("binary").alias("content"))
+    orders = payloads(spark, sf_dir).select(F.concat(at("o", F.col("o_orderkey")), F.lit(".json")).alias("path"), F.lit(".json").alias("suffix"), F.col("payload").cast("binary").alias("content"))
+    x = docs.union(pages).union(orders)
+    return x.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("modified", F.lit(AS_OF))
+
+
+def run_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """runs, with results of documents for some and case definitions of benchmark items for others."""
+    i, j = F.col("doc_id"), F.col("item_id")
+    series = lambda k: pick(("series_a", "series_b", "series_c"), k % 3).alias("series")
+    results = table(spark, sf_dir, "documents").select(series(i), (i % 40 + 1).cast("int").alias("run"), F.concat(F.lit("case_"), i.cast("string")).alias("name"), (i % 4 != 0).alias("retrieval_hit"), (i % 3 != 0).alias("assembly_hit"), (i % 7).cast("int").alias("retrieval_count"), (i % 500).cast("int").alias("token_count_estimate"))
+    cases = table(spark, sf_dir, "benchmark").select(series(j), (j % 50 + 1).cast("int").alias("run"), F.concat(F.lit("case_"), j.cast("string")).alias("name"))
+    return runs(spark, sf_dir).select("series", "run").distinct(), results, cases

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera import schema
 from tessera.config import Request
 from tessera.functions import structured as J
 from tessera.functions import text as X
@@ -12,12 +13,15 @@ from tessera.operators import assembly as A
 from tessera.operators import chunks as C
 from tessera.operators import evaluation as E
 from tessera.operators import filters as L
+from tessera.operators import ingest as N
 from tessera.operators import lifecycle as Y
+from tessera.operators import perturb as B
 from tessera.operators import retrieval as R
 from tessera.operators import workflow as W
 from tessera.plans import fixtures as P
 from tessera.plans import sql
 from tessera.sources import importers as I  # noqa: E741
+from tessera.sources import sinks as K
 
 FLAGSHIP = "hybrid_retrieve"
 S, NOW, REQ = P.SETTINGS, P.AS_OF, P.REQUEST
@@ -191,28 +195,28 @@ def query_results(spark, d):
     return retrieved(spark, d).select("rank", "record_id", "chunk_id", "kind", "scope", "source_type", "content_class", "title", "summary", "source_key", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.round("score", 6).alias("score"), "token_count_estimate")
 
 
-def arrivals(spark, d):
-    i = F.col("doc_id")
-    return P.records(spark, d).withColumn("version_key", F.concat(F.lit("k"), (i % 60).cast("string"))).withColumn("seq", i)
+def upserted(spark, d):
+    """The store after an upsert of all records into an empty one."""
+    new = P.stored(spark, d)
+    rows, _ = N.upsert(spark.createDataFrame([], schema.RECORD), new.drop("doc_id"), NOW)
+    return rows.withColumn("version_key", F.col("source_key")).withColumn("owner", F.col("owner_scope"))
 
 
 @query
 def upsert_versions(spark, d):
-    x = Y.upsert_versions(arrivals(spark, d), "version_key")
-    return x.select("id", "version_key", "scope", "owner", "source_version", "source_status", "previous_id")
+    return upserted(spark, d).select("id", "version_key", "scope", "owner", "source_version", "source_status", F.try_element_at("metadata", F.lit("previous_record_id")).alias("previous_id"))
 
 
 @query
 def latest_source(spark, d):
-    x = Y.upsert_versions(arrivals(spark, d), "version_key")
-    return Y.latest(x, "version_key").select("id", "version_key", "scope", "owner", "source_version")
+    return Y.latest(upserted(spark, d)).select("id", "version_key", "scope", "owner", "source_version")
 
 
 @query
 def soft_delete(spark, d):
-    x = Y.upsert_versions(arrivals(spark, d), "version_key").withColumn("deleted_at", F.lit(None).cast("timestamp"))
-    t = x.where(F.substring("version_key", -1, 1) == "7").select("version_key", "scope", "owner").distinct().withColumn("deleted_at", F.lit(NOW))
-    return Y.soft_delete(x, t, "version_key").select("id", "version_key", "source_version", "source_status", F.col("deleted_at").isNotNull().alias("has_deleted_at"))
+    x = upserted(spark, d)
+    t = x.where(F.substring("version_key", -1, 1) == "7").select("source_key", "scope", "owner").distinct().withColumn("deleted_at", F.lit(NOW))
+    return Y.soft_delete(x.drop("owner"), t).select("id", "version_key", "source_version", "source_status", F.col("deleted_at").isNotNull().alias("has_deleted_at"))
 
 
 @query
@@ -356,7 +360,7 @@ def tier_report(spark, d):
 @query
 def dataset_profile(spark, d):
     x = E.dataset_profile(P.records(spark, d))
-    return x.withColumn("avg_chars", F.round("avg_chars", 6))
+    return x.withColumn("avg_chars", F.round("avg_chars", 6)).withColumn("fields", F.array_join("fields", ","))
 
 
 @query
@@ -369,19 +373,79 @@ def variant_split(spark, d):
 
 @query
 def training_export(spark, d):
+    """The lines that the export writes, with their vectors."""
+    r = P.records(spark, d).withColumn("lexical_tokens", X.lexical_tokens(F.col("text")))
+    x = K.training_lines(V.embedded(r, S), S)
     cols = [F.col(c) for c in ("id", "kind", "scope", "source_type", "content_class", "user_id", "session_id", "source_key", "source_status", "content_checksum", "title", "token_count_estimate")]
-    x = P.records(spark, d).select("id", *(c.cast("string").alias(f"_{i}") for i, c in enumerate(cols)), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), X.lexical_tokens(F.col("text")).alias("t"))
-    return x.select("id", F.concat_ws("|", *(F.coalesce(f"_{i}", F.lit("null")) for i in range(len(cols)))).alias("fields"), "created_at", F.size("t").alias("n_tokens"))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)
+    return x.select("id", F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("null")) for c in cols)).alias("fields"), "created_at", F.size("lexical_tokens").alias("n_tokens"), F.size("embedding").alias("dims"), F.size(F.filter("embedding", lambda v: v != 0)).alias("nonzero"), F.round(squares, 6).alias("length_sq"))
 
 
 @query
 def audit_rows(spark, d):
+    """The row that the log of a request gets."""
     r = P.records(spark, d)
-    seen = L.visible(r, REQ, S, NOW)
-    one = seen.agg(F.count(F.lit(1)).alias("n_visible"), F.md5(F.array_join(F.array_sort(F.collect_list("id")), ",").cast("binary")).alias("visible_md5"))
-    chosen = retrieved(spark, d).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("c"))
-    text = lambda m: "; ".join(f"{k}={','.join(v)}" for k, v in sorted(m.items()))
-    return one.crossJoin(chosen).select(F.lit(P.QUERY).alias("query_text"), F.lit(text(REQ.filters())).alias("applied_filters"), "n_visible", "visible_md5", F.array_join(F.transform("c", lambda x: x["chunk_id"]), ",").alias("selected_chunk_ids"))  # one row each
+    chunks = C.chunk_records(r, S)
+    found = R.of_request(r, chunks, REQ, S, NOW)
+    items = R.finished(found, r, chunks, REQ, S, NOW, few=True)
+    x = K.audit_row(R.counts_of(found, r, REQ, S, NOW), items, L.visible(r, REQ, S, NOW), L.excluded_counts(r, REQ, S, NOW), REQ, NOW)
+    shown = F.array_join(F.transform(F.array_sort(F.map_keys("applied_filters")), lambda k: F.concat(k, F.lit("="), F.array_join(F.element_at(F.col("applied_filters"), k), ","))), "; ")
+    why = F.array_join(F.transform(F.array_sort(F.map_keys("excluded_counts")), lambda k: F.concat(k, F.lit("="), F.element_at(F.col("excluded_counts"), k).cast("string"))), "; ")
+    return x.select("audit_id", "query_text", "user_id", "session_id", "model_target", "enforce_policy", shown.alias("applied_filters"), why.alias("excluded_counts"), F.size("visible_record_ids").cast("long").alias("n_visible"), F.md5(F.array_join("visible_record_ids", ",").cast("binary")).alias("visible_md5"), F.array_join("selected_record_ids", ",").alias("selected_record_ids"), F.array_join("selected_chunk_ids", ",").alias("selected_chunk_ids"), "candidate_counts.visible_records", "candidate_counts.eligible_chunks", "candidate_counts.reranked_candidates", "retrieval_strategy")
+
+
+@query
+def provenance_items(spark, d):
+    """Where each retrieved item comes from."""
+    x = K.with_provenance(retrieved(spark, d)).select("rank", "provenance.*")
+    return x.select("rank", "record_id", "source_key", "source_status", "content_checksum", "source_type", "content_class", "user_id", "session_id", F.array_join("tags", ",").alias("tags"), "policy.confidentiality", "source_version")
+
+
+@query
+def import_files(spark, d):
+    """Texts, payloads and states of files of all kinds."""
+    x = I.import_files(P.files(spark, d))
+    return x.select("path", "status", "reason", "source_key", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("structured_json").isNotNull().alias("has_data"))
+
+
+@query
+def rare_filters(spark, d):
+    """Rules that other queries don't reach: source keys, allowed sessions, and requests of nobody in particular."""
+    x = P.records(spark, d)
+    allowed = F.when(F.col("doc_id") % 5 == 1, F.array(F.lit("s1"), F.lit("s2"))).otherwise(F.array().cast("array<string>"))
+    x = x.withColumn("policy", F.col("policy").withField("allowed_session_ids", allowed))
+    keys = tuple(f"src{i}:{n:04d}" for i in range(20) for n in range(0, 200, 2))
+    out = None
+    for name, r in (("keys", Request("x", session_id="s3", user_id="u1", source_keys=keys, max_age_days=100_000)), ("nobody", Request("x", max_age_days=100_000)), ("session", Request("x", session_id="s2", max_age_days=100_000))):
+        part = L.with_reason(x, r, S, NOW).select(F.lit(name).alias("request"), "id", F.coalesce("excluded", F.lit("visible")).alias("reason"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query
+def run_table(spark, d):
+    return E.run_table(*P.run_parts(spark, d))
+
+
+@query
+def pruning_report(spark, d):
+    k = F.col("s_suppkey")
+    x = P.table(spark, d, "supplier").select(P.pick(("structured", "unstructured"), k % 2).alias("variant"), P.pick(("base", "perturbed", "medical"), k % 3).alias("dataset"), (k % 433).alias("active"), (k % 17).alias("pruned"), (k % 433 + k % 17).alias("imported"))
+    return E.pruning_report(x).select("variant", "dataset", *(F.round(c, 6).alias(c) for c in ("avg_active", "avg_pruned", "avg_imported", "pruned_percent")))
+
+
+@query
+def valid_terms(spark, d):
+    """The words of benchmark items that any document holds."""
+    cases = P.cases(spark, d).select(F.col("query_id").cast("string").alias("name"), F.array_distinct(F.split("query_text", " ")).alias("expected_terms"))
+    x = E.valid_terms(cases, P.records(spark, d))
+    return x.select("name", F.size("expected_terms").alias("n_terms"), F.array_join("valid_terms", " ").alias("valid_terms"))
+
+
+@query
+def perturbed_dataset(spark, d):
+    x = B.perturbed(P.records(spark, d), buckets=4)
+    return x.select("id", "scope", "user_id", "session_id", F.array_join("tags", ",").alias("tags"), "source_key", F.md5(F.col("text").cast("binary")).alias("text_md5"), "perturbed", "near_duplicate")
 
 
 SQL = sql.SQL

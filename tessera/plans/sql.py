@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.operators import perturb as B
 from tessera.operators import workflow as W
 from tessera.plans.fixtures import CHUNKS, QUERY, REC, VISIBLE, stem_sql, terms_sql, tokens_sql
 
@@ -155,6 +156,23 @@ f AS (SELECT id, kind, scope, owner, n, [t] AS recent, false AS rejected FROM y
     FROM f JOIN y ON y.kind = f.kind AND y.scope = f.scope AND y.owner IS NOT DISTINCT FROM f.owner AND y.n = f.n + 1))
 SELECT id, rejected FROM f"""
 
+def perturbed_sql() -> str:
+    draw = lambda salt: f"CAST('0x' || substr(md5('{salt} ' || id), 1, 7) AS BIGINT)"
+    names = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in B.TAGS.items()) + "}"
+    words = "[" + ", ".join(f"'{w}'" for w in B.WORDS) + "]"
+    turned = f"{draw('scope')} % 100 < {B.SCOPES}"
+    number = f"CAST({draw('owner')} % 15 + 1 AS VARCHAR)"
+    return f"""{REC_Q}, b AS (SELECT *, {draw('bucket')} % 4 AS b FROM rec), f AS (SELECT b, row_number() OVER (PARTITION BY b ORDER BY {draw('from')}, id) AS p, text AS new_text FROM b),
+        t AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY {draw('to')}, id) AS p, {turned} AS turned FROM b), j AS (SELECT * FROM t JOIN f USING (b, p)),
+        n AS (SELECT *, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM rec ORDER BY {draw('near')}, id LIMIT {B.NEAR}),
+        m AS (SELECT *, {draw('word')} % len(w) AS pos, ({words})[{draw('new')} % {len(B.WORDS)} + 1] AS new FROM n)
+        SELECT id, CASE WHEN turned THEN CASE scope WHEN 'session' THEN 'user' WHEN 'user' THEN 'global' ELSE 'session' END ELSE scope END AS scope,
+          CASE WHEN turned AND scope = 'session' THEN 'u_perturbed_' || lpad({number}, 2, '0') WHEN NOT turned OR scope <> 'user' THEN user_id END AS user_id,
+          CASE WHEN turned AND scope = 'global' THEN 's_perturbed_' || {number} WHEN NOT turned OR scope <> 'session' THEN session_id END AS session_id,
+          CASE WHEN {draw('tags')} % 100 < {B.TAGGED} THEN coalesce(({names})[lang], lang) || ',' || coalesce(({names})[source], source) ELSE lang || ',' || source END AS tags, source_key, md5(new_text) AS text_md5, true AS perturbed, false AS near_duplicate FROM j
+        UNION ALL SELECT id, scope, user_id, session_id, lang || ',' || source, 'near_dup:' || id, md5(CASE WHEN len(w) > 5 THEN array_to_string(list_transform(w, lambda x, i: CASE WHEN i = pos + 1 THEN new || right(w[pos + 1], 2) ELSE x END), ' ') ELSE array_to_string(w, ' ') END), false, true FROM m"""
+
+
 SQL = {
     "record_projection": f"{REC_Q} SELECT id, kind, scope, source_type, content_class, nullif(trim(title), '') AS title, user_id, session_id, source_key, source_status, content_checksum, token_count_estimate FROM rec",
     "chunk_documents": f"{CHUNK_Q} SELECT chunk_id, record_id, chunk_index, token_count_estimate, md5(text) AS text_md5 FROM chk",
@@ -218,10 +236,42 @@ SQL = {
     "tier_report": f"""WITH r AS (SELECT (['series_a', 'series_b', 'series_c'])[s_suppkey % 3 + 1] AS series, s_suppkey % 50 + 1 AS run, (s_suppkey % 7) / CAST(8 AS DOUBLE) AS retrieval_rate, (s_suppkey % 5) / CAST(4 AS DOUBLE) AS assembly_rate, (s_suppkey % 11) / CAST(2 AS DOUBLE) AS seconds FROM supplier),
         t AS (SELECT *, (['trivial', 'easy', 'moderate_easy', 'moderate', 'moderate_hard', 'hard', 'harder', 'very_hard', 'extreme', 'maximum'])[(run - 1) // 5 + 1] AS tier FROM r)
         SELECT coalesce(series, 'all') AS series, coalesce(tier, 'all') AS tier, count(*) AS runs, {MEASURES} FROM t GROUP BY GROUPING SETS ((series, tier), (series), (tier), ())""",
-    "dataset_profile": f"{REC_Q} SELECT kind, scope, count(*) AS n, count(DISTINCT string_split(source_key, ':')[1]) AS prefixes, 0 AS structured, round(avg(length(text)), 6) AS avg_chars, CAST(min(length(text)) AS INTEGER) AS min_chars, CAST(max(length(text)) AS INTEGER) AS max_chars, median(length(text)) AS median_chars FROM rec GROUP BY kind, scope",
+    "dataset_profile": f"""{REC_Q} SELECT kind, scope, count(*) AS n, count(DISTINCT string_split(source_key, ':')[1]) AS prefixes, 0 AS structured, round(avg(length(text)), 6) AS avg_chars, CAST(min(length(text)) AS INTEGER) AS min_chars, CAST(max(length(text)) AS INTEGER) AS max_chars, median(length(text)) AS median_chars,
+        concat_ws(',', 'content_checksum', 'content_class', 'created_at', 'doc_id', 'id', 'kind', 'policy', 'schema_field_paths', 'scope', CASE WHEN count(session_id) > 0 THEN 'session_id' END, 'source_key', 'source_status', 'source_type', 'tags', 'text', 'title', 'token_count_estimate', CASE WHEN count(user_id) > 0 THEN 'user_id' END) AS fields FROM rec GROUP BY kind, scope""",
     "variant_split": f"{REC_Q} SELECT id, 'structured' AS variant, '{{\"n\":' || CAST(doc_id AS VARCHAR) || '}}' AS structured_json FROM rec WHERE doc_id % 4 = 0 UNION ALL SELECT id, 'unstructured', NULL FROM rec",
-    "training_export": f"{REC_Q} SELECT id, concat_ws('|', {', '.join(f'''coalesce(CAST({c} AS VARCHAR), 'null')''' for c in ('id', 'kind', 'scope', 'source_type', 'content_class', 'user_id', 'session_id', 'source_key', 'source_status', 'content_checksum', 'title', 'token_count_estimate'))}) AS fields, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, CAST(len({T('text')}) AS INTEGER) AS n_tokens FROM rec",
-    "audit_rows": f"{HYBRID_ONE} SELECT '{QUERY}' AS query_text, 'enforce_policy=true; model_target=local' AS applied_filters, (SELECT count(*) FROM vis) AS n_visible, (SELECT md5(string_agg(id, ',' ORDER BY id)) FROM vis) AS visible_md5, (SELECT string_agg(chunk_id, ',' ORDER BY rank) FROM items) AS selected_chunk_ids",
+    "training_export": f"""{REC_Q}, k AS (SELECT id, {T('text')} AS k FROM rec), tt AS (SELECT id, {terms_sql('k')} AS terms FROM k), v AS (SELECT id, count(*) AS n FROM ({vector('tt', 'id')}) WHERE weight <> 0 GROUP BY id)
+        SELECT rec.id, concat_ws('|', {', '.join(f"""coalesce(CAST({c} AS VARCHAR), 'null')""" for c in ('rec.id', 'kind', 'scope', 'source_type', 'content_class', 'user_id', 'session_id', 'source_key', 'source_status', 'content_checksum', 'title', 'token_count_estimate'))}) AS fields,
+        strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS created_at, CAST(len({T('text')}) AS INTEGER) AS n_tokens, 384 AS dims, CAST(coalesce(n, 0) AS INTEGER) AS nonzero, CAST(CASE WHEN n > 0 THEN 1 ELSE 0 END AS DOUBLE) AS length_sq FROM rec LEFT JOIN v USING (id)""",
+    "audit_rows": f"""{HYBRID_ONE}, chosen AS (SELECT string_agg(chunk_id, ',' ORDER BY rank) AS chunks, string_agg(record_id, ',' ORDER BY rank) AS records FROM items), why AS (SELECT {FIRST_REASON} AS reason, count(*) AS n FROM hor GROUP BY 1)
+        SELECT 'audit_' || substr(sha256('{QUERY}' || '|2024-03-01 00:00:00|' || chunks), 1, 32) AS audit_id, '{QUERY}' AS query_text, 'u1' AS user_id, 's3' AS session_id, 'local' AS model_target, true AS enforce_policy, 'enforce_policy=true; model_target=local' AS applied_filters,
+        (SELECT string_agg(reason || '=' || CAST(n AS VARCHAR), '; ' ORDER BY reason) FROM why WHERE reason <> 'visible') AS excluded_counts, (SELECT count(*) FROM vis) AS n_visible, (SELECT md5(string_agg(id, ',' ORDER BY id)) FROM vis) AS visible_md5, records AS selected_record_ids, chunks AS selected_chunk_ids,
+        (SELECT count(*) FROM vis) AS visible_records, (SELECT count(*) FROM e) AS eligible_chunks, (SELECT count(*) FROM f WHERE score > 0) AS reranked_candidates, 'embedding_lexical_rerank' AS retrieval_strategy FROM chosen""",
+    "provenance_items": f"{HYBRID_ONE} SELECT rank, record_id, source_key, source_status, content_checksum, source_type, content_class, user_id, session_id, lang || ',' || source AS tags, confidentiality, CAST(NULL AS VARCHAR) AS source_version FROM items",
+    "import_files": f"""WITH d AS (SELECT doc_id AS i, text, (['.txt', '.md', '.csv', '.xml', '.bin', '.ndjson'])[doc_id % 6 + 1] AS suffix FROM documents),
+        x AS (SELECT '/in/d' || CAST(i AS VARCHAR) || suffix AS path, CASE WHEN i % 6 = 4 THEN 'path_not_found_or_unsupported' WHEN i % 30 = 0 THEN 'unsupported_or_unreadable' END AS reason,
+          CASE WHEN i % 6 = 4 OR i % 30 = 0 THEN NULL WHEN i % 6 = 5 THEN 'id: ' || CAST(i AS VARCHAR) || ' not json' WHEN i % 6 = 3 THEN trim(regexp_replace(text || ' end', '\\s+', ' ', 'g')) ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS text, i % 6 = 5 AS has_data FROM d
+          UNION ALL SELECT '/in/p' || CAST(page_id AS VARCHAR) || '.html', NULL, trim(regexp_replace({ENTITIES.format(PAGE)}, '\\s+', ' ', 'g')), false FROM pages
+          UNION ALL SELECT '/in/o' || CAST(o_orderkey AS VARCHAR) || '.json', NULL, trim(regexp_replace('customer: name: ' || c_name || ' segment: ' || c_mktsegment || ' priority: ' || o_orderpriority || ' codes: ' || o_orderstatus || ' ' || CAST(o_custkey AS VARCHAR), '\\s+', ' ', 'g')), true FROM ({PAYLOAD}))
+        SELECT path, CASE WHEN reason IS NULL THEN 'imported' ELSE 'skipped' END AS status, reason, 'file:' || path AS source_key, md5(text) AS text_md5, has_data FROM x""",
+    "rare_filters": f"""{REC_Q}, x AS (SELECT *, doc_id % 5 = 1 AS sessions FROM hor)
+        SELECT 'keys' AS request, id, CASE WHEN doc_id % 2 = 1 THEN 'source_key_filter' WHEN source_status <> 'active' THEN 'inactive_source' WHEN NOT CASE scope WHEN 'session' THEN session_id = 's3' WHEN 'user' THEN user_id = 'u1' ELSE true END THEN 'scope_visibility'
+          WHEN sessions THEN 'policy_session_not_allowed' WHEN NOT allow_local THEN 'policy_local_egress_denied' WHEN confidentiality = 'private' AND scope = 'global' AND NOT restricted_users THEN 'policy_private_global_denied' ELSE 'visible' END AS reason FROM x
+        UNION ALL SELECT 'nobody', id, CASE WHEN source_status <> 'active' THEN 'inactive_source' WHEN scope <> 'global' THEN 'scope_visibility' WHEN restricted_users THEN 'policy_user_not_allowed' WHEN sessions THEN 'policy_session_not_allowed'
+          WHEN NOT allow_local THEN 'policy_local_egress_denied' WHEN confidentiality = 'restricted' THEN 'policy_restricted_context_required' WHEN confidentiality = 'private' THEN 'policy_private_global_denied' ELSE 'visible' END FROM x
+        UNION ALL SELECT 'session', id, CASE WHEN source_status <> 'active' THEN 'inactive_source' WHEN NOT CASE scope WHEN 'session' THEN session_id = 's2' ELSE scope = 'global' END THEN 'scope_visibility' WHEN restricted_users THEN 'policy_user_not_allowed'
+          WHEN NOT allow_local THEN 'policy_local_egress_denied' WHEN confidentiality = 'private' AND scope = 'global' AND NOT sessions THEN 'policy_private_global_denied' ELSE 'visible' END FROM x""",
+    "run_table": """WITH r AS (SELECT DISTINCT (['series_a', 'series_b', 'series_c'])[s_suppkey % 3 + 1] AS series, CAST(s_suppkey % 50 + 1 AS INTEGER) AS run FROM supplier),
+        e AS (SELECT (['series_a', 'series_b', 'series_c'])[doc_id % 3 + 1] AS series, doc_id % 40 + 1 AS run, count(*) AS total_cases, count(*) FILTER (WHERE doc_id % 4 <> 0) AS retrieval_hits, count(*) FILTER (WHERE doc_id % 3 <> 0) AS assembly_hits, round(avg(doc_id % 7), 1) AS mean_retrieval_count,
+          CAST(min(doc_id % 7) AS INTEGER) AS min_retrieval_count, CAST(max(doc_id % 7) AS INTEGER) AS max_retrieval_count, round(avg(doc_id % 500), 0) AS mean_assembly_tokens, CAST(sum(doc_id % 500) AS BIGINT) AS total_assembly_tokens FROM documents GROUP BY 1, 2),
+        c AS (SELECT (['series_a', 'series_b', 'series_c'])[item_id % 3 + 1] AS series, item_id % 50 + 1 AS run, count(*) AS case_definitions FROM benchmark GROUP BY 1, 2)
+        SELECT r.series, r.run, coalesce(total_cases, 0) AS total_cases, coalesce(retrieval_hits, 0) AS retrieval_hits, coalesce(assembly_hits, 0) AS assembly_hits, coalesce(mean_retrieval_count, 0) AS mean_retrieval_count, coalesce(min_retrieval_count, 0) AS min_retrieval_count,
+          coalesce(max_retrieval_count, 0) AS max_retrieval_count, coalesce(mean_assembly_tokens, 0) AS mean_assembly_tokens, coalesce(total_assembly_tokens, 0) AS total_assembly_tokens, coalesce(case_definitions, 0) AS case_definitions,
+          (['trivial', 'easy', 'moderate_easy', 'moderate', 'moderate_hard', 'hard', 'harder', 'very_hard', 'extreme', 'maximum'])[(r.run - 1) // 5 + 1] AS tier FROM r LEFT JOIN e USING (series, run) LEFT JOIN c USING (series, run)""",
+    "pruning_report": """WITH x AS (SELECT (['structured', 'unstructured'])[s_suppkey % 2 + 1] AS variant, (['base', 'perturbed', 'medical'])[s_suppkey % 3 + 1] AS dataset, avg(s_suppkey % 433) AS a, avg(s_suppkey % 17) AS p, avg(s_suppkey % 433 + s_suppkey % 17) AS i FROM supplier GROUP BY 1, 2)
+        SELECT variant, dataset, round(a, 6) AS avg_active, round(p, 6) AS avg_pruned, round(i, 6) AS avg_imported, round(CASE WHEN i > 0 THEN 100 * p / i ELSE 0 END, 6) AS pruned_percent FROM x""",
+    "valid_terms": f"""{REC_Q}, c AS (SELECT CAST(query_id AS VARCHAR) AS name, string_split(query_text, ' ') AS w FROM ({MANY})), u AS (SELECT name, w, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM c), f AS (SELECT name, t, min(i) AS i FROM u GROUP BY name, t),
+        k AS (SELECT DISTINCT t FROM (SELECT DISTINCT t FROM f) JOIN rec ON contains(text, t)) SELECT name, CAST(count(*) AS INTEGER) AS n_terms, coalesce(string_agg(f.t, ' ' ORDER BY i) FILTER (WHERE k.t IS NOT NULL), '') AS valid_terms FROM f LEFT JOIN k ON f.t = k.t GROUP BY name""",
+    "perturbed_dataset": perturbed_sql(),
     "near_duplicates": NEAR_DUPLICATES,
     "compress_items": f"{ASSEMBLED} SELECT CAST((SELECT count(*) FROM it) AS INTEGER) AS n_items, CAST(len(ids) AS INTEGER) AS n_compressed, array_to_string(ids, ',') AS chunk_ids FROM compressed",
     "pack_budget": f"{ASSEMBLED} SELECT used, CAST(omitted AS INTEGER) AS omitted_items, CASE WHEN omitted > 0 THEN 'token_budget_reached' END AS truncation_reason, array_to_string(chosen, ',') AS chunk_ids FROM packed",

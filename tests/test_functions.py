@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,16 +59,28 @@ def python_vector(terms, dims=384):
 
 
 def test_hashing_embedder(spark):
-    terms = [f"term{i}" for i in range(300)] + ["term1"]
-    row = spark.createDataFrame([(terms,), ([],)], "t array<string>").select(V.dense(F.col("t")).alias("d"), V.folded(F.col("t"), 384).alias("f"), F.size("t").alias("n")).orderBy("n").collect()
-    assert row[1]["d"] == pytest.approx(python_vector(terms)) and set(row[0]["d"]) == {0.0}
-    assert row[1]["f"]["norm"] == sum(x * x for x in V.hashed_terms(terms, 384)) and row[0]["f"]["norm"] == 0
-
-
-def test_unknown_embedder():
-    with pytest.raises(ValueError):
-        V.embedder("none")
-    assert V.embedder("hashing") is V.dense
+    lists = [sorted({f"term{i}" for i in range(300)} | {"status", "ran"}), []]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, lexical_tokens array<string>")
+    got = V.embedded(rows, Settings()).withColumn("d", V.dense(F.col("buckets"), F.col("weights"), 384)).orderBy("i").collect()
+    terms = one(spark, " ".join(lists[0]), X.semantic_terms)
+    assert got[0]["d"] == pytest.approx(python_vector(terms)) and set(got[1]["d"]) == {0.0} and got[1]["buckets"] == []
+    assert [set().union(*map(X.terms_of_token, X.tokens_of(" ".join(lists[0]))))] == [set(terms)]
+
+
+def test_tokens_in_python_and_spark_agree(spark):
+    for text in ["", "a bb CC d4 x_y", "İstanbul ırmak Kelvin ſtraße naïve", "Über-cool 3.14 don't", "running ponies studied boxes ab ing ting"]:
+        assert X.tokens_of(text) == one(spark, text, X.lexical_tokens)
+        assert sorted(set().union(*map(X.terms_of_token, X.tokens_of(text)))) == one(spark, text, X.semantic_terms)
+
+
+def test_embedders_are_named_by_the_settings(spark):
+    with pytest.raises(ValueError, match="unknown embedder"):
+        V.embedder(Settings(embedding_backend="none"))
+    with pytest.raises(ValueError, match="onnx_model_path"):
+        V.embedder(Settings(embedding_backend="onnx"))
+    V.register_embedder("counts", lambda settings: lambda lists: [(np.array([0, 1]), np.array([1.0, float(len(x))])) for x in lists])
+    rows = V.embedded(spark.createDataFrame([(["a", "b"],)], "lexical_tokens array<string>"), Settings(embedding_backend="counts"))
+    assert tuple(rows.first()) == (["a", "b"], [0, 1], [1.0, 2.0])
 
 
 def test_similarities(spark):
