@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     command("list-records", kind=None, scope=None, limit=100)
     for name in ("prune", "stats", "export-training"):
         command(name)
-    command("benchmark-jsonl", "dataset_jsonl", "cases_json", suite_name="", limit=6, token_budget=1200)
+    command("benchmark-jsonl", "dataset_jsonl", "cases_json", suite_name="", limit=6, token_budget=1200, output_dir=None)
     return p
 
 
@@ -79,7 +79,7 @@ def run(args: argparse.Namespace, service: Service):
         n, path = service.export_training()
         return {"count": n, "path": path}
     if name == "benchmark-jsonl":
-        result, report = service.benchmark_jsonl(a["dataset_jsonl"], a["cases_json"], a["suite_name"], a["limit"], a["token_budget"])
+        result, report = service.benchmark_jsonl(a["dataset_jsonl"], a["cases_json"], a["suite_name"], a["limit"], a["token_budget"], a["output_dir"])
         return {**result, "report": report}
     return getattr(service, name)()
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import asdict
 from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -296,22 +298,34 @@ class Service:
     # --- evaluation ------------------------------------------------------------------------------------------------
 
     def run_evaluations(self, cases: list[dict], suite_name: str = "adhoc", limit: int = 6, run_id: str | None = None) -> str:
-        """Evaluates cases against the store and appends the run; its id."""
+        """Evaluates cases against the store and appends the run; its id. Cases that may see the same are one batch."""
         run_id = run_id or f"eval_{suite_name}_{int(self.now.timestamp() * 1e6):x}"
-        rows = []
+        at = self.store.manifest()
+        records, chunks = self.store.records(at), self.store.chunks(at)
+        rows = [(i, c["name"], c["query_text"], int(c.get("token_budget") or 1200), list(c.get("expected_source_keys") or []), list(c.get("expected_terms") or []), c.get("expected_terms_scope") or "assembled_context") for i, c in enumerate(cases)]
+        asked = self.spark.createDataFrame(rows, "seq int, name string, query_text string, budget int, expected_keys array<string>, expected_terms array<string>, expected_terms_scope string")
+        groups: dict[tuple, list[int]] = {}
         for i, c in enumerate(cases):
-            request = Request(c["query_text"], session_id=c.get("session_id"), user_id=c.get("user_id"), model_target=c.get("model_target", "local"), include_user_scope=c.get("include_user_scope"), include_global_scope=c.get("include_global_scope"), limit=limit, token_budget=c.get("token_budget", 1200))
-            one = self.assemble_context(request, audit=False).select("items", "context_text", "token_count_estimate")
-            row = one.first()
-            ids = list(dict.fromkeys(x["record_id"] for x in row["items"]))
-            text = row["context_text"]
-            if c.get("expected_terms_scope") == "retrieved_records":
-                found = {r["id"]: r["text"] for r in self.store.records().where(F.col("id").isin(*ids)).select("id", "text").collect()} if ids else {}
-                text = "\n".join(found[r] for r in ids if r in found)
-            rows.append((i, c["name"], c["query_text"], [x["source_key"] for x in row["items"] if x["source_key"]], list(c.get("expected_source_keys") or []), list(c.get("expected_terms") or []), text, len(row["items"]), row["token_count_estimate"]))
-        x = self.spark.createDataFrame(rows, "seq int, name string, query_text string, retrieved_keys array<string>, expected_keys array<string>, expected_terms array<string>, term_text string, retrieval_count int, token_count_estimate int")
-        x = E.hits(x).withColumn("run_id", F.lit(run_id)).withColumn("suite_name", F.lit(suite_name)).withColumn("created_at", F.lit(self.now))
-        self.store.append("eval_runs", x.select(*(F.col(c.split()[0]).cast(c.split(maxsplit=1)[1]) for c in schema.columns(schema.EVAL_RESULT))))
+            groups.setdefault((c.get("session_id"), c.get("user_id"), c.get("model_target") or "local", c.get("include_user_scope"), c.get("include_global_scope")), []).append(i)
+        found = None
+        for (session, user, target, see_user, see_global), mine in groups.items():
+            request = Request("batch", session_id=session, user_id=user, model_target=target, include_user_scope=see_user, include_global_scope=see_global, limit=limit)
+            texts = self.spark.createDataFrame([(i, cases[i]["query_text"]) for i in mine], "query_id int, query_text string")
+            part = A.gather(R.retrieve_batch(records, chunks, texts, request, self.settings, self.now), ("query_id",))
+            found = part if found is None else found.unionByName(part)
+        if found is not None:
+            x = asked.join(found, F.col("seq") == F.col("query_id"), "left").drop("query_id")
+            x = x.withColumn("items", F.coalesce("items", F.expr(f"cast(array() as {found.schema['items'].dataType.simpleString()})")))
+            x = A.assemble(x, F.col("query_text"), "assistant", F.col("budget"))
+            ids = x.select("seq", F.posexplode(F.array_distinct(F.transform("items", lambda i: i["record_id"]))).alias("place", "record_id"))
+            whole = ids.join(records.select(F.col("id").alias("record_id"), F.col("text").alias("whole")), "record_id")
+            whole = whole.groupBy(F.col("seq").alias("s")).agg(F.array_sort(F.collect_list(F.struct("place", "whole"))).alias("whole"))  # limit records a case
+            x = x.join(whole, F.col("seq") == F.col("s"), "left")
+            records_text = F.coalesce(F.array_join(F.transform("whole", lambda w: w["whole"]), "\n"), F.lit(""))
+            x = x.withColumn("term_text", F.when(F.col("expected_terms_scope") == "retrieved_records", records_text).otherwise(F.col("context_text")))
+            x = x.withColumn("retrieved_keys", F.filter(F.transform("items", lambda i: i["source_key"]), lambda k: F.coalesce(k, F.lit("")) != "")).withColumn("retrieval_count", F.size("items"))
+            x = E.hits(x).withColumn("run_id", F.lit(run_id)).withColumn("suite_name", F.lit(suite_name)).withColumn("created_at", F.lit(self.now))
+            self.store.append("eval_runs", x.select(*(F.col(c.split()[0]).cast(c.split(maxsplit=1)[1]) for c in schema.columns(schema.EVAL_RESULT))))
         return run_id
 
     def save_evaluation_suite(self, name: str, cases: list[dict]) -> None:
@@ -341,13 +355,36 @@ class Service:
         compared = self.compare_evaluation_runs(baseline, candidate) if baseline else None
         return E.gate(self.results(candidate), compared, **thresholds).first().asDict(True)
 
-    def benchmark_jsonl(self, dataset: str, cases_json: str, suite_name: str = "", limit: int = 6, token_budget: int = 1200) -> tuple[dict, str]:
-        """Upserts a JSON-lines dataset, evaluates a suite against it; the result and its Markdown report."""
+    def benchmark_jsonl(self, dataset: str, cases_json: str, suite_name: str = "", limit: int = 6, token_budget: int = 1200, output_dir: str | None = None) -> tuple[dict, str]:
+        """Upserts a JSON-lines dataset, evaluates a suite against it; the result and its Markdown report.
+
+        Lines of an unknown kind or scope are skipped and listed; a line that is no record stops the load. With
+        output_dir both are written there, as benchmark-result.json and benchmark-report.md."""
+        began = time.perf_counter()
         suite = I.load_suite(cases_json, suite_name, token_budget)
-        payloads = [json.loads(r["row"]) for r in I.load_dataset(self.spark, dataset).orderBy("line").collect()]
-        self.upsert_source(*payloads)
+        rows = I.dataset_payloads(I.load_dataset(self.spark, dataset)).persist()
+        bad = ~F.coalesce("kind", F.lit(KINDS[0])).isin(*KINDS) | ~F.coalesce("scope", F.lit(SCOPES[0])).isin(*SCOPES)
+        skipped = [{"line": r["seq"], "source_key": r["source_key"], "reason": "unknown kind or scope"} for r in rows.where(bad).select("seq", "source_key").orderBy("seq").collect()]
+        good = rows.where(~bad)
+        imported = good.count()
+        self.upsert_frame(good)
+        rows.unpersist()
+        self.save_evaluation_suite(suite["name"], suite["cases"])
         run_id = self.run_evaluations(suite["cases"], suite["name"], limit)
-        row = self.list_evaluation_runs().where(F.col("run_id") == run_id).first().asDict()
-        result = {"suite_name": suite["name"], "imported": len(payloads), "run_id": run_id, "total_cases": row["total_cases"], "retrieval_hit_rate": round(row["retrieval_hits"] / max(1, row["total_cases"]), 3), "assembly_hit_rate": round(row["assembly_hits"] / max(1, row["total_cases"]), 3)}
-        shown = self.results(run_id).orderBy("seq").select("name", "retrieval_hit", "assembly_hit", "retrieval_count", "token_count_estimate")
-        return result, sinks.benchmark_report(result, {"Cases": shown, "Records": self.stats()})
+        row = self.list_evaluation_runs().where(F.col("run_id") == run_id).first()
+        n, retrieved, assembled = (row["total_cases"], row["retrieval_hits"], row["assembly_hits"]) if row else (0, 0, 0)
+        result = {"suite_name": suite["name"], "run_id": run_id, "dataset_path": dataset, "cases_path": cases_json, "data_root": self.store.root, "runtime_seconds": 0.0, "imported": imported, "imported_records": imported, "skipped_records": skipped}
+        result |= {"total_cases": n, "retrieval_hits": retrieved, "assembly_hits": assembled, "retrieval_hit_rate": round(retrieved / max(1, n), 3), "assembly_hit_rate": round(assembled / max(1, n), 3)}
+        details = self.results(run_id).orderBy("seq")
+        result["stats"] = {f"{r['dimension']}:{r['value']}": r["n"] for r in self.stats().collect()}
+        result["behavior_evidence"] = sinks.behavior_evidence(result, suite["cases"], [r.asDict() for r in details.collect()])  # a suite's cases
+        shown = details.select("name", "retrieval_hit", "assembly_hit", "retrieval_count", "token_count_estimate")
+        result["runtime_seconds"] = round(time.perf_counter() - began, 3)
+        report = sinks.benchmark_report(result, {"Cases": shown, "Records": self.stats()})
+        if output_dir:
+            out = Path(output_dir)
+            out.mkdir(parents=True, exist_ok=True)
+            result |= {"output_dir": str(out), "result_path": str(out / "benchmark-result.json"), "report_path": str(out / "benchmark-report.md")}
+            (out / "benchmark-report.md").write_text(report, encoding="utf-8")
+            (out / "benchmark-result.json").write_text(json.dumps(result, indent=2, default=str, ensure_ascii=False), encoding="utf-8")
+        return result, report

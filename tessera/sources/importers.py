@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera import schema
 from tessera.config import IMPORT_EXTENSIONS
 from tessera.functions.structured import flat, parsed
 from tessera.functions.text import collapse
@@ -95,7 +96,13 @@ def import_files(files: DataFrame) -> DataFrame:
 def load_dataset(spark: SparkSession, path: str) -> DataFrame:
     """(line, row) of a JSON-lines dataset; the first line that is no object, or lacks a source_key or a text or
     structured_data, raises ValueError with its number."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "raw")).where("trim(raw) <> ''").withColumn("line", F.col("line") + 1)
+    at = F.monotonically_increasing_id()
+    rows = spark.read.text(path).select(F.col("value").alias("raw"), F.shiftright(at, 33).cast("int").alias("part"), (at % (1 << 33)).alias("row"))
+    begin, offset = 1, {}
+    for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row a split of the file
+        offset[r["part"]], begin = begin, begin + r["n"]
+    first = F.element_at(F.create_map(*(F.lit(v) for kv in offset.items() for v in kv)), F.col("part")) if offset else F.lit(1)
+    lines = rows.where("trim(raw) <> ''").select((first + F.col("row")).cast("long").alias("line"), "raw")
     v = F.try_parse_json("raw")
     has = lambda p: F.coalesce(F.length(F.trim(F.get_json_object("raw", p))) > 0, F.lit(False))
     problem = F.when(v.isNull(), "is not JSON").when(~F.startswith(F.trim("raw"), F.lit("{")), "is not an object").when(~has("$.source_key"), "has no source_key").when(~(has("$.text") | has("$.structured_data")), "has neither text nor structured_data")
@@ -105,6 +112,15 @@ def load_dataset(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("line", F.col("raw").alias("row"))
 
 
+def dataset_payloads(lines: DataFrame) -> DataFrame:
+    """Payloads (schema.PAYLOAD) of the lines of a dataset, in their order."""
+    given = f"id string, source_key string, text string, kind string, scope string, title string, summary string, user_id string, session_id string, tags array<string>, urls array<string>, metadata map<string,string>, data_schema {schema.DATA_SCHEMA}"
+    x = lines.select(F.col("line").alias("seq"), F.from_json("row", given).alias("p"), F.get_json_object("row", "$.structured_data").alias("structured_json"))
+    x = x.select("seq", "structured_json", "p.*").withColumnRenamed("data_schema", "declared_schema").withColumn("source_id", F.col("source_key"))
+    kinds = [c.split(maxsplit=1) for c in schema.columns(schema.PAYLOAD)]
+    return x.select(*((F.col(n) if n in x.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds))
+
+
 def load_suite(path: str, name: str = "", token_budget: int = 1200) -> dict:
     """An evaluation suite from a JSON file with an array of cases; a given name wins over the file's."""
     suite = json.loads(Path(path).read_text(encoding="utf-8"))

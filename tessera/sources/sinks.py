@@ -53,14 +53,36 @@ def audit_row(counts: DataFrame, items: DataFrame, visible: DataFrame, excluded:
     return x.withColumn("audit_id", F.concat(F.lit("audit_"), F.substring(F.sha2(F.concat_ws("|", "query_text", F.col("created_at").cast("string"), F.array_join("selected_chunk_ids", ",")).cast("binary"), 256), 1, 32)))
 
 
-def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+def markdown_table(df: DataFrame) -> str:
+    """A small result, such as the cases of a suite, as a Markdown table."""
+    rows = df.collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows)])
 
 
+def behavior_evidence(result: dict, cases: list[dict], results: list[dict]) -> dict:
+    """What a run shows: its figures, and for each case what was expected and what was found."""
+    defined = {c["name"]: c for c in cases}
+    one = lambda r, c: {
+        "name": r["name"], "query_text": r["query_text"], "expected_source_keys": list(c.get("expected_source_keys") or []), "matched_source_keys": list(r["matched_keys"] or []),
+        "expected_terms": list(c.get("expected_terms") or []), "expected_terms_scope": c.get("expected_terms_scope") or "assembled_context", "matched_expected_terms": list(r["matched_terms"] or []),
+        "retrieval_hit": r["retrieval_hit"], "assembly_hit": r["assembly_hit"], "retrieval_count": r["retrieval_count"], "token_count_estimate": r["token_count_estimate"],
+    }
+    figures = {k: result[k] for k in ("suite_name", "run_id", "total_cases", "retrieval_hits", "assembly_hits", "retrieval_hit_rate", "assembly_hit_rate")}
+    return {"evidence_type": "benchmark_run", **figures, "case_evidence": [one(r, defined.get(r["name"], {})) for r in results]}
+
+
 def benchmark_report(result: dict, tables: dict[str, DataFrame]) -> str:
-    """A run as Markdown: its figures, then a table under each heading."""
-    head = [f"# {result.get('suite_name', 'benchmark')}", "", *(f"- {k}: {v}" for k, v in result.items() if not isinstance(v, (list, dict)))]
-    return "\n".join([*head, *(line for name, df in tables.items() for line in ("", f"## {name}", "", markdown_table(df)))]) + "\n"
+    """A run as Markdown: its figures, a table under each heading, and the evidence of each case."""
+    lines = [f"# {result.get('suite_name', 'benchmark')}", "", *(f"- {k}: {v}" for k, v in result.items() if not isinstance(v, (list, dict)))]
+    for name, df in tables.items():
+        lines += ["", f"## {name}", "", markdown_table(df)]
+    if result.get("skipped_records"):
+        lines += ["", "## Skipped", "", *(f"- line {r['line']} ({r['source_key']}): {r['reason']}" for r in result["skipped_records"])]
+    evidence = result.get("behavior_evidence", {}).get("case_evidence", [])
+    lines += ["", "## Behavior Evidence"] if evidence else []
+    for e in evidence:
+        said = lambda values: ", ".join(values) or "none"
+        lines += ["", f"### Evidence: {e['name']}", "", f"- Request: {e['query_text']}", f"- Retrieval hit: {e['retrieval_hit']} ({e['retrieval_count']} items)", f"- Assembly hit: {e['assembly_hit']} ({e['token_count_estimate']} tokens)"]
+        lines += [f"- Expected source keys: {said(e['expected_source_keys'])}; matched: {said(e['matched_source_keys'])}", f"- Expected terms: {said(e['expected_terms'])}; matched: {said(e['matched_expected_terms'])}", f"- Expected terms scope: {e['expected_terms_scope']}"]
+    return "\n".join(lines) + "\n"

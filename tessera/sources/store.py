@@ -102,13 +102,17 @@ class Store:
         if chunks is not None:
             chunks.sortWithinPartitions("record_id", "chunk_index").write.parquet(f"{self.root}/chunks/{own}")
             new["chunks"].append(f"chunks/{own}")
+        written = [f"records/{own}", f"chunks/{own}"]
         if len(new["changes"]) > COMPACT:
             new = self.compacted(new)
+            written += [new["snapshot"], *new["chunks"]]
         path = self._path(f"generations/{g}")
         fs = self._fs(path)
         try:
             stream = fs.create(path, False)
         except Py4JJavaError as e:
+            for name in written:
+                self._fs(self._path(name)).delete(self._path(name), True)
             raise Conflict(f"generation {g} was written by another writer") from e
         stream.write(bytearray(json.dumps(new).encode()))
         stream.close()

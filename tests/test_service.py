@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.config import Request, Settings
 from tessera.operators import lifecycle as Y
 from tessera.service import Service
+from tessera.sources import store
 from tessera.streaming.ingest import ingest_stream, payload_stream, windowed_counts
 
 NOW = datetime(2024, 3, 1, 12)
@@ -191,3 +193,88 @@ def test_single_and_batch_retrieval_agree(spark, service):
         many = both.where(F.col("query_id") == q).select("rank", "chunk_id", F.round("score", 6).alias("s")).collect()
         assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and len(one) == 3
     assert both.where("query_id = 3").count() == 0
+
+
+def test_intent_data_takes_part_in_retrieval(service):
+    service.upsert_source({"source_key": "a", "text": "harbour logistics in winter", "scope": "global", "policy": SHARED}, {"source_key": "b", "text": "unrelated gardening advice", "scope": "global", "policy": SHARED})
+    plain = ask(service, "help me with this")
+    data = json.dumps({"goal": "harbour logistics", "secretword": "gardening"})
+    declared = {"schema_name": "user_intent", "root_type": "object", "primary_text_paths": ["goal"]}
+    score = lambda rows: {r["source_key"]: r["lexical_score"] for r in rows}
+    assert not any(score(plain).values())
+    assert score(ask(service, "help me with this", intent_json=data))["a"] > 0 and score(ask(service, "help me with this", intent_json=data)).get("b", 0) > 0
+    only = score(ask(service, "help me with this", intent_json=data, intent_schema=declared))
+    assert only["a"] > 0 and not only.get("b")
+
+
+def test_declared_schema_and_missing_paths_at_import(service, tmp_path):
+    (tmp_path / "i.json").write_text(json.dumps({"goal": "draft a client update", "tone": "concise"}))
+    got = service.import_path(str(tmp_path / "i.json"), scope="global", data_schema={"schema_name": "user_intent", "schema_mode": "declared", "primary_text_paths": ["goal"]})
+    assert [r["status"] for r in got] == ["imported"]
+    r = service.store.records().first()
+    assert r["data_schema"]["schema_name"] == "user_intent" and r["data_schema"]["primary_text_paths"][0] == "goal"
+    assert service.import_path(str(tmp_path / "none.txt")) == [{"path": str(tmp_path / "none.txt"), "status": "skipped", "reason": "path_not_found_or_unsupported", "source_key": None}]
+
+
+def test_benchmark_files_and_skipped_lines(service, tmp_path):
+    data, cases = tmp_path / "d.jsonl", tmp_path / "c.json"
+    lines = [{"source_key": "profile", "scope": "user", "user_id": "u1", "kind": "user_profile_note", "text": "Client ACME prefers concise Friday status updates."}, {"source_key": "matter", "scope": "session", "session_id": "s1", "text": "ACME-17 discovery is ongoing.", "metadata": {"n": 1}, "structured_data": {"matter": {"code": "X9"}}}, {"source_key": "odd", "kind": "no such kind", "text": "x"}]
+    data.write_text("\n".join(map(json.dumps, lines)))
+    cases.write_text(json.dumps({"cases": [{"name": "client_update", "query_text": "draft a concise ACME-17 client update", "user_id": "u1", "session_id": "s1", "expected_source_keys": ["profile", "matter"], "expected_terms": ["ACME-17"]}]}))
+    result, _ = service.benchmark_jsonl(str(data), str(cases), "private", output_dir=str(tmp_path / "reports"))
+    assert (result["imported_records"], result["retrieval_hits"], result["assembly_hits"]) == (2, 1, 1)
+    assert result["skipped_records"] == [{"line": 3, "source_key": "odd", "reason": "unknown kind or scope"}]
+    evidence = result["behavior_evidence"]["case_evidence"][0]
+    assert (evidence["name"], evidence["expected_terms_scope"], evidence["matched_expected_terms"]) == ("client_update", "assembled_context", ["ACME-17"])
+    assert json.loads((tmp_path / "reports" / "benchmark-result.json").read_text())["suite_name"] == "private"
+    report = (tmp_path / "reports" / "benchmark-report.md").read_text()
+    assert "Evidence: client_update" in report and "Expected terms scope: assembled_context" in report and "line 3 (odd)" in report
+    matter = service.store.records().where("source_key = 'matter'").first()
+    assert "code: X9" in matter["text"] and matter["metadata"]["n"] == "1"
+
+
+def test_a_change_writes_its_own_rows_alone(service):
+    def files(name):
+        root = service.store.root.removeprefix("file:")
+        return {str(f) for f in Path(root, name).rglob("*.parquet")}
+
+    service.upsert_source(*({"source_key": f"k{i}", "text": f"record number {i} on subject {i * 3}", "scope": "global"} for i in range(20)))
+    records, chunks = files("records"), files("chunks")
+    service.upsert_source({"source_key": "k3", "text": "another text on something else", "scope": "global"})
+    new = sum(service.spark.read.parquet(f).count() for f in files("chunks") - chunks)
+    changed = service.spark.read.parquet(*(files("records") - records))
+    assert new == 1 and sorted((r["source_key"], r["source_version"], r["source_status"]) for r in changed.collect()) == [("k3", 1, "superseded"), ("k3", 2, "active")]
+    for i in range(store.COMPACT + 1):
+        service.update_record(service.store.records().where("source_key = 'k5'").first()["id"], source_status="deleted" if i % 2 == 0 else "active")
+    assert len(service.store.manifest()["changes"]) <= store.COMPACT and service.store.records().count() == 21
+    assert service.store.chunks().count() == 21 and service.store.records().where("source_status = 'deleted'").count() == 1
+    with pytest.raises(ValueError):
+        service.update_record("x", source_status="gone")
+
+
+def test_of_two_writers_none_is_lost(service):
+    at = service.store.manifest()
+    service.upsert_source({"source_key": "a", "text": "the first text", "scope": "global"})
+    row = service.store.records()
+    with pytest.raises(store.Conflict):
+        service.store.commit(at, row)  # saw the generation before
+    first, calls = service.store.manifest, []
+
+    def late(*generation):  # another writer comes between reading the manifest and writing
+        at = first(*generation)
+        if not calls and not generation:
+            calls.append(1)
+            Service(service.spark, service.store.root, as_of=NOW).upsert_source({"source_key": "b", "text": "the second text", "scope": "global"})
+        return at
+
+    service.store.manifest = late
+    service.upsert_source({"source_key": "c", "text": "the third text", "scope": "global"})
+    service.store.manifest = first
+    assert {r["source_key"] for r in service.store.records().collect()} == {"a", "b", "c"}
+
+
+def test_audited_items_carry_provenance(service):
+    service.upsert_source({"source_key": "a", "text": "the river ruling", "scope": "global", "policy": SHARED, "tags": ["law"]})
+    r = service.retrieve(Request("river ruling")).first()
+    assert r["provenance"]["source_key"] == "a" and r["provenance"]["tags"] == ["law"] and r["provenance"]["source_version"] == 1
+    assert service.spark.read.json(f"{service.store.root}/audit").count() == 1
