@@ -476,3 +476,16 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
 def op8_near_duplicates(spark, sf_dir):
     """Size of its set and component of each document, with four words and a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM d),
+n AS (SELECT doc_id, len(s) AS n FROM g), t AS (SELECT doc_id, unnest(s) AS t FROM g),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, min(c) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id, n
+"""

@@ -17,6 +17,9 @@ QUERIES = {
     "op10_personal_data": pii.op10_personal_data,
 }
 SQL = {
+    "op2_top_k": topk.OP2_SQL,
+    "op5_substring_dedup": substrings.OP5_SQL,
+    "op8_near_duplicates": neardup.OP8_SQL,
     "op6_line_dedup": lines.OP6_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,

@@ -397,3 +397,17 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def op5_substring_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT *, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 49)) AS p FROM d WHERE length(h) >= 100)),
+m AS (SELECT s, min(doc_id) AS least, max(doc_id) AS most FROM w GROUP BY s),
+g AS (SELECT DISTINCT r, p + k AS p FROM (SELECT r, p, unnest(range(0, 50)) AS k FROM w JOIN m USING (s) WHERE doc_id > least)),
+f AS (SELECT r, count(*) AS n_removed, count(*) FILTER (WHERE new) AS n_spans FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) IS DISTINCT FROM p - 1 AS new FROM g) GROUP BY r),
+b AS (SELECT d.r, x.p, substr(h, 2 * x.p + 1, 2) AS c FROM d JOIN f USING (r), LATERAL (SELECT unnest(range(0, CAST(length(h) / 2 AS BIGINT))) AS p) x),
+k AS (SELECT b.r, string_agg(c, '' ORDER BY b.p) AS h FROM b LEFT JOIN g ON b.r = g.r AND b.p = g.p WHERE g.p IS NULL GROUP BY b.r)
+SELECT doc_id, CAST(length(d.h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN f.r IS NULL THEN d.h ELSE coalesce(k.h, '') END)) AS kept_sha256
+FROM d LEFT JOIN f ON d.r = f.r LEFT JOIN k ON d.r = k.r
+"""
