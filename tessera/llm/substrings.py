@@ -1,12 +1,13 @@
-"""Exact substring deduplication with suffix arrays.
+"""Exact substring deduplication with suffix arrays, one for each shard, merged by binary search.
 
 Every byte string of LENGTH bytes that two documents share must be found, over all documents, without comparing every
-shard with every other. Anchors make that possible: in each window the smallest hash of ANCHOR bytes is selected, so
-that equal windows select the same place. Shards send their anchors to merge shards, which find by binary search those
-that several documents hold; around these alone the shards cut contexts (all windows through an anchor) and send
-each different context once. A merge shard builds the suffix array of its contexts by Larsson-Sadakane refinement and
-the common prefixes by Kasai's method, runs of prefixes of LENGTH bytes or more give the smallest doc_id that holds a
-window, and the shards remove what a smaller doc_id holds.
+shard with every other. A shard builds the suffix array of its texts by Larsson-Sadakane refinement and common prefixes
+by Kasai's method; runs of prefixes of LENGTH bytes or more give the windows that a document with a smaller doc_id in the
+shard holds too. These are done with; what is left, each window in its first document of the shard, is merged across
+shards. In each window the smallest hash of ANCHOR bytes is selected, so that equal windows select the same place: shards
+send these anchors to merge shards, which find by binary search those that several shards hold; around these alone the
+shards send contexts (all windows through an anchor), and a merge shard builds the suffix array of its contexts the same
+way. Shards then remove what a smaller doc_id holds, here or elsewhere.
 """
 
 from __future__ import annotations
@@ -21,54 +22,59 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, mix, prefix_hashes, runs, shards, table
+from tessera.llm.common import cut, mix, prefix_hashes, runs, table
 
 LENGTH, ANCHOR = 50, 24
 REACH = LENGTH - ANCHOR  # bytes of context on either side of an anchor
 WIDTH = REACH + 1  # anchors in a window, and windows through an anchor
 NONE = np.iinfo(np.int64).max
-#: Shards for each shuffle partition: what a task holds at once is one of them.
-SHARDS = 2
+#: Bytes of text in a shard; what a task holds at once is one of them, and its suffix array.
+SHARD_BYTES = 8 << 20
+#: Places that share fewer first bytes share no window; bytes that Kasai's method walks in one stretch.
+NEAR, STRETCH = 32, 2048
 
 
 # --- suffix arrays -------------------------------------------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Places of text in the order of the suffixes that begin there.
+def suffix_array(text: np.ndarray, near: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Places of text in the order of the suffixes that begin there; and the ranks of those that share their first near
+    bytes (a power of two from 8 on) with a neighbour.
 
     The first pass sorts by eight bytes. Each further pass doubles the sorted length: a place is ordered by its group
     and the group of the place behind the sorted length, and only groups of more than one place are sorted again.
     """
     n = len(text)
-    ahead = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    ahead = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for j in range(8):
-        key = (key << np.uint64(8)) | ahead[j : j + n]
-    order = np.argsort(key, kind="stable")
+        key <<= np.uint64(8)
+        key |= ahead[j : j + n]
+    order = np.argsort(key)
     key = key[order]
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
+    del key
     group = np.zeros(n + 1, np.int64)  # by place: where its group begins; behind the text comes the smallest
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     group[order], group[n] = first + 1, 0
-    h = 8
-    while True:
-        last = np.append(new[1:], True)
-        open_ = np.flatnonzero(~(new & last))  # members of groups of several
-        if not len(open_):
-            break
+    open_ = np.flatnonzero(~(new & np.append(new[1:], True)))  # members of groups of several
+    h, tied = 8, open_
+    while len(open_):
         places = order[open_]
         pair = group[places] * (n + 2) + group[np.minimum(places + h, n)]
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         places, pair = places[by], pair[by]
         order[open_] = places
         split = np.ones(len(open_), bool)
         split[1:] = pair[1:] != pair[:-1]
         new[open_] = split
         group[places] = np.maximum.accumulate(np.where(split, open_, 0)) + 1
+        open_ = open_[~(split & np.append(split[1:], True))]
         h *= 2
-    return order
+        if h <= near:
+            tied = open_
+    return order, tied
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
@@ -137,40 +143,72 @@ class Shard:
         rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or b""))
         self.ids, self.texts = [r[0] for r in rows], [r[1] or b"" for r in rows]
 
-    def anchors(self):
-        """(number of the document, places, hashes) for each document with a doc_id that can hold a window."""
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.whole = np.frombuffer(b"".join(self.texts), np.uint8)
+
+    def repeats(self) -> np.ndarray:
+        """Whether the window that starts at each byte of the shard also starts in a document with a smaller doc_id of it."""
+        n, dead = len(self.whole), np.zeros(len(self.whole), bool)
+        if n < LENGTH:
+            return dead
+        order, tied = suffix_array(self.whole, NEAR)
+        place = np.sort(order[tied])
+        if not len(place):
+            return dead
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(place) > 1) + 1, [len(place)]))
+        begins, ends = place[edge[:-1]], place[edge[1:] - 1] + 1
+        times = -(-(ends - begins) // STRETCH)
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        begins, ends = np.repeat(begins, times) + step * STRETCH, np.minimum(np.repeat(begins, times) + (step + 1) * STRETCH, np.repeat(ends, times))
+        shared = common_prefixes(self.whole, order, begins, ends, LENGTH)[tied]
+        first = shared < LENGTH
+        first[1:] |= np.diff(tied) > 1
+        first[0] = True
+        at = order[tied]
+        owner = np.searchsorted(self.begins + self.sizes, at, "right")
+        ids = np.array([-NONE if i is None else i for i in self.ids], np.int64)[owner]
+        valid = (at + LENGTH <= (self.begins + self.sizes)[owner]) & (ids > -NONE)
+        heads = np.flatnonzero(first)
+        least = np.minimum.reduceat(np.where(valid, ids, NONE), heads)
+        dead[at[valid & (ids > least[np.cumsum(first) - 1])]] = True
+        return dead
+
+    def anchors(self, dead: np.ndarray):
+        """(number of the document, places, hashes) for each document with a doc_id that can hold a window: the anchors
+        of windows that no smaller doc_id of the shard holds."""
         for i, (doc, text) in enumerate(zip(self.ids, self.texts, strict=True)):
             if doc is not None and len(text) >= LENGTH:
-                yield i, *anchors(np.frombuffer(text, np.uint8))
-
-    def contexts(self, common: np.ndarray, buckets: int):
-        """Different contexts around common anchors: bytes, places of the anchor in them, merge shards; and for each
-        occurrence the context's number, the document and the place."""
-        known: dict = defaultdict(count().__next__)
-        context, bucket, document, place = [], [], [], []
-        for i, at, h in self.anchors():
+                start, last = int(self.begins[i]), len(text) - LENGTH
+                alive = np.concatenate(([0], np.cumsum(~dead[start : start + last + 1])))
+                if alive[-1]:
+                    at, h = anchors(np.frombuffer(text, np.uint8))
+                    mine = alive[np.minimum(at, last) + 1] > alive[np.minimum(np.maximum(0, at - REACH), last + 1)]
+                    yield i, at[mine], h[mine]
+
+    def contexts(self, common: np.ndarray, buckets: int, dead: np.ndarray):
+        """Contexts around common anchors: bytes, place of the anchor in them, merge shard, document and place."""
+        texts, inside, bucket, document, place = [], [], [], [], []
+        for i, at, h in self.anchors(dead):
             where = located(h, buckets)
             spot = np.minimum(np.searchsorted(common, where), max(0, len(common) - 1))
             chosen = common[spot] == where if len(common) else np.zeros(len(at), bool)
             at, where = at[chosen], where[chosen]
             if len(at):
                 text, begin = self.texts[i], np.maximum(0, at - REACH)
-                cuts = [text[b:e] for b, e in zip(begin.tolist(), (at + LENGTH).tolist(), strict=True)]
-                for k in range(int(np.searchsorted(at, REACH))):
-                    cuts[k] = cuts[k], int(at[k])  # the anchor stands elsewhere than in other contexts
-                context.append(np.fromiter(map(known.__getitem__, cuts), np.int64, len(cuts)))
+                texts += [text[b:e] for b, e in zip(begin.tolist(), (at + LENGTH).tolist(), strict=True)]
+                inside.append((at - begin).astype(np.uint8))
                 bucket.append((where >> np.uint64(32)).astype(np.int64))
                 document.append(np.full(len(at), i))
                 place.append(begin)
-        context, bucket, document, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (context, bucket, document, place))
-        _, first = np.unique(context, return_index=True)
-        texts = [k[0] if isinstance(k, tuple) else k for k in known]
-        inside = np.array([k[1] if isinstance(k, tuple) else REACH for k in known], np.uint8)
-        return texts, inside, bucket[first], context, document, place
+        inside, bucket, document, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (inside, bucket, document, place))
+        return texts, inside, bucket, document, place
 
 
 PACKED = "shard int, blob binary"
-MERGE = "bucket int, shard int, a binary, b binary, c binary, d binary"
+MERGE = "bucket int, shard int, a binary, b binary, c binary"
+#: Rows of MERGE that stay with the shard: its dead windows, and where its contexts stand.
+OWN_DEAD, OWN_PLACES = -1, -2
 REPLY = "shard int, kind int, a binary, b binary, c binary"
 
 
@@ -193,7 +231,7 @@ def as_table(rows: list[tuple], schema: str) -> pa.Table:
 
 
 def pack_shards(docs: DataFrame, parts: int) -> DataFrame:
-    """Documents as compressed blobs by shard, a hash of doc_id; a shard is one part of the data that a task holds."""
+    """Documents as compressed blobs by shard, a hash of doc_id and text; a shard is one part of the data that a task holds."""
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -209,58 +247,73 @@ def pack_shards(docs: DataFrame, parts: int) -> DataFrame:
                 out.append((s, press.compress(sink.getvalue().to_pybytes())))
             yield from as_table(out, PACKED).to_batches()
 
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), shard.alias("shard")).mapInArrow(pack, PACKED)
 
 
 def send_anchors(buckets: int):
     def send(group: pa.Table) -> pa.Table:
-        seen = [np.unique(located(h, buckets)) for _, _, h in Shard(group).anchors()]
-        keys, times = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0))
-        shard, out = group.column("shard")[0].as_py(), []
+        shard, number, press = Shard(group), group.column("shard")[0].as_py(), zstandard.ZstdCompressor(level=1)
+        dead = shard.repeats()
+        seen = [located(h, buckets) for _, _, h in shard.anchors(dead)]
+        keys = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
+        out = [(OWN_DEAD, number, press.compress(np.packbits(dead).tobytes()), None, None)]
         for b, s, e in slices((keys >> np.uint64(32)).astype(np.int64)):
-            low, more = keys[s:e].astype(np.uint32), times[s:e] > 1
-            out.append((b, shard, blob(low[~more], np.uint32), blob(low[more], np.uint32), None, None))
+            out.append((b, number, blob(keys[s:e].astype(np.uint32), np.uint32), None, None))
         return as_table(out, MERGE)
 
     return send
 
 
 def merge_anchors(group: pa.Table) -> pa.Table:
-    """Sends back to each shard those of its anchors that two documents or more hold: all runs are merged and searched."""
+    """Sends back to each shard those of its anchors that other shards hold too: all runs are merged and searched."""
     rows, bucket = group.to_pylist(), group.column("bucket")[0].as_py()
-    once, more = ([np.frombuffer(r[c], np.uint32) for r in rows] for c in "ab")
-    keys = np.sort(np.concatenate([*once, *more, *more]))  # those of several documents in one shard count twice
+    held = [np.frombuffer(r["a"], np.uint32) for r in rows]
+    keys = np.sort(np.concatenate(held))
     common = np.unique(keys[1:][keys[1:] == keys[:-1]])
     out = []
-    for r, x, y in zip(rows, once, more, strict=True):
+    for r, x in zip(rows, held, strict=True):
         spot = np.minimum(np.searchsorted(common, x), max(0, len(common) - 1))
-        mine = np.sort(np.concatenate([x[common[spot] == x] if len(common) else x[:0], y]))
+        mine = x[common[spot] == x] if len(common) else x[:0]
         if len(mine):
-            out.append((r["shard"], 0, blob(mine, np.uint32), blob([bucket], np.int64), None))
+            out.append((r["shard"], COMMON, blob(mine, np.uint32), blob([bucket], np.int64), None))
     return as_table(out, REPLY)
 
 
+#: Kinds of replies: common anchors, runs of windows that smaller documents hold, dead windows, places of contexts.
+COMMON, RUNS, DEAD, PLACES = 0, 1, 2, 3
+
+
+def own(sent: DataFrame, bucket: int, kind: int) -> DataFrame:
+    """What a shard wrote for itself, as a reply."""
+    return sent.where(F.col("bucket") == bucket).select("shard", F.lit(kind).alias("kind"), "a", "b", "c")
+
+
 def common_of(replies: list[dict]) -> np.ndarray:
-    parts = [np.frombuffer(r["a"], np.uint32).astype(np.uint64) | (np.frombuffer(r["b"], np.int64).astype(np.uint64) << np.uint64(32)) for r in replies if r["kind"] == 0]
+    parts = [np.frombuffer(r["a"], np.uint32).astype(np.uint64) | (np.frombuffer(r["b"], np.int64).astype(np.uint64) << np.uint64(32)) for r in replies if r["kind"] == COMMON]
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def dead_of(replies: list[dict], n: int) -> np.ndarray:
+    bits = next(r["a"] for r in replies if r["kind"] == DEAD)
+    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(bits), np.uint8), count=n).astype(bool) if n else np.zeros(0, bool)
+
+
 def send_contexts(buckets: int):
     def send(group: pa.Table, replies: pa.Table) -> pa.Table:
-        if not len(group) or not len(replies):
+        answers = replies.to_pylist()
+        common = common_of(answers)
+        if not len(group) or not len(common):
             return as_table([], MERGE)
-        shard = Shard(group)
-        texts, inside, bucket, context, document, _ = shard.contexts(common_of(replies.to_pylist()), buckets)
+        shard, number = Shard(group), group.column("shard")[0].as_py()
+        texts, inside, bucket, document, place = shard.contexts(common, buckets, dead_of(answers, len(shard.whole)))
         ids = np.array([i if i is not None else NONE for i in shard.ids], np.int64)
-        low, high = np.full(len(texts), NONE), np.full(len(texts), np.iinfo(np.int64).min)
-        np.minimum.at(low, context, ids[document])
-        np.maximum.at(high, context, ids[document])
-        by, out, press = np.argsort(bucket, kind="stable"), [], zstandard.ZstdCompressor(level=1)
+        by, press = np.argsort(bucket, kind="stable"), zstandard.ZstdCompressor(level=1)
+        out = [(OWN_PLACES, number, blob(document, np.uint32), blob(place, np.int64), None)]
         for b, s, e in slices(bucket[by]):
             mine = by[s:e]
-            # number, smallest doc_id, whether another document here holds it too, anchors' places and bytes
-            out.append((b, group.column("shard")[0].as_py(), blob(mine, np.uint32), blob(low[mine], np.int64), blob(low[mine] < high[mine], np.uint8), press.compress(pack_bytes([texts[i] for i in mine.tolist()], inside[mine]))))
+            # number, doc_id, anchors' places and bytes
+            out.append((b, number, blob(mine, np.uint32), blob(ids[document[mine]], np.int64), press.compress(pack_bytes([texts[i] for i in mine.tolist()], inside[mine]))))
         return as_table(out, MERGE)
 
     return send
@@ -276,19 +329,19 @@ def merge_contexts(group: pa.Table) -> pa.Table:
     Equal windows stand in contexts with the same anchor. Where all contexts of an anchor are one and the same, their
     windows are too; the others go into the suffix array."""
     rows, opened = group.to_pylist(), zstandard.ZstdDecompressor()
-    number, low, more = (np.concatenate([np.frombuffer(r[c], k) for r in rows]) for c, k in zip("abc", (np.uint32, np.int64, np.uint8), strict=True))
+    number, low = (np.concatenate([np.frombuffer(r[c], k) for r in rows]) for c, k in zip("ab", (np.uint32, np.int64), strict=True))
     counts = np.array([len(r["a"]) // 4 for r in rows])
     origin = np.repeat([r["shard"] for r in rows], counts)
     known: dict[tuple[bytes, int], int] = defaultdict(count().__next__)
     which: list[int] = []
     for r, n in zip(rows, counts.tolist(), strict=True):
-        data, at = opened.decompress(r["d"]), 2 * n
+        data, at = opened.decompress(r["c"]), 2 * n
         for place, size in zip(data[:n], data[n : 2 * n], strict=True):
             which.append(known[data[at : at + size], place])
             at += size
     context, texts, anchor = np.array(which, np.int64), [t for t, _ in known], [t[p : p + ANCHOR] for t, p in known]
     sizes = np.array([len(t) for t in texts], np.int64)
-    smallest, holders = np.full(len(texts), NONE), np.bincount(context, 1 + more, len(texts))
+    smallest, holders = np.full(len(texts), NONE), np.bincount(context, minlength=len(texts))
     np.minimum.at(smallest, context, low)
     grid = np.where(np.arange(WIDTH) + LENGTH <= sizes[:, None], smallest[:, None], NONE)
     shown = (grid < NONE) & (holders > 1)[:, None]
@@ -310,10 +363,12 @@ def merge_contexts(group: pa.Table) -> pa.Table:
     times = (per[1:] - per[:-1])[context]
     sent = np.repeat(np.arange(len(context)), times)
     run = np.arange(len(sent)) - np.repeat(np.cumsum(times) - times, times) + per[context[sent]]
+    later = low[sent] > doc[run]  # the others stay
+    sent, run = sent[later], run[later]
     by = np.argsort(origin[sent], kind="stable")
     sent, run, out = sent[by], run[by], []
     for s, x, y in slices(origin[sent]):
-        out.append((s, 1, blob(number[sent[x:y]], np.uint32), blob(doc[run[x:y]], np.int64), blob(np.stack([a[run[x:y]], b[run[x:y]]]), np.uint8)))
+        out.append((s, RUNS, blob(number[sent[x:y]], np.uint32), blob(doc[run[x:y]], np.int64), blob(np.stack([a[run[x:y]], b[run[x:y]]]), np.uint8)))
     return as_table(out, REPLY)
 
 
@@ -322,7 +377,7 @@ def merged_windows(texts: list[bytes], smallest: np.ndarray, holders: np.ndarray
     sizes = np.array([len(t) for t in texts], np.int64)
     text = np.frombuffer(b"".join(texts), np.uint8)
     begins = np.cumsum(sizes) - sizes
-    order = suffix_array(text)
+    order, _ = suffix_array(text)
     shared = common_prefixes(text, order, begins, begins + sizes, LENGTH)
     owner = np.repeat(np.arange(len(texts)), sizes)
     offset = np.arange(len(text)) - begins[owner]
@@ -340,37 +395,30 @@ def merged_windows(texts: list[bytes], smallest: np.ndarray, holders: np.ndarray
     return grid, seen
 
 
-def remove_windows(buckets: int, with_text: bool):
+def remove_windows(with_text: bool):
     def remove(group: pa.Table, replies: pa.Table) -> pa.Table:
         schema = REMOVED + ", kept binary" * with_text
         if not len(group):
             return as_table([], schema)
         shard, answers = Shard(group), replies.to_pylist()
-        sizes = np.array([len(t) for t in shard.texts], np.int64)
-        base = np.concatenate(([0], np.cumsum(sizes)))
-        edge = np.zeros(base[-1] + 1, np.int32)
-        if any(r["kind"] == 1 for r in answers):
-            texts, _, _, context, document, place = shard.contexts(common_of(answers), buckets)
-            ids = np.array([i if i is not None else -NONE for i in shard.ids], np.int64)
-            by = np.argsort(context, kind="stable")
-            per = np.searchsorted(context[by], np.arange(len(texts) + 1))
-            for r in (r for r in answers if r["kind"] == 1):
-                number, doc = np.frombuffer(r["a"], np.uint32).astype(np.int64), np.frombuffer(r["b"], np.int64)
+        n = len(shard.whole)
+        edge = np.zeros(n + LENGTH + 1, np.int32)
+        dead = np.flatnonzero(dead_of(answers, n))
+        edge[dead] += 1
+        edge[dead + LENGTH] -= 1
+        for where in (r for r in answers if r["kind"] == PLACES):
+            start = shard.begins[np.frombuffer(where["a"], np.uint32)] + np.frombuffer(where["b"], np.int64)
+            for r in (r for r in answers if r["kind"] == RUNS):
+                number = np.frombuffer(r["a"], np.uint32).astype(np.int64)
                 a, b = np.frombuffer(r["c"], np.uint8).astype(np.int64).reshape(2, -1)
-                times = per[number + 1] - per[number]
-                run = np.repeat(np.arange(len(number)), times)
-                hit = by[np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times) + per[number[run]]]
-                later = ids[document[hit]] > doc[run]
-                run, hit = run[later], hit[later]
-                start = base[document[hit]] + place[hit]
-                np.add.at(edge, start + a[run], 1)
-                np.add.at(edge, start + b[run] - 1 + LENGTH, -1)
-        gone, out = np.cumsum(edge[:-1]) > 0, []
+                np.add.at(edge, start[number] + a, 1)
+                np.add.at(edge, start[number] + b - 1 + LENGTH, -1)
+        gone, out = np.cumsum(edge[:n]) > 0, []
         for i, (doc, text) in enumerate(zip(shard.ids, shard.texts, strict=True)):
-            mask = gone[base[i] : base[i + 1]]
-            n = int(mask.sum())
-            kept = np.frombuffer(text, np.uint8)[~mask].tobytes() if n else text
-            out.append((doc, len(text), n, len(runs(mask)[0]) if n else 0, hashlib.sha256(kept).hexdigest(), kept)[: 5 + with_text])
+            mask = gone[shard.begins[i] : shard.begins[i] + shard.sizes[i]]
+            n_gone = int(mask.sum())
+            kept = np.frombuffer(text, np.uint8)[~mask].tobytes() if n_gone else text
+            out.append((doc, len(text), n_gone, len(runs(mask)[0]) if n_gone else 0, hashlib.sha256(kept).hexdigest(), kept)[: 5 + with_text])
         return as_table(out, schema)
 
     return remove
@@ -384,18 +432,24 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     Removed is every byte that a LENGTH-byte string covers which also starts in a document with a smaller doc_id. Null
     texts are empty; repeated rows and rows with one doc_id don't count against each other and give a row each; rows
-    without a doc_id keep all their bytes and take none from others. Other columns are not read; an empty table gives an
-    empty result. Shards hold a part of the data each, in number as the session's shuffle partitions.
+    without a doc_id keep all their bytes and take none from others. A very long text is held as a whole in its shard,
+    which grows by it. Other columns are not read; an empty table gives an empty result. Shards have about SHARD_BYTES
+    of text each, so their number grows with the data.
     """
-    parts = SHARDS * shards(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // SHARD_BYTES))
     packed = lambda: pack_shards(docs, parts).groupBy("shard")
-    common = cut(packed().applyInArrow(send_anchors(parts), MERGE).groupBy("bucket").applyInArrow(merge_anchors, REPLY))
-    sent = packed().cogroup(common.groupBy("shard")).applyInArrow(send_contexts(parts), MERGE)
-    replies = cut(sent.groupBy("bucket").applyInArrow(merge_contexts, REPLY))
-    return packed().cogroup(common.union(replies).groupBy("shard")).applyInArrow(remove_windows(parts, with_text), REMOVED + ", kept binary" * with_text)
+    first = cut(packed().applyInArrow(send_anchors(parts), MERGE))
+    dead = own(first, OWN_DEAD, DEAD)
+    common = cut(first.where("bucket >= 0").groupBy("bucket").applyInArrow(merge_anchors, REPLY))
+    sent = cut(packed().cogroup(dead.union(common).groupBy("shard")).applyInArrow(send_contexts(parts), MERGE))
+    replies = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(merge_contexts, REPLY)
+    answers = dead.union(own(sent, OWN_PLACES, PLACES)).union(replies)
+    return packed().cogroup(answers.groupBy("shard")).applyInArrow(remove_windows(with_text), REMOVED + ", kept binary" * with_text)
 
 
 def op5_substring_dedup(spark, sf_dir):
+    """Bytes of each document, how many and how many runs of them go, and the hash of what is left."""
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
