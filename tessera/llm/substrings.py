@@ -29,7 +29,7 @@ REACH = LENGTH - ANCHOR  # bytes of context on either side of an anchor
 WIDTH = REACH + 1  # anchors in a window, and windows through an anchor
 NONE = np.iinfo(np.int64).max
 #: Bytes of text in a shard; what a task holds at once is one of them, and its suffix array.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Places that share fewer first bytes share no window; bytes that Kasai's method walks in one stretch.
 NEAR, STRETCH = 32, 2048
 
@@ -50,26 +50,26 @@ def suffix_array(text: np.ndarray, near: int = 8) -> tuple[np.ndarray, np.ndarra
     for j in range(8):
         key <<= np.uint64(8)
         key |= ahead[j : j + n]
-    order = np.argsort(key)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    order = np.argsort(key).astype(kind)
     key = key[order]
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
     del key
-    group = np.zeros(n + 1, np.int64)  # by place: where its group begins; behind the text comes the smallest
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    group[order], group[n] = first + 1, 0
+    group = np.zeros(n + 1, kind)  # by place: where its group begins; behind the text comes the smallest
+    group[order] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1, dtype=kind), kind(0)))
     open_ = np.flatnonzero(~(new & np.append(new[1:], True)))  # members of groups of several
     h, tied = 8, open_
     while len(open_):
         places = order[open_]
-        pair = group[places] * (n + 2) + group[np.minimum(places + h, n)]
+        pair = group[places].astype(np.int64) * (n + 2) + group[np.minimum(places.astype(np.int64) + h, n)]
         by = np.argsort(pair)
         places, pair = places[by], pair[by]
         order[open_] = places
         split = np.ones(len(open_), bool)
         split[1:] = pair[1:] != pair[:-1]
         new[open_] = split
-        group[places] = np.maximum.accumulate(np.where(split, open_, 0)) + 1
+        group[places] = np.maximum.accumulate(np.where(split, open_, 0)) + 1  # fits: a rank
         open_ = open_[~(split & np.append(split[1:], True))]
         h *= 2
         if h <= near:
@@ -83,8 +83,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, end
     Kasai's method: the prefix of the next place in the text is one byte shorter at worst. The stretches begins:ends of
     the text are walked side by side, one place of each in a step."""
     n = len(order)
-    rank, out = np.empty(n, np.int64), np.zeros(n, np.int64)
-    rank[order] = np.arange(n)
+    rank, out = np.empty(n, order.dtype), np.zeros(n, np.uint8 if most < 256 else np.int64)
+    rank[order] = np.arange(n, dtype=order.dtype)
     ahead = np.concatenate([text, np.zeros(most + 1, np.uint8)])
     longest = np.argsort(begins - ends, kind="stable")  # longest stretches first, so that those still walked lead
     begins, sizes = begins[longest], (ends - begins)[longest]
@@ -93,7 +93,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, end
         live = int(np.searchsorted(-sizes, -step, "left"))
         at = begins[:live] + step
         above = rank[at] > 0
-        other = order[np.maximum(rank[at] - 1, 0)]
+        other = order[np.maximum(rank[at] - 1, 0)].astype(np.int64)
         s = np.where(above, np.maximum(shared[:live] - 1, 0), 0)
         grow = np.flatnonzero(above)
         while len(grow):
@@ -309,7 +309,7 @@ def send_contexts(buckets: int):
         texts, inside, bucket, document, place = shard.contexts(common, buckets, dead_of(answers, len(shard.whole)))
         ids = np.array([i if i is not None else NONE for i in shard.ids], np.int64)
         by, press = np.argsort(bucket, kind="stable"), zstandard.ZstdCompressor(level=1)
-        out = [(OWN_PLACES, number, blob(document, np.uint32), blob(place, np.int64), None)]
+        out = [(OWN_PLACES, number, blob(document, np.uint32), blob(place, np.uint32), None)]
         for b, s, e in slices(bucket[by]):
             mine = by[s:e]
             # number, doc_id, anchors' places and bytes
@@ -407,7 +407,7 @@ def remove_windows(with_text: bool):
         edge[dead] += 1
         edge[dead + LENGTH] -= 1
         for where in (r for r in answers if r["kind"] == PLACES):
-            start = shard.begins[np.frombuffer(where["a"], np.uint32)] + np.frombuffer(where["b"], np.int64)
+            start = shard.begins[np.frombuffer(where["a"], np.uint32)] + np.frombuffer(where["b"], np.uint32)
             for r in (r for r in answers if r["kind"] == RUNS):
                 number = np.frombuffer(r["a"], np.uint32).astype(np.int64)
                 a, b = np.frombuffer(r["c"], np.uint8).astype(np.int64).reshape(2, -1)
