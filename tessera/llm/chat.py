@@ -24,8 +24,6 @@ def unescape(x: Column) -> Column:
     return F.regexp_replace(x, r"([<\[])\\|\\(\\)", "$1$2")
 
 
-
-
 def tree_levels(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Tables (conv_id, msg, up) of ancestors 2**k replies up, k = 0, 1, ..., and (conv_id, msg, root, depth, total) for each message.
 
@@ -111,8 +109,9 @@ def threads(conversations: DataFrame) -> DataFrame:
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """A row for each conversation of rows (conv_id, turn, role, text): what reading the formatted string back gives.
 
-    Rows with a null conv_id form one conversation; null turns come first, repeated rows stay. Other columns are not
-    read; an empty table gives an empty result.
+    Rows with a null conv_id form one conversation; null turns come first, repeated rows stay, null roles and texts read as
+    empty. A very long text is one value, and the string of a conversation another, which holds all its turns. Other
+    columns are not read; an empty table gives an empty result.
     """
     made = cut(format_paths(chosen_paths(cut(threads(conversations)))))
     turn = F.struct("turn", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("said"), "loss")
@@ -126,6 +125,7 @@ PROBE = "</s>[INST] ok [/INST]"
 
 
 def op7_chat_format(spark, sf_dir):
+    """What reading back all formatted conversations gives, with one more whose texts are control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(1).selectExpr("-1L as conv_id", "explode(array(named_struct('turn', 0L, 'role', 'user'), named_struct('turn', 1L, 'role', 'assistant'))) as x")
     probe = probe.select("conv_id", "x.turn", "x.role", F.lit(PROBE).alias("text"))

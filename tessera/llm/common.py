@@ -36,12 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, so that a lost executor costs no recomputation before
-    this point. The table goes with drop_cut(), or when the driver ends."""
+    this point. The table goes with drop_cut(), or when the driver ends; the shuffle files of the step that made it go
+    at once, since the driver is asked to collect what refers to them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

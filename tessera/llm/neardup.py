@@ -28,7 +28,7 @@ LIMITS = np.array([PER * GROUPS << k for k in range(LEVELS - 1)], np.int64)
 #: Buckets of shingle hashes whose counts order shingles by rarity: a fixed size, whatever the number of documents.
 RARITY_BITS, CHUNKS = 18, 16
 #: Members and shingles of a block that is verified at once, points in a node of an R-tree, coordinates compared at once.
-BLOCK, BLOCK_SHINGLES, NODE, AT_ONCE = 8192, 1 << 20, 32, 1 << 22
+BLOCK, BLOCK_SHINGLES, NODE, AT_ONCE = 8192, 1 << 21, 32, 1 << 22
 FULL = 255  # a coordinate that stands for any count from here on
 
 _SPACE = np.zeros(256, bool)
@@ -390,9 +390,11 @@ def in_blocks(clusters: DataFrame) -> DataFrame:
     return join_keyed(clusters, size, "component", clusters.count()).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
-def linked(sets: DataFrame, members: DataFrame, across: bool, percent: int) -> DataFrame:
-    """Links (a, b) inside the blocks of members (id, component, block, blocks, known), or across each pair of blocks."""
-    at = sets.join(members.select(F.col("id").alias("doc_id"), "component", "block", "blocks", "known").hint("merge"), "doc_id")
+PLACE = "component", "block", "blocks", "known"
+
+
+def linked(at: DataFrame, across: bool, percent: int) -> DataFrame:
+    """Links (a, b) inside the blocks of sets (doc_id, found, component, block, blocks, known), or across each pair of blocks."""
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))) if across else F.col("block")
     at = at.select("doc_id", "found", "component", "block", "known", other.alias("beside"))
     side = F.when(F.col("block") > F.col("beside"), 1).otherwise(0).alias("side")
@@ -415,23 +417,25 @@ def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int
     that the blocks gave is compared next, so that a large group of copies needs no pair of blocks; groups of one cluster
     that are still apart are compared in all pairs of its blocks."""
     members = cut(in_blocks(clusters).withColumn("known", F.col("id")))
-    with_text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).join(members.select("id").hint("merge"), F.col("doc_id") == F.col("id"))
+    with_text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).join(members.select("id", *PLACE).hint("merge"), F.col("doc_id") == F.col("id"))
 
     def sets_of(batches):
         for batch in batches:
             found = [shingles(t or b"", size).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *batch.columns[2:]], ["doc_id", "found", *PLACE])
 
-    sets = with_text.select("doc_id", "text").mapInArrow(sets_of, "doc_id long, found binary").where("length(found) > 0")
+    sets = with_text.select("doc_id", "text", *PLACE).mapInArrow(sets_of, "doc_id long, found binary, component long, block int, blocks int, known long").where("length(found) > 0")
     large = members.where("blocks > 1")
     if large.isEmpty():
-        return cut(linked(sets, members, False, percent))
+        return cut(linked(sets, False, percent))
     sets = cut(sets)
-    links = cut(linked(sets, members, False, percent))
+    links = cut(linked(sets, False, percent))
+    of = lambda rows: sets.select("doc_id", "found").join(rows.select(F.col("id").alias("doc_id"), *PLACE), "doc_id")
     rest = apart(large, links)
     of_group = rest.groupBy("component", "known").agg(F.min("id").alias("id")).join(rest.select("id", "tokens"), "id")
-    links = cut(links.union(linked(sets, in_blocks(of_group.select("id", "component", "tokens", "known")), False, percent)))
-    return cut(links.union(linked(sets, apart(rest, links), True, percent)))
+    few = cut(in_blocks(of_group.select("id", "component", "tokens", "known")))
+    links = cut(links.union(linked(of(few), False, percent)))
+    return cut(links.union(linked(of(apart(rest, links)), True, percent)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

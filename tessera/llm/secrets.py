@@ -87,8 +87,8 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): counts by kind, base_sha256 and spans (kind:start:end, in code points).
 
-    Null and empty texts have no spans. Each text is scanned whole, in one pass that holds one batch; a repeated row or
-    doc_id gives a row each time, other columns are not read, and an empty table gives an empty result.
+    Null and empty texts have no spans. Each text, also a very long one, is scanned whole, in one pass that holds one batch;
+    a repeated row or doc_id gives a row each time, other columns are not read, and an empty table gives an empty result.
     """
 
     def scan(batches):
@@ -107,4 +107,5 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op1_secret_scan(spark, sf_dir):
+    """Secrets in all documents: counts and digest of base spans, and all spans."""
     return scan_secrets(table(spark, sf_dir, "documents"))

@@ -209,3 +209,10 @@ def test_nothing_to_find(spark):
 def test_plans_hold_no_python(spark):
     for df in (pii.find_personal_data(spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string")), chat.format_conversations(spark.createDataFrame([(1, 0, "user", "x", "", "")], CONV))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+
+
+def test_very_long_turns(spark):
+    long = "[<\\ é " * 60_000
+    df = spark.createDataFrame([(1, 0, "user", "x", "", ""), (1, 1, "assistant", long, "", "")], CONV)
+    r = chat.format_conversations(df).first()
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (2, len(long), digest(long))

@@ -170,3 +170,29 @@ def test_passages_equal_brute_force(spark, monkeypatch):
 def test_empty_benchmark_hits_nothing(spark):
     docs = spark.createDataFrame([(1, "a b", "", 0, "", "")], DOC)
     assert decontaminate.decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).count() == 1
+
+
+def test_passages_in_very_long_texts_and_a_benchmark_of_many_blocks(spark, monkeypatch):
+    """A text of 300,000 words, windows that many items share, words that only one block knows; longest matches with places."""
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 5000, n))
+    items = [(i, word(40)) for i in range(30)] + [(100 + i, "shared " * 12 + f"own{i}") for i in range(20)]
+    long = word(150_000) + " " + items[3][1] + " " + word(150_000)
+    texts = [long, "a b " + " ".join(items[7][1].split()[5:30]) + " c", "shared " * 12, items[20][1] + " x " + items[21][1], "nothing at all"]
+    docs = spark.createDataFrame([(i, t, "en", 7, "r", "i") for i, t in enumerate(texts)], DOC)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for size in (1 << 21, 900):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert (decontaminate.blocks_of(bench)[1] > 5) == (size == 900)
+        got = {r["doc_id"]: r for r in decontaminate.find_passages(docs, bench).collect()}
+        for i, t in enumerate(texts):
+            n, hits, ids = brute_hits(t, items) if i else (300_040, 40, ["3"])
+            assert got[i]["n_words"] == n and sum(got[i]["runs"][1::2]) - sum(got[i]["runs"][::2]) == hits and got[i]["items"] == ids
+        assert (got[0]["longest"], got[0]["longest_at"], got[0]["longest_item"], got[0]["longest_from"]) == (40, 150_000, "3", 0)
+        assert (got[1]["longest"], got[1]["longest_at"], got[1]["longest_item"], got[1]["longest_from"]) == (25, 2, "7", 5)
+        assert (got[2]["longest"], got[2]["longest_item"], got[3]["longest"], got[4]["longest_item"]) == (12, "100", 40, None)
+        kept = decontaminate.decontaminate(docs, bench)
+        assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [4]
+        found.append(sorted(map(str, got.values())))
+    assert found[0] == found[1]
