@@ -87,6 +87,15 @@ def near_duplicates(arrivals: DataFrame, settings: Settings) -> DataFrame:
     return dealt.mapInPandas(fold, "id string, rejected boolean")
 
 
+#: The fields of a record's summary, which is all of a record but its texts and vectors.
+SUMMARY = "id kind scope source_type content_class title summary user_id session_id source_id source_key source_version source_status external_id content_checksum source_updated_at source_last_synced_at deleted_at urls tags metadata structured_json data_schema structured_fields policy created_at lexical_tokens schema_field_paths".split()
+
+
+def summaries(records: DataFrame) -> DataFrame:
+    """What filters and rankings need of records (schema.RECORD)."""
+    return records.select(*SUMMARY)
+
+
 def stats(records: DataFrame) -> DataFrame:
     """(dimension, value, n): counts by kind, scope, source type, content class and status, and the total, in one pass."""
     dims = ("kind", "scope", "source_type", "content_class", "source_status")

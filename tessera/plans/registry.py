@@ -42,6 +42,17 @@ def record_projection(spark, d):
     return P.records(spark, d).select("id", "kind", "scope", "source_type", "content_class", X.blank_to_null(F.col("title")).alias("title"), "user_id", "session_id", "source_key", "source_status", "content_checksum", "token_count_estimate")
 
 
+@query
+def record_summaries(spark, d):
+    """All fields of the summaries of stored records; nested ones as text."""
+    x = Y.summaries(upserted(spark, d).select(*(c.split()[0] for c in schema.columns(schema.RECORD))))
+    plain = "id kind scope source_type content_class title summary user_id session_id source_id source_key source_version source_status external_id content_checksum structured_json".split()
+    times = "source_updated_at source_last_synced_at deleted_at created_at".split()
+    rest = [F.size("urls").alias("n_urls"), F.array_join("tags", ",").alias("tags"), F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("metadata_keys"), F.col("data_schema").isNull().alias("no_schema"), F.size("structured_fields").alias("n_fields"), F.size("schema_field_paths").alias("n_paths")]
+    policy = [F.col("policy")[c].cast("string").alias(c) for c in ("confidentiality", "freshness_days", "retention_days")]
+    return x.select(*plain, *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in times), *rest, *policy, F.md5(F.array_join("lexical_tokens", " ").cast("binary")).alias("tokens_md5"))
+
+
 @query
 def chunk_documents(spark, d):
     return chunks(spark, d).select("chunk_id", "record_id", "chunk_index", "token_count_estimate", F.md5(F.col("text").cast("binary")).alias("text_md5"))

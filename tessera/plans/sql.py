@@ -272,6 +272,9 @@ SQL = {
     "valid_terms": f"""{REC_Q}, c AS (SELECT CAST(query_id AS VARCHAR) AS name, string_split(query_text, ' ') AS w FROM ({MANY})), u AS (SELECT name, w, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM c), f AS (SELECT name, t, min(i) AS i FROM u GROUP BY name, t),
         k AS (SELECT DISTINCT t FROM (SELECT DISTINCT t FROM f) JOIN rec ON contains(text, t)) SELECT name, CAST(count(*) AS INTEGER) AS n_terms, coalesce(string_agg(f.t, ' ' ORDER BY i) FILTER (WHERE k.t IS NOT NULL), '') AS valid_terms FROM f LEFT JOIN k ON f.t = k.t GROUP BY name""",
     "perturbed_dataset": perturbed_sql(),
+    "record_summaries": f"""{VERSIONS} SELECT id, kind, scope, source_type, content_class, title, CAST(NULL AS VARCHAR) AS summary, user_id, session_id, CAST(NULL AS VARCHAR) AS source_id, version_key AS source_key, CAST(source_version AS INTEGER) AS source_version, st AS source_status, CAST(NULL AS VARCHAR) AS external_id,
+        content_checksum, CAST(NULL AS VARCHAR) AS structured_json, CAST(NULL AS VARCHAR) AS source_updated_at, CASE WHEN st = 'superseded' THEN '2024-03-01 00:00:00' END AS source_last_synced_at, CAST(NULL AS VARCHAR) AS deleted_at, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, CAST(NULL AS INTEGER) AS n_urls, lang || ',' || source AS tags,
+        CASE WHEN previous_id IS NULL THEN '' ELSE 'previous_record_id' END AS metadata_keys, true AS no_schema, CAST(NULL AS INTEGER) AS n_fields, 0 AS n_paths, confidentiality, CAST(freshness_days AS VARCHAR) AS freshness_days, CAST(retention_days AS VARCHAR) AS retention_days, md5(array_to_string({T('text')}, ' ')) AS tokens_md5 FROM v""",
     "near_duplicates": NEAR_DUPLICATES,
     "compress_items": f"{ASSEMBLED} SELECT CAST((SELECT count(*) FROM it) AS INTEGER) AS n_items, CAST(len(ids) AS INTEGER) AS n_compressed, array_to_string(ids, ',') AS chunk_ids FROM compressed",
     "pack_budget": f"{ASSEMBLED} SELECT used, CAST(omitted AS INTEGER) AS omitted_items, CASE WHEN omitted > 0 THEN 'token_budget_reached' END AS truncation_reason, array_to_string(chosen, ',') AS chunk_ids FROM packed",
