@@ -88,7 +88,11 @@ def near_duplicates(arrivals: DataFrame, settings: Settings) -> DataFrame:
 
 
 #: The fields of a record's summary, which is all of a record but its texts and vectors.
-SUMMARY = "id kind scope source_type content_class title summary user_id session_id source_id source_key source_version source_status external_id content_checksum source_updated_at source_last_synced_at deleted_at urls tags metadata structured_json data_schema structured_fields policy created_at lexical_tokens schema_field_paths".split()
+SUMMARY = (
+    "id kind scope source_type content_class title summary user_id session_id source_id source_key source_version source_status external_id "
+    "content_checksum source_updated_at source_last_synced_at deleted_at urls tags metadata structured_json data_schema structured_fields policy "
+    "created_at lexical_tokens schema_field_paths"
+).split()
 
 
 def summaries(records: DataFrame) -> DataFrame:

@@ -402,7 +402,13 @@ def audit_rows(spark, d):
     x = K.audit_row(R.counts_of(found, r, REQ, S, NOW), items, L.visible(r, REQ, S, NOW), L.excluded_counts(r, REQ, S, NOW), REQ, NOW)
     shown = F.array_join(F.transform(F.array_sort(F.map_keys("applied_filters")), lambda k: F.concat(k, F.lit("="), F.array_join(F.element_at(F.col("applied_filters"), k), ","))), "; ")
     why = F.array_join(F.transform(F.array_sort(F.map_keys("excluded_counts")), lambda k: F.concat(k, F.lit("="), F.element_at(F.col("excluded_counts"), k).cast("string"))), "; ")
-    return x.select("audit_id", "query_text", "user_id", "session_id", "model_target", "enforce_policy", shown.alias("applied_filters"), why.alias("excluded_counts"), F.size("visible_record_ids").cast("long").alias("n_visible"), F.md5(F.array_join("visible_record_ids", ",").cast("binary")).alias("visible_md5"), F.array_join("selected_record_ids", ",").alias("selected_record_ids"), F.array_join("selected_chunk_ids", ",").alias("selected_chunk_ids"), "candidate_counts.visible_records", "candidate_counts.eligible_chunks", "candidate_counts.reranked_candidates", "retrieval_strategy")
+    seen = F.array_join("visible_record_ids", ",")
+    return x.select(
+        "audit_id", "query_text", "user_id", "session_id", "model_target", "enforce_policy", shown.alias("applied_filters"), why.alias("excluded_counts"),
+        F.size("visible_record_ids").cast("long").alias("n_visible"), F.md5(seen.cast("binary")).alias("visible_md5"),
+        *(F.array_join(c, ",").alias(c) for c in ("selected_record_ids", "selected_chunk_ids")),
+        *(f"candidate_counts.{c}" for c in ("visible_records", "eligible_chunks", "reranked_candidates")), "retrieval_strategy",
+    )
 
 
 @query

@@ -8,10 +8,18 @@ FIELDS = "array<struct<path:string,value_text:string,value_type:string>>"
 
 #: What callers give for a record; everything but text and structured_json has a default.
 PAYLOAD = (
-    f"id string, text string, structured_json string, kind string, scope string, title string, summary string, user_id string, session_id string, source_type string, content_class string, source_id string, source_key string, external_id string, source_updated_at timestamp, source_last_synced_at timestamp, urls array<string>, tags array<string>, metadata map<string,string>, declared_schema {DATA_SCHEMA}, policy {POLICY}, created_at timestamp, seq long"
+    f"id string, text string, structured_json string, kind string, scope string, title string, summary string, user_id string, session_id string, "
+    f"source_type string, content_class string, source_id string, source_key string, external_id string, source_updated_at timestamp, "
+    f"source_last_synced_at timestamp, urls array<string>, tags array<string>, metadata map<string,string>, declared_schema {DATA_SCHEMA}, policy "
+    f"{POLICY}, created_at timestamp, seq long"
 )
 RECORD = (
-    f"id string, kind string, scope string, owner_scope string, source_type string, content_class string, title string, text string, summary string, user_id string, session_id string, source_id string, source_key string, source_version int, source_status string, external_id string, content_checksum string, source_updated_at timestamp, source_last_synced_at timestamp, deleted_at timestamp, urls array<string>, tags array<string>, metadata map<string,string>, structured_json string, data_schema {DATA_SCHEMA}, structured_fields {FIELDS}, schema_field_paths array<string>, policy {POLICY}, token_count_estimate int, lexical_tokens array<string>, semantic_terms array<string>, buckets array<int>, weights array<double>, created_at timestamp"
+    f"id string, kind string, scope string, owner_scope string, source_type string, content_class string, title string, text string, summary "
+    f"string, user_id string, session_id string, source_id string, source_key string, source_version int, source_status string, external_id "
+    f"string, content_checksum string, source_updated_at timestamp, source_last_synced_at timestamp, deleted_at timestamp, urls array<string>, "
+    f"tags array<string>, metadata map<string,string>, structured_json string, data_schema {DATA_SCHEMA}, structured_fields {FIELDS}, "
+    f"schema_field_paths array<string>, policy {POLICY}, token_count_estimate int, lexical_tokens array<string>, semantic_terms array<string>, "
+    f"buckets array<int>, weights array<double>, created_at timestamp"
 )
 CHUNK = "chunk_id string, record_id string, chunk_index int, text string, token_count_estimate int, lexical_tokens array<string>, buckets array<int>, weights array<double>"
 DEFAULTS = {"kind": "research_finding", "scope": "session", "source_type": "direct_text", "content_class": "raw_source"}

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from tessera.config import Settings
 from tessera.functions import vector as V
 
-TRAINING = ("id kind scope source_type content_class user_id session_id source_id source_key source_version source_status external_id content_checksum source_updated_at source_last_synced_at deleted_at title summary text token_count_estimate lexical_tokens semantic_terms embedding urls tags metadata structured_data data_schema structured_fields policy created_at").split()
-PROVENANCE = ("source_key source_version source_status external_id content_checksum source_type content_class source_updated_at source_last_synced_at deleted_at user_id session_id urls tags metadata structured_json data_schema structured_fields policy").split()
+TRAINING = (
+    "id kind scope source_type content_class user_id session_id source_id source_key source_version source_status external_id content_checksum "
+    "source_updated_at source_last_synced_at deleted_at title summary text token_count_estimate lexical_tokens semantic_terms embedding urls tags "
+    "metadata structured_data data_schema structured_fields policy created_at"
+).split()
+PROVENANCE = (
+    "source_key source_version source_status external_id content_checksum source_type content_class source_updated_at source_last_synced_at "
+    "deleted_at user_id session_id urls tags metadata structured_json data_schema structured_fields policy"
+).split()
 TIMES = ("source_updated_at", "source_last_synced_at", "deleted_at", "created_at")
 
 
