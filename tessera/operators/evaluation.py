@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Tiers of difficulty and the runs that belong to them.
@@ -13,6 +13,13 @@ TIERS = {
 }
 
 
+# Of each tier the token budget, the least and most cases of a run, and whether wider scopes are searched.
+DIFFICULTY = {
+    "trivial": (2000, 3, 5, True), "easy": (1500, 5, 8, True), "moderate_easy": (1200, 8, 12, True), "moderate": (900, 12, 16, True), "moderate_hard": (700, 16, 20, True),
+    "hard": (600, 20, 24, True), "harder": (500, 24, 28, False), "very_hard": (400, 28, 32, False), "extreme": (300, 32, 36, False), "maximum": (200, 36, 40, False),
+}
+
+
 def before_colon(key: Column) -> Column:
     return F.element_at(F.split(key, ":"), 1)
 
@@ -115,6 +122,29 @@ def dataset_profile(records: DataFrame) -> DataFrame:
     return records.groupBy("kind", "scope").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(before_colon(F.col("source_key"))).alias("prefixes"), F.count_if(F.col("structured_json").isNotNull()).alias("structured"), F.avg(n).alias("avg_chars"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.median(n).alias("median_chars"), fields.alias("fields"))
 
 
+def drawn(*parts: Column) -> Column:
+    """A number from 0 to 2**28 - 1 out of some keys."""
+    return F.conv(F.substring(F.md5(F.concat_ws(" ", *parts).cast("binary")), 1, 7), 16, 10).cast("long")
+
+
+def cases_for_runs(queries: DataFrame, runs: int = 50) -> DataFrame:
+    """(run, tier, case, name, query_id, token_budget, wide, terms_scope): the cases of each run out of queries (query_id, tier).
+
+    A run draws from the queries of its tier and of all easier ones, as many as its tier asks for, by a hash of run and
+    query, so that the same queries always give the same cases. wide says whether user and global scope are searched."""
+    tiers = [(n, name, *TIERS[name], *DIFFICULTY[name]) for n, name in enumerate(TIERS)]
+    table = F.broadcast(queries.sparkSession.createDataFrame(tiers, "place int, tier string, lo int, hi int, token_budget int, least int, most int, wide boolean"))  # ten rows
+    plan = queries.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("run")).join(table, F.col("run").between(F.col("lo"), F.col("hi")))
+    wanted = F.col("least") + drawn(F.lit("cases"), F.col("run").cast("string")) % (F.col("most") - F.col("least") + 1)
+    pool = queries.join(table.select(F.col("tier").alias("of"), F.col("place").alias("rank")), F.col("tier") == F.col("of")).select("query_id", "rank")
+    x = pool.join(F.broadcast(plan.withColumn("wanted", wanted)), F.col("rank") <= F.col("place"))  # fifty rows
+    order = Window.partitionBy("run").orderBy(drawn(F.col("run").cast("string"), F.col("query_id").cast("string")), "query_id")
+    x = x.withColumn("case", F.row_number().over(order)).where(F.col("case") <= F.col("wanted"))
+    name = F.concat(F.lit("run"), F.lpad(F.col("run").cast("string"), 2, "0"), F.lit("_case"), F.lpad(F.col("case").cast("string"), 2, "0"), F.lit("_"), F.col("tier"))
+    scope = F.when(F.col("wide"), "assembled_context").otherwise("retrieved_records")
+    return x.select("run", "tier", "case", name.alias("name"), "query_id", "token_budget", "wide", scope.alias("terms_scope"))
+
+
 def valid_terms(cases: DataFrame, records: DataFrame) -> DataFrame:
     """cases (name, expected_terms) with valid_terms, those that any text of records (text) holds.
 

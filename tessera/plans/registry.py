@@ -451,6 +451,13 @@ def pruning_report(spark, d):
     return E.pruning_report(x).select("variant", "dataset", *(F.round(c, 6).alias(c) for c in ("avg_active", "avg_pruned", "avg_imported", "pruned_percent")))
 
 
+@query
+def cases_for_runs(spark, d):
+    """Cases of fifty runs out of the benchmark's items, four of each tier."""
+    i = F.col("item_id")
+    return E.cases_for_runs(P.table(spark, d, "benchmark").select(i.alias("query_id"), P.pick(tuple(E.TIERS), i % 10).alias("tier")))
+
+
 @query
 def valid_terms(spark, d):
     """The words of benchmark items that any document holds."""

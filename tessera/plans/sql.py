@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.operators import evaluation as E
 from tessera.operators import perturb as B
 from tessera.operators import workflow as W
 from tessera.plans.fixtures import CHUNKS, QUERY, REC, VISIBLE, stem_sql, terms_sql, tokens_sql
@@ -173,6 +174,16 @@ def perturbed_sql() -> str:
         UNION ALL SELECT id, scope, user_id, session_id, lang || ',' || source, 'near_dup:' || id, md5(CASE WHEN len(w) > 5 THEN array_to_string(list_transform(w, lambda x, i: CASE WHEN i = pos + 1 THEN new || right(w[pos + 1], 2) ELSE x END), ' ') ELSE array_to_string(w, ' ') END), false, true FROM m"""
 
 
+def cases_sql() -> str:
+    draw = lambda key: f"CAST('0x' || substr(md5({key}), 1, 7) AS BIGINT)"
+    rows = ", ".join(f"({n}, '{t}', {E.TIERS[t][0]}, {E.TIERS[t][1]}, {b}, {lo}, {hi}, {w})" for n, (t, (b, lo, hi, w)) in enumerate(E.DIFFICULTY.items()))
+    return f"""WITH t(place, tier, lo, hi, token_budget, least, most, wide) AS (VALUES {rows}), q AS (SELECT item_id AS query_id, item_id % 10 AS rank FROM benchmark),
+        p AS (SELECT run, t.*, least + {draw("'cases ' || CAST(run AS VARCHAR)")} % (most - least + 1) AS wanted FROM (SELECT unnest(range(1, 51)) AS run) JOIN t ON run BETWEEN lo AND hi),
+        x AS (SELECT p.*, query_id, row_number() OVER (PARTITION BY run ORDER BY {draw("CAST(run AS VARCHAR) || ' ' || CAST(query_id AS VARCHAR)")}, query_id) AS n FROM p JOIN q ON rank <= place)
+        SELECT CAST(run AS INTEGER) AS run, tier, CAST(n AS INTEGER) AS "case", 'run' || lpad(CAST(run AS VARCHAR), 2, '0') || '_case' || lpad(CAST(n AS VARCHAR), 2, '0') || '_' || tier AS name, query_id, token_budget, wide,
+          CASE WHEN wide THEN 'assembled_context' ELSE 'retrieved_records' END AS terms_scope FROM x WHERE n <= wanted"""
+
+
 SQL = {
     "record_projection": f"{REC_Q} SELECT id, kind, scope, source_type, content_class, nullif(trim(title), '') AS title, user_id, session_id, source_key, source_status, content_checksum, token_count_estimate FROM rec",
     "chunk_documents": f"{CHUNK_Q} SELECT chunk_id, record_id, chunk_index, token_count_estimate, md5(text) AS text_md5 FROM chk",
@@ -272,6 +283,7 @@ SQL = {
     "valid_terms": f"""{REC_Q}, c AS (SELECT CAST(query_id AS VARCHAR) AS name, string_split(query_text, ' ') AS w FROM ({MANY})), u AS (SELECT name, w, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM c), f AS (SELECT name, t, min(i) AS i FROM u GROUP BY name, t),
         k AS (SELECT DISTINCT t FROM (SELECT DISTINCT t FROM f) JOIN rec ON contains(text, t)) SELECT name, CAST(count(*) AS INTEGER) AS n_terms, coalesce(string_agg(f.t, ' ' ORDER BY i) FILTER (WHERE k.t IS NOT NULL), '') AS valid_terms FROM f LEFT JOIN k ON f.t = k.t GROUP BY name""",
     "perturbed_dataset": perturbed_sql(),
+    "cases_for_runs": cases_sql(),
     "record_summaries": f"""{VERSIONS} SELECT id, kind, scope, source_type, content_class, title, CAST(NULL AS VARCHAR) AS summary, user_id, session_id, CAST(NULL AS VARCHAR) AS source_id, version_key AS source_key, CAST(source_version AS INTEGER) AS source_version, st AS source_status, CAST(NULL AS VARCHAR) AS external_id,
         content_checksum, CAST(NULL AS VARCHAR) AS structured_json, CAST(NULL AS VARCHAR) AS source_updated_at, CASE WHEN st = 'superseded' THEN '2024-03-01 00:00:00' END AS source_last_synced_at, CAST(NULL AS VARCHAR) AS deleted_at, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, CAST(NULL AS INTEGER) AS n_urls, lang || ',' || source AS tags,
         CASE WHEN previous_id IS NULL THEN '' ELSE 'previous_record_id' END AS metadata_keys, true AS no_schema, CAST(NULL AS INTEGER) AS n_fields, 0 AS n_paths, confidentiality, CAST(freshness_days AS VARCHAR) AS freshness_days, CAST(retention_days AS VARCHAR) AS retention_days, md5(array_to_string({T('text')}, ' ')) AS tokens_md5 FROM v""",

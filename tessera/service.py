@@ -166,6 +166,18 @@ class Service:
         self._again(write)
         return self.get_record(record_id)
 
+    def remove_record(self, record_id: str) -> bool:
+        """Takes a record out of the store, whatever its state; whether there was one."""
+
+        def write(at: dict) -> bool:
+            row = self.store.records(at).where(F.col("id") == record_id)
+            if row.isEmpty():
+                return False
+            self.store.commit(at, row.limit(0), row.select("id"))
+            return True
+
+        return self._again(write)
+
     def import_path(self, path: str, recursive: bool = False, mode: str = "upsert", data_schema: dict | None = None, **more) -> list[dict]:
         """A row for each file: path, status (imported, skipped) and the reason for skipping; also for a path that is not there.
 

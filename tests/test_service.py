@@ -276,5 +276,7 @@ def test_of_two_writers_none_is_lost(service):
 def test_audited_items_carry_provenance(service):
     service.upsert_source({"source_key": "a", "text": "the river ruling", "scope": "global", "policy": SHARED, "tags": ["law"]})
     r = service.retrieve(Request("river ruling")).first()
+    assert service.remove_record("none") is False
     assert r["provenance"]["source_key"] == "a" and r["provenance"]["tags"] == ["law"] and r["provenance"]["source_version"] == 1
     assert service.spark.read.json(f"{service.store.root}/audit").count() == 1
+    assert service.remove_record(r["record_id"]) and service.get_record(r["record_id"]) is None and ask(service, "river ruling") == []
