@@ -455,7 +455,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     total = known.where("n > 0").count()
     sent = classes.where("rep is not null").select("rep", "prefix").mapInArrow(send_prefixes(shards(docs.sparkSession)), SENT)
     met = sent.groupBy("bucket").applyInArrow(shared_tokens, SHARED)
-    met = met.join(classes.select(F.col("rep").alias("doc"), "n", "point"), "doc")
+    met = met.groupBy("doc").agg(F.collect_list(F.struct("bucket", "tokens")).alias("held"))  # some of a set's rarest shingles
+    met = met.join(classes.select(F.col("rep").alias("doc"), "n", "point"), "doc").select("doc", "n", "point", F.explode("held").alias("h")).select("h.bucket", "doc", "n", "point", "h.tokens")
     maybe = components(met.groupBy("bucket").applyInArrow(candidates(percent), LINKS))
     maybe = cut(maybe.join(real.groupBy("doc_id").agg(F.sum("n").alias("tokens")), F.col("id") == F.col("doc_id")).drop("doc_id"))
     links = verified_links(docs.where("doc_id is not null"), maybe, size, percent)
