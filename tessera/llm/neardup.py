@@ -263,6 +263,22 @@ def shared_tokens(group: pa.Table) -> pa.Table:
     return pa.table([pa.array([bucket] * len(parts), pa.int32()), pa.array(docs[owners[kept[edge[:-1]]]]), pa.array(parts, pa.binary())], names=["bucket", "doc", "tokens"])
 
 
+POINTS = "bucket int, docs binary, sizes binary, points binary, counts binary, tokens binary"
+
+
+def send_points(batches):
+    """Sets (doc, n, point, held: buckets and their shared shingles) to the buckets: of a batch of sets one row a bucket."""
+    for batch in batches:
+        held: dict[int, list[list]] = {}
+        for doc, n, point, mine in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for h in mine:
+                for part, value in zip(held.setdefault(h["bucket"], [[] for _ in range(5)]), (doc, n, point, len(h["tokens"]) // 4, h["tokens"]), strict=True):
+                    part.append(value)
+        rows = [(b, blob(d, np.int64), blob(n, np.int32), b"".join(p), blob(c, np.uint32), b"".join(t)) for b, (d, n, p, c, t) in held.items()]
+        kinds = (pa.int32(), *[pa.binary()] * 5)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], [f.split()[0] for f in POINTS.split(", ")])
+
+
 def link_table(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -297,9 +313,8 @@ class Points:
 
 def candidates(percent: int):
     def find(group: pa.Table) -> pa.Table:
-        docs, sizes, held = group.column("doc").to_numpy(), group.column("n").to_numpy(), group.column("tokens").to_pylist()
-        flat = np.frombuffer(b"".join(group.column("point").to_pylist()), np.uint8)
-        tokens, owners = np.frombuffer(b"".join(held), np.uint32), np.repeat(np.arange(len(docs)), [len(t) // 4 for t in held])
+        docs, sizes, flat, counts, tokens = (np.frombuffer(b"".join(group.column(c).to_pylist()), k) for c, k in (("docs", np.int64), ("sizes", np.int32), ("points", np.uint8), ("counts", np.uint32), ("tokens", np.uint32)))
+        owners = np.repeat(np.arange(len(docs)), counts)
         order, sizes = np.argsort(tokens, kind="stable"), sizes.astype(np.int64)
         tokens, owners = tokens[order], owners[order]
         edge = np.concatenate(([0], np.flatnonzero(np.diff(tokens)) + 1, [len(tokens)]))
@@ -456,7 +471,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sent = classes.where("rep is not null").select("rep", "prefix").mapInArrow(send_prefixes(shards(docs.sparkSession)), SENT)
     met = sent.groupBy("bucket").applyInArrow(shared_tokens, SHARED)
     met = met.groupBy("doc").agg(F.collect_list(F.struct("bucket", "tokens")).alias("held"))  # some of a set's rarest shingles
-    met = met.join(classes.select(F.col("rep").alias("doc"), "n", "point"), "doc").select("doc", "n", "point", F.explode("held").alias("h")).select("h.bucket", "doc", "n", "point", "h.tokens")
+    met = met.join(classes.select(F.col("rep").alias("doc"), "n", "point"), "doc").select("doc", "n", "point", "held").mapInArrow(send_points, POINTS)
     maybe = components(met.groupBy("bucket").applyInArrow(candidates(percent), LINKS))
     maybe = cut(maybe.join(real.groupBy("doc_id").agg(F.sum("n").alias("tokens")), F.col("id") == F.col("doc_id")).drop("doc_id"))
     links = verified_links(docs.where("doc_id is not null"), maybe, size, percent)
