@@ -222,7 +222,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, percent: int, forest: Fore
 # --- candidates ----------------------------------------------------------------------------------------------------
 
 SENT = "bucket int, docs binary, owners binary, tokens binary"
-SHARED = "bucket int, doc long, tokens binary"
+SHARED = "part int, bucket int, docs binary, counts binary, tokens binary"
 LINKS = "a long, b long"
 
 
@@ -247,36 +247,55 @@ def send_prefixes(buckets: int):
     return send
 
 
-def shared_tokens(group: pa.Table) -> pa.Table:
-    """For each set of a bucket its shingles that another set of the bucket holds too; sets without any have no row."""
-    docs, owners, tokens = (np.concatenate([np.frombuffer(x, k) for x in group.column(c).to_pylist()]) for c, k in (("docs", np.int64), ("owners", np.uint32), ("tokens", np.uint32)))
-    sent, held = ([len(x) // n for x in group.column(c).to_pylist()] for c, n in (("docs", 8), ("owners", 4)))
-    owners = owners.astype(np.int64) + np.repeat(np.cumsum(sent) - sent, held)
-    order = np.argsort(tokens, kind="stable")
-    low = tokens[order]
-    alone = np.concatenate(([True], low[1:] != low[:-1])) & np.concatenate((low[1:] != low[:-1], [True]))
-    kept = order[~alone]
-    kept = kept[np.argsort(owners[kept], kind="stable")]
-    edge = np.concatenate(([0], np.flatnonzero(np.diff(owners[kept])) + 1, [len(kept)])) if len(kept) else np.zeros(1, np.int64)
-    parts = [tokens[kept[s:e]].tobytes() for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-    bucket = group.column("bucket")[0].as_py()
-    return pa.table([pa.array([bucket] * len(parts), pa.int32()), pa.array(docs[owners[kept[edge[:-1]]]]), pa.array(parts, pa.binary())], names=["bucket", "doc", "tokens"])
+def spread(low: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """low[i], low[i] + 1, ... as often as times[i] says, one after the other."""
+    return np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+
+
+def shared_tokens(parts: int):
+    """For the sets of a bucket the shingles that another set of the bucket holds too: a row for each part of the sets."""
+
+    def shared(group: pa.Table) -> pa.Table:
+        docs, owners, tokens = (np.concatenate([np.frombuffer(x, k) for x in group.column(c).to_pylist()]) for c, k in (("docs", np.int64), ("owners", np.uint32), ("tokens", np.uint32)))
+        sent, held = ([len(x) // n for x in group.column(c).to_pylist()] for c, n in (("docs", 8), ("owners", 4)))
+        owners = owners.astype(np.int64) + np.repeat(np.cumsum(sent) - sent, held)
+        order = np.argsort(tokens, kind="stable")
+        low = tokens[order]
+        new = np.concatenate(([True], low[1:] != low[:-1]))
+        kept = order[~(new & np.append(new[1:], True))]
+        kept = kept[np.lexsort((owners[kept], docs[owners[kept]] % parts))]
+        whose, first, counts = np.unique(owners[kept], return_index=True, return_counts=True)
+        by = np.argsort(first)
+        whose, first, counts = whose[by], first[by], counts[by]
+        part, rows, bucket = docs[whose] % parts, [], group.column("bucket")[0].as_py()
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else np.zeros(1, np.int64)
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            mine = kept[first[s] : first[e - 1] + counts[e - 1]]
+            rows.append((int(part[s]), bucket, blob(docs[whose[s:e]], np.int64), blob(counts[s:e], np.uint32), blob(tokens[mine], np.uint32)))
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 3)
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=[f.split()[0] for f in SHARED.split(", ")])
+
+    return shared
 
 
 POINTS = "bucket int, docs binary, sizes binary, points binary, counts binary, tokens binary"
 
 
-def send_points(batches):
-    """Sets (doc, n, point, held: buckets and their shared shingles) to the buckets: of a batch of sets one row a bucket."""
-    for batch in batches:
-        held: dict[int, list[list]] = {}
-        for doc, n, point, mine in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            for h in mine:
-                for part, value in zip(held.setdefault(h["bucket"], [[] for _ in range(5)]), (doc, n, point, len(h["tokens"]) // 4, h["tokens"]), strict=True):
-                    part.append(value)
-        rows = [(b, blob(d, np.int64), blob(n, np.int32), b"".join(p), blob(c, np.uint32), b"".join(t)) for b, (d, n, p, c, t) in held.items()]
-        kinds = (pa.int32(), *[pa.binary()] * 5)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], [f.split()[0] for f in POINTS.split(", ")])
+def send_points(sets: pa.Table, shared: pa.Table) -> pa.Table:
+    """Points of a part of the sets (rep, n, point) with their shared shingles to the buckets, a row a bucket."""
+    order = np.argsort(sets.column("rep").to_numpy(), kind="stable")
+    reps, sizes, points = sets.column("rep").to_numpy()[order], sets.column("n").to_numpy()[order], sets.column("point").to_pylist()
+    points, rows = [points[i] for i in order.tolist()], []
+    for r in shared.to_pylist():
+        docs, counts, tokens = (np.frombuffer(r[c], k) for c, k in (("docs", np.int64), ("counts", np.uint32), ("tokens", np.uint32)))
+        counts = counts.astype(np.int64)
+        low = np.searchsorted(reps, docs)
+        times = np.searchsorted(reps, docs, "right") - low  # several where a doc_id has several sets
+        at, of = spread(low, times), np.repeat(np.arange(len(docs)), times)
+        held = tokens[spread((np.cumsum(counts) - counts)[of], counts[of])]
+        rows.append((r["bucket"], blob(reps[at], np.int64), blob(sizes[at], np.int32), b"".join(points[i] for i in at.tolist()), blob(counts[of], np.uint32), blob(held, np.uint32)))
+    kinds = (pa.int32(), *[pa.binary()] * 5)
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=[f.split()[0] for f in POINTS.split(", ")])
 
 
 def link_table(pairs: list[tuple[int, int]]) -> pa.Table:
@@ -469,9 +488,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = cut(classes)
     total = known.where("n > 0").count()
     sent = classes.where("rep is not null").select("rep", "prefix").mapInArrow(send_prefixes(shards(docs.sparkSession)), SENT)
-    met = sent.groupBy("bucket").applyInArrow(shared_tokens, SHARED)
-    met = met.groupBy("doc").agg(F.collect_list(F.struct("bucket", "tokens")).alias("held"))  # some of a set's rarest shingles
-    met = met.join(classes.select(F.col("rep").alias("doc"), "n", "point"), "doc").select("doc", "n", "point", "held").mapInArrow(send_points, POINTS)
+    parts = shards(docs.sparkSession)
+    shared = sent.groupBy("bucket").applyInArrow(shared_tokens(parts), SHARED)
+    points = classes.where("rep is not null").select(F.pmod("rep", F.lit(parts)).cast("int").alias("part"), "rep", "n", "point")
+    met = points.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(send_points, POINTS)
     maybe = components(met.groupBy("bucket").applyInArrow(candidates(percent), LINKS))
     maybe = cut(maybe.join(real.groupBy("doc_id").agg(F.sum("n").alias("tokens")), F.col("id") == F.col("doc_id")).drop("doc_id"))
     links = verified_links(docs.where("doc_id is not null"), maybe, size, percent)
