@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,28 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataF
     return rows.join(F.broadcast(hot), key).unionByName(usual.join(rest, key))
 
 
+#: Bits of a filter of ids: a fixed size, whatever their number. The fuller it is the more it lets pass.
+FILTER_BITS = 23
+
+
+def may_hold(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test for long ids, true for all that ids (a column of longs) holds and false for most others: what fails it needs
+    no join with ids, and so need not be shuffled."""
+    at = F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(1 << FILTER_BITS))
+    rows = ids.select(at.alias("at")).selectExpr("shiftright(at, 6) AS word", "shiftleft(1L, CAST(at & 63 AS INT)) AS bit")
+    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** (FILTER_BITS - 6) rows at most
+    words = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    sent = ids.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def held(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return lambda id_: held(F.pmod(F.xxhash64(id_), F.lit(1 << FILTER_BITS)))
+
+
 # --- hashing of bytes in numpy -------------------------------------------------------------------------------------
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1

@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, join_keyed, mix, runs, shards, span_hashes, table
+from tessera.llm.common import components, cut, drop_cut, join_keyed, may_hold, mix, runs, shards, span_hashes, table
 
 #: Groups of a set at least, shingles a group at most (on average), and how often groups are doubled to stay below.
-#: With more shingles a group, unlike sets have such even counts that the bound no longer parts them.
-GROUPS, PER, LEVELS = 16, 32, 6
+#: With more shingles a group, unlike sets have such even counts that the bound no longer parts them: with 32 it came out
+#: just at 80 %, and clusters of unlike long sets grew with the corpus, to be verified in the square of their blocks.
+GROUPS, PER, LEVELS = 32, 12, 7
 LIMITS = np.array([PER * GROUPS << k for k in range(LEVELS - 1)], np.int64)
 #: Buckets of shingle hashes whose counts order shingles by rarity: a fixed size, whatever the number of documents.
 RARITY_BITS, CHUNKS = 18, 16
@@ -279,6 +280,13 @@ def shared_tokens(parts: int):
 
 
 POINTS = "bucket int, docs binary, sizes binary, points binary, counts binary, tokens binary"
+#: Counts take four of eight bits when coded by how often they occur.
+CODEC = "zstd"
+
+
+def unpacked(points: bytes, sizes: np.ndarray) -> bytes:
+    """The points of sets of these sizes as send_points() sent them."""
+    return pa.decompress(points, int((GROUPS << levels(sizes)).sum()), CODEC, asbytes=True)
 
 
 def send_points(sets: pa.Table, shared: pa.Table) -> pa.Table:
@@ -293,7 +301,7 @@ def send_points(sets: pa.Table, shared: pa.Table) -> pa.Table:
         times = np.searchsorted(reps, docs, "right") - low  # several where a doc_id has several sets
         at, of = spread(low, times), np.repeat(np.arange(len(docs)), times)
         held = tokens[spread((np.cumsum(counts) - counts)[of], counts[of])]
-        rows.append((r["bucket"], blob(reps[at], np.int64), blob(sizes[at], np.int32), b"".join(points[i] for i in at.tolist()), blob(counts[of], np.uint32), blob(held, np.uint32)))
+        rows.append((r["bucket"], blob(reps[at], np.int64), blob(sizes[at], np.int32), pa.compress(b"".join(points[i] for i in at.tolist()), CODEC, asbytes=True), blob(counts[of], np.uint32), blob(held, np.uint32)))
     kinds = (pa.int32(), *[pa.binary()] * 5)
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=[f.split()[0] for f in POINTS.split(", ")])
 
@@ -332,7 +340,9 @@ class Points:
 
 def candidates(percent: int):
     def find(group: pa.Table) -> pa.Table:
-        docs, sizes, flat, counts, tokens = (np.frombuffer(b"".join(group.column(c).to_pylist()), k) for c, k in (("docs", np.int64), ("sizes", np.int32), ("points", np.uint8), ("counts", np.uint32), ("tokens", np.uint32)))
+        docs, sizes, counts, tokens = (np.frombuffer(b"".join(group.column(c).to_pylist()), k) for c, k in (("docs", np.int64), ("sizes", np.int32), ("counts", np.uint32), ("tokens", np.uint32)))
+        packed = zip(group.column("points").to_pylist(), group.column("sizes").to_pylist(), strict=True)
+        flat = np.frombuffer(b"".join(unpacked(p, np.frombuffer(n, np.int32)) for p, n in packed), np.uint8)
         owners = np.repeat(np.arange(len(docs)), counts)
         order, sizes = np.argsort(tokens, kind="stable"), sizes.astype(np.int64)
         tokens, owners = tokens[order], owners[order]
@@ -451,7 +461,8 @@ def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int
     that the blocks gave is compared next, so that a large group of copies needs no pair of blocks; groups of one cluster
     that are still apart are compared in all pairs of its blocks."""
     members = cut(in_blocks(clusters).withColumn("known", F.col("id")))
-    with_text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).join(members.select("id", *PLACE).hint("merge"), F.col("doc_id") == F.col("id"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).where(may_hold(members.select("id"))(F.col("doc_id").cast("long")))
+    with_text = texts.join(members.select("id", *PLACE).hint("merge"), F.col("doc_id") == F.col("id"))
 
     def sets_of(batches):
         for batch in batches:
@@ -469,7 +480,9 @@ def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int
     of_group = rest.groupBy("component", "known").agg(F.min("id").alias("id")).join(rest.select("id", "tokens"), "id")
     few = cut(in_blocks(of_group.select("id", "component", "tokens", "known")))
     links = cut(links.union(linked(of(few), False, percent)))
-    return cut(links.union(linked(of(apart(rest, links)), True, percent)))
+    links = cut(links.union(linked(of(apart(rest, links)), True, percent)))
+    drop_cut(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -482,10 +495,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     without a doc_id link with nothing and have a null component_id. Other columns are not read; an empty table gives an
     empty result.
     """
-    known = cut(sketches(docs, size, percent, count_rarity(docs, size)))
-    real = known.where("doc_id is not null and n > 0")
-    classes = known.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("prefix").alias("prefix"))
+    whole = cut(sketches(docs, size, percent, count_rarity(docs, size)))
+    classes = whole.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("prefix").alias("prefix"))
     classes = cut(classes)
+    known = cut(whole.select("doc_id", "n", "set_hash"))
+    drop_cut(whole)
+    real = known.where("doc_id is not null and n > 0")
     total = known.where("n > 0").count()
     sent = classes.where("rep is not null").select("rep", "prefix").mapInArrow(send_prefixes(shards(docs.sparkSession)), SENT)
     parts = shards(docs.sparkSession)
@@ -494,6 +509,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     met = points.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(send_points, POINTS)
     maybe = components(met.groupBy("bucket").applyInArrow(candidates(percent), LINKS))
     maybe = cut(maybe.join(real.groupBy("doc_id").agg(F.sum("n").alias("tokens")), F.col("id") == F.col("doc_id")).drop("doc_id"))
+    whole, classes = classes, cut(classes.select("set_hash", "rep", "times"))
+    drop_cut(whole)
     links = verified_links(docs.where("doc_id is not null"), maybe, size, percent)
     repeated = real.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo <> hi").select("doc_id")
     bridges = real.join(repeated, "doc_id").select("set_hash", "doc_id").join(classes.select("set_hash", "rep"), "set_hash")
@@ -508,9 +525,10 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     """The rows of docs, with all their columns whatever their names, that stand for their component: those whose doc_id is
     its smallest, and rows without a doc_id. Of rows that share the doc_id all stay."""
     found = near_duplicates(docs.select("doc_id", "text"), size, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    return packed.join(gone.hint("merge"), F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    packed, held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id")), may_hold(gone)(F.col("id").cast("long"))
+    rest = packed.where(held).join(gone.hint("merge"), F.col("id") == F.col("gone"), "left_anti")  # the others stay where they are
+    return packed.where(~held).select("row").union(rest.select("row")).select("row.*")
 
 
 def op8_near_duplicates(spark, sf_dir):

@@ -1,11 +1,14 @@
 """Near-duplicate join against brute force over all pairs."""
 
+import os
 import random
 import re
+from urllib.parse import urlparse
 
+import numpy as np
 import pytest
 
-from tessera.llm import neardup
+from tessera.llm import common, neardup
 
 
 def words_of(text):
@@ -110,3 +113,31 @@ def test_rows_with_one_id_and_different_texts_bridge(spark):
 
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("n", [500, 1000, 4000, 8000, 15000])
+def test_points_part_unlike_sets(n):
+    """Sets of shingles of their own: were their bounds enough, they would be clusters that grow with the corpus."""
+    rng = np.random.default_rng(n)
+    points = np.stack([neardup.group_counts(np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))) for _ in range(40)])
+    assert not list(neardup.tree_pairs(points, np.full(40, n), 80, neardup.Forest(40), np.arange(40)))
+
+
+def test_tables_of_shingles_go(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "cut", lambda df: made.append(common.cut(df)) or made[-1])
+    docs = [(i, " ".join(f"w{(i % 3, j)}" for j in range(60)) + f" end{i}") for i in range(60)]
+    assert neardup.keep_one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).count() == 3
+    cut = {c for t in made for c in t.columns}
+    left = {c for t in made if os.path.exists(urlparse(t.inputFiles()[0]).path) for c in t.columns}
+    assert {"prefix", "point", "found"} <= cut and not {"prefix", "point", "found"} & left
+
+
+def test_filter_of_ids_lets_all_pass_that_it_holds(spark):
+    ids = spark.createDataFrame([(i,) for i in (-5, 0, 7, 1 << 40, None)], "id long")
+    held = common.may_hold(ids)
+    rows = spark.createDataFrame([(i,) for i in (-5, 0, 7, 1 << 40, *range(100, 400))], "x long").withColumn("held", held(neardup.F.col("x"))).collect()
+    assert all(r["held"] for r in rows[:4]) and sum(r["held"] for r in rows) < 10
+    none = common.may_hold(ids.where("id = 3"))
+    assert not ids.where(none(neardup.F.col("id"))).count()
