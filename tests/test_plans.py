@@ -6,6 +6,7 @@ import numpy as np
 
 from tessera.operators import evaluation
 from tessera.plans import registry
+from tessera.sources import importers
 
 
 def test_cosine_topk_asks_every_hundredth_vector(spark, tmp_path):
@@ -74,3 +75,9 @@ def test_references_that_are_cut_off_stay(spark, tmp_path):
     spark.createDataFrame(CUT_OFF, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: (r["n_chars"], r["text_md5"]) for r in registry.QUERIES["html_text"](spark, str(tmp_path)).collect()}
     assert got == {i: (t and len(t), t and hashlib.md5(t.encode()).hexdigest()) for i, t in TEXTS.items()}
+
+
+def test_imported_pages_keep_references_that_are_cut_off(spark):
+    files = spark.createDataFrame([(f"/in/{i}.html", ".html", h.encode()) for i, h in CUT_OFF if h], "path string, suffix string, content binary")
+    got = {r["path"]: (r["status"], r["text"]) for r in importers.import_files(files).collect()}
+    assert got == {f"/in/{i}.html": ("imported", t) for i, t in TEXTS.items() if t}
