@@ -165,7 +165,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     i = F.col("doc_id")
     suffix = F.element_at(F.array(*map(F.lit, (".txt", ".md", ".csv", ".xml", ".bin", ".ndjson"))), (i % 6 + 1).cast("int"))
-    xml = F.concat(F.lit("<r><a>"), F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</a><b>end</b></r>"))
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    xml = F.concat(F.lit("<r><a>"), escaped, F.lit("</a><b>end</b></r>"))
     lines = F.concat(F.lit('{"id": '), i.cast("string"), F.lit("}\nnot json\n"))
     content = F.when(i % 6 == 3, xml.cast("binary")).when(i % 6 == 5, lines.cast("binary")).when(i % 30 == 0, F.lit(bytes([255, 254]))).otherwise(F.col("text").cast("binary"))
     docs = d.select(F.concat(at("d", i), suffix).alias("path"), suffix.alias("suffix"), content.alias("content"))

@@ -421,7 +421,7 @@ def provenance_items(spark, d):
 @query
 def import_files(spark, d):
     """Texts, payloads and states of files of all kinds."""
-    x = I.import_files(P.files(spark, d))
+    x = I.import_files(P.files(spark, d), lenient=True)
     return x.select("path", "status", "reason", "source_key", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("structured_json").isNotNull().alias("has_data"))
 
 

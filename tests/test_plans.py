@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import numpy as np
 
 from tessera.operators import evaluation
@@ -81,3 +82,32 @@ def test_imported_pages_keep_references_that_are_cut_off(spark):
     files = spark.createDataFrame([(f"/in/{i}.html", ".html", h.encode()) for i, h in CUT_OFF if h], "path string, suffix string, content binary")
     got = {r["path"]: (r["status"], r["text"]) for r in importers.import_files(files).collect()}
     assert got == {f"/in/{i}.html": ("imported", t) for i, t in TEXTS.items() if t}
+
+
+ODD_TEXTS = [None, "", "  ", "\n\t\r\n", "\ufeff", "\ufeffa b", "a ]]> b", "a\x00b", "a\x01b \x07", "a\x0cb", "\ue000 \ue0000041", "a\ufffeb\uffff", "<p>&amp; ]]"]
+ODD_PAGES = [None, "", " \n ", "<p></p>", "<script>a</script>", "\ufeff", "\ufeff<p>a</p>", "a ]]> b", "<p>a &amp; b</p>"]
+
+
+def test_files_without_text_and_with_odd_characters_are_as_the_sql_has_them(spark, tmp_path):
+    """Each text as a file of each of the six kinds, and as the one that can't be read."""
+    rows = {
+        "documents": ([(30 * n + m, t) for n, t in enumerate(ODD_TEXTS) for m in range(7)], "doc_id long, text string"),
+        "pages": (list(enumerate(ODD_PAGES)), "page_id long, html string"),
+        "orders": ([(1, 1, "O", "1-URGENT"), (2, 1, "", " x  y ")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"),
+        "customer": ([(1, 'a "q" \\ b', "")], "c_custkey long, c_name string, c_mktsegment string"),
+    }
+    db = duckdb.connect()
+    for name, (values, kinds) in rows.items():
+        spark.createDataFrame(values, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = registry.QUERIES["import_files"](spark, str(tmp_path))
+    want = {r[0]: r for r in db.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.SQL['import_files']})").fetchall()}
+    assert {r["path"]: tuple(r) for r in got.collect()} == want and len(want) == 7 * len(ODD_TEXTS) + len(ODD_PAGES) + 2
+
+
+def test_an_import_that_is_not_lenient_keeps_xml_that_does_not_parse_and_skips_what_has_no_text(spark):
+    rows = [("/in/a.xml", ".xml", b"<r>a\x01</r>"), ("/in/b.xml", ".xml", b"<r>a<b>c</b></r>"), ("/in/c.txt", ".txt", b" "), ("/in/d.txt", ".txt", b"\xef\xbb\xbfa")]
+    files = spark.createDataFrame(rows, "path string, suffix string, content binary")
+    run = lambda **more: {r["path"][4]: (r["status"], r["text"]) for r in importers.import_files(files, **more).collect()}
+    want = {"a": ("imported", "<r>a\x01</r>"), "b": ("imported", "a c"), "c": ("skipped", None), "d": ("imported", "\ufeffa")}
+    assert run() == want and run(lenient=True) == want | {"a": ("imported", "a\x01"), "c": ("imported", "")}
